@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pultwerk import fixed_values as fv
 from pultwerk.operators import ordered
 
-MONEY = "decimal(38,8)"
+# 20 digits before the point; sums of it are decimal(38,8), so nothing is rounded on the way
+MONEY = "decimal(28,8)"
 PERIODS = ("total", "day", "month", "skill", "day_skill", "model")
 
 
@@ -74,7 +75,7 @@ def resolve_prices(events: DataFrame, prices: DataFrame | None = None) -> DataFr
 
 def _cost(tokens: str, price: str) -> Column:
     per_token = F.lit("0.000001").cast("decimal(6,6)")
-    return (F.col(tokens).cast("decimal(20,0)") * F.col(price) * per_token).cast(MONEY)
+    return (F.col(tokens).cast("decimal(18,0)") * F.col(price) * per_token).cast(MONEY)
 
 
 def with_cost(events: DataFrame, prices: DataFrame | None = None) -> DataFrame:

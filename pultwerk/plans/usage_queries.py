@@ -47,7 +47,7 @@ priced AS (SELECT *, input_tokens + output_tokens AS total_tokens,
 """
 
 
-_SUMS = """CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
+_SUMS = f"""CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
  CAST(sum(output_tokens) AS BIGINT) AS output_tokens, {r6('sum(cost)')} AS cost_usd"""
 _EV, _HI = priced_sql("usage_events"), priced_sql("usage_history")
 
