@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pultwerk.session import cut_lineage
 
@@ -48,8 +49,12 @@ def running(split: DataFrame, group: list[str], order: list[str], value: Column,
         W.unboundedPreceding, W.currentRow if include_current else -1)
     joined = _attach(split.withColumn("_local", agg(value).over(frame)), carry, group)
     if how == "sum":
-        both = F.when(F.col("_local").isNull() & F.col("_carried").isNull(), None).otherwise(
-            F.coalesce("_local", F.lit(0)) + F.coalesce("_carried", F.lit(0)))
+        kind = joined.schema["_local"].dataType
+        if isinstance(kind, T.DecimalType):
+            # adding two 38-digit decimals would cost a digit after the point; 37 + 37 fits
+            kind = T.DecimalType(min(kind.precision, 37), kind.scale)
+        local, carried = (F.coalesce(F.col(c), F.lit(0)).cast(kind) for c in ("_local", "_carried"))
+        both = F.when(F.coalesce("_local", "_carried").isNotNull(), local + carried)
     else:
         both = F.greatest("_local", "_carried") if how == "max" else F.least("_local", "_carried")
     return joined.withColumn(out, both).drop("_local", "_carried")

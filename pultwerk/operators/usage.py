@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pultwerk import fixed_values as fv
+from pultwerk.functions.text import strip
 from pultwerk.operators import ordered
 
 # 20 digits before the point; sums of it are decimal(38,8), so nothing is rounded on the way
@@ -94,7 +95,7 @@ def period_keys(events: DataFrame) -> DataFrame:
 
 
 def skill_id(name: Column) -> Column:
-    normal = F.regexp_replace(F.trim(F.lower(name)), r"[/\\]", "_")
+    normal = F.regexp_replace(strip(F.lower(name)), r"[/\\]", "_")
     return F.concat(normal, F.lit("_"), F.substring(F.md5(normal), 1, 8))
 
 

@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from pultwerk.plans import usage_queries  # noqa: F401
+from pultwerk.plans import privacy_queries, record_queries, school_queries, usage_queries  # noqa: F401
 from pultwerk.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -47,7 +47,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
         "doc_id": "doc_id", "text": "text", "lang": "lang", "source": "source",
         "classification": "CASE doc_id % 4 WHEN 0 THEN 'public_curriculum' WHEN 1 THEN 'personal' WHEN 2 THEN 'unknown' ELSE 'student_submission' END",
     }),
-    "urls": ("pages", {"page_id": "page_id", "url": "CASE page_id % 5 WHEN 0 THEN 'http://127.0.0.1:11434/api' WHEN 1 THEN replace(replace(url, 'http://', 'https://'), '.example', ':8443.example') WHEN 2 THEN replace(url, '://', '://user:pw@') WHEN 3 THEN replace(url, 'http://', 'https://') ELSE url END"}),
+    "urls": ("pages", {"page_id": "page_id", "url": "CASE page_id % 5 WHEN 0 THEN 'http://127.0.0.1:11434/api' WHEN 1 THEN replace(replace(replace(replace(url, 'http://', 'https://'), '.com/', '.com:8443/'), '.net/', '.net:8443/'), '.org/', '.org:8443/') WHEN 2 THEN replace(url, '://', '://user:pw@') WHEN 3 THEN replace(url, 'http://', 'https://') ELSE url END"}),
     "chunks": ("embeddings", {
         "chunk_id": "vec_id", "document_id": "CAST(label AS BIGINT)", "embedding": "embedding",
         "source": "concat('src', CAST(label AS VARCHAR(10)))",
@@ -85,6 +85,12 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
         "engine": "CASE event_id % 7 WHEN 0 THEN 'htr' WHEN 1 THEN 'tesseract' WHEN 2 THEN 'abacus' END",
         "text": "CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 7 > 2 THEN concat('Text ', CAST(event_id AS VARCHAR(20))) END",
     }),
+    "jobs": ("supplier", {
+        "job_id": "s_suppkey",
+        "classification": "CASE s_suppkey % 4 WHEN 0 THEN 'public_curriculum' WHEN 1 THEN 'personal' WHEN 2 THEN 'unknown' ELSE 'student_submission' END",
+        "status": "CASE s_suppkey % 5 WHEN 0 THEN 'needs_review' WHEN 1 THEN 'failed' ELSE 'approved' END",
+        "unresolved_critical": "CAST(CASE WHEN s_suppkey % 7 = 0 THEN 2 ELSE 0 END AS BIGINT)",
+    }),
     "word_boxes": ("lineitem", {
         "page_id": "l_orderkey", "box_id": "l_partkey * 1000000 + l_suppkey * 10 + l_linenumber",
         "x0": "l_partkey % 500", "y0": "l_linenumber * 18 + l_suppkey % 15",
