@@ -66,9 +66,9 @@ def previous(split: DataFrame, group: list[str], order: list[str], value: str, o
         F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
     carry = _carry(last, group, F.last("_last"), "_carried")
     rows = W.partitionBy(PART, *group).orderBy(*order)
-    local = split.withColumn("_before", F.lag(F.struct(F.col(value).alias("v"))).over(rows))
+    local = split.withColumn("_lagged", F.lag(F.struct(F.col(value).alias("v"))).over(rows))
     joined = _attach(local, carry, group)
-    return joined.withColumn(out, F.coalesce("_before", "_carried")["v"]).drop("_before", "_carried")
+    return joined.withColumn(out, F.coalesce("_lagged", "_carried")["v"]).drop("_lagged", "_carried")
 
 
 def position(split: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
