@@ -31,6 +31,14 @@ OPS = T.ArrayType(T.ArrayType(_struct(tag=_TEXT, r0=_INT, r1=_INT, o0=_INT, o1=_
 MARKUP = _struct(text=_TEXT, alternatives=T.ArrayType(_struct(token=_INT, options=_TEXTS)), deleted=_TEXTS, unclear=_INT, markers=_TEXTS)
 
 
+def _once(udf):
+    """Keeps the planner from copying a Python step into every expression that reads it.
+
+    The functions are pure; this only makes their result a column that is computed once.
+    """
+    return udf.asNondeterministic()
+
+
 def _spans(text: str) -> Iterator[tuple[int, int]]:
     """Chunk borders; every border depends on the one before, hence the loop."""
     size, start, end = len(text), 0, 0
@@ -43,12 +51,14 @@ def _spans(text: str) -> Iterator[tuple[int, int]]:
         start = max(end - fv.CHUNK_OVERLAP, start + 1)
 
 
+@_once
 @F.pandas_udf(SPANS)
 def chunk_spans(texts: pd.Series) -> pd.Series:
     """Start and end of each chunk in code points; the JVM cuts the text itself."""
     return texts.map(lambda t: [] if t is None else [{"start": a, "end": b} for a, b in _spans(t)])
 
 
+@_once
 @F.pandas_udf(_TEXTS)
 def fold(tokens: pd.Series) -> pd.Series:
     """NFKC and full case folding per token; neither is built in (``lower`` keeps ß)."""
@@ -56,6 +66,7 @@ def fold(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda ts: None if ts is None else ([] if len(ts) == 0 else unicodedata.normalize("NFKC", join(ts)).casefold().split("\x00")))
 
 
+@_once
 @F.pandas_udf(OPS)
 def align(reference: pd.Series, others: pd.Series) -> pd.Series:
     """Edit operations from the reference's tokens to each other reader's tokens.
@@ -121,6 +132,7 @@ def _markup(raw: str) -> dict:
     return {"text": "".join(text), **out, "markers": sorted(markers)}
 
 
+@_once
 @F.pandas_udf(MARKUP)
 def parse_markup(raw: pd.Series) -> pd.DataFrame:
     """Reader markup to plain text and structure; anything unclear in form is flagged."""

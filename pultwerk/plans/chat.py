@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pultwerk.operators import privacy, retrieval, routing
+from pultwerk.session import cut_lineage
 
 
 def chat_turns(requests: DataFrame, jobs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -15,7 +16,8 @@ def chat_turns(requests: DataFrame, jobs: DataFrame, chunks: DataFrame) -> DataF
     text for the privacy decision, and the classes of hits and jobs count alike.
     """
     routed = requests.withColumn("skill_id", routing.match_skill(F.col("text")))
-    gated = privacy.grading_gate(routed, jobs)
+    # four branches start here, so the gated requests are kept once instead of recomputed
+    gated = cut_lineage(privacy.grading_gate(routed, jobs))
     passed = gated.filter("allowed")
     hits = retrieval.search(passed.select(F.col("request_id").alias("query_id"), "embedding"), chunks)
     found = retrieval.context(hits, chunks).select(F.col("query_id").alias("request_id"), "context", F.col("classifications").alias("_found"))

@@ -91,6 +91,23 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
         "status": "CASE s_suppkey % 5 WHEN 0 THEN 'needs_review' WHEN 1 THEN 'failed' ELSE 'approved' END",
         "unresolved_critical": "CAST(CASE WHEN s_suppkey % 7 = 0 THEN 2 ELSE 0 END AS BIGINT)",
     }),
+    "region_rows": ("lineitem", {
+        "job_id": "l_orderkey", "page": "CAST(l_suppkey % 3 AS INT)", "region_id": "l_partkey * 1000000 + l_suppkey * 10 + l_linenumber",
+        "n_readers": "CAST(l_suppkey % 4 AS INT)", "n_disagreements": "CAST(l_partkey % 3 AS INT)",
+        "critical": "l_partkey % 3 > 0 AND l_quantity > 35", "edited": "l_returnflag = 'A'",
+        "agreement": "CASE WHEN l_suppkey % 4 < 2 THEN CAST(0 AS DOUBLE) ELSE 1 - l_discount END", "mean_confidence": "CAST(1 AS DOUBLE) - l_tax * 5",
+        "selected_text": "concat('Text ', CAST(l_partkey AS VARCHAR(20)))", "consensus_text": "concat('[Text|Test?] ', CAST(l_partkey AS VARCHAR(20)))",
+    }),
+    "page_rows": ("orders", {
+        "job_id": "o_orderkey", "classification": "CASE o_orderkey % 4 WHEN 0 THEN 'public_curriculum' WHEN 1 THEN 'personal' WHEN 2 THEN 'unknown' ELSE 'student_submission' END",
+        "auto_approve": "o_custkey % 2 = 0", "quality_blocking": "o_custkey % 13 = 0",
+    }),
+    "image_metrics": ("lineitem", {
+        "image_id": "l_partkey * 1000000 + l_suppkey * 10 + l_linenumber", "order_id": "l_orderkey",
+        "width": "CAST(l_partkey % 4000 AS INT)", "height": "CAST(200 + l_orderkey % 4000 AS INT)",
+        "blur_score": "l_quantity * 6", "contrast": "l_discount * 6", "brightness": "l_tax * 12",
+        "skew_degrees": "l_quantity / 5 - 5", "glare_ratio": "l_discount * l_tax * 10",
+    }),
     "word_boxes": ("lineitem", {
         "page_id": "l_orderkey", "box_id": "l_partkey * 1000000 + l_suppkey * 10 + l_linenumber",
         "x0": "l_partkey % 500", "y0": "l_linenumber * 18 + l_suppkey % 15",
