@@ -33,3 +33,10 @@ def export_slug(title: Column, default: str = "export") -> Column:
     base = F.regexp_replace(F.regexp_replace(base, r"(?U)[^\w\-]+", "_"), "_+", "_")
     cut = F.substring(F.regexp_replace(base, r"\A_+|_+\z", ""), 1, 60)
     return F.coalesce(F.nullif(cut, F.lit("")), F.lit(default))
+
+
+def title_case(text: Column) -> Column:
+    """Upper case after anything that is no letter ("7a" → "7A"), lower case elsewhere."""
+    chars = F.split(text, "")
+    starts = lambda i: (i == 0) | ~F.get(chars, i - 1).rlike(r"\p{L}")
+    return F.array_join(F.transform(chars, lambda c, i: F.when(starts(i), F.upper(c)).otherwise(F.lower(c))), "")

@@ -286,7 +286,7 @@ def _(spark, sf):
     return pages.exhausted_pages(pages.needs_second_reading(_regions(spark, sf), _fails(spark, sf), ["tesseract"]), 2)
 
 
-@query("so_05_combined_readings", _REG + "SELECT job_id, page, region_id, count(*) + CASE WHEN job_id % 11 <> 0 THEN 1 ELSE 0 END AS readings FROM bulk WHERE region_id % 3 = 0 GROUP BY ALL")
+@query("so_05_combined_readings", _REG + "SELECT job_id, page, region_id, count(*) + CASE WHEN job_id % 11 <> 0 THEN 1 ELSE 0 END AS readings FROM bulk WHERE region_id % 3 = 0 GROUP BY job_id, page, region_id")
 def _(spark, sf):
     chosen = readings.regions(spark, sf).filter("region_id % 3 = 0")
     both = pages.with_second_readings(readings.bulk(spark, sf), readings.second(spark, sf), chosen)
