@@ -27,7 +27,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 # type objects, not DDL text: this module may be imported before there is a session
 SPANS = T.ArrayType(_struct(start=_INT, end=_INT))
-OPS = T.ArrayType(T.ArrayType(_struct(tag=_TEXT, r0=_INT, r1=_INT, o0=_INT, o1=_INT)))
+CODES = T.ArrayType(T.ArrayType(_INT))
 MARKUP = _struct(text=_TEXT, alternatives=T.ArrayType(_struct(token=_INT, options=_TEXTS)), deleted=_TEXTS, unclear=_INT, markers=_TEXTS)
 
 
@@ -58,26 +58,40 @@ def chunk_spans(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [] if t is None else [{"start": a, "end": b} for a, b in _spans(t)])
 
 
+SEPARATOR = "\x00"
+
+
 @_once
-@F.pandas_udf(_TEXTS)
-def fold(tokens: pd.Series) -> pd.Series:
-    """NFKC and full case folding per token; neither is built in (``lower`` keeps ß)."""
-    join = "\x00".join
-    return tokens.map(lambda ts: None if ts is None else ([] if len(ts) == 0 else unicodedata.normalize("NFKC", join(ts)).casefold().split("\x00")))
+@F.pandas_udf(_TEXT)
+def fold(texts: pd.Series) -> pd.Series:
+    """NFKC and full case folding; neither is built in (``lower`` keeps ß).
+
+    Tokens come joined by a separator that both steps leave alone, so that one string per
+    row crosses to Python and back instead of a list.
+    """
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+
+def _codes(ref: list[str], other: list[str]) -> list[int]:
+    if ref == other:
+        return [1, 0, len(ref), 0, len(other)]
+    codes = difflib.SequenceMatcher(None, ref, other, autojunk=False).get_opcodes()
+    return [x for tag, *borders in codes for x in (int(tag == "equal"), *borders)]
 
 
 @_once
-@F.pandas_udf(OPS)
-def align(reference: pd.Series, others: pd.Series) -> pd.Series:
-    """Edit operations from the reference's tokens to each other reader's tokens.
+@F.pandas_udf(CODES)
+def align(readings: pd.Series) -> pd.Series:
+    """Edit operations from the first reading's tokens to each other reading's tokens.
 
-    The popularity heuristic stays off: it would ignore frequent words in long regions.
+    Five numbers per operation: equal or not, and the borders in both readings. The
+    popularity heuristic stays off: it would ignore frequent words in long regions.
     """
-    def ops(ref, other):
-        codes = difflib.SequenceMatcher(None, list(ref), list(other), autojunk=False).get_opcodes()
-        return [dict(zip(("tag", "r0", "r1", "o0", "o1"), code)) for code in codes]
+    def row(texts):
+        first, *rest = [t.split(SEPARATOR) if t else [] for t in texts]
+        return [_codes(first, other) for other in rest]
 
-    return pd.Series([[ops(ref, o) for o in rest] for ref, rest in zip(reference, others)])
+    return readings.map(row)
 
 
 _TAG = re.compile(r"<(?P<open>uncertain|deleted|unclear)(?P<slash>\s*/)?>|</(?P<close>uncertain|deleted|unclear)>")

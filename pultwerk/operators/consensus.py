@@ -31,14 +31,6 @@ def read_markup(readings: DataFrame) -> DataFrame:
         *[c for c in readings.columns if c != "text"], "_m.text", "_m.alternatives", "_m.deleted", F.col("_m.unclear").alias("unclear"), "_m.markers")
 
 
-def tokenised(candidates: DataFrame) -> DataFrame:
-    """Adds raw tokens, their alignment form and the rank columns of a reading."""
-    if "alternatives" not in candidates.columns:
-        candidates = candidates.withColumn("alternatives", F.array().cast(ALTERNATIVES))
-    with_tokens = candidates.withColumn("tokens", reading.tokens(F.col("text")))
-    return with_tokens.withColumn("norm", F.transform(arrow.fold("tokens"), reading.normal_form))
-
-
 def pick_reference(candidates: DataFrame) -> DataFrame:
     """Reference reader per region: fixed priority, confidence, number of tokens, name."""
     rank = F.struct(priority(F.col("engine")), -F.col("confidence"), -F.size(reading.tokens(F.col("text"))), F.col("engine"))
@@ -49,9 +41,9 @@ def map_position(ops: Column, at: Column, source: str) -> Column:
     """Border position in one reader's tokens → position in the other's, NULL inside a change."""
     target = "o" if source == "r" else "r"
     s0, s1, t0, t1 = f"{source}0", f"{source}1", f"{target}0", f"{target}1"
-    fits = F.filter(ops, lambda o: (o[s0] <= at) & (at <= o[s1]) & ((o["tag"] == "equal") | (at == o[s0]) | (at == o[s1])))
+    fits = F.filter(ops, lambda o: (o[s0] <= at) & (at <= o[s1]) & (o["equal"] | (at == o[s0]) | (at == o[s1])))
     op = F.get(fits, F.lit(0))
-    return F.when(op["tag"] == "equal", op[t0] + at - op[s0]).when(at == op[s0], op[t0]).when(at == op[s1], op[t1])
+    return F.when(op["equal"], op[t0] + at - op[s0]).when(at == op[s0], op[t0]).when(at == op[s1], op[t1])
 
 
 def merge_ranges(ranges: Column) -> Column:
@@ -67,25 +59,41 @@ def _joined(tokens: Column, start: Column, end: Column) -> Column:
     return F.array_join(F.slice(tokens, start + 1, F.greatest(end - start, F.lit(0))), " ")
 
 
+def _operations(codes: Column) -> Column:
+    at = lambda i, k: F.get(codes, i * 5 + k)
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(codes) / 5).cast("int") - 1), lambda i: F.struct(
+        (at(i, 0) == 1).alias("equal"), at(i, 1).alias("r0"), at(i, 2).alias("r1"), at(i, 3).alias("o0"), at(i, 4).alias("o1")))
+
+
 def align_regions(candidates: DataFrame) -> DataFrame:
     """One row per region: reference, other readers, edit operations, merged ranges.
 
-    A region has as many readings as there are readers, so the list gathered is short.
+    Only the texts are shuffled; tokens are made afterwards. A region has as many readings
+    as there are readers, so the list gathered is short.
     """
-    reader = F.struct(
-        priority(F.col("engine")).alias("p"), (-F.col("confidence")).alias("c"), (-F.size("tokens")).alias("n"), "engine", "pos",
-        "text", "confidence", "tokens", "norm", "alternatives")
-    rows = tokenised(candidates).groupBy(*KEYS).agg(F.array_sort(F.collect_list(reader)).alias("readers"))
+    if "alternatives" not in candidates.columns:
+        candidates = candidates.withColumn("alternatives", F.array().cast(ALTERNATIVES))
+    rows = candidates.groupBy(*KEYS).agg(F.collect_list(F.struct("engine", "pos", "text", "confidence", "alternatives")).alias("readers"))
+    rows = rows.withColumn("readers", F.transform("readers", lambda r: F.struct(
+        r["engine"].alias("engine"), r["pos"].alias("pos"), r["text"].alias("text"), r["confidence"].alias("confidence"),
+        reading.tokens(r["text"]).alias("tokens"), r["alternatives"].alias("alternatives"))))
+    rows = rows.withColumn("readers", F.transform(F.array_sort(F.transform("readers", lambda r: F.struct(
+        priority(r["engine"]).alias("p"), (-r["confidence"]).alias("c"), (-F.size(r["tokens"])).alias("n"), r["engine"].alias("e"), r["pos"].alias("o"), r.alias("r")))),
+        lambda x: x["r"]))
     rows = rows.withColumn("ref", F.get("readers", F.lit(0))).withColumn("others", F.array_sort(
         F.slice("readers", 2, 1 << 20), lambda a, b: a["pos"] - b["pos"]))
-    rows = rows.withColumn("ops", arrow.align(F.col("ref.norm"), F.transform("others", lambda o: o["norm"])))
+    # all readers of a region fold in one string: readings apart by a line feed, tokens by the separator
+    per_reader = F.transform(F.concat(F.array("ref"), F.col("others")), lambda r: reading.joined(r["tokens"]))
+    rows = rows.withColumn("folded", arrow.fold(F.array_join(per_reader, f"{arrow.SEPARATOR}\n{arrow.SEPARATOR}")))
+    norm = F.transform(F.split("folded", f"{arrow.SEPARATOR}\n{arrow.SEPARATOR}"), reading.normal_form)
+    rows = rows.withColumn("codes", arrow.align(norm)).withColumn("ops", F.transform("codes", _operations)).drop("folded", "codes")
     # every reader with its own operations; the reference stands for itself
     marked = F.flatten(F.concat(
         F.array(F.transform("ref.alternatives", lambda a: F.struct(a["token"].alias("at"), F.col("ref.engine").alias("engine"), a["options"].alias("options"), (a["token"] < F.size("ref.tokens")).alias("ok")))),
         F.transform("others", lambda o, i: F.transform(o["alternatives"], lambda a: F.struct(
             map_position(F.get("ops", i), a["token"], "o").alias("at"), o["engine"].alias("engine"), a["options"].alias("options"), (a["token"] < F.size(o["tokens"])).alias("ok"))))))
     rows = rows.withColumn("marked", F.filter(marked, lambda m: m["ok"] & m["at"].isNotNull()))
-    changed = F.transform(F.filter(F.flatten("ops"), lambda o: o["tag"] != "equal"), lambda o: F.struct(o["r0"].alias("s"), o["r1"].alias("e")))
+    changed = F.transform(F.filter(F.flatten("ops"), lambda o: ~o["equal"]), lambda o: F.struct(o["r0"].alias("s"), o["r1"].alias("e")))
     uncertain = F.transform("marked", lambda m: F.struct(m["at"].alias("s"), (m["at"] + 1).alias("e")))
     return rows.withColumn("ranges", merge_ranges(F.concat(changed, uncertain)))
 
@@ -106,23 +114,35 @@ def _variants(start: Column, end: Column) -> Column:
     return F.concat(F.array(base), F.array_compact(F.transform("others", other)), options)
 
 
-def disagreements(aligned: DataFrame, vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
-    """One row per disagreement: range, variants with their readers, critical flag, reason."""
-    rows = aligned.withColumn("range", F.explode("ranges"))
+def _judged(aligned: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """One row per range with its verdict, and one bare row for a region without ranges.
+
+    The region's own columns ride along, so that nothing has to be joined back later.
+    """
+    rows = aligned.select(*KEYS, "readers", "ref", "others", "ops", "marked", F.explode_outer("ranges").alias("range"))
+    start, end = F.col("range.s"), F.col("range.e")
     rows = rows.select(
-        *KEYS, F.col("range.s").alias("start"), F.col("range.e").alias("end"), _variants(F.col("range.s"), F.col("range.e")).alias("pairs"),
-        F.coalesce(F.get("ref.tokens", F.col("range.s") - 1), F.lit("")).alias("left"), F.coalesce(F.get("ref.tokens", F.col("range.e")), F.lit("")).alias("right"))
-    rows = rows.withColumn("texts", F.array_distinct(F.transform("pairs", lambda p: p["text"])))
-    rows = rows.withColumn("folded", arrow.fold(F.concat("texts", F.array("left", "right"))))
+        *KEYS, "readers", F.col("ref.tokens").alias("ref_tokens"), start.alias("start"), end.alias("end"),
+        F.when(F.col("range").isNotNull(), _variants(start, end)).alias("pairs"),
+        F.coalesce(F.get("ref.tokens", start - 1), F.lit("")).alias("left"), F.coalesce(F.get("ref.tokens", end), F.lit("")).alias("right"))
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("texts", F.coalesce(F.array_distinct(F.transform("pairs", lambda p: p["text"])), none))
+    rows = rows.withColumn("folded", F.split(arrow.fold(reading.joined(F.concat("texts", F.array("left", "right")))), arrow.SEPARATOR))
     own = F.slice("folded", F.lit(1), F.size("texts"))
-    differing = rows.filter(F.size(F.array_distinct(F.transform(own, reading.normal_form))) > 1)
+    rows = rows.withColumn("differs", F.size(F.array_distinct(F.transform(own, reading.normal_form))) > 1)
     beside = lambda i: reading.canonical_text(F.element_at("folded", i))
-    featured = differing.withColumn("features", reading.span_features(
-        F.col("texts"), F.transform(own, reading.canonical_text), beside(-2), beside(-1), vocabulary))
-    reason = featured.withColumn("reason", reading.span_reason(F.col("features"), vocabulary))
+    rows = rows.withColumn("features", F.when(F.col("differs"), reading.span_features(
+        F.col("texts"), F.transform(own, reading.canonical_text), beside(-2), beside(-1), vocabulary)))
+    rows = rows.withColumn("reason", F.when(F.col("differs"), reading.span_reason(F.col("features"), vocabulary)))
     variants = F.transform("texts", lambda t: F.struct(t.alias("text"), F.array_sort(F.array_distinct(F.transform(
         F.filter("pairs", lambda p: p["text"] == t), lambda p: p["engine"]))).alias("engines")))
-    return reason.select(*KEYS, "start", "end", variants.alias("variants"), F.col("reason").isNotNull().alias("critical"), F.coalesce("reason", F.lit("")).alias("reason"))
+    return rows.select(*KEYS, "readers", "ref_tokens", "differs", F.struct(
+        "start", "end", variants.alias("variants"), F.col("reason").isNotNull().alias("critical"), F.coalesce("reason", F.lit("")).alias("reason")).alias("d"))
+
+
+def disagreements(aligned: DataFrame, vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
+    """One row per disagreement: range, variants with their readers, critical flag, reason."""
+    return _judged(aligned, vocabulary).filter("differs").select(*KEYS, "d.*")
 
 
 def pieces_of(tokens: Column, found: Column) -> Column:
@@ -146,7 +166,7 @@ def with_text(regions: DataFrame) -> DataFrame:
     Ranges come from the pieces the text is made of, so a bracket printed in the source is
     never mistaken for a mark.
     """
-    rows = regions.withColumn("pieces", pieces_of(F.col("ref.tokens"), F.col("found")))
+    rows = regions.withColumn("pieces", pieces_of(F.col("ref_tokens"), F.col("found")))
     rows = rows.withColumn("spaced", F.transform("pieces", lambda p, i: F.when(
         (i == 0) | p["text"].isin(fv.SENTENCE_FINAL), p["text"]).otherwise(F.concat(F.lit(" "), p["text"]))))
     rows = rows.withColumn("consensus_text", F.array_join("spaced", ""))
@@ -165,15 +185,19 @@ def agreement(found: Column, n_tokens: Column, n_readers: Column) -> Column:
 
 
 def build_regions(candidates: DataFrame, vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
-    """candidates(keys, pos, engine, text, confidence[, alternatives]) → one row per region."""
-    aligned = align_regions(candidates)
-    none = "array<struct<start:int,end:int,variants:array<struct<text:string,engines:array<string>>>,critical:boolean,reason:string>>"
-    found = disagreements(aligned, vocabulary).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(
-        "start", "end", "variants", "critical", "reason"))).alias("found"))
-    rows = aligned.drop("ops", "marked", "ranges").join(found, KEYS, "left").withColumn("found", F.coalesce("found", F.array().cast(none)))
-    rows = rows.withColumn("agreement", agreement(F.col("found"), F.size("ref.tokens"), F.size("readers")))
+    """candidates(keys, pos, engine, text, confidence[, alternatives]) → one row per region.
+
+    Rows are already partitioned by region when disagreements are gathered, so the whole
+    job shuffles once.
+    """
+    judged = _judged(align_regions(candidates), vocabulary)
+    rows = judged.groupBy(*KEYS).agg(
+        F.first("readers").alias("readers"), F.first("ref_tokens").alias("ref_tokens"),
+        F.array_sort(F.collect_list(F.when(F.col("differs"), F.col("d")))).alias("found"))
+    rows = rows.withColumn("agreement", agreement(F.col("found"), F.size("ref_tokens"), F.size("readers")))
+    ref = F.get("readers", F.lit(0))
     return with_text(rows).select(
-        *KEYS, F.col("ref.engine").alias("reference_engine"), F.col("ref.text").alias("selected_text"), "consensus_text", "disagreements", "agreement",
+        *KEYS, ref["engine"].alias("reference_engine"), ref["text"].alias("selected_text"), "consensus_text", "disagreements", "agreement",
         F.size("readers").alias("n_readers"), F.array_sort(F.transform("readers", lambda r: r["engine"])).alias("engines"),
         (F.aggregate("readers", F.lit(0.0), lambda acc, r: acc + r["confidence"]) / F.size("readers")).alias("mean_confidence"),
         F.size("disagreements").alias("n_disagreements"), F.exists("disagreements", lambda d: d["critical"]).alias("critical"))

@@ -8,6 +8,7 @@ from pultwerk import fixed_values as fv
 from pultwerk.functions import arrow, reading
 from pultwerk.functions.text import words
 from pultwerk.operators import consensus, pages, pseudonym, segmentation, vocabulary
+from pultwerk.plans import transcription
 from pultwerk.plans.privacy_queries import _L
 from pultwerk.plans.registry import query, quote, sql_list, values
 from pultwerk.sources import readings
@@ -31,7 +32,7 @@ _NORM = "trim(replace(replace(replace(replace(lower(token), 'ß', 'ss'), '’',
 def _(spark, sf):
     """Normal form of every distinct token of all documents."""
     t = view(spark, sf, "docs").select(F.explode(reading.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    return t.select("token", F.transform(arrow.fold(F.array("token")), reading.normal_form)[0].alias("normal"), "n")
+    return t.select("token", reading.normal_form(arrow.fold("token")).alias("normal"), "n")
 
 
 _RAW = r"regexp_replace(regexp_replace(regexp_replace(text, ' (the|de|die) ', ' <uncertain>{g}|x</uncertain> '{f}), ' (of|la|und) ', ' <deleted>{g}</deleted> '{f}), '\$\$\$', '<unclear/>'{f})"
@@ -92,7 +93,7 @@ def _(spark, sf):
     w = view(spark, sf, "turns").select("conv_id", "turn", words(F.col("text")).alias("w"))
     spans = w.select("conv_id", "turn", "w", F.explode(F.when(F.size("w") > 0, F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 2).cast("int")))).alias("i"))
     texts = F.array(F.array_join(F.slice("w", F.col("i") * 2 + 1, 2), " "), F.coalesce(F.get("w", F.col("i") * 2 - 1), F.lit("")), F.coalesce(F.get("w", F.col("i") * 2 + 2), F.lit("")))
-    folded = spans.select("conv_id", "turn", "i", F.transform(arrow.fold(texts), reading.canonical_text).alias("c"))
+    folded = spans.select("conv_id", "turn", "i", F.transform(F.split(arrow.fold(reading.joined(texts)), arrow.SEPARATOR), reading.canonical_text).alias("c"))
     hits = reading.critical_sequence(F.col("c")[0], F.col("c")[1], F.col("c")[2])
     return folded.select("conv_id", "turn", F.col("i").alias("span"), F.array_join(hits, "|").alias("critical")).filter("critical <> ''")
 
@@ -112,7 +113,7 @@ def _(spark, sf):
     """Readings that differ only in case and edge signs are one variant; a letter more is not."""
     w = view(spark, sf, "turns").select((F.col("conv_id") + F.col("turn")).alias("k"), F.explode(words(F.col("text"))).alias("w"))
     other = F.when(F.col("k") % 3 == 0, F.upper("w")).when(F.col("k") % 3 == 1, F.concat(F.lit("("), "w", F.lit(")"))).otherwise(F.concat("w", F.lit("e")))
-    norm = w.select("k", F.transform(arrow.fold(F.array("w", other)), reading.normal_form).alias("n"))
+    norm = w.select("k", F.split(reading.normal_form(arrow.fold(reading.joined(F.array("w", other)))), arrow.SEPARATOR).alias("n"))
     return norm.groupBy((F.col("k") % 3).alias("kind")).agg(F.count("*").alias("n"), F.count_if(F.size(F.array_distinct("n")) <= 1).alias("same"))
 
 
@@ -162,7 +163,7 @@ def _(spark, sf):
     """Edit operations of every second reading against its reference."""
     a = consensus.align_regions(readings.bulk(spark, sf))
     return a.select(*consensus.KEYS, F.explode("ops").alias("ops")).select(
-        *consensus.KEYS, F.size(F.filter("ops", lambda o: o["tag"] == "equal")).alias("equal"), F.size(F.filter("ops", lambda o: o["tag"] != "equal")).alias("changed"))
+        *consensus.KEYS, F.size(F.filter("ops", lambda o: o["equal"])).alias("equal"), F.size(F.filter("ops", lambda o: ~o["equal"])).alias("changed"))
 
 
 @query("cn_02_disagreements")
@@ -185,16 +186,11 @@ def _(spark, sf):
 
 
 def decided_pages(spark, sf):
-    bulk, extra = readings.bulk(spark, sf), readings.second(spark, sf)
-    failed = readings.failures(spark, sf)
     blocked = readings.pages(spark, sf).filter("quality_blocking").select("job_id", "page")
-    bulk = bulk.join(blocked, ["job_id", "page"], "left_anti")
-    built = consensus.build_regions(bulk)
-    # unread regions count as suspicious too, as they need a second reading most
-    every = pages.keep_unread(readings.regions(spark, sf).join(blocked, ["job_id", "page"], "left_anti"), built)
-    flagged = pages.needs_second_reading(every, failed, ["tesseract"])
-    final = pages.second_reading(every, bulk, extra, flagged, budget=6)
-    out = pages.decide_pages(readings.pages(spark, sf), final, failed, ["tesseract"], pages.exhausted_pages(flagged, 6))
+    seen = lambda df: df.join(blocked, ["job_id", "page"], "left_anti")
+    out = transcription.review_pages(
+        readings.pages(spark, sf), seen(readings.regions(spark, sf)), seen(readings.bulk(spark, sf)), seen(readings.second(spark, sf)),
+        readings.failures(spark, sf), required=["tesseract"], budget=6)
     return out.withColumn("reasons", F.array_join("reasons", ","))
 
 

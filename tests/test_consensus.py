@@ -14,7 +14,7 @@ DASH = "-‐‑‒–—―−"
 
 def spans(spark, rows, vocabulary=Vocabulary()):
     df = spark.createDataFrame([(i, list(t), l, r) for i, (t, l, r) in enumerate(rows)], "i int, texts array<string>, l string, r string")
-    df = df.withColumn("folded", arrow.fold(F.concat("texts", F.array("l", "r"))))
+    df = df.withColumn("folded", F.split(arrow.fold(reading.joined(F.concat("texts", F.array("l", "r")))), arrow.SEPARATOR))
     own = F.slice("folded", F.lit(1), F.size("texts"))
     df = df.withColumn("f", reading.span_features(F.col("texts"), F.transform(own, reading.canonical_text),
                                                   reading.canonical_text(F.element_at("folded", -2)), reading.canonical_text(F.element_at("folded", -1)), vocabulary))
@@ -159,6 +159,6 @@ def test_offsets_point_at_brackets(spark):
 
 def test_normal_form(spark):
     cases = {"„Straße“": "'strasse'", "-4": "-4", "3,5": "3,5", "(Foo)": "foo", "a–b": "a-b", "ﬁx": "fix", "don’t": "don't", "*x*": "x"}
-    df = spark.createDataFrame(list(cases.items()), "t string, want string").withColumn("got", F.transform(arrow.fold(F.array("t")), reading.normal_form)[0])
+    df = spark.createDataFrame(list(cases.items()), "t string, want string").withColumn("got", reading.normal_form(arrow.fold("t")))
     for r in df.collect():
         assert r["got"] == r["want"], r["t"]
