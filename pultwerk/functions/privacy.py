@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,10 +23,40 @@ DETECTORS = {
 }
 
 
+# What a text must contain for a detector to have a chance. Plain substring tests cost a
+# fraction of a regular expression, and most texts fail them.
+HINTS_AS_WRITTEN = {
+    "email": ["@"],
+    "phone": ["0", "+49"],
+    "person_name": ["von", "für", "fuer", "heißt", "heisst", "namens", "name:"],
+}
+HINTS_ANY_CASE = {
+    "birth_date": ["geb"],
+    "student_context": ["schüler", "schueler", "lernende", "kind", "sohn", "tochter", "sus", "zeugnis", "förderplan", "foerderplan",
+                        "nachteilsausgleich", "lerntagebuch", "benotung", "korrektur"],
+    "student_identifier": ["sus", "schüler", "schueler"],
+}
+
+
+def _any_case(text: Column) -> Column:
+    """Folds case at least as widely as a case-insensitive expression does (also ſ and K)."""
+    return F.lower(F.upper(text))
+
+
+def may_contain(text: Column, detector: str) -> Column:
+    hints = HINTS_AS_WRITTEN.get(detector)
+    # bound as a lambda variable, so that folding a long text happens once and not per hint
+    once = F.array(text if hints else _any_case(text))
+    return F.exists(once, lambda t: reduce(Column.__or__, [t.contains(h) for h in hints or HINTS_ANY_CASE[detector]]))
+
+
+def detected(text: Column, detector: str) -> Column:
+    return may_contain(text, detector) & text.rlike(DETECTORS[detector])
+
+
 def findings(text: Column) -> Column:
     """Sorted names of the detectors that hit."""
-    hits = [F.when(text.rlike(DETECTORS[name]), F.lit(name)) for name in sorted(DETECTORS)]
-    return F.array_compact(F.array(*hits))
+    return F.array_compact(F.array(*[F.when(detected(text, name), F.lit(name)) for name in sorted(DETECTORS)]))
 
 
 def string_leaves(column: Column, kind: T.DataType) -> Column:
@@ -54,9 +86,11 @@ def finding_labels(found: Column) -> Column:
 
 def redact(text: Column) -> Column:
     """Email, then phone, then dates; dates only if a birth word is left in the text."""
-    masked = F.regexp_replace(F.regexp_replace(text, DETECTORS["email"], "[E-Mail]"), DETECTORS["phone"], "[Telefon]")
-    birth = r"(?iuU)(geb\b\.?|geboren|geburtstag|geburtsdatum)"
-    return F.when(masked.rlike(birth), F.regexp_replace(masked, rf"(?U)\b{fv.REDACTED_DATE}\b", "[Datum]")).otherwise(masked)
+    masked = text
+    for detector, label in (("email", "[E-Mail]"), ("phone", "[Telefon]")):
+        masked = F.when(may_contain(masked, detector), F.regexp_replace(masked, DETECTORS[detector], label)).otherwise(masked)
+    birth = may_contain(text, "birth_date") & masked.rlike(r"(?iuU)(geb\b\.?|geboren|geburtstag|geburtsdatum)")
+    return F.when(birth, F.regexp_replace(masked, rf"(?U)\b{fv.REDACTED_DATE}\b", "[Datum]")).otherwise(masked)
 
 
 def loopback(url: Column) -> Column:

@@ -16,55 +16,38 @@ MONEY = "decimal(28,8)"
 PERIODS = ("total", "day", "month", "skill", "day_skill", "model")
 
 
-def price_dimension(spark: SparkSession) -> DataFrame:
-    rows = [(p, m, i, float(a), float(b)) for i, (p, m, a, b) in enumerate(fv.PRICES)]
-    return spark.createDataFrame(rows, "provider string, model string, seq int, input_price double, output_price double") \
-        .withColumn("input_price", F.col("input_price").cast("decimal(10,2)")) \
-        .withColumn("output_price", F.col("output_price").cast("decimal(10,2)"))
+def price_dimensions(spark: SparkSession, prices=fv.PRICES, aliases=fv.MODEL_ALIASES) -> tuple[DataFrame, DataFrame]:
+    """Price list and alias map → what a model costs with and without a provider hint.
 
-
-def resolution_dimension(prices: DataFrame) -> DataFrame:
-    """(model, hint) → price row, worked out once on the price list instead of per event.
-
-    ``hint`` is NULL for the rule that applies without a usable provider hint. Alias rows
-    carry ``any_hint`` because an alias wins over whatever provider the caller named.
-    The result has one row per listed model and provider, so it is as small as the list.
+    Both are configuration of a few dozen rows, so they become constant relations: the
+    broadcast has a known size and no shuffle is spent on them.
     """
-    spark = prices.sparkSession
-    alias = spark.createDataFrame(fv.MODEL_ALIASES, "asked string, provider string, model string")
-    price = F.struct("provider", "model", "input_price", "output_price")
-    aliased = prices.join(F.broadcast(alias), ["provider", "model"]).select(
-        F.col("asked"), F.lit(None).cast("string").alias("hint"), price.alias("aliased"),
-        F.lit(None).cast(prices.select(price.alias("p")).schema["p"].dataType).alias("listed"))
-    hinted = prices.select(F.col("model").alias("asked"), F.col("provider").alias("hint"),
-                           F.lit(None).cast(prices.select(price.alias("p")).schema["p"].dataType).alias("aliased"),
-                           price.alias("listed"))
-    first = prices.groupBy(F.col("model").alias("asked")).agg(F.min_by(price, "seq").alias("listed")).select(
-        "asked", F.lit(None).cast("string").alias("hint"),
-        F.lit(None).cast(prices.select(price.alias("p")).schema["p"].dataType).alias("aliased"), "listed")
-    return (aliased.unionByName(hinted).unionByName(first)
-            .groupBy("asked", "hint").agg(F.first("aliased", True).alias("aliased"), F.first("listed", True).alias("listed")))
-
-
-def resolve_prices(events: DataFrame, prices: DataFrame | None = None) -> DataFrame:
+    listed = {(p, m): f"named_struct('provider', '{p}', 'model', '{m}', 'input_price', {a}BD, 'output_price', {b}BD)" for p, m, a, b in prices}
+    first: dict[str, str] = {}
+    for (_, model), row in listed.items():
+        first.setdefault(model, row)
+    aliased = {asked: listed[(p, m)] for asked, p, m in aliases if (p, m) in listed}
+    null = "CAST(NULL AS struct<provider:string,model:string,input_price:decimal(10,2),output_price:decimal(10,2)>)"
+    price = lambda row: f"CAST({row} AS struct<provider:string,model:string,input_price:decimal(10,2),output_price:decimal(10,2)>)" if row else null
+    by_model = ", ".join(f"('{m}', {price(aliased.get(m))}, {price(first.get(m))})" for m in sorted({*first, *aliased}))
+    by_hint = ", ".join(f"('{m}', '{p}', {price(row)})" for (p, m), row in listed.items())
+    return (spark.sql(f"SELECT * FROM VALUES {by_model} AS t(model, _alias, _first)"),
+            spark.sql(f"SELECT * FROM VALUES {by_hint} AS t(model, provider, _hinted)"))
+
+
+def resolve_prices(events: DataFrame, prices=fv.PRICES, aliases=fv.MODEL_ALIASES) -> DataFrame:
     """Adds resolved_provider, resolved_model, both prices and price_fallback.
 
     Alias first (the hint is ignored then), then the hinted provider, then the first
     provider that lists the model, else the default model with the fallback flag set.
     """
-    spark = events.sparkSession
-    prices = price_dimension(spark) if prices is None else prices
-    dim = resolution_dimension(prices)
-    by_model = F.broadcast(dim.filter("hint is null").select(
-        F.col("asked").alias("model"), F.col("aliased").alias("_alias"), F.col("listed").alias("_first")))
-    by_hint = F.broadcast(dim.filter("hint is not null").select(
-        F.col("asked").alias("model"), F.col("hint").alias("provider"), F.col("listed").alias("_hinted")))
-    default = next(r for r in fv.PRICES if r[:2] == (fv.DEFAULT_PROVIDER, fv.DEFAULT_MODEL))
+    by_model, by_hint = price_dimensions(events.sparkSession, prices, aliases)
+    default = next(r for r in prices if tuple(r[:2]) == (fv.DEFAULT_PROVIDER, fv.DEFAULT_MODEL))
     fallback = F.struct(F.lit(default[0]).alias("provider"), F.lit(default[1]).alias("model"),
                         F.lit(default[2]).cast("decimal(10,2)").alias("input_price"),
                         F.lit(default[3]).cast("decimal(10,2)").alias("output_price"))
     found = F.coalesce("_alias", "_hinted", "_first")
-    return (events.join(by_model, "model", "left").join(by_hint, ["model", "provider"], "left")
+    return (events.join(F.broadcast(by_model), "model", "left").join(F.broadcast(by_hint), ["model", "provider"], "left")
             .withColumn("price_fallback", found.isNull())
             .withColumn("_p", F.coalesce(found, fallback))
             .withColumn("resolved_provider", F.col("_p.provider"))
@@ -79,7 +62,7 @@ def _cost(tokens: str, price: str) -> Column:
     return (F.col(tokens).cast("decimal(18,0)") * F.col(price) * per_token).cast(MONEY)
 
 
-def with_cost(events: DataFrame, prices: DataFrame | None = None) -> DataFrame:
+def with_cost(events: DataFrame, prices=fv.PRICES) -> DataFrame:
     """Exact cost per event, so that sums do not depend on the order of rows."""
     return (resolve_prices(events, prices)
             .withColumn("input_cost", _cost("input_tokens", "input_price"))
@@ -90,8 +73,8 @@ def with_cost(events: DataFrame, prices: DataFrame | None = None) -> DataFrame:
 
 def period_keys(events: DataFrame) -> DataFrame:
     """Day and month key, as text, from the event's own local timestamp."""
-    return (events.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-            .withColumn("month", F.date_format("ts", "yyyy-MM")))
+    day = F.col("ts").cast("date").cast("string")
+    return events.withColumn("day", day).withColumn("month", F.substring(day, 1, 7))
 
 
 def skill_id(name: Column) -> Column:
@@ -115,26 +98,27 @@ def _sums() -> list[Column]:
 
 
 def rollups(priced: DataFrame) -> DataFrame:
-    """Total, day, month, skill, day × skill and model rollups from one shuffle.
+    """Total, day, month, skill, day × skill and model rollups.
 
-    ``period`` names the grouping and ``key``/``sub_key`` its value. Events without a
-    skill take no part in the skill groupings.
+    ``period`` names the grouping and ``key``/``sub_key`` its value. Events are summed to
+    (day, skill, model) first; the six groupings then multiply that small result instead
+    of the events. Events without a skill take no part in the skill groupings.
     """
-    keyed = period_keys(priced).withColumn("sid", skill_id(F.col("skill_name")))
+    sums = ["total_tokens", "input_tokens", "output_tokens", "cost"]
+    fine = priced.groupBy(F.col("ts").cast("date").alias("_d"), "skill_name", "model").agg(
+        *[F.sum(c).alias(c) for c in sums], F.count("*").alias("requests"), F.count("skill_name").alias("skill_executions"))
+    keyed = period_keys(fine.withColumnRenamed("_d", "ts")).withColumn("sid", skill_id(F.col("skill_name")))
     names = ["day", "month", "sid", "skill_name", "model"]
-    sets = keyed.withColumn("skill_in", F.col("skill_name")).groupingSets(
-        [[], ["day"], ["month"], ["sid"], ["day", "skill_name"], ["model"]], *names).agg(
-        F.grouping_id(*names).alias("gid"),
-        *[F.sum(c).alias(c) for c in ("total_tokens", "input_tokens", "output_tokens", "cost")],
-        F.count("*").alias("requests"), F.count("skill_in").alias("skill_executions"))
+    sets = keyed.groupingSets([[], ["day"], ["month"], ["sid"], ["day", "skill_name"], ["model"]], *names).agg(
+        F.grouping_id(*names).alias("gid"), *[F.sum(c).alias(c) for c in (*sums, "requests", "skill_executions")])
     # bits of gid: 1 = column not part of the grouping, in the order of ``names``
     period = (F.when(F.col("gid") == 0b11111, "total").when(F.col("gid") == 0b01111, "day")
               .when(F.col("gid") == 0b10111, "month").when(F.col("gid") == 0b11011, "skill")
               .when(F.col("gid") == 0b01101, "day_skill").otherwise("model"))
-    sets = sets.withColumns({"period": period, "key": F.coalesce("day", "month", "sid", "model", F.lit("total")),
-                             "sub_key": F.col("skill_name")}).drop("gid", "day", "month", "skill_name", "model")
+    rows = sets.withColumns({"period": period, "key": F.coalesce("day", "month", "sid", "model", F.lit("total")), "sub_key": F.col("skill_name"),
+                             "cost_usd": usd(F.col("cost"))})
     no_skill = (F.col("period") == "skill") & F.col("sid").isNull() | (F.col("period") == "day_skill") & F.col("sub_key").isNull()
-    return sets.filter(~no_skill).drop("sid").withColumn("cost_usd", usd(F.col("cost"))).drop("cost")
+    return rows.filter(~no_skill).drop("gid", *names, "cost")
 
 
 def usage_total(priced: DataFrame) -> DataFrame:
@@ -196,7 +180,7 @@ def summary(rolled: DataFrame, period: str, key: str | None = None) -> DataFrame
     return out.filter(F.col("key") == wanted)
 
 
-def cost_estimate(plan: DataFrame, prices: DataFrame | None = None) -> DataFrame:
+def cost_estimate(plan: DataFrame, prices=fv.PRICES) -> DataFrame:
     priced = with_cost(plan, prices)
     return priced.withColumns({
         "estimated_input_cost_usd": usd(F.col("input_cost")),

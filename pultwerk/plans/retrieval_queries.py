@@ -10,6 +10,7 @@ from pultwerk.operators import retrieval
 from pultwerk.plans import chat
 from pultwerk.plans.privacy_queries import _REFS_SQL, findings_sql, job_refs, skill_sql
 from pultwerk.plans.registry import query
+from pultwerk.session import cut_lineage
 from pultwerk.sources.tables import table, view, view_sql
 
 _CUT = "least(start + 900, n)"
@@ -82,7 +83,8 @@ def _(spark, sf):
 
 def _texts(spark, sf):
     texts = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return view(spark, sf, "chunks").join(texts, "chunk_id")
+    # stands for a stored chunk table, which several steps of a search read
+    return cut_lineage(view(spark, sf, "chunks").join(texts, "chunk_id"))
 
 
 _HEAD = "chr(10) || chr(10) || '## Relevante Lehrplaninhalte (automatisch eingeblendet)' || chr(10)"

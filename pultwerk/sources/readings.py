@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pultwerk.functions.text import words
-from pultwerk.sources.tables import table
+from pultwerk.sources.tables import texts
 
 WORDS_PER_REGION = 40
 REGIONS_PER_PAGE = 10
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), words(F.col("text")).alias("w"))
+    docs = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), words(F.col("text")).alias("w"))
     starts = F.sequence(F.lit(0), F.greatest(F.floor((F.size("w") - 1) / WORDS_PER_REGION), F.lit(0)).cast("int"))
     cut = docs.select("job_id", F.posexplode(F.transform(starts, lambda i: F.slice("w", i * WORDS_PER_REGION + 1, WORDS_PER_REGION))).alias("region_id", "w"))
     return cut.withColumn("page", F.floor(F.col("region_id") / REGIONS_PER_PAGE).cast("int"))

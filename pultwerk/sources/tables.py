@@ -137,9 +137,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Evens out a scan with fewer splits than there are cores, as text work is slow.
+
+    A small file in one row group is one task whatever the split size. A scan that has
+    splits enough, which is any large table, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    keys = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}[name]
+    return spread(table(spark, sf_dir, name), *keys)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     base, columns = VIEWS[name]
-    return table(spark, sf_dir, base).selectExpr(*[f"{expr} AS {col}" for col, expr in columns.items()])
+    source = texts(spark, sf_dir, base) if base in ("documents", "conversations") else table(spark, sf_dir, base)
+    return source.selectExpr(*[f"{expr} AS {col}" for col, expr in columns.items()])
 
 
 def view_sql(*names: str) -> str:
