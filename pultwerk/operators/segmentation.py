@@ -6,40 +6,60 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pultwerk import fixed_values as fv
 from pultwerk.operators import ordered
 
 
-def word_lines(boxes: DataFrame) -> DataFrame:
-    """Numbers the lines of each page: a box joins the line if it overlaps it enough.
+BOX = ["page_id", "box_id", "x0", "y0", "x1", "y1"]
+BOX_ORDER = ["y0", "x0", "box_id"]
 
-    The line grows with every box, so each step depends on the one before. Rows arrive
-    sorted by page and position and are read as a stream: a task holds one batch and the
-    border of one line, however many boxes a page has.
-    """
-    schema = "page_id long, box_id long, x0 long, y0 long, x1 long, y1 long, line int"
 
+def _grow_lines(boxes: DataFrame) -> DataFrame:
+    """Numbers the lines within (page, segment): a box joins the line if it overlaps it enough.
+
+    The line grows with every box, so each step depends on the one before. Sorted rows are
+    read as a stream: a task holds one batch and the border of one line.
+    """
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        page, line, top, bottom = None, 0, 0, 0
+        held, line, top, bottom = None, 0, 0, 0
         for batch in batches:
             numbers = []
-            for p, y0, y1 in zip(batch["page_id"], batch["y0"], batch["y1"]):
-                smaller = min(bottom - top, y1 - y0)
-                shared = min(bottom, y1) - max(top, y0)
-                if p != page:
-                    page, line, top, bottom = p, 0, y0, y1
+            for page, segment, y0, y1 in zip(batch["page_id"], batch["segment"], batch["y0"], batch["y1"]):
+                smaller, shared = min(bottom - top, y1 - y0), min(bottom, y1) - max(top, y0)
+                if (page, segment) != held:
+                    held, line, top, bottom = (page, segment), 0, y0, y1
                 elif smaller > 0 and shared >= fv.LINE_OVERLAP_SHARE * smaller:
                     top, bottom = min(top, y0), max(bottom, y1)
                 else:
                     line, top, bottom = line + 1, y0, y1
                 numbers.append(line)
-            yield batch.assign(line=numbers)
+            yield batch.assign(local=numbers)
+
+    keys = ["page_id", "segment"]
+    schema = "page_id long, box_id long, x0 long, y0 long, x1 long, y1 long, segment long, local long"
+    return boxes.select(*BOX, "segment").repartition(*keys).sortWithinPartitions(*keys, *BOX_ORDER).mapInPandas(walk, schema)
 
-    columns = ["page_id", "box_id", "x0", "y0", "x1", "y1"]
-    typed = boxes.select(*[F.col(c).cast("long").alias(c) for c in columns])
-    return typed.repartition("page_id").sortWithinPartitions("page_id", "y0", "x0", "box_id").mapInPandas(walk, schema)
+
+def word_lines(boxes: DataFrame) -> DataFrame:
+    """Boxes with the number of their line on the page.
+
+    A box that starts below everything before it opens a new line whatever the lines look
+    like. Pages are cut there, and the pieces are worked on apart, so that a page with very
+    many boxes is not one task.
+    """
+    typed = boxes.select(*[F.col(c).cast("long").alias(c) for c in BOX])
+    split = ordered.range_split(typed, ["page_id"], BOX_ORDER)
+    reach = ordered.running(split, ["page_id"], BOX_ORDER, F.col("y1"), "_reach", how="max", include_current=False)
+    cut = reach.withColumn("_cut", F.coalesce((F.col("y0") >= F.col("_reach")).cast("long"), F.lit(0).cast("long")))
+    grown = _grow_lines(ordered.running(cut, ["page_id"], BOX_ORDER, F.col("_cut"), "segment"))
+    # every line's first box counts one; the running count over the page is the line number
+    first = F.row_number().over(W.partitionBy("page_id", "segment", "local").orderBy(*BOX_ORDER)) == 1
+    marked = ordered.range_split(grown.withColumn("_first", first.cast("long")), ["page_id"], ["segment", "local", *BOX_ORDER])
+    numbered = ordered.running(marked, ["page_id"], ["segment", "local", *BOX_ORDER], F.col("_first"), "_n")
+    return numbered.select(*BOX, (F.col("_n") - 1).cast("int").alias("line"))
 
 
 def line_boxes(lines: DataFrame) -> DataFrame:

@@ -134,8 +134,13 @@ _PHRASES = f"regexp_extract_all(text, {quote(_L + '(?:' + fv.NAME_LEAD_WORDS + '
 _CAND = f"list_filter(list_transform(list_concat({_FIELDS}, [list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1]], {_PHRASES}), lambda x: trim(x)), lambda x: x <> '')"
 
 
-@query("so_02_name_candidates", _DOCS + f", c AS (SELECT doc_id, {_CAND} AS c FROM docs) SELECT doc_id, array_to_string(list_filter(c, lambda x, i: list_position(c, x) = i), '|') AS candidates FROM c")
+_CAND_SQL = _DOCS + f", c AS (SELECT doc_id, {_CAND} AS c FROM docs) SELECT doc_id, array_to_string(list_filter(c, lambda x, i: list_position(c, x) = i), '|') AS candidates FROM c"
+
+
+@query("sc_06_name_candidates", _CAND_SQL)
+@query("so_02_name_candidates", _CAND_SQL)
 def _(spark, sf):
+    """Candidates of three detectors (sc_06) as their ordered union (so_02)."""
     return view(spark, sf, "docs").select("doc_id", F.array_join(pseudonym.name_candidates(F.col("text")), "|").alias("candidates"))
 
 

@@ -64,17 +64,12 @@ def _(spark, sf):
     return records.in_class(view(spark, sf, "students"), 7)
 
 
-@query("prj_21_record_checksum")
+@query("prj_21_record_checksum", _STU + """SELECT student_id, sha256('{"class_id":' || class_id || ',"family_name":"' || family_name || '","given_name":"' || given_name || '","pronoun":"' || pronoun || '","student_id":' || student_id || '}') AS checksum FROM students""")
 def _(spark, sf):
     s = view(spark, sf, "students")
     return s.select("student_id", F.sha2(F.to_json(F.struct(*sorted(s.columns))), 256).alias("checksum"))
 
 
-@query("sc_06_name_candidates")
-def _(spark, sf):
-    return view(spark, sf, "docs").select("doc_id", F.array_join(pseudonym.name_candidates(F.col("text")), "|").alias("candidates"))
-
-
 def _names(spark, sf):
     return view(spark, sf, "students").select(F.col("family_name").alias("name"), F.col("student_id").alias("seen"))
 
