@@ -170,8 +170,8 @@ def with_text(regions: DataFrame) -> DataFrame:
     rows = rows.withColumn("spaced", F.transform("pieces", lambda p, i: F.when(
         (i == 0) | p["text"].isin(fv.SENTENCE_FINAL), p["text"]).otherwise(F.concat(F.lit(" "), p["text"]))))
     rows = rows.withColumn("consensus_text", F.array_join("spaced", ""))
-    ends = F.filter(F.transform("pieces", lambda p, i: F.struct(
-        p["d"].alias("d"), F.char_length(F.array_join(F.slice("spaced", F.lit(1), i + 1), "")).alias("e"), F.char_length(p["text"]).alias("w"))), lambda x: x["d"] >= 0)
+    marks = F.filter(F.transform("pieces", lambda p, i: F.struct(p["d"].alias("d"), i.alias("i"), F.char_length(p["text"]).alias("w"))), lambda x: x["d"] >= 0)
+    ends = F.transform(marks, lambda x: F.struct(F.char_length(F.array_join(F.slice("spaced", F.lit(1), x["i"] + 1), "")).alias("e"), x["w"].alias("w")))
     ranged = F.transform(F.arrays_zip(F.col("found").alias("d"), ends.alias("x")), lambda z: F.struct(
         z["d"]["start"].alias("start"), z["d"]["end"].alias("end"), z["d"]["variants"].alias("variants"), z["d"]["critical"].alias("critical"),
         z["d"]["reason"].alias("reason"), (z["x"]["e"] - z["x"]["w"]).alias("char_start"), z["x"]["e"].alias("char_end")))

@@ -30,8 +30,9 @@ def match_skill(text: Column, skills: list[tuple[str, list[str]]] = fv.SKILLS) -
     """
     ranked = sorted(((len(t), -pos, t.lower(), skill) for pos, (skill, triggers) in enumerate(skills)
                      for t in triggers if t), key=lambda r: (r[0], r[1]))
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    best = F.greatest(F.lit(0), *[F.when(lowered.contains(t), F.lit(i)).otherwise(0) for i, (_, _, t, _) in enumerate(ranked, 1)])
+    # bound as a lambda variable, so that a long text is lowered once and not per trigger
+    best = F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), lambda t: F.greatest(
+        F.lit(0), *[F.when(t.contains(trigger), F.lit(i)).otherwise(0) for i, (_, _, trigger, _) in enumerate(ranked, 1)]))[0]
     return F.when(best > 0, F.element_at(F.array(*[F.lit(r[3]) for r in ranked]), best))
 
 
