@@ -85,8 +85,9 @@ _BLOCKED = sql_list(sorted({reading.canonical_word(w) for w in fv.FUNCTION_WORDS
  s AS (SELECT conv_id, turn, i, {_CANON.format(c="array_to_string(w[2 * i + 1 : 2 * i + 2], ' ')")} AS t, {_CANON.format(c="COALESCE(CASE WHEN i > 0 THEN w[2 * i] END, '')")} AS l, {_CANON.format(c="COALESCE(w[2 * i + 3], '')")} AS r FROM i),
  k AS (SELECT *, regexp_extract_all(t, '\\pL+') AS plain, regexp_extract_all(regexp_replace(t, '[\\s-]+', '', 'g'), '\\pL+') AS glued, CASE WHEN l <> '' THEN regexp_extract_all(regexp_replace(l || t, '[\\s-]+', '', 'g'), '\\pL+') ELSE [] END AS gl, CASE WHEN r <> '' THEN regexp_extract_all(regexp_replace(t || r, '[\\s-]+', '', 'g'), '\\pL+') ELSE [] END AS gr FROM s),
  b AS (SELECT *, len(list_filter(plain, lambda x: list_contains({_BLOCKED}, x))) = 0 AS free FROM k),
+ x AS (SELECT *, CASE WHEN free AND len(plain) > 0 THEN list_filter(list_concat(CASE WHEN gl <> plain THEN gl ELSE [] END, CASE WHEN gr <> plain THEN gr ELSE [] END), lambda x: list_contains({_KNOWN}, x)) ELSE [] END AS beside FROM b),
  h AS (SELECT conv_id, turn, i, list_concat(list_filter(plain, lambda x: list_contains({_KNOWN}, x)), CASE WHEN free AND glued <> plain THEN list_filter(glued, lambda x: list_contains({_KNOWN}, x)) ELSE [] END,
-   CASE WHEN free AND len(plain) > 0 THEN list_filter(list_concat(CASE WHEN gl <> plain THEN gl ELSE [] END, CASE WHEN gr <> plain THEN gr ELSE [] END), lambda x: list_contains({_KNOWN}, x)) ELSE [] END) AS hits FROM b)
+   list_filter(beside, lambda v, j: list_position(beside, v) = j)) AS hits FROM x)
  SELECT conv_id, turn, CAST(i AS INTEGER) AS span, array_to_string(hits, '|') AS critical FROM h WHERE len(hits) > 0""")
 def _(spark, sf):
     """Every text of every chat as spans of two words with one neighbour on each side."""
