@@ -66,11 +66,6 @@ def joined(texts: Column) -> Column:
     return F.array_join(texts, arrow.SEPARATOR)
 
 
-def parted(text: Column) -> Column:
-    """The inverse of ``joined``; no text at all comes back as an empty list."""
-    return F.when(text == "", F.array().cast(_NO_TEXTS)).otherwise(F.split(text, arrow.SEPARATOR))
-
-
 def normal_form(folded: Column) -> Column:
     """Folded tokens (joined) → form for alignment: one dash, one quote, no edge punctuation.
 
