@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,6 @@ from pyspark.sql import functions as F
 from pultwerk.session import shared_dir
 
 U64 = np.uint64
-Batches = Iterator[pa.RecordBatch]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -38,8 +36,14 @@ def queue_key(column: Column) -> Column:
     return F.when(column.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), column.cast("string")))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Batches], Batches], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+# rows of a narrow table (ids and small numbers) that are sent to every executor at most,
+# under 100 MB; more go through a shuffle
+BROADCAST_ROWS = 2_000_000
+
+
+def small_or_shuffled(narrow: DataFrame) -> DataFrame:
+    """Marks a narrow written table for broadcast if its counted size allows it."""
+    return F.broadcast(narrow) if narrow.count() <= BROADCAST_ROWS else narrow
 
 
 def utf8_slices(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
