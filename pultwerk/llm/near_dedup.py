@@ -88,8 +88,13 @@ def classes(docs: DataFrame, percent: int = 85, key: str = "doc_id") -> DataFram
 def kept_documents(docs: DataFrame, percent: int = 80, key: str = "doc_id") -> DataFrame:
     """One document of each group of near copies, with its columns; texts without words stay.
 
-    Rows with a null key are no copies of others and stay.
+    Rows with a null key are no copies of others and stay. Of rows with equal key and text
+    one stays.
     """
-    dropped = classes(docs, percent, key).where("doc <> component").select(F.col("doc").alias(key))
-    # the ids that go are far fewer than the texts; they are counted before they are sent
-    return docs.join(small_or_shuffled(stored(dropped.distinct(), "dropped")), key, "left_anti")
+    found = stored(classes(docs, percent, key).select("doc", "component"), "components")
+    dropped = small_or_shuffled(stored(found.where("doc <> component").select(F.col("doc").alias(key)).distinct(), "dropped"))
+    again = small_or_shuffled(stored(found.groupBy(F.col("doc").alias(key)).count().where(f"count > 1 AND `{key}` IS NOT NULL").select(key), "repeated"))
+    # the ids that go, or come twice, are narrow and counted before they are sent
+    kept = docs.join(dropped, key, "left_anti").select(*docs.columns)
+    once = kept.join(again, key, "left_semi").dropDuplicates([key, "text"])
+    return kept.join(again, key, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
