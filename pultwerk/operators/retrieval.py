@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +14,8 @@ from pultwerk import fixed_values as fv
 from pultwerk.functions import arrow
 from pultwerk.functions.text import strip, words
 
-CELLS = 16
+# cells grow with the root of the table, between these numbers
+LEAST_CELLS, MOST_CELLS = 16, 1024
 BLOCK_ROWS = 2048
 
 
@@ -57,8 +60,9 @@ def clamp_k(k: int) -> int:
 
 
 def _pivots(chunks: DataFrame) -> np.ndarray:
-    """A handful of spread-out vectors (a top-n by hash), the only rows the driver sees."""
-    rows = chunks.select("embedding").orderBy(F.xxhash64("chunk_id")).limit(CELLS).collect()
+    """Spread-out vectors (a top-n by hash), the only rows the driver sees."""
+    cells = min(max(math.isqrt(chunks.count()) // 4, LEAST_CELLS), MOST_CELLS)
+    rows = chunks.select("embedding").orderBy(F.xxhash64("chunk_id")).limit(cells).collect()
     return arrow.matrix(pd.Series([r[0] for r in rows]))
 
 
@@ -76,18 +80,22 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = fv.SEARCH_DEFAULT_K,
     """Exact k nearest chunks per query by squared distance, below the cutoff.
 
     Chunks lie in cells around pivots. A query visits a cell only if the triangle
-    inequality lets it hold a hit, so nothing within the cutoff is ever missed. Cells and
-    queries are cut into blocks of bounded size; a block pair hands on at most k rows per
-    query, never its pairs. Only counts and the cell radii come back to the driver.
+    inequality lets it hold a hit, so nothing within the cutoff is ever missed. Cells, and
+    the queries that visit a cell, are cut into blocks of bounded size; a block of chunks
+    goes only to the query blocks of its own cell, and a block pair hands on at most k rows
+    per query, never its pairs. Only counts and the cell radii come back to the driver.
+
+    Ids may have any type. Distances are compared to nine decimals, so equal vectors tie
+    and go by id.
     """
     k = clamp_k(k)
+    query_kind, chunk_kind = (frame.schema[name].dataType.simpleString() for frame, name in ((queries, "query_id"), (chunks, "chunk_id")))
     pivots = _pivots(chunks)
     if len(pivots) == 0:
-        return queries.sparkSession.createDataFrame([], "query_id long, chunk_id long, distance double, rank int")
+        return queries.sparkSession.createDataFrame([], f"query_id {query_kind}, chunk_id {chunk_kind}, distance double, rank int")
     placed = _placed(chunks, pivots)
     cells = {r["cell"]: r for r in placed.groupBy("cell").agg(F.max("away").alias("radius"), F.count("*").alias("n")).collect()}
     blocks = {c: -(-r["n"] // BLOCK_ROWS) for c, r in cells.items()}
-    query_blocks = max(1, -(-queries.count() // BLOCK_ROWS))
     ids = np.array(sorted(cells))
     radii = np.array([cells[c]["radius"] for c in ids])
 
@@ -97,18 +105,22 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = fv.SEARCH_DEFAULT_K,
         near = np.ones_like(gap, bool) if cutoff is None else np.maximum(gap - 1e-6, 0.0) ** 2 < cutoff
         return pd.Series([ids[row].tolist() for row in near])
 
-    count = F.create_map(*[F.lit(int(x)) for pair in blocks.items() for x in pair])
-    left = (queries.select("query_id", "embedding", F.explode(reachable("embedding")).alias("cell"))
-            .withColumn("block", F.explode(F.sequence(F.lit(0), count[F.col("cell")] - 1)))
-            .withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")))
-    right = (placed.withColumn("block", F.pmod(F.xxhash64("chunk_id"), count[F.col("cell")].cast("long")).cast("int"))
-             .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).drop("away"))
+    table = lambda numbers: F.create_map(*[F.lit(int(x)) for pair in numbers.items() for x in pair])
+    count = table(blocks)
+    visits = queries.select("query_id", "embedding", F.explode(reachable("embedding")).alias("cell"))
+    reached = {r["cell"]: -(-r["count"] // BLOCK_ROWS) for r in visits.groupBy("cell").count().collect()}
+    if not reached:
+        return queries.sparkSession.createDataFrame([], f"query_id {query_kind}, chunk_id {chunk_kind}, distance double, rank int")
+    parts = table(reached)
+    left = (visits.withColumn("block", F.explode(F.sequence(F.lit(0), count[F.col("cell")] - 1)))
+            .withColumn("part", F.pmod(F.xxhash64("query_id"), parts[F.col("cell")].cast("long")).cast("int")))
+    right = (placed.filter(F.col("cell").isin(*reached)).withColumn("block", F.pmod(F.xxhash64("chunk_id"), count[F.col("cell")].cast("long")).cast("int"))
+             .withColumn("part", F.explode(F.sequence(F.lit(0), parts[F.col("cell")] - 1))).drop("away"))
 
     def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "chunk_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
         if q.empty or c.empty:
-            return empty
-        d = arrow.squared_distances(arrow.matrix(q["embedding"]), arrow.matrix(c["embedding"]))
+            return pd.DataFrame({"query_id": q["query_id"][:0], "chunk_id": c["chunk_id"][:0], "distance": pd.Series(dtype="float64")})
+        d = np.round(arrow.squared_distances(arrow.matrix(q["embedding"]), arrow.matrix(c["embedding"])), 9)
         if skip_equal_ids:
             d[q["query_id"].to_numpy()[:, None] == c["chunk_id"].to_numpy()[None, :]] = np.inf
         kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
@@ -117,15 +129,18 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = fv.SEARCH_DEFAULT_K,
         return hits.sort_values(["query_id", "distance", "chunk_id"]).groupby("query_id").head(k)
 
     keys = ["cell", "block", "part"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "query_id long, chunk_id long, distance double")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, f"query_id {query_kind}, chunk_id {chunk_kind}, distance double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "chunk_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("distance", F.round("distance", 3))
 
 
 def context(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One context text per query and the classes of its hits; a query has at most eight."""
-    block = F.concat(F.lit("[Quelle: "), F.col("source"), F.lit("]\n"), F.col("text"))
-    rows = hits.join(chunks.select("chunk_id", "source", "text", "classification"), "chunk_id").groupBy("query_id").agg(
+    """One context text per query and the classes of its hits; a query has at most eight.
+
+    ``chunks`` is the table that ``ingest`` makes.
+    """
+    block = F.concat(F.lit("[Quelle: "), F.col("source"), F.lit("]\n"), F.col("chunk"))
+    rows = hits.join(chunks.select("chunk_id", "source", "chunk", "classification"), "chunk_id").groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", block.alias("block"), "classification"))).alias("_h"))
     return rows.select("query_id", F.concat(F.lit(fv.CONTEXT_HEADING), F.array_join(F.col("_h.block"), fv.CONTEXT_RULE)).alias("context"),
                        F.col("_h.classification").alias("classifications"))

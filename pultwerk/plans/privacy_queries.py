@@ -147,13 +147,15 @@ def _(spark, sf):
                                            px.remote_model(F.expr(_TAG), F.expr(_META)).alias("remote"))
 
 
-_REFS_SQL = """refs AS (SELECT conv_id * 1000 + turn AS request_id, CASE WHEN turn % 3 = 0 THEN 'lehrplan_einlesen' ELSE 'schuelerarbeit_bewerten' END AS skill_id,
-  list_transform(range(0, (conv_id + turn) % 25), lambda i: (conv_id * 7 + turn * 3 + i * 11) % 150) AS job_ids FROM conversations),
+# one job in eleven that is named does not exist, at every scale
+_REFS_SQL = """known AS (SELECT count(*) + count(*) // 10 + 1 AS n FROM jobs), refs AS (SELECT conv_id * 1000 + turn AS request_id, CASE WHEN turn % 3 = 0 THEN 'lehrplan_einlesen' ELSE 'schuelerarbeit_bewerten' END AS skill_id,
+  list_transform(range(0, (conv_id + turn) % 25), lambda i: (conv_id * 7 + turn * 3 + i * 11) % n) AS job_ids FROM conversations, known),
  exploded AS (SELECT request_id, skill_id, unnest(job_ids[1:20]) AS job_id, unnest(range(0, len(job_ids[1:20]))) AS pos FROM refs)"""
 
 
 def job_refs(spark, sf):
-    ids = F.expr("""CASE WHEN (conv_id + turn) % 25 > 0 THEN transform(sequence(0, (conv_id + turn) % 25 - 1), i -> (conv_id * 7 + turn * 3 + i * 11) % 150) ELSE cast(array() AS array<bigint>) END""")
+    jobs = view(spark, sf, "jobs").count()
+    ids = F.expr(f"""CASE WHEN (conv_id + turn) % 25 > 0 THEN transform(sequence(0, (conv_id + turn) % 25 - 1), i -> (conv_id * 7 + turn * 3 + i * 11) % {jobs + jobs // 10 + 1}) ELSE cast(array() AS array<bigint>) END""")
     skill = F.expr("CASE WHEN turn % 3 = 0 THEN 'lehrplan_einlesen' ELSE 'schuelerarbeit_bewerten' END")
     return table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), skill.alias("skill_id"), ids.alias("job_ids"))
 

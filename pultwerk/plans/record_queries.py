@@ -84,7 +84,7 @@ def _(spark, sf):
 
 
 @query("wn_11_aliases_skipping_taken", _STU + f""", known AS (SELECT family_name AS real, row_number() OVER (ORDER BY student_id) AS n FROM students WHERE student_id % 3 = 0),
- free AS (SELECT i, row_number() OVER (ORDER BY i) AS k FROM range(1, 100000) r(i) WHERE i > (SELECT count(*) FROM known) AND i NOT IN (SELECT n * 2 FROM known)),
+ free AS (SELECT i, row_number() OVER (ORDER BY i) AS k FROM range(1, (SELECT 2 * count(*) + 2 FROM students)) r(i) WHERE i > (SELECT count(*) FROM known) AND i NOT IN (SELECT n * 2 FROM known)),
  fresh AS (SELECT family_name AS real, row_number() OVER (ORDER BY student_id) AS k FROM students WHERE student_id % 3 <> 0)
  SELECT real, {_ALIAS.format(i='(n * 2)')} AS alias FROM known UNION ALL SELECT real, {_ALIAS.format(i='i')} FROM fresh JOIN free USING (k)""")
 def _(spark, sf):
@@ -99,10 +99,11 @@ _NOTE = "concat(c_name, ' half ', '{o}', c_name, 'x und x', c_name, '; ', c_name
 
 
 @query("sc_07_pseudonymize", _OBS + f""", {_MAP} SELECT obs_id AS doc_id, {_ALIAS.format(i='a.idx')} || ' half ' || {_ALIAS.format(i='b.idx')} || ', ' || a.real || 'x und x' || a.real || '; ' || {_ALIAS.format(i='a.idx')} || '.' AS pseudonymized
- FROM observations o JOIN amap a ON a.student_id = o.student_id JOIN amap b ON b.student_id = o.obs_id % 150""")
+ FROM observations o JOIN amap a ON a.student_id = o.student_id JOIN amap b ON b.student_id = (o.obs_id * 7 + 3) % (SELECT count(*) FROM students)""")
 def _(spark, sf):
     """Every observation names two students; 'name + x' must stay untouched."""
-    obs = view(spark, sf, "observations").select("obs_id", "student_id", (F.col("obs_id") % 150).alias("other_id"))
+    students = view(spark, sf, "students").count()
+    obs = view(spark, sf, "observations").select("obs_id", "student_id", ((F.col("obs_id") * 7 + 3) % students).alias("other_id"))
     s = view(spark, sf, "students").select("student_id", F.col("family_name").alias("a"))
     other = s.select(F.col("student_id").alias("other_id"), F.col("a").alias("b"))
     texts = obs.join(s, "student_id").join(other, "other_id").select(
@@ -110,11 +111,12 @@ def _(spark, sf):
     return pseudonym.pseudonymize(texts, pseudonym.assign_aliases(_names(spark, sf))).select("doc_id", "pseudonymized")
 
 
-@query("sc_08_restore", _OBS + f""", {_MAP} SELECT obs_id AS doc_id, a.real || ' half ' || COALESCE(b.real, {_ALIAS.format(i='(o.obs_id % 3000 + 1)')}) || '!' AS restored
- FROM observations o JOIN amap a ON a.idx = o.student_id + 1 LEFT JOIN amap b ON b.idx = o.obs_id % 3000 + 1""")
+@query("sc_08_restore", _OBS + f""", {_MAP} SELECT obs_id AS doc_id, a.real || ' half ' || COALESCE(b.real, {_ALIAS.format(i='(o.obs_id % (SELECT count(*) + count(*) // 8 FROM students) + 1)')}) || '!' AS restored
+ FROM observations o JOIN amap a ON a.idx = o.student_id + 1 LEFT JOIN amap b ON b.idx = o.obs_id % (SELECT count(*) + count(*) // 8 FROM students) + 1""")
 def _(spark, sf):
+    students = view(spark, sf, "students").count()
     texts = view(spark, sf, "observations").select(F.col("obs_id").alias("doc_id"), F.concat(
-        pseudonym.alias_text(F.col("student_id") + 1), F.lit(" half "), pseudonym.alias_text(F.col("obs_id") % 3000 + 1), F.lit("!")).alias("text"))
+        pseudonym.alias_text(F.col("student_id") + 1), F.lit(" half "), pseudonym.alias_text(F.col("obs_id") % (students + students // 8) + 1), F.lit("!")).alias("text"))
     return pseudonym.restore(texts, pseudonym.assign_aliases(_names(spark, sf))).select("doc_id", "restored")
 
 
@@ -197,14 +199,14 @@ def _spark_names(names):
 def _(spark, sf):
     raw = F.expr(_raw_expr(_spark_names(fv.STATES), _spark_names([a for a, _ in fv.STATE_ALIASES])))
     base = table(spark, sf, "customer").select(F.col("c_custkey").alias("row_id"), raw.alias("raw"))
-    return normalise.normalise_distinct(base, "raw", normalise.state_name(F.col("raw")), "name").select("row_id", "raw", "name")
+    return base.withColumn("name", normalise.state_name(F.col("raw"))).select("row_id", "raw", "name")
 
 
 @query("jn_08_school_types", _TYPES_SQL + _nearest_sql(fv.SCHOOL_TYPES, fv.SCHOOL_TYPE_MAX_EDITS, []))
 def _(spark, sf):
     raw = F.expr(_raw_expr(_spark_names(fv.SCHOOL_TYPES), quote("IGS")))
     base = table(spark, sf, "customer").select(F.col("c_custkey").alias("row_id"), raw.alias("raw"))
-    return normalise.normalise_distinct(base, "raw", normalise.school_type(F.col("raw")), "name").select("row_id", "raw", "name")
+    return base.withColumn("name", normalise.school_type(F.col("raw"))).select("row_id", "raw", "name")
 
 
 _FACH = [k for k, _ in fv.SUBJECT_NAMES]

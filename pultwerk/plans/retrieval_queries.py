@@ -62,7 +62,7 @@ def _(spark, sf):
     return view(spark, sf, "docs").select("doc_id", retrieval.needs_reading(F.split("text", "\n")).alias("needs_reading"))
 
 
-_PAIRS = f"WITH {view_sql('chunks')}, pairs AS (SELECT q.chunk_id AS query_id, c.chunk_id, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) ** 2 AS d FROM chunks q JOIN chunks c ON q.chunk_id <> c.chunk_id), ranked AS (SELECT query_id, chunk_id, round(d, 3) AS distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS INTEGER) AS rank FROM pairs WHERE {{cut}})"
+_PAIRS = f"WITH {view_sql('chunks')}, pairs AS (SELECT q.chunk_id AS query_id, c.chunk_id, round(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) ** 2, 9) AS d FROM chunks q JOIN chunks c ON q.chunk_id <> c.chunk_id), ranked AS (SELECT query_id, chunk_id, round(d, 3) AS distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS INTEGER) AS rank FROM pairs WHERE {{cut}})"
 
 
 def _queries(spark, sf):
@@ -81,32 +81,42 @@ def _(spark, sf):
     return retrieval.search(_queries(spark, sf), view(spark, sf, "chunks"), k=20, cutoff=None, skip_equal_ids=True)
 
 
-def _texts(spark, sf):
-    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+def stored_chunks(spark, sf):
+    """The ingested chunks of all documents, each with a vector of the embeddings table."""
+    vectors = table(spark, sf, "embeddings")
+    n = vectors.count()
+    chunks = retrieval.ingest(view(spark, sf, "docs")).withColumn("vec_id", (F.col("document_id") * 31 + F.col("chunk_no") * 7) % n)
     # stands for a stored chunk table, which several steps of a search read
-    return cut_lineage(view(spark, sf, "chunks").join(texts, "chunk_id"))
+    return cut_lineage(chunks.join(vectors.select("vec_id", "embedding"), "vec_id").drop("vec_id"))
 
 
+_TABLE = _INGEST + ", stored AS (SELECT i.*, e.embedding FROM ingested i JOIN embeddings e ON e.vec_id = (document_id * 31 + chunk_no * 7) % (SELECT count(*) FROM embeddings))"
 _HEAD = "chr(10) || chr(10) || '## Relevante Lehrplaninhalte (automatisch eingeblendet)' || chr(10)"
-_CTX = f"""hits AS (SELECT query_id, r.chunk_id, rank, '[Quelle: ' || c.source || ']' || chr(10) || documents.text AS block, classification FROM ranked r JOIN chunks c ON c.chunk_id = r.chunk_id JOIN documents ON doc_id = r.chunk_id WHERE rank <= 4),
+_DISTANCE = "round(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) ** 2, 9)"
+_CTX = f"""hits AS (SELECT query_id, r.chunk_id, rank, '[Quelle: ' || c.source || ']' || chr(10) || c.chunk AS block, classification FROM ranked r JOIN stored c ON c.chunk_id = r.chunk_id WHERE rank <= 4),
  ctx AS (SELECT query_id, {_HEAD} || string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context, list(classification ORDER BY rank) AS classes FROM hits GROUP BY query_id)"""
+_RANKED = f"pairs AS (SELECT q.query_id, c.chunk_id, {_DISTANCE} AS d FROM asks q JOIN stored c ON true), ranked AS (SELECT query_id, chunk_id, d, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS INTEGER) AS rank FROM pairs WHERE d < 1.3)"
 
 
-@query("rt_03_context", _PAIRS.format(cut="d < 1.3 AND c.chunk_id IN (SELECT doc_id FROM documents)").replace("AS d FROM chunks q JOIN chunks c ON q.chunk_id <> c.chunk_id)", "AS d, c.chunk_id IN (SELECT doc_id FROM documents) AS has_text FROM chunks q JOIN chunks c ON q.chunk_id <> c.chunk_id)").replace("d < 1.3 AND c.chunk_id IN (SELECT doc_id FROM documents)", "d < 1.3 AND has_text") + f", {_CTX} SELECT query_id, context, array_to_string(classes, ',') AS classifications FROM ctx")
+@query("ud_03_stored_chunk_search", _TABLE + f", asks AS (SELECT vec_id AS query_id, embedding FROM embeddings), {_RANKED} SELECT query_id, chunk_id, round(d, 3) AS distance, rank FROM ranked WHERE rank <= 4")
 def _(spark, sf):
-    chunks = _texts(spark, sf)
-    hits = retrieval.search(_queries(spark, sf), chunks, skip_equal_ids=True)
-    return retrieval.context(hits, chunks).select("query_id", "context", F.array_join("classifications", ",").alias("classifications"))
+    """Every vector against the ingested table, whose chunk ids are strings."""
+    return retrieval.search(_queries(spark, sf), stored_chunks(spark, sf))
 
 
-@query("rt_04_chat_turns", f"""WITH {view_sql('chunks', 'jobs', 'requests')}, {_REFS_SQL},
+@query("rt_03_context", _TABLE + f", asks AS (SELECT vec_id AS query_id, embedding FROM embeddings), {_RANKED}, {_CTX} SELECT query_id, context, array_to_string(classes, ',') AS classifications FROM ctx")
+def _(spark, sf):
+    chunks = stored_chunks(spark, sf)
+    return retrieval.context(retrieval.search(_queries(spark, sf), chunks), chunks).select("query_id", "context", F.array_join("classifications", ",").alias("classifications"))
+
+
+@query("rt_04_chat_turns", _TABLE + f""", {view_sql('jobs', 'requests')}, {_REFS_SQL},
  req AS (SELECT r.conv_id * 1000 + r.turn AS request_id, r.text, {skill_sql('r.text')} AS skill_id, e.embedding, CASE WHEN r.turn % 5 = 4 THEN 'local_required' ELSE 'auto' END AS requested_mode, refs.job_ids[1:20] AS job_ids
-   FROM requests r JOIN embeddings e ON e.vec_id = (r.conv_id * 31 + r.turn * 7) % 500 JOIN refs ON refs.request_id = r.conv_id * 1000 + r.turn WHERE r.role = 'user'),
+   FROM requests r JOIN embeddings e ON e.vec_id = (r.conv_id * 31 + r.turn * 7) % (SELECT count(*) FROM embeddings) JOIN refs ON refs.request_id = r.conv_id * 1000 + r.turn WHERE r.role = 'user'),
  refrows AS (SELECT request_id, skill_id, unnest(job_ids) AS job_id, unnest(range(0, len(job_ids))) AS pos FROM req),
  why AS (SELECT request_id, pos, w.job_id, COALESCE(classification, 'unknown') AS class, CASE WHEN skill_id <> 'schuelerarbeit_bewerten' OR skill_id IS NULL THEN NULL WHEN status IS NULL THEN 'unknown_job' WHEN status <> 'approved' THEN 'not_approved' WHEN unresolved_critical > 0 THEN 'critical_uncertainty' END AS reason FROM refrows w LEFT JOIN jobs USING (job_id)),
  gate AS (SELECT request_id, string_agg(reason || ':' || job_id, ',' ORDER BY pos) FILTER (reason IS NOT NULL) AS gate_reasons, list(DISTINCT class) AS job_classes FROM why GROUP BY request_id),
- pairs AS (SELECT request_id AS query_id, c.chunk_id, list_distance(CAST(r.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) ** 2 AS d FROM req r JOIN chunks c ON true WHERE c.chunk_id IN (SELECT doc_id FROM documents)),
- ranked AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS rank FROM pairs WHERE d < 1.3), {_CTX},
+ asks AS (SELECT request_id AS query_id, embedding FROM req), {_RANKED}, {_CTX},
  full_rows AS (SELECT r.*, g.gate_reasons, COALESCE(x.classes, []) AS found, list_concat(COALESCE(x.classes, []), COALESCE(g.job_classes, [])) AS classes, list_distinct(list_concat({findings_sql('r.text')}, {findings_sql("COALESCE(x.context, '')")})) AS f
    FROM req r LEFT JOIN gate g USING (request_id) LEFT JOIN ctx x ON x.query_id = r.request_id),
  final AS (SELECT *, list_sort(list_filter(list_concat([CASE WHEN requested_mode = 'local_required' THEN 'user_requested_local' END, CASE WHEN skill_id IN {tuple(fv.SENSITIVE_SKILLS)} THEN 'sensitive_skill:' || skill_id END,
@@ -116,9 +126,10 @@ def _(spark, sf):
 def _(spark, sf):
     """All user turns of all chats."""
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("_v"), "embedding")
+    n = vectors.count()
     refs = job_refs(spark, sf).select("request_id", "job_ids")
     reqs = (view(spark, sf, "requests").filter("role = 'user'").withColumn("request_id", F.col("conv_id") * 1000 + F.col("turn"))
-            .withColumn("_v", (F.col("conv_id") * 31 + F.col("turn") * 7) % 500).join(vectors, "_v").join(refs, "request_id")
+            .withColumn("_v", (F.col("conv_id") * 31 + F.col("turn") * 7) % n).join(vectors, "_v").join(refs, "request_id")
             .selectExpr("request_id", "text", "job_ids", "embedding", "CASE WHEN turn % 5 = 4 THEN 'local_required' ELSE 'auto' END AS requested_mode", "'auto' AS sticky_mode"))
-    out = chat.chat_turns(reqs, view(spark, sf, "jobs"), _texts(spark, sf))
+    out = chat.chat_turns(reqs, view(spark, sf, "jobs"), stored_chunks(spark, sf))
     return out.withColumns({c: F.array_join(c, ",") for c in ("gate_reasons", "reasons")})

@@ -10,7 +10,7 @@ from pultwerk.sources.tables import table, view, view_sql
 
 _EV = f"WITH {view_sql('review_events')}"
 _CAND = "cand AS (SELECT c_custkey AS job_id, r AS region_id, e AS engine, e || ' liest ' || c_custkey || '/' || r AS text FROM customer, range(0, 5) t(r), (VALUES ('htr'), ('tesseract')) v(e) WHERE c_custkey % 3 <> 2 OR e = 'htr')"
-_CLS = f""", {_CAND}, cls AS (SELECT ev.*, c.text AS reader_text, CASE WHEN COALESCE(ev.engine, '') = '' AND COALESCE(ev.text, '') = '' THEN 'empty_patch' WHEN COALESCE(ev.engine, '') <> '' AND c.text IS NULL THEN 'unknown_reader' END AS problem, COALESCE(nullif(ev.text, ''), c.text) AS new_text
+_CLS = f""", {_CAND}, cls AS (SELECT ev.*, c.text AS reader_text, CASE WHEN ev.engine IS NULL AND ev.text IS NULL THEN 'empty_patch' WHEN ev.engine IS NOT NULL AND c.text IS NULL THEN 'unknown_reader' END AS problem, COALESCE(ev.text, c.text) AS new_text
  FROM review_events ev LEFT JOIN cand c ON c.job_id = ev.job_id AND c.region_id = ev.region_id AND c.engine = ev.engine WHERE kind = 'edit')"""
 
 

@@ -123,5 +123,5 @@ def _(spark, sf):
     files = _files(spark, sf)
     listed = manifest.manifest(files.filter("doc_id % 9 <> 4"))
     touched = F.when(F.col("doc_id") % 9 == 2, F.concat("content", F.lit(b"!"))).when(
-        F.col("doc_id") % 9 == 5, F.concat(F.lit(b"\x00"), F.substring("content", 2, 1 << 30))).otherwise(F.col("content"))
+        F.col("doc_id") % 9 == 5, F.concat(F.lit(b"\x00"), F.substr("content", F.lit(2)))).otherwise(F.col("content"))
     return manifest.verify(listed, manifest.manifest(files.filter("doc_id % 9 <> 1").withColumn("content", touched)))
