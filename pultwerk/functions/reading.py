@@ -124,7 +124,7 @@ def units(text: Column, vocabulary: Vocabulary = Vocabulary()) -> Column:
 def prefix_confusion(a: Column, b: Column) -> Column:
     """Same base unit, different prefix, for two unit tokens as written."""
     prefix = lambda u: F.when((F.char_length(u) >= 2) & F.substring(u, 1, 1).isin(list(fv.UNIT_PREFIXES)), F.substring(u, 1, 1)).otherwise("")
-    base = lambda u: F.when(prefix(u) == "", u).otherwise(F.substring(u, 2, 1 << 20))
+    base = lambda u: F.when(prefix(u) == "", u).otherwise(F.substr(u, F.lit(2)))
     return (fold_unit(base(a)) == fold_unit(base(b))) & (a != b) & (prefix(a) != prefix(b))
 
 
@@ -199,7 +199,7 @@ def span_reason(features: Column, vocabulary: Vocabulary) -> Column:
     Every comparison is against the first variant, except the unit prefix, which is
     compared across all pairs of variants.
     """
-    base, others = F.get(features, F.lit(0)), F.slice(features, 2, 1 << 20)
+    base, others = F.get(features, F.lit(0)), F.slice(features, F.lit(2), F.size(features))
     texts = F.transform(features, lambda v: v["text"])
     used = symbols_in(texts, vocabulary)
     folded = lambda us: F.transform(us, fold_unit)
@@ -225,7 +225,7 @@ BRACKET = re.compile(r"\[[^\]]*\?\]")
 
 def bracket(texts: Column) -> Column:
     """Visible mark for competing readings; the first text is the reference's."""
-    rest = F.filter(F.slice(texts, 2, 1 << 20), lambda t: t != "")
+    rest = F.filter(F.slice(texts, F.lit(2), F.size(texts)), lambda t: t != "")
     base = F.get(texts, F.lit(0))
     inner = (F.when((base != "") & (F.size(rest) == 0), base)
              .when((base == "") & (F.size(rest) > 0), F.concat(F.lit("+"), F.array_join(rest, "|")))

@@ -73,6 +73,8 @@ def align_regions(candidates: DataFrame) -> DataFrame:
     """
     if "alternatives" not in candidates.columns:
         candidates = candidates.withColumn("alternatives", F.array().cast(ALTERNATIVES))
+    # a NUL in a text would be taken for the separator of folded tokens
+    candidates = candidates.withColumn("text", F.translate("text", arrow.SEPARATOR, "\ufffd"))
     rows = candidates.groupBy(*KEYS).agg(F.collect_list(F.struct("engine", "pos", "text", "confidence", "alternatives")).alias("readers"))
     rows = rows.withColumn("readers", F.transform("readers", lambda r: F.struct(
         r["engine"].alias("engine"), r["pos"].alias("pos"), r["text"].alias("text"), r["confidence"].alias("confidence"),
@@ -81,7 +83,7 @@ def align_regions(candidates: DataFrame) -> DataFrame:
         priority(r["engine"]).alias("p"), (-r["confidence"]).alias("c"), (-F.size(r["tokens"])).alias("n"), r["engine"].alias("e"), r["pos"].alias("o"), r.alias("r")))),
         lambda x: x["r"]))
     rows = rows.withColumn("ref", F.get("readers", F.lit(0))).withColumn("others", F.array_sort(
-        F.slice("readers", 2, 1 << 20), lambda a, b: a["pos"] - b["pos"]))
+        F.slice("readers", 2, F.size("readers")), lambda a, b: a["pos"] - b["pos"]))
     # all readers of a region fold in one string: readings apart by a line feed, tokens by the separator
     per_reader = F.transform(F.concat(F.array("ref"), F.col("others")), lambda r: reading.joined(r["tokens"]))
     rows = rows.withColumn("folded", arrow.fold(F.array_join(per_reader, f"{arrow.SEPARATOR}\n{arrow.SEPARATOR}")))

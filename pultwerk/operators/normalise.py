@@ -25,12 +25,6 @@ def nearest_name(raw: Column, names: list[str], max_edits: int, aliases: list[tu
             .otherwise(F.coalesce(F.try_element_at(lookup, lowered), F.array_min(F.array_compact(scored))["n"], raw)))
 
 
-def normalise_distinct(df: DataFrame, column: str, expression: Column, out: str) -> DataFrame:
-    """Work out an expensive expression once per distinct value, then join it back."""
-    values = df.select(column).distinct().withColumn(out, expression)
-    return df.join(values, column, "left")
-
-
 def state_name(raw: Column) -> Column:
     return nearest_name(raw, fv.STATES, fv.STATE_MAX_EDITS, fv.STATE_ALIASES)
 
@@ -43,7 +37,7 @@ def subject_name(raw: Column) -> Column:
     pattern = r"(?d)\A([a-zA-ZäöüÄÖÜß]+)((?U:[\s\-–]).+)?\z"
     word, rest = F.regexp_extract(raw, pattern, 1), F.regexp_extract(raw, pattern, 2)
     lookup = F.create_map(*[F.lit(x) for pair in fv.SUBJECT_NAMES for x in pair])
-    mapped = F.coalesce(F.try_element_at(lookup, F.lower(word)), F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 1 << 30)))
+    mapped = F.coalesce(F.try_element_at(lookup, F.lower(word)), F.concat(F.upper(F.substring(word, 1, 1)), F.substr(word, F.lit(2))))
     return F.when(F.coalesce(raw, F.lit("")) == "", "").when(word == "", raw).otherwise(F.concat(mapped, rest))
 
 

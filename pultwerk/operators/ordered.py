@@ -36,7 +36,10 @@ def _carry(per_part: DataFrame, group: list[str], carried: Column, name: str) ->
 
 
 def _attach(df: DataFrame, carry: DataFrame, group: list[str]) -> DataFrame:
-    return df.join(F.broadcast(carry), [PART, *group], "left")
+    """Joins null-safely: rows without a group are a group too."""
+    named = {c: f"_carry_{c}" for c in (PART, *group)}
+    match = [F.col(c).eqNullSafe(F.col(n)) for c, n in named.items()]
+    return df.join(F.broadcast(carry.withColumnsRenamed(named)), match, "left").drop(*named.values())
 
 
 def running(split: DataFrame, group: list[str], order: list[str], value: Column, out: str,

@@ -18,10 +18,12 @@ def _at() -> Column:
 
 
 def edit_problem(known_reader: Column) -> Column:
-    """Why an edit is refused: nothing to set, or a reader the region does not have."""
-    chosen = F.coalesce(F.col("engine"), F.lit("")) != ""
-    return (F.when(~chosen & (F.coalesce(F.col("text"), F.lit("")) == ""), "empty_patch")
-            .when(chosen & ~known_reader, "unknown_reader"))
+    """Why an edit is refused: nothing to set, or a reader the region does not have.
+
+    An empty text is an edit: it clears the region.
+    """
+    chosen = F.col("engine").isNotNull()
+    return F.when(~chosen & F.col("text").isNull(), "empty_patch").when(chosen & ~known_reader, "unknown_reader")
 
 
 def classify_edits(events: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -32,8 +34,7 @@ def classify_edits(events: DataFrame, candidates: DataFrame) -> DataFrame:
     edits = events.filter("kind = 'edit'")
     texts = candidates.select("job_id", "region_id", "engine", F.col("text").alias("reader_text"))
     joined = edits.join(texts, ["job_id", "region_id", "engine"], "left")
-    own = F.nullif("text", F.lit(""))
-    return joined.withColumn("problem", edit_problem(F.col("reader_text").isNotNull())).withColumn("new_text", F.coalesce(own, "reader_text"))
+    return joined.withColumn("problem", edit_problem(F.col("reader_text").isNotNull())).withColumn("new_text", F.coalesce("text", "reader_text"))
 
 
 def latest_edits(classified: DataFrame) -> DataFrame:

@@ -63,8 +63,11 @@ def _cost(tokens: str, price: str) -> Column:
 
 
 def with_cost(events: DataFrame, prices=fv.PRICES) -> DataFrame:
-    """Exact cost per event, so that sums do not depend on the order of rows."""
-    return (resolve_prices(events, prices)
+    """Exact cost per event, so that sums do not depend on the order of rows.
+
+    An empty skill name means that no skill ran.
+    """
+    return (resolve_prices(events.withColumn("skill_name", F.nullif("skill_name", F.lit(""))), prices)
             .withColumn("input_cost", _cost("input_tokens", "input_price"))
             .withColumn("output_cost", _cost("output_tokens", "output_price"))
             .withColumn("cost", (F.col("input_cost") + F.col("output_cost")).cast(MONEY))

@@ -24,7 +24,7 @@ def _entries(files: DataFrame, heading: str) -> DataFrame:
     parts = F.filter(F.split("value", rf"(?m)^{heading} "), lambda p: strip(p) != "")
     keep = [c for c in files.columns if c != "value"]
     # whatever precedes the first heading is the file's own preamble
-    body = F.when(F.col("value").rlike(rf"\A\s*{heading} "), parts).otherwise(F.slice(parts, 2, 1 << 20))
+    body = F.when(F.col("value").rlike(rf"\A\s*{heading} "), parts).otherwise(F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1))))
     return files.select(*keep, F.posexplode(body).alias("pos", "entry"))
 
 
@@ -75,9 +75,9 @@ def rubric_tables(files: DataFrame) -> DataFrame:
     """Criterion rows of the first table, and subject, class and topic from the file name."""
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)\z", 1), r"\.md\z", "")
     parts = F.split(stem, "_")
-    topic = F.array_join(F.slice(parts, 3, 1 << 20), " ")
+    topic = F.array_join(F.slice(parts, F.lit(3), F.greatest(F.size(parts), F.lit(1))), " ")
     table = F.regexp_extract("value", r"(?m)^\|.+\|[ \t]*\n\|[ \t:|-]+\|[ \t]*\n((?:\|.*\|[ \t]*(?:\n|\z))+)", 1)
-    rows = files.select("path", stem.alias("stem"), F.concat(F.upper(F.substring(parts[0], 1, 1)), F.substring(parts[0], 2, 1 << 20)).alias("subject"),
+    rows = files.select("path", stem.alias("stem"), F.concat(F.upper(F.substring(parts[0], 1, 1)), F.substr(parts[0], F.lit(2))).alias("subject"),
                         F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("class_name"), F.coalesce(F.nullif(topic, F.lit("")), stem).alias("topic"),
                         F.posexplode(F.filter(F.split(table, "\n"), lambda r: strip(r) != "")).alias("pos", "row"))
     cells = F.filter(F.transform(F.split("row", r"\|"), strip), lambda c: c != "")

@@ -9,8 +9,12 @@ STUDENT_AREA = "students"
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a folder, their content hashed where they are read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    """Notes and their backups below a folder, outside the student area.
+
+    Name and folder are tested on the file listing, so no other file is opened.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{[mM][dD],bak1,bak2,bak3}").load(path)
+    return files.filter(~F.col("_metadata.file_path").contains(f"/{STUDENT_AREA}/")).select("path", "content")
 
 
 def manifest(files: DataFrame) -> DataFrame:

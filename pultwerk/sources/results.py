@@ -11,7 +11,7 @@ REGION = (f"id:string,type:string,bbox:array<int>,candidates:array<struct<{CANDI
           f"disagreements:array<struct<{DISAGREEMENT}>>,agreement:double,status:string,editedByTeacher:boolean,verifyFailed:boolean")
 PAGE = f"index:int,width:int,height:int,regions:array<struct<{REGION}>>,status:string,autoClean:boolean,statusReasons:array<string>"
 DOCUMENT = (f"struct<jobId:string,sourceName:string,classification:string,createdAt:double,status:string,approvedAt:double,error:string,errorCode:string,"
-            f"scanCleanupStatus:string,pages:array<struct<{PAGE}>>>")
+            f"scanCleanupStatus:string,pages:array<struct<{PAGE}>>,_corrupt:string>")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -19,8 +19,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_documents(json_rows: DataFrame) -> DataFrame:
-    """Documents that do not parse or have no job id are left out; defaults fill old files."""
-    d = json_rows.select(F.from_json("value", DOCUMENT).alias("d")).filter("d.jobId is not null and d.pages is not null").select("d.*")
+    """Documents that do not parse as a whole or lack a required field are left out.
+
+    One field of the wrong type makes a document unreadable; defaults fill old files.
+    """
+    parsed = F.from_json("value", DOCUMENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    whole = json_rows.select(parsed.alias("d")).filter("d._corrupt is null and d.jobId is not null and d.pages is not null")
+    d = whole.select("d.*").drop("_corrupt")
     return d.withColumn("scanCleanupStatus", F.coalesce("scanCleanupStatus", F.lit("retained")))
 
 

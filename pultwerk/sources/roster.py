@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +29,18 @@ def _complete(rows: DataFrame) -> DataFrame:
 
 
 def read_roster(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("sep", ";").option("header", True).csv(path)
-    return _complete(raw.toDF(*_header(raw.columns)))
+    """All files below a path, each by its own header line; a roster is a short file.
+
+    Files are parsed together with those of the same header, so only the distinct headers
+    reach the driver.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\A\uFEFF", ""), r"\r\n|\r|\n").alias("_lines"))
+    files = whole.select(F.col("_lines")[0].alias("_header"), F.explode(F.slice("_lines", F.lit(2), F.size("_lines"))).alias("value"))
+    headers = sorted(r[0] for r in whole.select(F.col("_lines")[0]).distinct().collect())
+    if not headers:
+        raise ValueError(f"no roster at {path}")
+    parts = [parse_lines(files.filter((F.col("_header") == h) & (strip(F.col("value")) != "")).select("value"), h) for h in headers]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def parse_lines(lines: DataFrame, header: str) -> DataFrame:

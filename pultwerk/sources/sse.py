@@ -16,7 +16,7 @@ def reassemble(lines: DataFrame, key: list[str]) -> DataFrame:
     Only lines before the end mark count, and lines that are not JSON are skipped. The
     pieces gathered are those of one response.
     """
-    data = lines.withColumn("value", strip(F.col("value"))).filter("startswith(value, 'data: ')").withColumn("body", strip(F.substring("value", 7, 1 << 30)))
+    data = lines.withColumn("value", strip(F.col("value"))).filter("startswith(value, 'data: ')").withColumn("body", strip(F.substr("value", F.lit(7))))
     end = data.filter("body = '[DONE]'").groupBy(*key).agg(F.min("pos").alias("_end"))
     parsed = data.join(end, key, "left").filter("_end is null or pos < _end").withColumn("event", F.from_json("body", EVENT))
     piece = F.get("event.choices", F.lit(0))["delta"]["content"]

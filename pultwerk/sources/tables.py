@@ -137,19 +137,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Evens out a scan with fewer splits than there are cores, as text work is slow.
-
-    A small file in one row group is one task whatever the split size. A scan that has
-    splits enough, which is any large table, is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+TEXT_PARTITIONS = "pultwerk.text.partitions"
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A text table, as it is scanned, unless the session names a number of partitions.
+
+    A small file in one row group is one task whatever the split size; the setting is for
+    local runs over such files.
+    """
     keys = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}[name]
-    return spread(table(spark, sf_dir, name), *keys)
+    wanted = spark.conf.get(TEXT_PARTITIONS, None)
+    return table(spark, sf_dir, name).repartition(int(wanted), *keys) if wanted else table(spark, sf_dir, name)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
