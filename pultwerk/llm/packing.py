@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pultwerk.llm.common import queue_key, stored, whole_text
+from pultwerk.llm.common import queue_key, small_or_shuffled, stored, whole_text
 
 WINDOW = 2048
 # bits that weights are rounded to at most; products with queue positions must fit in 62
@@ -196,6 +196,7 @@ def pack(
                         pa.array(sequence), pa.array(offset), pa.array(blobs, pa.binary()),
                     ], names=[key, "queue", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    placed = tokens.join(bases, ["queue", "part"]).select(key, "queue", (F.col("base") + F.col("part_start")).alias("_start"), "n_tokens", "ids")
+    # sent to all tasks if small, so that the ids need not move
+    placed = tokens.join(small_or_shuffled(stored(bases, "bases")), ["queue", "part"]).select(key, "queue", (F.col("base") + F.col("part_start")).alias("_start"), "n_tokens", "ids")
     kind = tokens.schema[key].dataType.simpleString()
     return placed.mapInArrow(run, f"`{key}` {kind}, queue string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
