@@ -149,3 +149,10 @@ def test_entry_points(spark, small):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 150
+
+
+def test_documents_with_a_badly_typed_field_are_left_out(spark):
+    good = '{"jobId": "a", "pages": [{"index": 0, "regions": [{"id": "r", "agreement": 0.5}]}]}'
+    bad = [good.replace("0.5", '"bad"'), good.replace('"a"', "null"), '{"jobId": "c"}', "{", good.replace('"index": 0', '"index": "x"')]
+    docs = spark.createDataFrame([(v,) for v in (good, *bad)], "value string")
+    assert [r["jobId"] for r in results.parse_documents(docs).collect()] == ["a"]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pultwerk.functions import privacy as px
-from pultwerk.operators import grading, lessons, normalise, privacy, pseudonym, records, routing, usage
+from pultwerk.operators import grading, lessons, normalise, privacy, pseudonym, records, review, routing, usage
 from pultwerk.sources import roster
 
 
@@ -142,3 +142,29 @@ def test_roster_file(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("a;b\n1;2\n", encoding="utf-8")
     with pytest.raises(ValueError):
         roster.read_roster(spark, str(tmp_path / "bad.csv"))
+
+
+def test_rosters_of_a_folder_keep_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Vorname;Nachname\nAnna;Müller\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("\ufeffNachname;Pronomen;Vorname\r\nSchulz;er;Ben\r\n\r\n", encoding="utf-8")
+    got = sorted((r["vorname"], r["nachname"], r["pronomen"]) for r in roster.read_roster(spark, str(tmp_path)).collect())
+    assert got == [("Anna", "Müller", ""), ("Ben", "Schulz", "er")]
+
+
+def test_empty_skill_names_count_as_none(spark):
+    rows = [("r1", dt.datetime(2026, 1, 1), "openai/gpt-4", None, 10, 5, ""), ("r2", dt.datetime(2026, 1, 1), "openai/gpt-4", None, 10, 5, "Klasse"), ("r3", dt.datetime(2026, 1, 1), "openai/gpt-4", None, 10, 5, None)]
+    events = spark.createDataFrame(rows, "request_id string, ts timestamp, model string, provider string, input_tokens long, output_tokens long, skill_name string")
+    priced = usage.with_cost(events)
+    total = usage.usage_total(priced).first()
+    assert (total["requests"], total["skill_executions"]) == (3, 1)
+    skills = usage.rollups(priced).filter("period IN ('skill', 'day_skill')").collect()
+    assert len(skills) == 2 and all(r["requests"] == 1 for r in skills)
+
+
+def test_an_empty_text_clears_a_region(spark):
+    rows = [(1, 1, None, ""), (2, 2, "htr", ""), (3, 3, "htr", None), (4, 4, None, None), (5, 5, "", "x"), (6, 6, "nobody", "x")]
+    events = spark.createDataFrame([(1, r, i, "edit", dt.datetime(2026, 1, i), e, t) for i, r, e, t in rows], "job_id long, region_id long, event_id long, kind string, ts timestamp, engine string, text string")
+    readers = spark.createDataFrame([(1, r, "htr", f"read {r}") for r in range(1, 7)], "job_id long, region_id long, engine string, text string")
+    classified = review.classify_edits(events, readers)
+    assert {r["region_id"]: r["selected_text"] for r in review.latest_edits(classified).collect()} == {1: "", 2: "", 3: "read 3"}
+    assert {r["region_id"]: r["problem"] for r in review.rejected_edits(classified).collect()} == {4: "empty_patch", 5: "unknown_reader", 6: "unknown_reader"}

@@ -13,7 +13,7 @@ from pultwerk.session import shared_dir
 
 def test_ordered_primitives_with_a_hot_group(spark):
     rng = random.Random(3)
-    rows = [(g, i, rng.randint(-5, 9)) for i, g in enumerate(rng.choices("abc", [8, 1, 1], k=500))]
+    rows = [(g, i, rng.randint(-5, 9)) for i, g in enumerate(rng.choices(["a", "b", "c", None], [8, 1, 1, 6], k=700))]
     df = spark.createDataFrame(rows, "g string, i long, v long")
     split = ordered.range_split(df, ["g"], ["i"])
     out = ordered.running(split, ["g"], ["i"], F.col("v"), "total")
@@ -21,7 +21,7 @@ def test_ordered_primitives_with_a_hot_group(spark):
     out = ordered.position(ordered.previous(out, ["g"], ["i"], "v", "before"), ["g"], ["i"], "place")
     got = {(r["g"], r["i"]): (r["total"], r["top"], r["before"], r["place"]) for r in out.collect()}
     assert split.select(ordered.PART).distinct().count() > 3
-    for g in "abc":
+    for g in ("a", "b", "c", None):
         total, top, before = 0, None, None
         for place, (_, i, v) in enumerate([r for r in rows if r[0] == g], 1):
             total += v
