@@ -116,6 +116,21 @@ def _variants(start: Column, end: Column) -> Column:
     return F.concat(F.array(base), F.array_compact(F.transform("others", other)), options)
 
 
+def classify_spans(spans: DataFrame, vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
+    """spans(texts, left, right) → ``differs`` and, for a critical difference, its ``reason``.
+
+    ``texts`` are the distinct variants of a span, the reference's first; ``left`` and
+    ``right`` are the reference tokens beside it.
+    """
+    rows = spans.withColumn("folded", F.split(arrow.fold(reading.joined(F.concat("texts", F.array("left", "right")))), arrow.SEPARATOR))
+    own = F.slice("folded", F.lit(1), F.size("texts"))
+    rows = rows.withColumn("differs", F.size(F.array_distinct(F.transform(own, reading.normal_form))) > 1)
+    beside = lambda i: reading.canonical_text(F.element_at("folded", i))
+    rows = rows.withColumn("features", F.when(F.col("differs"), reading.span_features(
+        F.col("texts"), F.transform(own, reading.canonical_text), beside(-2), beside(-1), vocabulary)))
+    return rows.withColumn("reason", F.when(F.col("differs"), reading.span_reason(F.col("features"), vocabulary))).drop("folded", "features")
+
+
 def _judged(aligned: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """One row per range with its verdict, and one bare row for a region without ranges.
 
@@ -128,14 +143,7 @@ def _judged(aligned: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         F.when(F.col("range").isNotNull(), _variants(start, end)).alias("pairs"),
         F.coalesce(F.get("ref.tokens", start - 1), F.lit("")).alias("left"), F.coalesce(F.get("ref.tokens", end), F.lit("")).alias("right"))
     none = F.array().cast("array<string>")
-    rows = rows.withColumn("texts", F.coalesce(F.array_distinct(F.transform("pairs", lambda p: p["text"])), none))
-    rows = rows.withColumn("folded", F.split(arrow.fold(reading.joined(F.concat("texts", F.array("left", "right")))), arrow.SEPARATOR))
-    own = F.slice("folded", F.lit(1), F.size("texts"))
-    rows = rows.withColumn("differs", F.size(F.array_distinct(F.transform(own, reading.normal_form))) > 1)
-    beside = lambda i: reading.canonical_text(F.element_at("folded", i))
-    rows = rows.withColumn("features", F.when(F.col("differs"), reading.span_features(
-        F.col("texts"), F.transform(own, reading.canonical_text), beside(-2), beside(-1), vocabulary)))
-    rows = rows.withColumn("reason", F.when(F.col("differs"), reading.span_reason(F.col("features"), vocabulary)))
+    rows = classify_spans(rows.withColumn("texts", F.coalesce(F.array_distinct(F.transform("pairs", lambda p: p["text"])), none)), vocabulary)
     variants = F.transform("texts", lambda t: F.struct(t.alias("text"), F.array_sort(F.array_distinct(F.transform(
         F.filter("pairs", lambda p: p["text"] == t), lambda p: p["engine"]))).alias("engines")))
     return rows.select(*KEYS, "readers", "ref_tokens", "differs", F.struct(

@@ -164,6 +164,76 @@ def _(spark, sf):
     return readings.bulk(spark, sf).select("job_id", "page", "region_id", "engine", "confidence", F.md5("text").alias("digest"))
 
 
+# the readers of ``readings.distinct``: disagreements by place
+_DISTINCT = r"""WITH words AS (SELECT doc_id AS job_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ws FROM documents),
+ reg AS (SELECT job_id, unnest(range(0, greatest((len(ws) - 1) // 40, 0) + 1)) AS region_id, ws FROM words),
+ cut AS (SELECT job_id, CAST(region_id // 10 AS INTEGER) AS page, CAST(region_id AS INTEGER) AS region_id, ws[region_id * 40 + 1:region_id * 40 + 40] AS t,
+   (job_id + region_id // 10) % 7 <> 0 AS two, (job_id + region_id) % 3 = 0 AS three FROM reg WHERE (job_id + region_id) % 29 <> 0),
+ tok AS (SELECT job_id, page, region_id, two, three, len(t) AS n, j, CASE j WHEN 9 THEN '3,5' WHEN 12 THEN 'nicht'
+   ELSE 'q' || lower(regexp_replace(t[j + 1], '[^A-Za-z]', '', 'g')) || 'x' || chr(CAST(97 + j // 6 AS INTEGER)) || chr(CAST(97 + j % 6 AS INTEGER)) END AS tok
+   FROM (SELECT *, unnest(range(0, len(t))) AS j FROM cut)),
+ spot AS (SELECT job_id, page, region_id, j AS s, j + 1 AS e, CASE WHEN j = 9 THEN ['3,5', '35'] WHEN j = 22 THEN list_concat([tok], CASE WHEN two THEN ['z' || tok] ELSE [] END, CASE WHEN three THEN ['y' || tok] ELSE [] END) ELSE [tok, ''] END AS variants,
+   CASE j WHEN 9 THEN 'number' WHEN 12 THEN 'critical_word:nicht' ELSE '' END AS reason FROM tok WHERE two AND j IN (5, 9, 12, 18, 22, 31) OR three AND j = 22
+   UNION ALL SELECT job_id, page, region_id, 28, 28, ['', 'einschub'], '' FROM cut WHERE two AND len(t) >= 28)"""
+
+
+@query("cn_01_ranges", _DISTINCT + " SELECT job_id, page, region_id, CAST(s AS INTEGER) AS start_token, CAST(e AS INTEGER) AS end_token FROM spot")
+def _(spark, sf):
+    """Disputed ranges after alignment and merging, over readings with one alignment."""
+    a = consensus.align_regions(readings.distinct(spark, sf))
+    return a.select(*consensus.KEYS, F.inline("ranges")).withColumnsRenamed({"s": "start_token", "e": "end_token"})
+
+
+def _flat(d):
+    return d.select(*consensus.KEYS, F.col("start").alias("start_token"), F.col("end").alias("end_token"), "critical", "reason", F.array_join(F.transform("variants", lambda v: v["text"]), "|").alias("variants"))
+
+
+@query("cn_02_distinct_readings", _DISTINCT + " SELECT job_id, page, region_id, CAST(s AS INTEGER) AS start_token, CAST(e AS INTEGER) AS end_token, reason <> '' AS critical, reason, array_to_string(variants, '|') AS variants FROM spot")
+def _(spark, sf):
+    return _flat(consensus.disagreements(consensus.align_regions(readings.distinct(spark, sf))))
+
+
+_PUT_IN = "CASE WHEN s = 28 THEN 'critical_word:einschub' ELSE reason END"
+
+
+@query("ud_02_vocabulary_overrides", _DISTINCT + f" SELECT job_id, page, region_id, CAST(s AS INTEGER) AS start_token, CAST(e AS INTEGER) AS end_token, {_PUT_IN} <> '' AS critical, {_PUT_IN} AS reason, array_to_string(variants, '|') AS variants FROM spot")
+def _(spark, sf):
+    """A school's own critical word, and one of another subject that must not count."""
+    own = spark.createDataFrame([("words", None, "einschub"), ("subjects", "physik", "qq")], "kind string, subject string, value string")
+    words = vocabulary.to_vocabulary(vocabulary.merged(spark, own, "chemie"), None)
+    return _flat(consensus.disagreements(consensus.align_regions(readings.distinct(spark, sf)), words))
+
+
+@query("sc_29_span_reasons", _DISTINCT + ", near AS (SELECT s.*, coalesce(l.tok, '') AS l, coalesce(r.tok, '') AS r FROM spot s LEFT JOIN tok l ON l.job_id = s.job_id AND l.region_id = s.region_id AND l.j = s - 1 LEFT JOIN tok r ON r.job_id = s.job_id AND r.region_id = s.region_id AND r.j = e) SELECT job_id, region_id, CAST(s AS INTEGER) AS start_token, reason, l AS left_token, r AS right_token FROM near")
+def _(spark, sf):
+    """Reasons of a table of spans with their neighbours."""
+    found = consensus.disagreements(consensus.align_regions(readings.distinct(spark, sf)))
+    tokens = readings.distinct(spark, sf).filter("engine = 'htr'").select("job_id", "region_id", F.split("text", " ").alias("t"))
+    at = F.col("start")
+    spans = found.join(tokens, ["job_id", "region_id"]).select(
+        "job_id", "region_id", "start", F.transform("variants", lambda v: v["text"]).alias("texts"),
+        F.coalesce(F.get("t", at - 1), F.lit("")).alias("left"), F.coalesce(F.get("t", F.col("end")), F.lit("")).alias("right"))
+    judged = consensus.classify_spans(spans)
+    return judged.select("job_id", "region_id", F.col("start").alias("start_token"), F.coalesce("reason", F.lit("")).alias("reason"), F.col("left").alias("left_token"), F.col("right").alias("right_token"))
+
+
+@query("cn_03_distinct_readings", _DISTINCT + """, piece AS (SELECT t.job_id, t.page, t.region_id, j * 2 + 1 AS o, coalesce(CASE WHEN variants IS NULL THEN NULL WHEN j = 9 THEN '[3,5|35?]' WHEN j = 22 THEN '[' || array_to_string(variants, '|') || '?]' ELSE '[' || t.tok || '?]' END, t.tok) AS text, variants IS NOT NULL AS mark
+   FROM tok t LEFT JOIN spot ON spot.job_id = t.job_id AND spot.region_id = t.region_id AND s = j AND e = j + 1
+   UNION ALL SELECT job_id, page, region_id, 56, '[+einschub?]', true FROM spot WHERE s = 28 AND e = 28),
+ placed AS (SELECT *, CAST(sum(length(text) + 1) OVER (PARTITION BY job_id, region_id ORDER BY o) AS BIGINT) - 1 AS stop FROM piece),
+ body AS (SELECT job_id, region_id, string_agg(text, ' ' ORDER BY o) AS consensus_text, string_agg((stop - length(text)) || '-' || stop, ',' ORDER BY o) FILTER (mark) AS offsets FROM placed GROUP BY job_id, region_id),
+ width AS (SELECT job_id, region_id, sum(greatest(e - s, 1)) AS w, count(*) AS k, bool_or(reason <> '') AS critical FROM spot GROUP BY job_id, region_id)
+ SELECT c.job_id, c.page, c.region_id, coalesce(consensus_text, '') AS consensus_text, CASE WHEN two OR three THEN round(1 - coalesce(w, 0) / CAST(greatest(len(t), 1) AS DOUBLE), 6) ELSE 0 END AS agreement, CAST(coalesce(k, 0) AS INTEGER) AS n_disagreements, coalesce(critical, false) AS critical, coalesce(offsets, '') AS offsets
+ FROM cut c LEFT JOIN body USING (job_id, region_id) LEFT JOIN width USING (job_id, region_id)""")
+def _(spark, sf):
+    return _consensus_columns(consensus.build_regions(readings.distinct(spark, sf))).drop("reference_engine")
+
+
+def _consensus_columns(r):
+    return r.select(*consensus.KEYS, "reference_engine", "consensus_text", F.round("agreement", 6).alias("agreement"), "n_disagreements", "critical",
+                    F.array_join(F.transform("disagreements", lambda d: F.concat_ws("-", d["char_start"].cast("string"), d["char_end"].cast("string"))), ",").alias("offsets"))
+
+
 @query("cn_01_alignment")
 def _(spark, sf):
     """Edit operations of every second reading against its reference."""
@@ -180,9 +250,7 @@ def _(spark, sf):
 
 @query("cn_03_consensus_text")
 def _(spark, sf):
-    r = consensus.build_regions(readings.bulk(spark, sf))
-    return r.select(*consensus.KEYS, "reference_engine", "consensus_text", F.round("agreement", 6).alias("agreement"), "n_disagreements", "critical",
-                    F.array_join(F.transform("disagreements", lambda d: F.concat_ws("-", d["char_start"].cast("string"), d["char_end"].cast("string"))), ",").alias("offsets"))
+    return _consensus_columns(consensus.build_regions(readings.bulk(spark, sf)))
 
 
 @query("cn_09_second_reading")

@@ -58,3 +58,26 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.expr("CASE job_id % 4 WHEN 0 THEN 'public_curriculum' WHEN 1 THEN 'personal' WHEN 2 THEN 'unknown' ELSE 'student_submission' END")
     return rows.select("job_id", "page", kind.alias("classification"), (F.col("job_id") % 2 == 0).alias("auto_approve"),
                        ((F.col("job_id") + F.col("page")) % 13 == 0).alias("quality_blocking"))
+
+
+def distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two or three readers over tokens that are unique within their region.
+
+    So there is only one alignment, and every disagreement follows from the token's place:
+    places 5, 18 and 31 are lost by the second reader, 9 loses its comma, 12 is a lost
+    "nicht", 22 is misread by the second and third reader, and the second one puts a word
+    in behind place 27.
+    """
+    plain = lambda w, j: F.concat(F.lit("q"), F.lower(F.regexp_replace(w, "[^A-Za-z]", "")), F.lit("x"), F.chr(97 + F.floor(j / 6)), F.chr(97 + j % 6))
+    token = lambda w, j: F.when(j == 9, "3,5").when(j == 12, "nicht").otherwise(plain(w, j))
+    lost = lambda j: j.isin(5, 12, 18, 31)
+    misread = lambda t, j: F.when(j == 9, "35").when(j == 22, F.concat(F.lit("z"), t)).when(j == 27, F.concat(t, F.lit(" einschub"))).otherwise(t)
+    rows = regions(spark, sf_dir).filter((F.col("job_id") + F.col("region_id")) % 29 != 0).withColumn("t", F.transform("w", token))
+    second_reader = F.array_join(F.filter(F.transform("t", lambda t, j: F.when(~lost(j), misread(t, j))), lambda t: t.isNotNull()), " ")
+    third_reader = F.array_join(F.transform("t", lambda t, j: F.when(j == 22, F.concat(F.lit("y"), t)).otherwise(t)), " ")
+    reader = lambda pos, engine, text: F.struct(F.lit(pos).alias("pos"), F.lit(engine).alias("engine"), text.alias("text"), F.lit(0.9).alias("confidence"))
+    all_readers = F.array_compact(F.array(
+        reader(0, "htr", F.array_join("t", " ")),
+        F.when((F.col("job_id") + F.col("page")) % 7 != 0, reader(1, "tesseract", second_reader)),
+        F.when((F.col("job_id") + F.col("region_id")) % 3 == 0, reader(2, "ollama_vlm", third_reader))))
+    return rows.select("job_id", "page", "region_id", F.explode(all_readers).alias("r")).select("job_id", "page", "region_id", "r.*")

@@ -162,3 +162,8 @@ def test_normal_form(spark):
     df = spark.createDataFrame(list(cases.items()), "t string, want string").withColumn("got", reading.normal_form(arrow.fold("t")))
     for r in df.collect():
         assert r["got"] == r["want"], r["t"]
+
+
+def test_a_nul_in_a_text_hides_no_negation(spark):
+    for r in regions(spark, both_orders("a b\0c nicht d", "a b\0c d")):
+        assert [d["reason"] for d in r["disagreements"]] == ["critical_word:nicht"] and r["critical"]
