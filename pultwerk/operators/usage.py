@@ -200,15 +200,20 @@ def messages_per_euro(input_price: Column, output_price: Column) -> Column:
 
 
 def budget_alerts(priced: DataFrame, budget: float = fv.MONTHLY_BUDGET_USD,
-                  request_limit: float = fv.REQUEST_WARNING_USD) -> DataFrame:
+                  request_limit: float = fv.REQUEST_WARNING_USD, spent: DataFrame | None = None) -> DataFrame:
     """Month-to-date cost at every event and the alerts it raises.
 
+    ``spent`` (month, spent) holds what months cost before these events: a row per month.
+
     The running total spans partitions (see ``ordered``), so one month holding most of the
     rows is still worked on by many tasks.
     """
     keyed = period_keys(priced).select("month", "ts", "request_id", "cost")
     split = ordered.range_split(keyed, ["month"], ["ts", "request_id"])
     run = ordered.running(split, ["month"], ["ts", "request_id"], F.col("cost"), "month_to_date")
+    if spent is not None:
+        named = F.broadcast(spent.withColumnRenamed("month", "_month"))
+        run = run.join(named, F.col("month").eqNullSafe(F.col("_month")), "left").withColumn("month_to_date", F.col("month_to_date") + F.coalesce("spent", F.lit(0).cast(MONEY)))
     level = (F.when(F.col("month_to_date") >= budget * 0.9, "budget_90")
              .when(F.col("month_to_date") >= budget * 0.75, "budget_75"))
     return run.select(

@@ -15,7 +15,7 @@ from pultwerk.plans.registry import query
 from pultwerk.plans.retrieval_queries import _INGEST
 from pultwerk.plans.review_queries import _STATES, _candidates, _critical
 from pultwerk.plans.usage_queries import _EV, r6
-from pultwerk.session import shared_dir
+from pultwerk.session import ROCKSDB, shared_dir
 from pultwerk.sources.tables import VIEWS, table, view_sql
 from pultwerk.streaming import jobs
 
@@ -27,6 +27,21 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return source.selectExpr(*[f"{expr} AS {col}" for col, expr in columns.items()])
 
 
+def in_batches(spark: SparkSession, sf_dir: str, name: str, order: str, late: str = "false", batches: int = 3) -> DataFrame:
+    """The same, its rows written as one arrival after the other and read one a batch.
+
+    Arrivals follow ``order``; rows for which ``late`` holds come with the last one.
+    """
+    rows = table(spark, sf_dir, VIEWS[name][0]).withColumn("_o", F.col(order).cast("timestamp").cast("double") if order == "ts" else F.col(order).cast("double"))
+    borders = rows.approxQuantile("_o", [i / batches for i in range(1, batches)], 0.001)
+    arrival = F.when(F.expr(late), batches - 1).otherwise(sum((F.col("_o") > b).cast("int") for b in borders))
+    dealt, folder = rows.withColumn("_a", arrival), _folder(spark)
+    for i in range(batches):
+        dealt.filter(F.col("_a") == i).drop("_o", "_a").write.parquet(f"{folder}/arrivals/{i}")
+    source = spark.readStream.schema(rows.drop("_o").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{folder}/arrivals")
+    return source.selectExpr(*[f"{expr} AS {col}" for col, expr in VIEWS[name][1].items()])
+
+
 def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
@@ -53,14 +68,14 @@ def _(spark, sf):
     def writer(path):
         return lambda batch, i: batch.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{path}/b={i}")
 
-    out = spark.read.parquet(by_batch(jobs.usage_by_day_model(stream(spark, sf, "usage_events")), writer, "update"))
+    out = spark.read.parquet(by_batch(jobs.usage_by_day_model(in_batches(spark, sf, "usage_events", "ts")), writer, "update"))
     last = F.max_by(F.struct("total_tokens", "cost", "requests"), "batch").alias("v")
     return out.groupBy("day", "model").agg(last).select("day", "model", "v.total_tokens", F.round("v.cost", 6).cast("double").alias("cost_usd"), "v.requests")
 
 
 @query("st_02_late_events", _EV + _DAYMODEL)
 def _(spark, sf):
-    return jobs.from_partials(spark, by_batch(stream(spark, sf, "usage_events"), jobs.write_partials))
+    return jobs.from_partials(spark, by_batch(in_batches(spark, sf, "usage_events", "ts", late="event_id % 50 = 7"), jobs.write_partials))
 
 
 @query("st_03_review_machine", _STATES + " SELECT job_id, status FROM states")
@@ -68,7 +83,8 @@ def _(spark, sf):
     """Status after each job's last event."""
     texts = _candidates(spark, sf).select("job_id", "region_id", "engine", F.lit(True).alias("known"))
     critical = _critical(spark, sf).groupBy("job_id").agg(F.array_join(F.sort_array(F.collect_set("region_id")), ",").alias("critical_regions"))
-    events = stream(spark, sf, "review_events").join(texts, ["job_id", "region_id", "engine"], "left").join(critical, "job_id", "left")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    events = in_batches(spark, sf, "review_events", "ts").join(texts, ["job_id", "region_id", "engine"], "left").join(critical, "job_id", "left")
     problem = F.when(F.col("kind") == "edit", review.edit_problem(F.coalesce("known", F.lit(False))))
     done = to_table(jobs.review_outcomes(jobs.as_event_time(events).withColumn("problem", problem)))
     return done.groupBy("job_id").agg(F.max_by("status", "event_id").alias("status")).filter("status is not null")
@@ -77,7 +93,8 @@ def _(spark, sf):
 @query("st_04_budget_alerts", _EV + f""", run AS (SELECT month, request_id, cost, sum(cost) OVER (PARTITION BY month ORDER BY ts, request_id ROWS UNBOUNDED PRECEDING) AS mtd FROM priced)
  SELECT month, CAST(request_id AS VARCHAR) AS request_id, {r6('mtd')} AS month_to_date_usd, CASE WHEN mtd >= 90 THEN 'budget_90' WHEN mtd >= 75 THEN 'budget_75' END AS budget_alert, cost > 50 AS request_alert FROM run""")
 def _(spark, sf):
-    return to_table(jobs.budget_alerts(stream(spark, sf, "usage_events")))
+    folder = by_batch(in_batches(spark, sf, "usage_events", "ts"), jobs.write_budget_alerts)
+    return spark.read.parquet(f"{folder}/alerts").drop("batch").withColumn("request_id", F.col("request_id").cast("string"))
 
 
 @query("st_05_sticky_privacy", f"""WITH {view_sql('requests')}, f AS (SELECT conv_id, turn, len({findings_sql('text')}) > 0 AS is_local FROM requests)
@@ -89,7 +106,7 @@ def _(spark, sf):
 
 @query("st_06_alias_map", _STU + f", {_MAP} SELECT real, {_ALIAS.format(i='idx')} AS alias FROM amap")
 def _(spark, sf):
-    names = stream(spark, sf, "students").select(F.col("family_name").alias("name"), F.col("student_id").alias("seen"))
+    names = in_batches(spark, sf, "students", "c_custkey").select(F.col("family_name").alias("name"), F.col("student_id").alias("seen"))
     return spark.read.parquet(by_batch(names, jobs.grow_alias_map)).select("real", "alias")
 
 

@@ -7,6 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None, **extra) -> SparkSession:
     """Session with the settings every job here relies on.
 
@@ -22,6 +25,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # bounds the Arrow batch that one Python worker holds when rows carry whole texts
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        # state of the review stream needs it
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from pultwerk import fixed_values as fv
 from pultwerk.operators import pseudonym, retrieval, usage
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def as_event_time(stream: DataFrame, column: str = "ts") -> DataFrame:
     """Event time must be a timestamp with zone; the session runs in UTC."""
@@ -50,31 +46,26 @@ def from_partials(spark: SparkSession, path: str) -> DataFrame:
         F.sum("total_tokens").alias("total_tokens"), usage.usd(F.sum("cost")).alias("cost_usd"), F.sum("requests").alias("requests"))
 
 
-ALERT_SCHEMA = "month string, request_id string, month_to_date_usd double, budget_alert string, request_alert boolean"
-
-
-def budget_alerts(stream: DataFrame, budget: int = fv.MONTHLY_BUDGET_USD, request_limit: int = fv.REQUEST_WARNING_USD) -> DataFrame:
-    """Month-to-date cost per event with the alert it raises; state is one sum per month.
+def write_budget_alerts(path: str):
+    """foreachBatch writer of month-to-date alerts.
 
-    The sum is kept in units of 1e-8 USD, so it stays exact.
+    A month may hold most of a batch, so each batch is the parallel batch job; between
+    batches one sum per month is carried. Every batch writes the sums of all months beside
+    its alerts and reads only those of the batch before, so history is never read again
+    and a repeated batch gives the same rows.
     """
-    levels = [("budget_90", budget * 90 * 10**6), ("budget_75", budget * 75 * 10**6)]
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = f"{path}/spent/batch={batch_id - 1}"
+        schema = "month string, spent decimal(38,8)"
+        spent = spark.read.schema(schema).parquet(before) if batch_id else spark.createDataFrame([], schema)
+        priced = usage.with_cost(batch)
+        usage.budget_alerts(priced, spent=spent).write.mode("overwrite").parquet(f"{path}/alerts/batch={batch_id}")
+        new = usage.period_keys(priced).groupBy("month").agg(F.sum("cost").alias("spent"))
+        both = spent.unionByName(new).groupBy("month").agg(F.sum("spent").cast("decimal(38,8)").alias("spent"))
+        both.coalesce(1).write.mode("overwrite").parquet(f"{path}/spent/batch={batch_id}")
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total = int(state.get[0]) if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        running = [total := total + int(c) for c in rows["cost_units"]]
-        state.update((str(total),))
-        yield pd.DataFrame({
-            "month": key[0], "request_id": rows["request_id"].to_numpy(),
-            "month_to_date_usd": [float(round(Decimal(t).scaleb(-8), 8).quantize(Decimal("0.000001"), rounding="ROUND_HALF_UP")) for t in running],
-            "budget_alert": [next((name for name, limit in levels if t >= limit), None) for t in running],
-            "request_alert": (rows["cost_units"] > request_limit * 10**8).to_numpy()})
-
-    keyed = usage.period_keys(usage.with_cost(stream)).select(
-        "month", F.col("ts").cast("timestamp").alias("ts"), F.col("request_id").cast("string").alias("request_id"), F.col("request_id").alias("seq"),
-        (F.col("cost") * 100_000_000).cast("long").alias("cost_units"))
-    return keyed.groupBy("month").applyInPandasWithState(step, ALERT_SCHEMA, "total string", "append", GroupStateTimeout.NoTimeout)
+    return write
 
 
 # --- chats -------------------------------------------------------------------------------
@@ -83,6 +74,7 @@ def sticky_privacy(stream: DataFrame) -> DataFrame:
     """turns(conv_id, turn, is_local) → mode per turn; state is the first local turn."""
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         first = state.get[0] if state.exists else None
+        # a chat has a bounded number of messages
         rows = pd.concat(list(batches))
         local = rows.loc[rows["is_local"], "turn"]
         if len(local):
@@ -151,8 +143,10 @@ class ReviewMachine(StatefulProcessor):
 
 
 def review_outcomes(stream: DataFrame) -> DataFrame:
-    """events(job_id, ts, event_id, kind, region_id, problem, critical_regions) → outcome per event."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """events(job_id, ts, event_id, kind, region_id, problem, critical_regions) → outcome per event.
+
+    The session needs the RocksDB state store (``get_session`` sets it).
+    """
     columns = stream.select("job_id", "ts", "event_id", "kind", "region_id", "problem", "critical_regions")
     return columns.groupBy("job_id").transformWithStateInPandas(
         statefulProcessor=ReviewMachine(), outputStructType="job_id long, event_id long, kind string, outcome string, status string", outputMode="Append", timeMode="None")
@@ -170,16 +164,12 @@ def grow_alias_map(path: str):
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = alias_map(spark, path).filter(F.col("batch") < batch_id).drop("batch")
+        # batch numbers start at 0, so a later batch has a folder before it
+        stored = spark.read.schema(schema).option("basePath", path).parquet(path) if batch_id else spark.createDataFrame([], schema)
+        known = stored.filter(F.col("batch") < batch_id).drop("batch")
         new = pseudonym.assign_aliases(batch, known).join(known.select("real"), "real", "left_anti")
         new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    def alias_map(spark: SparkSession, folder: str) -> DataFrame:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(folder)
-
     return write
 
 

@@ -144,6 +144,19 @@ def test_late_events_and_aliases_over_batches(spark, tmp_path):
     assert {r["real"]: r["alias"] for r in spark.read.parquet(str(tmp_path / "map")).collect()} == {"Max": "SuS-01", "Erika": "SuS-02", "Udo": "SuS-03"}
 
 
+def test_budget_alerts_over_batches(spark, tmp_path):
+    schema = "request_id long, ts timestamp_ntz, user_id long, model string, provider string, input_tokens long, output_tokens long, skill_name string"
+    rng = random.Random(7)
+    rows = sorted((dt.datetime(2026, 1 + rng.randrange(2), rng.randrange(1, 28), rng.randrange(24)), i) for i in range(90))
+    rows = [(i, ts, 1, "openai/gpt-4", None, 80_000, 1000, None) for ts, i in rows]
+    src = feed(spark, str(tmp_path / "in"), rows, schema, [range(0, 30), range(30, 31), range(31, 90)])
+    jobs.run_to_end(src.writeStream.foreachBatch(jobs.write_budget_alerts(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    got = {r["request_id"]: (r["month"], r["month_to_date_usd"], r["budget_alert"]) for r in spark.read.parquet(str(tmp_path / "out" / "alerts")).collect()}
+    whole = usage.budget_alerts(usage.with_cost(spark.createDataFrame(rows, schema))).collect()
+    assert got == {r["request_id"]: (r["month"], r["month_to_date_usd"], r["budget_alert"]) for r in whole}
+    assert {a for _, _, a in got.values()} == {None, "budget_75", "budget_90"}
+
+
 def test_entry_points(spark, small):
     import __spark_entry__ as e
 
