@@ -1,10 +1,10 @@
 """Running totals, previous values and positions that survive a hot group.
 
-A plain window sends a whole group to one task. Here rows are range-partitioned by
-(group, order), so a group may span many partitions; each partition is worked on alone and
-carries over one small value per partition. A partition continues at most one group from
-the partition before it, so the carry-over table has at most one row per partition, which
-is what makes broadcasting it safe whatever the data size.
+A plain window sends a whole group to one task. Here rows are numbered by ranges of
+(group, order), so a group may span many parts; each part is worked on alone and carries
+over one small value. A part continues at most one group from the part before it, so the
+carry-over table has at most one row per part, which is what makes broadcasting it safe
+whatever the data size.
 """
 
 from __future__ import annotations
@@ -14,19 +14,42 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pultwerk.session import cut_lineage
-
 PART = "_part"
 
 
+# rows looked at per partition for the borders; the sample places borders and nothing else
+BORDER_ROWS = 64
+
+
+def _borders(keys: DataFrame, n: int) -> list[tuple]:
+    """Up to n - 1 key tuples that cut the rows into parts of about equal size."""
+    total = keys.count()
+    share = min(1.0, BORDER_ROWS * n / max(total, 1))
+    sample = sorted((tuple((v is not None, v) for v in r) for r in keys.sample(share, seed=11).collect()), key=lambda r: tuple(x if x[0] else (False,) for x in r))
+    cuts = [sample[len(sample) * i // n] for i in range(1, n)] if sample else []
+    return [tuple(v for _, v in c) for c in dict.fromkeys(cuts)]
+
+
 def range_split(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """Rows range-partitioned by group and order, with their partition number as data.
+    """Rows with the number of their range of (group, order) as data.
 
-    The checkpoint pins the numbers: a lost executor re-reads them and cannot compute
-    other range bounds. ``order`` should end in a unique column so that ties can be split.
+    The borders are constants of the plan, found once, so a row's number depends on the row
+    alone: a lost executor computes the same one again, and nothing has to be written.
+    ``order`` should end in a unique column so that ties can be split.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut_lineage(df.repartitionByRange(n, *group, *order).withColumn(PART, F.spark_partition_id()))
+    keys = df.select(*group, *order)
+    borders = _borders(keys, n)
+    if not borders:
+        return df.withColumn(PART, F.lit(0))
+    kinds = [f.dataType for f in keys.schema]
+    table = F.array(*[F.struct(*[F.lit(v).cast(kind).alias(f"k{i}") for i, (v, kind) in enumerate(zip(row, kinds))]) for row in borders])
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys.columns)])
+    # binary search for the number of borders below the key
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(borders).bit_length()))])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        (at + step <= len(borders)) & (F.get(table, at + step - 1) < key), at + step).otherwise(at))
+    return df.withColumn(PART, below)
 
 
 def _carry(per_part: DataFrame, group: list[str], carried: Column, name: str) -> DataFrame:
