@@ -126,6 +126,16 @@ def correction_tendency(corrections: DataFrame) -> DataFrame:
         "tendency", F.when(F.col("ratio") >= fv.GENEROUS_FROM, "großzügig").when(F.col("ratio") <= fv.STRICT_TO, "streng").otherwise("neutral"))
 
 
+def batch_progress(works: DataFrame) -> DataFrame:
+    """works(batch, done) → how many of a batch's works are corrected."""
+    return works.groupBy("batch").agg(F.count_if("done").alias("done"), F.count("*").alias("total"))
+
+
+def milestones(log: DataFrame) -> DataFrame:
+    """log(kind) → activities by kind."""
+    return log.groupBy("kind").agg(F.count("*").alias("n"))
+
+
 def phase_problems(phases: DataFrame) -> DataFrame:
     return phases.withColumn("problem", F.when((F.col("phase") == "Einstieg") & (F.col("minutes") > fv.OPENING_MAX_MINUTES), "opening_too_long")
                              .when((F.col("phase") == "Sicherung") & (F.col("minutes") < fv.CONSOLIDATION_MIN_MINUTES), "consolidation_too_short"))

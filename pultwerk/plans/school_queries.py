@@ -121,7 +121,7 @@ def _(spark, sf):
 
 @query("ag_24_batch_progress", "SELECT o_custkey AS batch, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) AS total FROM orders GROUP BY o_custkey")
 def _(spark, sf):
-    return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("batch")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("done"), F.count("*").alias("total"))
+    return grading.batch_progress(table(spark, sf, "orders").select(F.col("o_custkey").alias("batch"), (F.col("o_orderstatus") == "F").alias("done")))
 
 
 @query("ag_25_milestones", "SELECT 'planned_lessons' AS kind, count(*) AS n FROM orders UNION ALL SELECT 'rubrics', count(DISTINCT p_brand) FROM part UNION ALL SELECT 'corrections', count(*) FROM lineitem")
@@ -130,7 +130,7 @@ def _(spark, sf):
     log = (table(spark, sf, "orders").select(F.lit("planned_lessons").alias("kind"))
            .unionByName(table(spark, sf, "part").select("p_brand").distinct().select(F.lit("rubrics").alias("kind")))
            .unionByName(table(spark, sf, "lineitem").select(F.lit("corrections").alias("kind"))))
-    return log.groupBy("kind").agg(F.count("*").alias("n"))
+    return grading.milestones(log)
 
 
 _LES = f"WITH {view_sql('lessons')} "

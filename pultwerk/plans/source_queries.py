@@ -2,13 +2,51 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from pultwerk.operators import usage
 from pultwerk.plans.registry import query
-from pultwerk.sources import logs, manifest, results, sse
+from pultwerk.session import shared_dir
+from pultwerk.sources import logs, manifest, results, roster, sse, usage_files
 from pultwerk.sources.tables import table, view, view_sql
 
 
+def _folder(spark):
+    """A new folder that all executors share; the queries below write files there and read them."""
+    return f"{shared_dir(spark)}/files/{uuid.uuid4().hex}"
+
+
+@query("src_01_usage_files", f"WITH {view_sql('usage_events')} SELECT request_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, model, input_tokens, output_tokens, skill_name FROM usage_events WHERE request_id % 13 <> 5")
+def _(spark, sf):
+    """Event lines with an offset behind the time; every thirteenth is cut off and left out."""
+    line = F.to_json(F.struct(F.col("request_id").cast("string").alias("request_id"), F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")).alias("ts"), "user_id", "model", "provider", "input_tokens", "output_tokens", "skill_name"))
+    folder = _folder(spark)
+    view(spark, sf, "usage_events").select(F.when(F.col("request_id") % 13 == 5, F.substring(line, 1, 40)).otherwise(line)).write.text(folder)
+    return usage_files.read_events(spark, folder).select(F.col("request_id").cast("long").alias("request_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "model", "input_tokens", "output_tokens", "skill_name")
+
+
+@query("src_02_roster_files", "SELECT 'Kind ' || c_custkey AS vorname, c_name AS nachname, CASE WHEN c_nationkey % 2 = 1 THEN 'sie' ELSE '' END AS pronomen FROM customer WHERE c_custkey % 20 <> 3")
+def _(spark, sf):
+    """One folder of class lists with two orders of columns; rows without a first name are left out."""
+    c = table(spark, sf, "customer").withColumn("first", F.when(F.col("c_custkey") % 20 == 3, F.lit("  ")).otherwise(F.concat(F.lit("Kind "), F.col("c_custkey").cast("string"))))
+    folder = _folder(spark)
+    for odd, columns in ((0, {"Vorname": "first", "NACHNAME": "c_name"}), (1, {"nachname": "c_name", "Pronomen": "'sie'", " Vorname ": "first"})):
+        rows = c.filter(F.col("c_nationkey") % 2 == odd).selectExpr(*[f"{e} AS `{n}`" for n, e in columns.items()])
+        rows.write.mode("append").option("header", True).option("sep", ";").csv(folder)
+    return roster.read_roster(spark, folder)
+
+
+@query("src_12_report_json", f"WITH {view_sql('usage_events')} SELECT 'model' AS period, model AS key, count(*) AS requests, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM usage_events GROUP BY model UNION ALL SELECT 'total', 'total', count(*), CAST(sum(input_tokens) AS BIGINT), CAST(sum(output_tokens) AS BIGINT) FROM usage_events")
+def _(spark, sf):
+    """The whole report as JSON files by period, read back from two of its folders."""
+    folder = _folder(spark)
+    usage_files.write_json_report(usage.rollups(usage.with_cost(view(spark, sf, "usage_events"))), folder)
+    back = spark.read.json(folder).filter("period IN ('model', 'total')")
+    return back.select("period", "key", "requests", "input_tokens", "output_tokens")
+
+
 def _text(*parts):
     return F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
 
