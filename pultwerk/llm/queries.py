@@ -106,10 +106,10 @@ WITH RECURSIVE t AS (
   SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t WHERE len(w) > 0)
 ), sized AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
-), both AS (
+), shared AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
 ), links AS (
-  SELECT x, y FROM both JOIN sized p ON p.doc_id = x JOIN sized q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n + q.n - k)
+  SELECT x, y FROM shared JOIN sized p ON p.doc_id = x JOIN sized q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n + q.n - k)
 ), reach(doc_id, r) AS (
   SELECT doc_id, doc_id FROM t UNION SELECT l.y, reach.r FROM reach JOIN links l ON l.x = reach.doc_id
 ), named AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
