@@ -47,20 +47,30 @@ def rejected_edits(classified: DataFrame) -> DataFrame:
     return classified.filter("problem is not null").select("job_id", "region_id", "event_id", "problem")
 
 
-def job_states(events: DataFrame, critical_regions: DataFrame, accepted_edits: DataFrame, complete_status: str = "needs_review") -> DataFrame:
+def job_states(events: DataFrame, critical_regions: DataFrame, accepted_edits: DataFrame) -> DataFrame:
     """Final state of every created job.
 
+    A completed job takes the status its document came out with (``completed_as``:
+    needs_review, approved without a teacher's act, or failed), needs_review where the
+    events have none; a failed one keeps its ``error_code``. An automatic approval has no
+    date and ends with the first accepted edit.
+
     The state machine is worked out from a few minima and maxima per job instead of a walk
     through its events, so a job with very many events is combined before the shuffle:
     created, then deleted or read (completed or failed), then the first edit of every
     critical region, and an approval that comes after all of those and after the last edit.
     """
     at = _at()
+    for name in ("completed_as", "error_code"):
+        if name not in events.columns:
+            events = events.withColumn(name, F.lit(None).cast("string"))
+    came_out = F.coalesce("completed_as", F.lit("needs_review"))
+    outcome = F.when((F.col("kind") == "complete") & (came_out == "failed"), "fail").otherwise(F.col("kind"))
     born = events.groupBy("job_id").agg(F.min(F.when(F.col("kind") == "create", at)).alias("born")).filter("born is not null")
     alive = events.join(born, "job_id").filter(at > F.col("born"))
     ends = alive.groupBy("job_id").agg(
         F.min(F.when(F.col("kind") == "delete", at)).alias("died"),
-        F.min(F.when(F.col("kind").isin("complete", "fail"), F.struct(at.alias("at"), "kind"))).alias("read"))
+        F.min(F.when(F.col("kind").isin("complete", "fail"), F.struct(at.alias("at"), outcome.alias("kind"), came_out.alias("came_out"), F.when(F.col("kind") == "fail", F.col("error_code")).alias("code")))).alias("read"))
     jobs = born.join(ends, "job_id", "left").withColumn("read", F.when(F.col("died").isNull() | (F.col("read.at") < F.col("died")), F.col("read")))
     open_jobs = jobs.filter("read.kind = 'complete'").select("job_id", F.col("read.at").alias("read_at"), "died")
     during = lambda df: df.join(open_jobs, "job_id").filter((at > F.col("read_at")) & (F.col("died").isNull() | (at < F.col("died"))))
@@ -75,11 +85,13 @@ def job_states(events: DataFrame, critical_regions: DataFrame, accepted_edits: D
     approvals = during(events.filter("kind = 'approve'").select("job_id", "ts", "event_id")).join(
         ready.filter("unresolved = 0").select("job_id", "ready_at"), "job_id").filter(at > F.col("ready_at")).groupBy("job_id").agg(F.min(at).alias("approved"))
     out = jobs.join(ready.select("job_id", "edited_regions", "unresolved"), "job_id", "left").join(approvals, "job_id", "left")
+    untouched = (F.col("read.came_out") == "approved") & (F.coalesce("edited_regions", F.lit(0)) == 0)
     status = (F.when(F.col("died").isNotNull(), "deleted").when(F.col("read").isNull(), "processing").when(F.col("read.kind") == "fail", "failed")
-              .when(F.col("approved").isNotNull(), "approved").otherwise(complete_status))
+              .when(F.col("approved").isNotNull() | untouched, "approved").otherwise("needs_review"))
     gone = F.col("died").isNotNull()
     return out.select(
-        "job_id", status.alias("status"), F.col("born.ts").alias("created_at"), F.when(~gone, F.col("approved.ts")).alias("approved_at"),
+        "job_id", status.alias("status"), F.when(~gone & (F.col("read.kind") == "fail"), F.col("read.code")).alias("error_code"),
+        F.col("born.ts").alias("created_at"), F.when(~gone & ~F.coalesce(untouched, F.lit(False)), F.col("approved.ts")).alias("approved_at"),
         F.coalesce("edited_regions", F.lit(0)).alias("edited_regions"), F.coalesce("unresolved", F.lit(0)).alias("unresolved_critical"))
 
 

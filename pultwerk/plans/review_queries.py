@@ -43,13 +43,13 @@ def _(spark, sf):
 _STATES = _EV + _CLS + """, crit AS (SELECT c_custkey AS job_id, r AS region_id FROM customer, range(0, 5) t(r) WHERE (c_custkey + r) % 4 = 0 AND c_custkey % 5 <> 0),
  born AS (SELECT job_id, min((ts, event_id)) AS born, min(ts) AS created FROM review_events WHERE kind = 'create' GROUP BY job_id),
  died AS (SELECT e.job_id, min((ts, event_id)) AS died FROM review_events e JOIN born USING (job_id) WHERE kind = 'delete' AND (ts, event_id) > born GROUP BY e.job_id),
- rd AS (SELECT e.job_id, arg_min(kind, (ts, event_id)) AS kind, min((ts, event_id)) AS rat FROM review_events e JOIN born USING (job_id) WHERE kind IN ('complete', 'fail') AND (ts, event_id) > born GROUP BY e.job_id),
- j AS (SELECT b.job_id, created, died, CASE WHEN died IS NULL OR rat < died THEN kind END AS kind, rat FROM born b LEFT JOIN died USING (job_id) LEFT JOIN rd USING (job_id)),
+ rd AS (SELECT e.job_id, arg_min(CASE WHEN kind = 'complete' AND completed_as = 'failed' THEN 'fail' ELSE kind END, (ts, event_id)) AS kind, arg_min(completed_as, (ts, event_id)) AS came_out, arg_min(CASE WHEN kind = 'fail' AND error_code IS NOT NULL THEN error_code ELSE '' END, (ts, event_id)) AS code, min((ts, event_id)) AS rat FROM review_events e JOIN born USING (job_id) WHERE kind IN ('complete', 'fail') AND (ts, event_id) > born GROUP BY e.job_id),
+ j AS (SELECT b.job_id, created, died, CASE WHEN died IS NULL OR rat < died THEN kind END AS kind, came_out = 'approved' AS auto, code, rat FROM born b LEFT JOIN died USING (job_id) LEFT JOIN rd USING (job_id)),
  ed AS (SELECT c.job_id, c.region_id, min((ts, event_id)) AS f, max((ts, event_id)) AS l FROM cls c JOIN j USING (job_id) WHERE j.kind = 'complete' AND problem IS NULL AND (ts, event_id) > rat AND (died IS NULL OR (ts, event_id) < died) GROUP BY c.job_id, c.region_id),
  eds AS (SELECT job_id, max(l) AS last_edit, count(*) AS n FROM ed GROUP BY job_id), cr AS (SELECT c.job_id, count(*) FILTER (f IS NULL) AS open, max(f) AS done FROM crit c LEFT JOIN ed USING (job_id, region_id) GROUP BY c.job_id),
  ap AS (SELECT a.job_id, min(a.ts) AS approved_at FROM review_events a JOIN j USING (job_id) LEFT JOIN eds USING (job_id) LEFT JOIN cr USING (job_id) WHERE a.kind = 'approve' AND j.kind = 'complete' AND COALESCE(open, 0) = 0 AND (a.ts, a.event_id) > rat AND (died IS NULL OR (a.ts, a.event_id) < died)
    AND (last_edit IS NULL OR (a.ts, a.event_id) > last_edit) AND (done IS NULL OR (a.ts, a.event_id) > done) GROUP BY a.job_id),
- states AS (SELECT job_id, CASE WHEN died IS NOT NULL THEN 'deleted' WHEN j.kind IS NULL THEN 'processing' WHEN j.kind = 'fail' THEN 'failed' WHEN approved_at IS NOT NULL THEN 'approved' ELSE 'needs_review' END AS status, created AS created_at, CASE WHEN died IS NULL THEN approved_at END AS approved_at,
+ states AS (SELECT job_id, CASE WHEN died IS NOT NULL THEN 'deleted' WHEN j.kind IS NULL THEN 'processing' WHEN j.kind = 'fail' THEN 'failed' WHEN approved_at IS NOT NULL OR auto AND n IS NULL THEN 'approved' ELSE 'needs_review' END AS status, CASE WHEN died IS NULL AND j.kind = 'fail' THEN nullif(code, '') END AS error_code, created AS created_at, CASE WHEN died IS NULL AND NOT (auto AND n IS NULL) THEN approved_at END AS approved_at,
    COALESCE(n, 0) AS edited_regions, CASE WHEN j.kind = 'complete' THEN COALESCE(open, 0) ELSE 0 END AS unresolved_critical FROM j LEFT JOIN eds USING (job_id) LEFT JOIN cr USING (job_id) LEFT JOIN ap USING (job_id))"""
 _TS = "strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}"
 
@@ -63,7 +63,7 @@ def _stamp(df, *cols):
     return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in cols})
 
 
-@query("rv_01_job_states", _STATES + f" SELECT job_id, status, {_TS.format(c='created_at')}, {_TS.format(c='approved_at')}, edited_regions, unresolved_critical FROM states")
+@query("rv_01_job_states", _STATES + f" SELECT job_id, status, error_code, {_TS.format(c='created_at')}, {_TS.format(c='approved_at')}, edited_regions, unresolved_critical FROM states")
 def _(spark, sf):
     return _stamp(states(spark, sf), "created_at", "approved_at")
 

@@ -82,6 +82,8 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
         "event_id": "event_id", "ts": "ts", "job_id": "CAST(user_id AS BIGINT)",
         "kind": "CASE event_type WHEN 'signup' THEN 'create' WHEN 'view' THEN 'complete' WHEN 'click' THEN 'edit' WHEN 'purchase' THEN 'approve' ELSE CASE WHEN event_id % 3 = 0 AND user_id % 4 = 0 THEN 'fail' WHEN event_id % 3 = 2 AND user_id % 5 = 0 THEN 'delete' ELSE 'edit' END END",
         "region_id": "event_id % 5",
+        "completed_as": "CASE CAST(user_id AS BIGINT) % 4 WHEN 1 THEN 'approved' WHEN 2 THEN CASE WHEN event_id % 2 = 0 THEN 'failed' ELSE 'needs_review' END ELSE 'needs_review' END",
+        "error_code": "CASE WHEN event_id % 2 = 0 THEN 'cloud_blocked' END",
         "engine": "CASE event_id % 7 WHEN 0 THEN 'htr' WHEN 1 THEN 'tesseract' WHEN 2 THEN 'abacus' END",
         "text": "CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 7 > 2 THEN concat('Text ', CAST(event_id AS VARCHAR(20))) END",
     }),

@@ -110,7 +110,8 @@ class ReviewMachine(StatefulProcessor):
         if kind in ("complete", "fail"):
             if status != "processing":
                 return status, "ignored"
-            return ("needs_review", "completed") if kind == "complete" else ("failed", "failed")
+            came_out = (row.completed_as or "needs_review") if kind == "complete" else "failed"
+            return came_out, "failed" if came_out == "failed" else "completed"
         if kind == "edit":
             if status not in ("needs_review", "approved"):
                 return status, "not_ready"
@@ -143,11 +144,11 @@ class ReviewMachine(StatefulProcessor):
 
 
 def review_outcomes(stream: DataFrame) -> DataFrame:
-    """events(job_id, ts, event_id, kind, region_id, problem, critical_regions) → outcome per event.
+    """events(job_id, ts, event_id, kind, region_id, problem, critical_regions, completed_as) → outcome per event.
 
     The session needs the RocksDB state store (``get_session`` sets it).
     """
-    columns = stream.select("job_id", "ts", "event_id", "kind", "region_id", "problem", "critical_regions")
+    columns = stream.select("job_id", "ts", "event_id", "kind", "region_id", "problem", "critical_regions", "completed_as")
     return columns.groupBy("job_id").transformWithStateInPandas(
         statefulProcessor=ReviewMachine(), outputStructType="job_id long, event_id long, kind string, outcome string, status string", outputMode="Append", timeMode="None")
 

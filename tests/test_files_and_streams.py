@@ -124,8 +124,8 @@ def test_sticky_mode_over_batches(spark, tmp_path):
 
 def test_review_machine_over_batches(spark, tmp_path):
     kinds = ["approve", "create", "edit", "complete", "approve", "edit", "edit", "approve", "edit", "approve", "delete", "approve"]
-    rows = [(1, dt.datetime(2026, 1, 1, 0, i), i, k, 2, "empty_patch" if i == 5 else None, "2") for i, k in enumerate(kinds)]
-    src = feed(spark, str(tmp_path / "in"), rows, "job_id long, ts timestamp, event_id long, kind string, region_id long, problem string, critical_regions string",
+    rows = [(1, dt.datetime(2026, 1, 1, 0, i), i, k, 2, "empty_patch" if i == 5 else None, "2", None) for i, k in enumerate(kinds)]
+    src = feed(spark, str(tmp_path / "in"), rows, "job_id long, ts timestamp, event_id long, kind string, region_id long, problem string, critical_regions string, completed_as string",
                [[0, 1, 2], [3, 4], [5, 6, 7], [8, 9, 10, 11]])
     got = [r["outcome"] for r in run(jobs.review_outcomes(src), str(tmp_path)).orderBy("event_id").collect()]
     assert got == ["not_found", "created", "not_ready", "completed", "critical_uncertainty", "empty_patch", "edited", "approved", "edited", "approved", "deleted", "not_found"]
