@@ -88,6 +88,8 @@ def align(readings: pd.Series) -> pd.Series:
     popularity heuristic stays off: it would ignore frequent words in long regions.
     """
     def row(texts):
+        if texts is None:
+            return None
         first, *rest = [t.split(SEPARATOR) if t else [] for t in texts]
         return [_codes(first, other) for other in rest]
 

@@ -86,9 +86,14 @@ def align_regions(candidates: DataFrame) -> DataFrame:
         F.slice("readers", 2, F.size("readers")), lambda a, b: a["pos"] - b["pos"]))
     # all readers of a region fold in one string: readings apart by a line feed, tokens by the separator
     per_reader = F.transform(F.concat(F.array("ref"), F.col("others")), lambda r: reading.joined(r["tokens"]))
-    rows = rows.withColumn("folded", arrow.fold(F.array_join(per_reader, f"{arrow.SEPARATOR}\n{arrow.SEPARATOR}")))
+    # readings that are equal word for word need neither folding nor alignment
+    same = F.forall("others", lambda o: o["tokens"] == F.col("ref.tokens"))
+    rows = rows.withColumn("folded", arrow.fold(F.when(~same, F.array_join(per_reader, f"{arrow.SEPARATOR}\n{arrow.SEPARATOR}"))))
     norm = F.transform(F.split("folded", f"{arrow.SEPARATOR}\n{arrow.SEPARATOR}"), reading.normal_form)
-    rows = rows.withColumn("codes", arrow.align(norm)).withColumn("ops", F.transform("codes", _operations)).drop("folded", "codes")
+    size = F.size("ref.tokens")
+    alike = F.transform("others", lambda o: F.array(F.struct(
+        F.lit(True).alias("equal"), F.lit(0).alias("r0"), size.alias("r1"), F.lit(0).alias("o0"), size.alias("o1"))))
+    rows = rows.withColumn("codes", arrow.align(norm)).withColumn("ops", F.when(F.col("codes").isNull(), alike).otherwise(F.transform("codes", _operations))).drop("folded", "codes")
     # every reader with its own operations; the reference stands for itself
     marked = F.flatten(F.concat(
         F.array(F.transform("ref.alternatives", lambda a: F.struct(a["token"].alias("at"), F.col("ref.engine").alias("engine"), a["options"].alias("options"), (a["token"] < F.size("ref.tokens")).alias("ok")))),
@@ -134,19 +139,26 @@ def classify_spans(spans: DataFrame, vocabulary: Vocabulary = Vocabulary()) -> D
 def _judged(aligned: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """One row per range with its verdict, and one bare row for a region without ranges.
 
-    The region's own columns ride along, so that nothing has to be joined back later.
+    A summary of the region rides along instead of its readings, so rows stay narrow and
+    nothing has to be joined back later.
     """
-    rows = aligned.select(*KEYS, "readers", "ref", "others", "ops", "marked", F.explode_outer("ranges").alias("range"))
+    summary = F.struct(
+        F.col("ref.engine").alias("reference_engine"), F.col("ref.text").alias("selected_text"), F.size("readers").alias("n_readers"),
+        F.array_sort(F.transform("readers", lambda r: r["engine"])).alias("engines"),
+        (F.aggregate("readers", F.lit(0.0), lambda acc, r: acc + r["confidence"]) / F.size("readers")).alias("mean_confidence"))
+    # a step of its own: next to a generator the struct would lose its field names
+    summed = aligned.withColumn("region", summary)
+    rows = summed.select(*KEYS, "region", "ref", "others", "ops", "marked", F.explode_outer("ranges").alias("range"))
     start, end = F.col("range.s"), F.col("range.e")
     rows = rows.select(
-        *KEYS, "readers", F.col("ref.tokens").alias("ref_tokens"), start.alias("start"), end.alias("end"),
+        *KEYS, "region", F.col("ref.tokens").alias("ref_tokens"), start.alias("start"), end.alias("end"),
         F.when(F.col("range").isNotNull(), _variants(start, end)).alias("pairs"),
         F.coalesce(F.get("ref.tokens", start - 1), F.lit("")).alias("left"), F.coalesce(F.get("ref.tokens", end), F.lit("")).alias("right"))
     none = F.array().cast("array<string>")
     rows = classify_spans(rows.withColumn("texts", F.coalesce(F.array_distinct(F.transform("pairs", lambda p: p["text"])), none)), vocabulary)
     variants = F.transform("texts", lambda t: F.struct(t.alias("text"), F.array_sort(F.array_distinct(F.transform(
         F.filter("pairs", lambda p: p["text"] == t), lambda p: p["engine"]))).alias("engines")))
-    return rows.select(*KEYS, "readers", "ref_tokens", "differs", F.struct(
+    return rows.select(*KEYS, "region", "ref_tokens", "differs", F.struct(
         "start", "end", variants.alias("variants"), F.col("reason").isNotNull().alias("critical"), F.coalesce("reason", F.lit("")).alias("reason")).alias("d"))
 
 
@@ -202,12 +214,10 @@ def build_regions(candidates: DataFrame, vocabulary: Vocabulary = Vocabulary())
     """
     judged = _judged(align_regions(candidates), vocabulary)
     rows = judged.groupBy(*KEYS).agg(
-        F.first("readers").alias("readers"), F.first("ref_tokens").alias("ref_tokens"),
+        F.first("region").alias("region"), F.first("ref_tokens").alias("ref_tokens"),
         F.array_sort(F.collect_list(F.when(F.col("differs"), F.col("d")))).alias("found"))
-    rows = rows.withColumn("agreement", agreement(F.col("found"), F.size("ref_tokens"), F.size("readers")))
-    ref = F.get("readers", F.lit(0))
+    rows = rows.withColumn("agreement", agreement(F.col("found"), F.size("ref_tokens"), F.col("region.n_readers")))
     return with_text(rows).select(
-        *KEYS, ref["engine"].alias("reference_engine"), ref["text"].alias("selected_text"), "consensus_text", "disagreements", "agreement",
-        F.size("readers").alias("n_readers"), F.array_sort(F.transform("readers", lambda r: r["engine"])).alias("engines"),
-        (F.aggregate("readers", F.lit(0.0), lambda acc, r: acc + r["confidence"]) / F.size("readers")).alias("mean_confidence"),
+        *KEYS, "region.reference_engine", "region.selected_text", "consensus_text", "disagreements", "agreement",
+        "region.n_readers", "region.engines", "region.mean_confidence",
         F.size("disagreements").alias("n_disagreements"), F.exists("disagreements", lambda d: d["critical"]).alias("critical"))
