@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,15 @@ def small_or_shuffled(narrow: DataFrame) -> DataFrame:
     return F.broadcast(narrow) if narrow.count() <= BROADCAST_ROWS else narrow
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Short parts of the batches, so that what a task makes of one stays small."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+        del whole
+        pa.default_memory_pool().release_unused()
+
+
 def utf8_slices(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column without nulls and the border of each value, uncopied."""
     if isinstance(column, pa.ChunkedArray):

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pultwerk.llm.common import queue_key, small_or_shuffled, stored, whole_text
+from pultwerk.llm.common import queue_key, slices, small_or_shuffled, stored, whole_text
 
 WINDOW = 2048
 # bits that weights are rounded to at most; products with queue positions must fit in 62
@@ -65,7 +65,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int, key: str, source: s
 
     def run(batches):
         part, before = TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for batch in slices(batches, 256):
             starts, counts, blobs = [], [], []
             queues = batch.column(1).to_pylist()
             for queue, text in zip(queues, batch.column(2)):
@@ -176,7 +176,8 @@ def pack(
     mixture, number = Mixture(weights, [totals[q] for q in queues]), {q: i for i, q in enumerate(queues)}
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1024):
+            found = []
             names = np.array([number[q] for q in batch.column(1).to_pylist()], dtype=np.int64)
             start, count = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             for queue in np.unique(names):
@@ -190,11 +191,13 @@ def pack(
                     doc, a, b, sequence, offset = cut(mixture, int(queue), starts, starts + count[rows[group]], window)
                     a, b = a - starts[doc], b - starts[doc]
                     blobs = [ids[group[d]][x:y].tobytes() for d, x, y in zip(doc, a, b)]
-                    at = pa.array(rows[group][doc])
-                    yield pa.RecordBatch.from_arrays([
-                        batch.column(0).take(at), batch.column(1).take(at), pa.array(a), pa.array(b - a), batch.column(3).take(at),
-                        pa.array(sequence), pa.array(offset), pa.array(blobs, pa.binary()),
-                    ], names=[key, "queue", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+                    found.append((rows[group][doc], a, b - a, sequence, offset, blobs))
+            at, start_of, length, sequence, offset = (np.concatenate(c) for c in list(zip(*found))[:5])
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(take), batch.column(1).take(take), pa.array(start_of), pa.array(length), batch.column(3).take(take),
+                pa.array(sequence), pa.array(offset), pa.array([x for f in found for x in f[5]], pa.binary()),
+            ], names=[key, "queue", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
     # sent to all tasks if small, so that the ids need not move
     placed = tokens.join(small_or_shuffled(stored(bases, "bases")), ["queue", "part"]).select(key, "queue", (F.col("base") + F.col("part_start")).alias("_start"), "n_tokens", "ids")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pultwerk.llm.common import small_or_shuffled, stored, whole_text
+from pultwerk.llm.common import slices, small_or_shuffled, stored, whole_text
 from pultwerk.llm.quality_rules import Text
 
 FEATURES, RIDGE, SEED = 256, 1e-3, 20
@@ -96,7 +96,7 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str, label: str) -> DataFr
     rows = docs.select(F.col(key), whole_text().alias("text")).join(small_or_shuffled(known), key).select("fold", "y", "text")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 512):
             x = [statistics(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["fold", "y", "x"])
 
@@ -181,7 +181,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept) + ", score double, predicted int"
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 512):
             x = np.array([statistics(t.as_py()) for t in batch.column(len(kept))]).reshape(batch.num_rows, N_STATISTICS)
             score = model.scores(x)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"])

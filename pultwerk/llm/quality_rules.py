@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pultwerk.llm.common import whole_text
+from pultwerk.llm.common import slices, whole_text
 
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -150,7 +150,7 @@ def judged(docs: DataFrame, order: list[str], rules: dict[str, Rule] = RULES, co
     schema = ", ".join([types, "rejected_by string", *(f"{name} long" for name, _ in extra)])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 512):
             verdicts, columns = [], [[] for _ in extra]
             for value in batch.column(len(kept)):
                 text = Text(value.as_py())
