@@ -13,47 +13,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pultwerk.llm.common import stored
+from pultwerk.llm.common import slices, stored
 from pultwerk.llm.components import components
 
+# star rounds before the exact completion; more of them leave it less to do
+ROUNDS = 4
+
 AsSet = Callable[[memoryview], np.ndarray]
 
 
 def live_buckets(keys: DataFrame) -> DataFrame:
-    """(band, node, center) of all buckets with at least two nodes, repeats left out.
+    """(band, node) of all buckets with at least two nodes, repeats left out.
 
     Rows are dealt by band and sorted, and a task walks over them holding one row, so a
-    bucket may have any size. The center is the bucket's smallest node.
+    bucket may have any size.
     """
     dealt = keys.select("band", "node").repartition("band").sortWithinPartitions("band", "node")
 
     def run(batches):
-        band_before = center_before = node_before = shown = None
+        band_before = head_before = node_before = shown = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             band, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             new = np.append(band_before is None or band[0] != band_before, band[1:] != band[:-1])
             fresh = new | np.append(node_before is None or node[0] != node_before, node[1:] != node[:-1])
+            first = np.flatnonzero(np.append(True, new[1:]))
             group = np.cumsum(new) - new[0]
-            heads = node[np.flatnonzero(np.append(True, new[1:]))]
+            heads = node[first].copy()
             if not new[0]:
-                heads = heads.copy()
-                heads[0] = center_before
-            center = heads[group]
-            leaf = fresh & (node != center)
+                heads[0] = head_before
+            # a bucket's first node is shown once a second one is met
+            other = fresh & (node != heads[group])
             alive = np.zeros(len(heads), bool)
-            alive[group[leaf]] = True
+            alive[group[other]] = True
             show = alive.copy()
             if not new[0] and shown:
                 show[0] = False
-            first = np.flatnonzero(np.append(True, new[1:]))
-            out_band, out_node, out_center = (np.concatenate([a, b]) for a, b in ((band[first][show], band[leaf]), (heads[show], node[leaf]), (heads[show], center[leaf])))
-            yield pa.RecordBatch.from_arrays([pa.array(out_band), pa.array(out_node), pa.array(out_center)], names=["band", "node", "center"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([band[first][show], band[other]])), pa.array(np.concatenate([heads[show], node[other]]))], names=["band", "node"])
             shown = bool(alive[-1] or (len(heads) == 1 and not new[0] and shown))
-            band_before, node_before, center_before = band[-1], node[-1], heads[-1]
+            band_before, node_before, head_before = band[-1], node[-1], heads[-1]
 
-    return dealt.mapInArrow(run, "band long, node long, center long")
+    return dealt.mapInArrow(run, "band long, node long")
 
 
 def confirmed(pairs: DataFrame, payloads: DataFrame, as_set: AsSet, percent: int) -> DataFrame:
@@ -63,7 +64,7 @@ def confirmed(pairs: DataFrame, payloads: DataFrame, as_set: AsSet, percent: int
     rows = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1024):
             linked, held, held_set = [], None, None
             for node, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
                 if node != held:
@@ -87,7 +88,7 @@ def prefix_pairs(payloads: DataFrame, groups: DataFrame, as_set: AsSet, percent:
     rows = groups.join(payloads, "node").dropDuplicates(["node"]).select("node", "component", "payload")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 256):
             values = [as_set(s.as_buffer()).view(np.int64) for s in batch.column(2)]
             counts = np.array([len(v) for v in values], np.int64)
             at = pa.array(np.repeat(np.arange(batch.num_rows), counts))
@@ -99,28 +100,50 @@ def prefix_pairs(payloads: DataFrame, groups: DataFrame, as_set: AsSet, percent:
     tokens = rows.mapInArrow(run, "node long, component long, n long, element long")
     known = tokens.groupBy("element").agg(F.count(F.lit(1)).alias("known")).where("known > 1")
     of_node = Window.partitionBy("node")
+    # elements that nobody else knows come first
     lone = F.col("n") - F.count(F.lit(1)).over(of_node)
-    rank = F.row_number().over(of_node.orderBy("known", "element"))
+    place = lone + F.row_number().over(of_node.orderBy("known", "element"))
     length = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-    ranked = tokens.join(known, "element").withColumns({"_lone": lone, "_rank": rank})
-    prefix = stored(ranked.where(F.col("_rank") + F.col("_lone") <= length).select("element", "node", "component"), "prefixes")
-    left = prefix.select("element", F.col("node").alias("a"), F.col("component").alias("_a"))
-    right = prefix.select("element", F.col("node").alias("b"), F.col("component").alias("_b"))
-    return left.join(right, "element").where("a < b AND _a <> _b").select("a", "b").distinct()
+    ranked = tokens.join(known, "element").withColumn("place", place)
+    prefix = stored(ranked.where(F.col("place") <= length).select("element", "node", "component", "n", "place"), "prefixes")
+    left, right = (prefix.select("element", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "n", "place")]) for side in "ab")
+    # what can still follow this common element must be enough for the threshold
+    similar_size = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    enough_left = f"{100 + percent} * (1 + least(n_a - place_a, n_b - place_b)) >= {percent} * (n_a + n_b)"
+    met = left.join(right, "element").where(f"node_a < node_b AND component_a <> component_b AND {similar_size} AND {enough_left}")
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def _still_open(members: DataFrame, parents: DataFrame) -> DataFrame:
+    """(band, node, component) of the buckets that hold several components."""
+    grouped = members.join(parents, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    mixed = grouped.groupBy("band").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("band")
+    return stored(grouped.join(mixed, "band"), "open-buckets")
 
 
-def linked(members: DataFrame, payloads: DataFrame, as_set: AsSet, percent: int) -> DataFrame:
+def linked(members: DataFrame, payloads: DataFrame, as_set: AsSet, percent: int, rounds: int = ROUNDS) -> DataFrame:
     """(node, component) of every node linked with a smaller one.
 
-    ``members`` are the live buckets. Star edges are confirmed and joined first. A star can
-    miss a link between two leaves, so buckets that still hold several components are
-    completed through ``prefix_pairs``; members of one component are never compared again.
+    ``members`` are the live buckets. Each round takes a center in every bucket that still
+    holds several components and confirms its star to the members of the others, so a
+    bucket gives fewer pairs than members; the center then leaves the bucket, as all its
+    links there are known. Small buckets end so. A star can miss a link between two leaves:
+    what is open after the rounds is completed exactly through ``prefix_pairs``. Members of
+    one component are never compared.
     """
-    stars = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    parents = components(stored(confirmed(stars, payloads, as_set, percent), "links"))
-    grouped = members.join(parents, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    mixed = grouped.groupBy("band").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("band")
-    open_nodes = grouped.join(mixed, "band").select("node", "component").distinct()
-    more = confirmed(prefix_pairs(payloads, open_nodes, as_set, percent), payloads, as_set, percent)
-    # what was joined before counts as an edge from each node to its component
+    spark = members.sparkSession
+    parents = spark.createDataFrame([], "node long, component long")
+    now = members.select("band", "node", F.col("node").alias("component"))
+    for number in range(rounds):
+        order = F.xxhash64("node", F.lit(number))
+        centers = now.groupBy("band").agg(F.min_by("node", order).alias("center"), F.min_by("component", order).alias("its"))
+        around = now.join(centers, "band").where("node <> center")
+        stars = around.where("component <> its").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+        links = confirmed(stars, payloads, as_set, percent)
+        # what was joined before counts as an edge from each node to its component
+        parents = components(parents.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+        now = _still_open(around.select("band", "node"), parents)
+        if now.isEmpty():
+            return parents
+    more = confirmed(prefix_pairs(payloads, now.select("node", "component").distinct(), as_set, percent), payloads, as_set, percent)
     return components(parents.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))

@@ -3,13 +3,14 @@
 1. A task turns each text into its set of word shingles, one-permutation MinHash with
    optimal densification and band keys (``shingles``). Texts with equal sets are one class
    from here on, whatever their number.
-2. Classes that share a band key form a bucket. A bucket gives star edges only: from its
-   smallest class to each other one, so a bucket of any size gives fewer pairs than members.
+2. Classes that share a band key form a bucket. A bucket gives star edges only: from a
+   center to each other class, so a bucket of any size gives fewer pairs than members.
 3. Candidate pairs are confirmed on the full sets, and a distributed union-find joins them.
-4. A star can miss a link between two leaves. Buckets that still hold several components
-   are completed exactly: two sets that are similar enough share one of their few rarest
-   shingles (prefix filter), so classes of different components that do are confirmed too.
-   Members of one component are never compared again.
+   Buckets that still hold several components get another center, a few rounds long.
+4. Stars can miss a link between two leaves. Buckets that are open after the rounds are
+   completed exactly: two sets that are similar enough share one of their few rarest
+   shingles (prefix filter with sizes and positions), so classes of different components
+   that do are confirmed too. Members of one component are never compared again.
 
 Nothing is sampled or capped; with bands of six over 240 bins a link at the threshold of
 0.85 is missed by all 40 bands with a probability of about 6e-9.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pultwerk.llm import shingles
-from pultwerk.llm.common import U64, small_or_shuffled, stored, utf8_slices, whole_text
+from pultwerk.llm.common import U64, slices, small_or_shuffled, stored, utf8_slices, whole_text
 from pultwerk.llm.jaccard import linked, live_buckets
 
 
@@ -40,14 +41,12 @@ def signatures(docs: DataFrame, key: str) -> DataFrame:
     rows = docs.select(F.col(key).alias("doc"), whole_text().alias("text"))
 
     def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                sets = _sets(batch, 1)
-                bands = [shingles.band_keys(shingles.one_permutation(s)) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([shingles.set_key(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())),
-                ], names=["doc", "n_shingles", "set_key", "bands"])
+        for batch in slices(batches, 256):
+            sets = _sets(batch, 1)
+            bands = [shingles.band_keys(shingles.one_permutation(s)) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([shingles.set_key(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())),
+            ], names=["doc", "n_shingles", "set_key", "bands"])
 
     return stored(rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, n_shingles long, set_key long, bands array<long>"), "signatures")
 
@@ -57,10 +56,9 @@ def full_sets(docs: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     rows = docs.select(F.col(key).alias("doc"), whole_text().alias("text")).join(small_or_shuffled(wanted), "doc", "left_semi").select("text")
 
     def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                sets = _sets(whole.slice(at, 1024), 0)
-                yield pa.RecordBatch.from_arrays([pa.array([shingles.set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "payload"])
+        for batch in slices(batches, 256):
+            sets = _sets(batch, 0)
+            yield pa.RecordBatch.from_arrays([pa.array([shingles.set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "payload"])
 
     return stored(rows.mapInArrow(run, "node long, payload binary"), "sets")
 
