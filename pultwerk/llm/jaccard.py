@@ -1,7 +1,8 @@
 """From band keys to components: star edges, exact confirmation, exact completion.
 
-Nodes are 64-bit keys of distinct contents. ``payloads`` holds (node, payload) and
-``as_set`` turns a payload into its sorted distinct 64-bit elements inside a task.
+Nodes are 64-bit keys of distinct contents. ``payloads`` holds (node, payload, n), n being
+the size of the set; ``as_set`` turns a payload into its sorted distinct 64-bit elements
+inside a task.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from pultwerk.llm.common import slices, stored
 from pultwerk.llm.components import components
 
-# star rounds before the exact completion; more of them leave it less to do
-ROUNDS = 4
+# centers of a bucket; more of them leave less to the exact completion
+CENTERS = 4
 
 AsSet = Callable[[memoryview], np.ndarray]
 
@@ -85,7 +86,7 @@ def prefix_pairs(payloads: DataFrame, groups: DataFrame, as_set: AsSet, percent:
     elements that the other lacks, so in any common order of elements their prefixes one
     longer meet. Rarest first, most sets have a prefix that nobody else knows.
     """
-    rows = groups.join(payloads, "node").dropDuplicates(["node"]).select("node", "component", "payload")
+    rows = groups.join(payloads.select("node", "payload"), "node").dropDuplicates(["node"]).select("node", "component", "payload")
 
     def run(batches):
         for batch in slices(batches, 256):
@@ -108,42 +109,54 @@ def prefix_pairs(payloads: DataFrame, groups: DataFrame, as_set: AsSet, percent:
     prefix = stored(ranked.where(F.col("place") <= length).select("element", "node", "component", "n", "place"), "prefixes")
     left, right = (prefix.select("element", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "n", "place")]) for side in "ab")
     # what can still follow this common element must be enough for the threshold
-    similar_size = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
     enough_left = f"{100 + percent} * (1 + least(n_a - place_a, n_b - place_b)) >= {percent} * (n_a + n_b)"
-    met = left.join(right, "element").where(f"node_a < node_b AND component_a <> component_b AND {similar_size} AND {enough_left}")
+    met = left.join(right, "element").where(f"node_a < node_b AND component_a <> component_b AND {_similar_size('n_a', 'n_b', percent)} AND {enough_left}")
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def _still_open(members: DataFrame, parents: DataFrame) -> DataFrame:
-    """(band, node, component) of the buckets that hold several components."""
-    grouped = members.join(parents, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+def _similar_size(a: str, b: str, percent: int) -> str:
+    """Sets of other sizes can't reach the threshold."""
+    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+
+
+def _still_open(members: DataFrame, parents: DataFrame, percent: int) -> DataFrame:
+    """(band, node, n, component) of the buckets that hold several components.
+
+    A member whose neighbours by size are too far off has no partner there and is left out.
+    """
+    by_size = Window.partitionBy("band").orderBy("n")
+    sized = members.withColumns({"_less": F.lag("n").over(by_size), "_more": F.lead("n").over(by_size)})
+    paired = sized.where(f"100 * _less >= {percent} * n OR 100 * n >= {percent} * _more").select("band", "node", "n")
+    grouped = paired.join(parents, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
     mixed = grouped.groupBy("band").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("band")
     return stored(grouped.join(mixed, "band"), "open-buckets")
 
 
-def linked(members: DataFrame, payloads: DataFrame, as_set: AsSet, percent: int, rounds: int = ROUNDS) -> DataFrame:
+def linked(members: DataFrame, payloads: DataFrame, as_set: AsSet, percent: int, centers: int = CENTERS) -> DataFrame:
     """(node, component) of every node linked with a smaller one.
 
-    ``members`` are the live buckets. Each round takes a center in every bucket that still
-    holds several components and confirms its star to the members of the others, so a
-    bucket gives fewer pairs than members; the center then leaves the bucket, as all its
-    links there are known. Small buckets end so. A star can miss a link between two leaves:
-    what is open after the rounds is completed exactly through ``prefix_pairs``. Members of
-    one component are never compared.
+    ``members`` are the live buckets. Every bucket gets a few centers and gives star edges
+    from each of them to its members, so it gives at most a few times as many pairs as
+    members; all links of the centers in their bucket are known then, and small buckets are
+    done. A star can miss a link between two leaves: buckets whose other members still lie
+    in several components are completed exactly through ``prefix_pairs``. Members of one
+    component, and sets of too different sizes, are never compared.
     """
-    spark = members.sparkSession
-    parents = spark.createDataFrame([], "node long, component long")
-    now = members.select("band", "node", F.col("node").alias("component"))
-    for number in range(rounds):
-        order = F.xxhash64("node", F.lit(number))
-        centers = now.groupBy("band").agg(F.min_by("node", order).alias("center"), F.min_by("component", order).alias("its"))
-        around = now.join(centers, "band").where("node <> center")
-        stars = around.where("component <> its").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-        links = confirmed(stars, payloads, as_set, percent)
-        # what was joined before counts as an edge from each node to its component
-        parents = components(parents.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
-        now = _still_open(around.select("band", "node"), parents)
-        if now.isEmpty():
-            return parents
+    nothing = members.sparkSession.createDataFrame([], "node long, component long")
+    sizes = payloads.groupBy("node").agg(F.max("n").alias("n"))
+    now = _still_open(members.join(sizes, "node").select("band", "node", "n"), nothing, percent)
+    # the same order in every bucket, so that a group of copies meets the same few centers
+    orders = [F.xxhash64("node", F.lit(i)) for i in range(centers)]
+    chosen = now.groupBy("band").agg(*[f("n" if k else "node", o).alias(f"{k}{i}") for i, o in enumerate(orders) for k, f in (("", F.min_by), ("n", F.min_by))])
+    picked = F.array(*[F.struct(F.col(f"`{i}`").alias("center"), F.col(f"n{i}").alias("its_n")) for i in range(centers)])
+    around = now.join(chosen.select("band", picked.alias("picked")), "band")
+    stars = around.select("node", "n", F.inline("picked")).where(f"node <> center AND {_similar_size('n', 'its_n', percent)}")
+    pairs = stars.select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct()
+    parents = components(stored(confirmed(pairs, payloads, as_set, percent), "links"))
+    leaves = around.where(~F.array_contains(F.col("picked.center"), F.col("node"))).select("band", "node", "n")
+    now = _still_open(leaves, parents, percent)
+    if now.isEmpty():
+        return parents
     more = confirmed(prefix_pairs(payloads, now.select("node", "component").distinct(), as_set, percent), payloads, as_set, percent)
+    # what was joined before counts as an edge from each node to its component
     return components(parents.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))

@@ -3,12 +3,11 @@
 1. A task turns each text into its set of word shingles, one-permutation MinHash with
    optimal densification and band keys (``shingles``). Texts with equal sets are one class
    from here on, whatever their number.
-2. Classes that share a band key form a bucket. A bucket gives star edges only: from a
-   center to each other class, so a bucket of any size gives fewer pairs than members.
+2. Classes that share a band key form a bucket. A bucket gives star edges only: from a few
+   centers to each other class, so a bucket of any size gives few pairs per member.
 3. Candidate pairs are confirmed on the full sets, and a distributed union-find joins them.
-   Buckets that still hold several components get another center, a few rounds long.
-4. Stars can miss a link between two leaves. Buckets that are open after the rounds are
-   completed exactly: two sets that are similar enough share one of their few rarest
+4. Stars can miss a link between two leaves. Buckets that still hold several components
+   are completed exactly: two sets that are similar enough share one of their few rarest
    shingles (prefix filter with sizes and positions), so classes of different components
    that do are confirmed too. Members of one component are never compared again.
 
@@ -52,15 +51,15 @@ def signatures(docs: DataFrame, key: str) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """(node, payload) of the wanted documents: key of the set and its sorted numbers."""
+    """(node, payload, n) of the wanted documents: key of the set and its sorted numbers."""
     rows = docs.select(F.col(key).alias("doc"), whole_text().alias("text")).join(small_or_shuffled(wanted), "doc", "left_semi").select("text")
 
     def run(batches):
         for batch in slices(batches, 256):
             sets = _sets(batch, 0)
-            yield pa.RecordBatch.from_arrays([pa.array([shingles.set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array([shingles.set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["node", "payload", "n"])
 
-    return stored(rows.mapInArrow(run, "node long, payload binary"), "sets")
+    return stored(rows.mapInArrow(run, "node long, payload binary, n long"), "sets")
 
 
 def classes(docs: DataFrame, percent: int = 85, key: str = "doc_id") -> DataFrame:
