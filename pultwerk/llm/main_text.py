@@ -3,10 +3,16 @@
 Markup is stripped to lines: one per block of text, in page order. Lines of elements that
 never hold the article (menus, headers, footers, sidebars, notices, adverts, forms, reader
 comments, scripts, styles) count as empty. Text lengths are summed over windows of
-neighbouring lines; where the sum rises over ``SURGE`` after nothing, text surges, and where
-it falls to nothing, it dives. Of the stretches between a surge and its dive the one with
-the most text is kept, whole: its short lines too, and the lines before the surge that
-touch it. Where the page marks its article, only marked lines count and all of them stay.
+neighbouring lines; where the sum rises over ``SURGE``, text surges, and where the lines of
+a window are all under ``DIVE``, it dives. All stretches from a
+surge to its dive are kept, short lines inside them too; lines under ``DIVE`` at their ends
+are not.
+
+The length of a line is that of its text outside links (a main heading may be a link);
+short lines of paragraphs, list items and the like count as ``DIVE``. A page whose windows
+are all short surges at half its longest one; without any line of ``DIVE`` all lines but the
+empty ones count as they are. Where the page marks its article, only marked lines count and
+all of them stay.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 joined by one space. Null and empty pages have an empty text.
@@ -16,6 +22,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +30,7 @@ from pyspark.sql import functions as F
 
 from pultwerk.llm.common import whole_text
 
-WINDOW, SURGE = 3, 80
+WINDOW, SURGE, DIVE = 3, 80, 16
 
 # fixed values: element names and words of class and id attributes
 _RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "noframes"}
@@ -35,6 +42,8 @@ _BLOCKS = {
     "ol", "option", "p", "pre", "search", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul",
 }
 _BLOCKS -= {"br"}
+_HEADINGS = {"h1", "h2"}
+_PROSE = _HEADINGS | {"h3", "h4", "h5", "h6", "p", "li", "dt", "dd", "td", "th", "blockquote", "pre", "caption", "figcaption"}
 _APART_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies",
     "disqus", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "overlay", "pagination", "popup", "promo",
@@ -43,6 +52,7 @@ _APART_WORDS = {
 
 _TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(?P<loose>/?[a-zA-Z][^>]*+>)|[!?/][^>]*+(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_TARGET = re.compile(r"\bhref\s*+=", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
@@ -64,25 +74,44 @@ def _is_apart(name: str, rest: str, marked: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, apart, marked) of every block: apart if inside an element that is never the
-    article, marked if inside an article or main element."""
-    out: list[tuple[str, bool, bool]] = []
+class Line(NamedTuple):
+    """A block's text, the length of it that counts, and where it stands: apart if inside an
+    element that is never the article, marked if inside an article or main element."""
+
+    text: str
+    length: int
+    apart: bool
+    marked: bool
+
+
+def lines_of(page: str) -> list[Line]:
+    out: list[Line] = []
     parts: list[str] = []
+    plain: list[str] = []
     open_: list[tuple[str, bool, bool]] = []
-    apart = marked = 0
+    apart = marked = inside = 0
+    linked, block = False, ""
     at = 0
 
+    def add(text: str) -> None:
+        parts.append(text)
+        if not linked or block in _HEADINGS:
+            plain.append(text)
+
     def flush() -> None:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append((text, apart > 0, marked > 0))
+                length = len(text) if len(plain) == len(parts) else len(" ".join(entities.unescape("".join(plain)).split()))
+                if length and block in _PROSE:
+                    length = max(length, DIVE)
+                out.append(Line(text, length, apart > 0, marked > 0))
             parts.clear()
+            plain.clear()
 
     while tag := _TAG.search(page, at):
         if tag.start() > at:
-            parts.append(page[at: tag.start()])
+            add(page[at: tag.start()])
         at = tag.end()
         name = (tag["name"] or "").lower()
         if tag["loose"]:
@@ -91,10 +120,16 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
             continue
         closing = tag["close"] or (tag["loose"] or "").startswith("/")
         if name == "br":
-            parts.append(" ")
+            add(" ")
             continue
         if name in _BLOCKS:
             flush()
+            block = "" if closing else name
+            # a link that is left open ends with the block it stands in
+            inside += -1 if closing else 1
+            linked = linked and inside >= 0
+        if name == "a":
+            linked, inside = not closing and bool(_TARGET.search(tag["rest"] or "")), 0
         if closing:
             if any(o[0] == name for o in open_):
                 while True:
@@ -121,14 +156,15 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
             open_.append((name, its_apart, its_mark))
             apart += its_apart
             marked += its_mark
-    parts.append(page[at:])
+    add(page[at:])
     flush()
     return out
 
 
-def stretches(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+def stretches(lengths: list[int], window: int = WINDOW, surge: int = SURGE, dive: int = DIVE) -> list[tuple[int, int]]:
     """(first line, line behind the last) of every stretch from a surge to its dive."""
-    sums = [sum(lengths[i: i + window]) for i in range(len(lengths))]
+    sums = [sum(n for n in lengths[i: i + window] if n >= dive) for i in range(len(lengths))]
+    surge = min(surge, max(sums, default=0) // 2 + 1)
     out, i = [], 0
     while i < len(sums):
         if not sums[i]:
@@ -145,14 +181,18 @@ def stretches(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> l
 
 def main_text(page: str) -> str:
     lines = lines_of(page)
-    if any(marked and not apart for _, apart, marked in lines):
-        return " ".join(text for text, apart, marked in lines if marked and not apart)
-    lengths = [0 if apart else len(text) for text, apart, _ in lines]
-    found = stretches(lengths) or stretches(lengths, surge=1)
-    if not found:
-        return ""
-    first, end = max(found, key=lambda s: sum(lengths[s[0]: s[1]]))
-    return " ".join(text for (text, apart, _) in lines[first:end] if not apart)
+    if any(line.marked and not line.apart for line in lines):
+        return " ".join(line.text for line in lines if line.marked and not line.apart)
+    lengths, dive = [0 if line.apart else line.length for line in lines], DIVE
+    if not any(n >= dive for n, line in zip(lengths, lines) if not line.apart):
+        lengths, dive = [0 if line.apart else len(line.text) for line in lines], 1
+    found = stretches(lengths, dive=dive)
+    kept = []
+    for first, end in found:
+        solid = [i for i in range(first, end) if lengths[i] >= dive and not lines[i].apart]
+        if solid:
+            kept += lines[solid[0]: solid[-1] + 1]
+    return " ".join(line.text for line in kept if not line.apart)
 
 
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:

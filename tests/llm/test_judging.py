@@ -141,6 +141,23 @@ def test_main_text_of_small_pages(page, want):
     assert main_text.main_text(page) == want
 
 
+STORY = [f"<p>Sentence {i} of the story goes on for quite a while, so that it is text and no menu.</p>" for i in range(4)]
+
+
+def plain(*parts):
+    return " ".join(re.sub(r"<[^>]*>", " ", "".join(parts)).split())
+
+
+def test_all_text_between_surges_and_dives():
+    box = "<aside><p>Other</p><p>things</p><p>to read</p><p>here</p></aside>"
+    menu = "".join(f"<div class=x1>{w}</div>" for w in ("Home", "News", "Sport", "Shop")) + "".join(f"<div class=x2><a href=/{w}>{w} of the last week</a></div>" for w in "abcd")
+    first, second = "".join(STORY), "".join(STORY[:2])
+    assert main_text.main_text(f"<body>{menu}{first}{box}{second}{menu}<p>Bye.</p></body>") == plain(first, second)
+    assert main_text.main_text(f"<div>{first}<p>Short.</p>{menu}{second}</div>") == plain(first, "<p>Short.</p>", second)
+    assert main_text.stretches([500, 0, 0, 0, 400]) == [(0, 1), (2, 5)]
+    assert main_text.stretches([8, 5, 9, 4, 500, 7, 400, 5, 8, 9, 4]) == [(2, 7)]
+
+
 def test_main_text_query(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet").collect()
     got = {r["page_id"]: r for r in QUERIES["op9_main_text"](spark, small).collect()}
