@@ -9,10 +9,11 @@ surge to its dive are kept, short lines inside them too; lines under ``DIVE`` at
 are not.
 
 The length of a line is that of its text outside links (a main heading may be a link);
-short lines of paragraphs, list items and the like count as ``DIVE``. A page whose windows
-are all short surges at half its longest one; without any line of ``DIVE`` all lines but the
-empty ones count as they are. Where the page marks its article, only marked lines count and
-all of them stay.
+short lines of paragraphs, list items and the like count as ``DIVE``. Article and main
+elements only weigh: where a page has lines inside and outside them, those outside count
+half, and what never is the article does not end the text inside an article. A page whose
+windows are all short surges at half its longest one; without any line of ``DIVE`` all
+lines but the empty ones count as they are.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 joined by one space. Null and empty pages have an empty text.
@@ -82,6 +83,7 @@ class Line(NamedTuple):
     length: int
     apart: bool
     marked: bool
+    in_article: bool
 
 
 def lines_of(page: str) -> list[Line]:
@@ -89,7 +91,7 @@ def lines_of(page: str) -> list[Line]:
     parts: list[str] = []
     plain: list[str] = []
     open_: list[tuple[str, bool, bool]] = []
-    apart = marked = inside = 0
+    apart = marked = articles = inside = 0
     linked, block = False, ""
     at = 0
 
@@ -105,7 +107,7 @@ def lines_of(page: str) -> list[Line]:
                 length = len(text) if len(plain) == len(parts) else len(" ".join(entities.unescape("".join(plain)).split()))
                 if length and block in _PROSE:
                     length = max(length, DIVE)
-                out.append(Line(text, length, apart > 0, marked > 0))
+                out.append(Line(text, length, apart > 0, marked > 0, articles > 0))
             parts.clear()
             plain.clear()
 
@@ -138,6 +140,7 @@ def lines_of(page: str) -> list[Line]:
                         flush()
                     apart -= its_apart
                     marked -= its_mark
+                    articles -= its_mark and was == "article"
                     if was == name:
                         break
             continue
@@ -156,6 +159,7 @@ def lines_of(page: str) -> list[Line]:
             open_.append((name, its_apart, its_mark))
             apart += its_apart
             marked += its_mark
+            articles += its_mark and name == "article"
     add(page[at:])
     flush()
     return out
@@ -179,11 +183,24 @@ def stretches(lengths: list[int], window: int = WINDOW, surge: int = SURGE, dive
     return out
 
 
+def weights(lines: list[Line]) -> list[int]:
+    """Lengths of the lines as surge and dive see them."""
+    sides = {line.marked for line in lines if not line.apart}
+    out = []
+    for line in lines:
+        if line.apart:
+            out.append(DIVE if line.in_article else 0)
+        elif len(sides) == 2 and not line.marked:
+            # what was not too short stays so
+            out.append(max(line.length // 2, min(line.length, DIVE)))
+        else:
+            out.append(line.length)
+    return out
+
+
 def main_text(page: str) -> str:
     lines = lines_of(page)
-    if any(line.marked and not line.apart for line in lines):
-        return " ".join(line.text for line in lines if line.marked and not line.apart)
-    lengths, dive = [0 if line.apart else line.length for line in lines], DIVE
+    lengths, dive = weights(lines), DIVE
     if not any(n >= dive for n, line in zip(lengths, lines) if not line.apart):
         lengths, dive = [0 if line.apart else len(line.text) for line in lines], 1
     found = stretches(lengths, dive=dive)

@@ -158,6 +158,18 @@ def test_all_text_between_surges_and_dives():
     assert main_text.stretches([8, 5, 9, 4, 500, 7, 400, 5, 8, 9, 4]) == [(2, 7)]
 
 
+def test_marks_only_weigh():
+    story, menu = "".join(STORY), "".join(f"<div class=x1>{w}</div>" for w in ("Home", "News", "Sport", "Shop"))
+    teaser = "<article><h3>Another story</h3><div><a href=/b>Read the whole of it</a></div></article>"
+    # no marks, a teaser beside the story, a main around the whole page
+    for page in (f"{menu}{story}{menu}", f"{menu}{teaser}{menu}<div>{story}</div>{menu}", f"<div>{story}</div>{menu}{teaser}", f"<main>{menu}<div>{story}</div>{menu}</main>"):
+        assert main_text.main_text(f"<body>{page}</body>") == plain(story)
+    # boxes inside an article do not end it
+    box = "<div class=ad><p>Buy</p><p>this</p><p>thing</p><p>now</p></div>"
+    assert main_text.main_text(f"<body><article>{story}{box}<p>The end.</p></article></body>") == plain(story, "<p>The end.</p>")
+    assert main_text.main_text("<nav>menu</nav><article><h1>One</h1></article><div>two</div>") == "One"
+
+
 def test_main_text_query(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet").collect()
     got = {r["page_id"]: r for r in QUERIES["op9_main_text"](spark, small).collect()}
