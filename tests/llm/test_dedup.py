@@ -163,3 +163,17 @@ def test_repeated_rows_keep_the_same_lines(spark):
     rows = line_dedup.deduplicated(table(spark, [(1, line), (1, line), (2, f"{line}\nand another line, long enough too"), (None, line)])).collect()
     assert sorted(r["text"] for r in rows if r["doc_id"] == 1) == [line, line]
     assert [r["text"] for r in rows if r["doc_id"] == 2] == ["and another line, long enough too"]
+
+
+def test_equal_short_lines_are_one_component(spark):
+    texts = [(1, "Ja.\nEine Zeile, die lang genug ist.\n\n日本語"), (2, "ja.\n \nNein.\n日本語\n12345678"), (3, "Ja.\nJa."), (4, "}\nNein\n12345679\n}"), (5, "\n")]
+    seen, want = set(), {}
+    for i, t in texts:
+        left = []
+        for line in t.split("\n"):
+            if not normal(line) or normal(line) not in seen:
+                left.append(line)
+            seen.add(normal(line))
+        want[i] = "\n".join(left)
+    del want[3]
+    assert {r["doc_id"]: r["text"] for r in line_dedup.kept_documents(table(spark, texts)).collect()} == want
