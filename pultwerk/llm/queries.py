@@ -126,7 +126,7 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_line_dedup")
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    cleaned = line_dedup.deduplicated(table(spark, sf_dir, "documents"), size=5)
     return cleaned.select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_gone").cast("long").alias("n_gone"))
 
 

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from pultwerk.llm import line_dedup, near_dedup, shingles
 from pultwerk.llm.components import components
 
@@ -177,3 +178,16 @@ def test_equal_short_lines_are_one_component(spark):
         want[i] = "\n".join(left)
     del want[3]
     assert {r["doc_id"]: r["text"] for r in line_dedup.kept_documents(table(spark, texts)).collect()} == want
+
+
+def test_one_changed_character_is_found(spark):
+    rng = random.Random(12)
+    letters = ["abcdefghijklmnopqrstuvwxyz ", "абвгдежзийклмнопрстуфхцчшщ ", "".join(chr(0x4E00 + i) for i in range(900))]
+    texts = [(0, "Copyright 2019 Example Media Ltd. All rights reserved worldwide."), (1, "Copyright 2024 Example Media Ltd. All rights reserved worldwide.")]
+    for n in range(50, 91, 5):
+        for kind in letters:
+            line = "x" + "".join(rng.choice(kind) for _ in range(n - 2)) + "y"
+            cut = rng.randrange(1, n - 1)
+            texts += [(len(texts), line), (len(texts) + 1, line[:cut] + "#" + line[cut + 1:])]
+    left = {r["doc_id"] for r in corpus_pipeline.without_repeated_lines(spark, table(spark, texts), "").collect()}
+    assert left == set(range(0, len(texts), 2))
