@@ -32,7 +32,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), special=packing.special_tokens(public_tokenizers.path("byte_bpe_50k.json")))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

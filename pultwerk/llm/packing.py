@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import re
 
 import numpy as np
@@ -39,23 +40,33 @@ _DOUBLE_SPACE = re.compile(r"\s\s")
 
 
 @functools.cache
-def encoders(path: str):
+def encoders(path: str, special: tuple[tuple[str, int], ...] = ()):
     """(encoder, encoder for texts without double white space) of a ranks file."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    make = lambda name, split: tiktoken.Encoding(name, pat_str=split, mergeable_ranks=ranks, special_tokens={})
+    make = lambda name, split: tiktoken.Encoding(name, pat_str=split, mergeable_ranks=ranks, special_tokens=dict(special))
     return make("whole", public_tokenizers.PATTERN), make("plain", _PLAIN_SPLIT)
 
 
-def encode(text: str, path: str) -> np.ndarray:
-    whole, plain = encoders(path)
-    return np.array((whole if _DOUBLE_SPACE.search(text) else plain).encode_ordinary(text), dtype="<u4")
+def special_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """(string, id) of the added tokens of a tokenizer's json; such strings are matched in texts."""
+    with open(path, encoding="utf-8") as file:
+        return tuple((t["content"], t["id"]) for t in json.load(file)["added_tokens"])
 
 
-def tokenised(docs: DataFrame, vocabulary: str, end_id: int, key: str, source: str) -> DataFrame:
+def encode(text: str, path: str, special: tuple[tuple[str, int], ...] = ()) -> np.ndarray:
+    whole, plain = encoders(path, special)
+    coder = whole if _DOUBLE_SPACE.search(text) else plain
+    # texts without a special string, nearly all, take the faster call
+    if any(token in text for token, _ in special):
+        return np.array(coder.encode(text, allowed_special="all"), dtype="<u4")
+    return np.array(coder.encode_ordinary(text), dtype="<u4")
+
+
+def tokenised(docs: DataFrame, vocabulary: str, end_id: int, key: str, source: str, special: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """One row per document with its ids, its queue and its place in the part's queue.
 
     ``part`` is the scan task; ``part_start`` counts the tokens of the same queue that the
@@ -69,7 +80,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int, key: str, source: s
             starts, counts, blobs = [], [], []
             queues = batch.column(1).to_pylist()
             for queue, text in zip(queues, batch.column(2)):
-                ids = np.append(encode(text.as_py(), vocabulary), np.uint32(end_id))
+                ids = np.append(encode(text.as_py(), vocabulary, special), np.uint32(end_id))
                 start = before.get(queue, 0)
                 starts.append(start)
                 counts.append(len(ids))
@@ -149,18 +160,19 @@ def cut(mixture: Mixture, queue: int, starts: np.ndarray, ends: np.ndarray, wind
 
 def pack(
     docs: DataFrame, vocabulary: str, targets: dict[str | None, float] | None = None, window: int = WINDOW,
-    end_id: int = 1, key: str = "doc_id", source: str = "source",
+    end_id: int = 1, key: str = "doc_id", source: str = "source", special: tuple[tuple[str, int], ...] = (),
 ) -> DataFrame:
     """Packs all documents into sequences of at most ``window`` tokens.
 
     ``targets`` gives the token proportions of the sources (a source it leaves out gets the
     smallest of them); without it every window gets the proportions of the whole corpus.
+    Strings of ``special`` tokens in a text become their ids, without it they are ordinary text.
     The number of sources is that of the mixture's own list, so totals go to the driver.
 
     Columns: the key, source queue, start, length, doc_tokens, sequence_id, offset and the
     piece's ids as little-endian unsigned 32-bit numbers.
     """
-    tokens = tokenised(docs, vocabulary, end_id, key, source)
+    tokens = tokenised(docs, vocabulary, end_id, key, source, special)
     parts = tokens.groupBy("queue", "part").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     # one row per scan task and queue

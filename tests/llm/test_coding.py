@@ -11,6 +11,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from pultwerk.llm import packing, piece_coding, sharding, winnowing
 from pultwerk.llm.queries import QUERIES
 
@@ -65,6 +66,22 @@ def test_packing_odd_texts(spark, targets):
     check_packed(pieces, {k: t for k, t, _ in rows}, 64)
 
 
+def test_ids_equal_the_tokenizer_as_loaded(spark, tmp_path):
+    end = "<|endoftext|>"
+    texts = [end, f"hello {end} world", f"{end} x", f"x {end}", f"a{end}b", f"a  {end}  b", f"x\n\n{end}\n y", end + end, f"<{end}>", f"<|endof{end}", "<|endoftext|", f" {end} ", *ODD]
+    texts += [None, f"it's{end}'s 日本語{end}"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "length(text) AS n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert tokenizer.encode(texts[1], add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for rows in (QUERIES["op1_packing"](spark, str(tmp_path)).collect(), corpus_pipeline.packed(spark, docs, "").collect()):
+        assert {r["doc_id"] for r in rows} == set(range(len(texts)))
+        for r in rows:
+            ids = [*tokenizer.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 1]
+            assert r["doc_tokens"] == len(ids)
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"]: r["start"] + r["length"]], "<u4").tobytes())
+
+
 def test_windows_have_the_target_proportions(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     targets = {f"src{i}": 1.0 for i in range(1, 20)} | {"src0": 5.0}
