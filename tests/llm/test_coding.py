@@ -166,6 +166,16 @@ def test_shared_passages_are_found(spark):
         assert winnowing.likeness(winnowing.fingerprint(a), winnowing.fingerprint(b)) > 0
 
 
+def test_half_edited_short_texts_are_alike():
+    rng = random.Random(10)
+    for n in (60, 80, 100, 150, 200):
+        found = []
+        for _ in range(100):
+            text, after = ("".join(rng.choice("abcdefgh ijklmnop") for _ in range(n)) for _ in range(2))
+            found.append(winnowing.likeness(winnowing.fingerprint(text), winnowing.fingerprint(winnowing.edited(text, after))))
+        assert min(found) > 0.05 and np.mean(found) > 0.25
+
+
 def test_next_documents_over_many_ranges(spark):
     rng = random.Random(9)
     rows = [(i * 7 - 300, "".join(rng.choice("abcd efg") for _ in range(rng.choice([0, 1, 30, 400]))), "s") for i in range(120)]
