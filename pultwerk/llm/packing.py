@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from pultwerk.llm.common import queue_key, slices, small_or_shuffled, stored, whole_text
 
 WINDOW = 2048
+# windows whose borders a task holds at a time
+BLOCK = 4096
 # bits that weights are rounded to at most; products with queue positions must fit in 62
 WEIGHT_BITS = 18
 
@@ -146,16 +148,22 @@ def cut(mixture: Mixture, queue: int, starts: np.ndarray, ends: np.ndarray, wind
     slack = len(mixture.totals) // window + 2
     first = max(0, mixture.about(queue, int(starts[0])) // window - slack)
     last = mixture.about(queue, int(ends[-1])) // window + slack + 1
-    windows = np.arange(first, last + 1, dtype=np.int64)
-    borders = mixture.taken(windows * window)
-    mine = borders[:, queue]
-    quota = np.diff(borders, axis=0)
-    offsets = np.cumsum(quota, axis=1)[:, queue] - quota[:, queue]
-    cuts = np.unique(np.concatenate([starts, mine[(mine > starts[0]) & (mine < ends[-1])]]))
+    found = []
+    # few rows of a queue may span all windows, so these are walked in blocks
+    for low in range(first, last, BLOCK):
+        windows = np.arange(low, min(low + BLOCK, last) + 1, dtype=np.int64)
+        borders = mixture.taken(windows * window)
+        mine = borders[:, queue]
+        quota = np.diff(borders, axis=0)
+        offsets = np.cumsum(quota, axis=1)[:, queue] - quota[:, queue]
+        here = starts[np.searchsorted(starts, mine[0]): np.searchsorted(starts, mine[-1])]
+        cuts = np.unique(np.concatenate([here, mine[(mine > starts[0]) & (mine < ends[-1]) & (mine < mine[-1])]]))
+        at = np.searchsorted(mine, cuts, side="right") - 1
+        found.append((cuts, windows[at], offsets[at] + cuts - mine[at]))
+    cuts, sequence, offset = (np.concatenate(c) for c in zip(*found))
     stops = np.append(cuts[1:], ends[-1])
     doc = np.searchsorted(starts, cuts, side="right") - 1
-    at = np.searchsorted(mine, cuts, side="right") - 1
-    return doc, cuts, stops, windows[at], offsets[at] + cuts - mine[at]
+    return doc, cuts, stops, sequence, offset
 
 
 def pack(

@@ -114,6 +114,20 @@ def test_taken_equals_serving_token_by_token():
             assert mixture.taken(np.array([handed]))[0].tolist() == want
 
 
+def test_windows_are_cut_in_blocks(monkeypatch):
+    mixture = packing.Mixture([3000, 7, 500], [300_000, 700, 50_000])
+    asked, taken = [], mixture.taken
+    monkeypatch.setattr(mixture, "taken", lambda handed: asked.append(len(handed)) or taken(handed))
+    for queue, (starts, ends) in enumerate([(np.arange(0, 300_000, 1500), np.arange(1500, 300_001, 1500)), (np.array([0, 699]), np.array([699, 700])), (np.array([100]), np.array([49_000]))]):
+        monkeypatch.setattr(packing, "BLOCK", 10 ** 9)
+        whole = packing.cut(mixture, queue, starts, ends, 64)
+        asked.clear()
+        monkeypatch.setattr(packing, "BLOCK", 50)
+        for x, y in zip(whole, packing.cut(mixture, queue, starts, ends, 64)):
+            assert x.tolist() == y.tolist()
+        assert len(asked) > 50 and max(asked) <= 51
+
+
 @pytest.mark.parametrize("check", ["segments", "texts"])
 def test_pieces_equal_the_library(spark, check):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
