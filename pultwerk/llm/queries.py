@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pultwerk.llm import line_dedup, main_text, near_dedup, packing, piece_coding, quality_model, quality_rules, sharding, url_filter, winnowing
+from pultwerk.llm import alignment, line_dedup, main_text, merkle, near_dedup, nearest, packing, piece_coding, quality_model, quality_rules, sharding, url_filter, winnowing
 from pultwerk.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,85 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
     )
+
+
+# levels from the bottom up, then every row's way to the root with its siblings
+_OP11_SQL = r"""
+WITH RECURSIVE bytes AS (
+  SELECT row_number() OVER () AS row_no, *, CAST(doc_id AS VARCHAR) AS id FROM documents
+), fields AS (
+  SELECT row_no, doc_id, source, text, id,
+    coalesce(octet_length(encode(id)) || ':' || id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+      || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS head,
+    list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(id, ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, c: list_reduce(list_concat([xor(crc, c)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))) AS crc
+  FROM bytes
+), leaves AS (
+  SELECT row_no, doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 5 = 0 THEN sha256(head || coalesce(octet_length(encode(text)) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS edited
+  FROM fields
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS total FROM leaves
+), nodes(level, source, place, total, digest) AS (
+  SELECT 0, source, place, total, leaf FROM placed
+  UNION ALL
+  SELECT level + 1, source, place // 16, (total + 15) // 16, sha256(string_agg(digest, '' ORDER BY place)) FROM nodes WHERE total > 1 GROUP BY level, source, place // 16, total
+), tops AS (
+  SELECT row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS total, source, level, digest FROM nodes WHERE total = 1
+), upper(level, place, total, digest) AS (
+  SELECT 0, place, total, digest FROM tops
+  UNION ALL
+  SELECT level + 1, place // 16, (total + 15) // 16, sha256(string_agg(digest, '' ORDER BY place)) FROM upper WHERE total > 1 GROUP BY level, place // 16, total
+), root AS (SELECT digest AS root FROM upper WHERE total = 1
+), steps AS (
+  SELECT p.row_no, n.level, n.place, p.place // CAST(pow(16, n.level) AS BIGINT) AS own, n.digest
+  FROM placed p JOIN nodes n ON n.source IS NOT DISTINCT FROM p.source AND n.total > 1
+    AND n.place // 16 = p.place // CAST(pow(16, n.level + 1) AS BIGINT)
+  UNION ALL
+  SELECT p.row_no, 1000 + u.level, u.place, t.place // CAST(pow(16, u.level) AS BIGINT), u.digest
+  FROM placed p JOIN tops t ON t.source IS NOT DISTINCT FROM p.source JOIN upper u ON u.total > 1
+    AND u.place // 16 = t.place // CAST(pow(16, u.level + 1) AS BIGINT)
+), runs AS (
+  SELECT row_no, level, row_number() OVER (PARTITION BY row_no ORDER BY level) AS step,
+    coalesce(string_agg(digest, '' ORDER BY place) FILTER (place < own), '') AS before_own, coalesce(string_agg(digest, '' ORDER BY place) FILTER (place > own), '') AS after_own
+  FROM steps GROUP BY row_no, level
+), folded(row_no, step, digest) AS (
+  SELECT row_no, 0, coalesce(edited, leaf) FROM placed
+  UNION ALL
+  SELECT f.row_no, f.step + 1, sha256(r.before_own || f.digest || r.after_own) FROM folded f JOIN runs r ON r.row_no = f.row_no AND r.step = f.step + 1
+), proofs AS (SELECT row_no, sha256(string_agg(before_own || after_own, '' ORDER BY step)) AS proof FROM runs GROUP BY row_no
+), ends AS (SELECT row_no, arg_max(digest, step) AS folded_root FROM folded GROUP BY row_no)
+SELECT p.doc_id, p.leaf, t.digest AS subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed p JOIN tops t ON t.source IS NOT DISTINCT FROM p.source CROSS JOIN root JOIN ends USING (row_no) LEFT JOIN proofs USING (row_no)
+"""
+
+
+@query("op11_merkle_manifest", _OP11_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.lower_cased_copies(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+_OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
+), ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank, vec_id, score FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op12_nearest_vectors", _OP12_SQL)
+def op12_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = nearest.nearest(nearest.indexed(rows), rows.where("id % 100 = 0"), 10, factor=1.0)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.aligned_and_scored(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select(F.col("doc").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_group_links")
