@@ -128,13 +128,14 @@ def pieces(path: str):
 
 
 @functools.cache
-def _decimal(n: int) -> list[str]:
-    return [str(i) for i in range(n)]
+def _decimal(n: int) -> np.ndarray:
+    """Every id in decimal with each of the three signs that may follow it."""
+    return np.array([f"{i}{sign}" for i in range(n) for sign in ",|;"], dtype=object)
 
 
 def _ids_of(texts: list[str], ranks: str, model_path: str) -> list[tuple[np.ndarray, np.ndarray]]:
     """Both sides' ids of every text; empty where the bytes are not the space and the text."""
-    a_bytes, _ = token_bytes(ranks)
+    _, a_sizes = token_bytes(ranks)
     model, b_bytes, _ = pieces(model_path)
     none, out = np.zeros(0, np.int64), []
     for text, b in zip(texts, model.encode(texts, num_threads=1) if texts else []):
@@ -143,7 +144,8 @@ def _ids_of(texts: list[str], ranks: str, model_path: str) -> list[tuple[np.ndar
             whole = b" " + text.encode()
             if b"".join([b_bytes[i] for i in b]) == whole:
                 a = encode(" " + text, ranks)
-                if b"".join([a_bytes[i] for i in a.tolist()]) == whole:
+                # byte-level tokens are cut out of the text itself, so their sizes say enough
+                if a_sizes[a].sum() == len(whole):
                     found = (a.astype(np.int64), np.array(b, np.int64))
         out.append(found)
     return out
@@ -188,7 +190,8 @@ def align(ids: list[tuple[np.ndarray, np.ndarray]], a_sizes: np.ndarray, b_sizes
     """Both sides of a batch as matrices over the bytes of all its documents."""
     a, b = (np.concatenate([pair[side] for pair in ids]) if ids else np.zeros(0, np.int64) for side in (0, 1))
     a_matrix, b_matrix = incidence(a_sizes[a]), incidence(b_sizes[b])
-    ends = np.intersect1d(a_matrix.starts[1:], b_matrix.starts[1:], assume_unique=True)
+    a_ends, b_ends = a_matrix.starts[1:], b_matrix.starts[1:]
+    ends = a_ends[b_ends[np.minimum(np.searchsorted(b_ends, a_ends), len(b_ends) - 1)] == a_ends] if len(b_ends) else a_ends
     # a token belongs to the group whose end is the first at or after its own
     a_group, b_group = (np.searchsorted(ends, m.starts[1:]) for m in (a_matrix, b_matrix))
     counts = lambda side: np.array([len(pair[side]) for pair in ids], np.int64)
@@ -198,29 +201,33 @@ def align(ids: list[tuple[np.ndarray, np.ndarray]], a_sizes: np.ndarray, b_sizes
 def link_counts(batch: Aligned) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, pair, times) of the overlap links, ascending; a pair is a * 2^32 + b."""
     doc_of = np.repeat(np.arange(len(batch.a_doc)), batch.a_doc)
-    docs, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    # ids of the batch by rank, so that document and pair are one number to sort by
+    a_ids, a_rank = np.unique(batch.a, return_inverse=True)
+    b_ids, b_rank = np.unique(batch.b, return_inverse=True)
+    keys = [np.zeros(0, np.int64)]
     for first, links in batch.overlaps():
         row = first + np.repeat(np.arange(len(links.starts) - 1), np.diff(links.starts))
-        docs.append(doc_of[row])
-        keys.append((batch.a[row] << 32) + batch.b[links.indices])
-    doc, key = np.concatenate(docs), np.concatenate(keys)
-    order = np.lexsort((key, doc))
-    doc, key = doc[order], key[order]
-    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if len(doc) else np.zeros(0, np.int64)
-    return doc[new], key[new], np.diff(np.concatenate([new, [len(doc)]]))
-
-
-def group_text(a: list[int], b: list[int], a_group: list[int], b_group: list[int], names: list[str]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of every group in order."""
-    out, i, j = [], 0, 0
-    while i < len(a):
-        group, lo, at = a_group[i], i, j
-        while i < len(a) and a_group[i] == group:
-            i += 1
-        while j < len(b) and b_group[j] == group:
-            j += 1
-        out.append(f"{','.join([names[x] for x in a[lo:i]])}|{','.join([names[x] for x in b[at:j]])}")
-    return ";".join(out)
+        keys.append((doc_of[row] * len(a_ids) + a_rank[row]) * len(b_ids) + b_rank[links.indices])
+    found, times = np.unique(np.concatenate(keys), return_counts=True)
+    left, b = np.divmod(found, max(len(b_ids), 1))
+    doc, a = np.divmod(left, max(len(a_ids), 1))
+    return doc, (a_ids[a] << 32) + b_ids[b], times
+
+
+def group_texts(batch: Aligned, vocabulary: int) -> list[str]:
+    """``a1,a2|b1;a3|b2,b3`` of every document: the ids of its groups in order."""
+    n_a, n_b = len(batch.a), len(batch.b)
+    # a token's place among both sides' tokens: those of earlier groups come before it, and
+    # the A tokens of its own group before a B token
+    a_at = np.arange(n_a) + np.searchsorted(batch.b_group, batch.a_group, side="left")
+    b_at = np.arange(n_b) + np.searchsorted(batch.a_group, batch.b_group, side="right")
+    last = lambda group: np.concatenate([group[1:] != group[:-1], [True]]) if len(group) else np.zeros(0, bool)
+    signed, words = np.empty(n_a + n_b, np.int64), _decimal(vocabulary)
+    signed[a_at] = batch.a * 3 + last(batch.a_group)
+    signed[b_at] = batch.b * 3 + 2 * last(batch.b_group)
+    pieces_ = words[signed].tolist()
+    borders = np.concatenate([[0], np.cumsum(batch.a_doc + batch.b_doc)]).tolist()
+    return ["".join(pieces_[lo:hi])[:-1] for lo, hi in zip(borders, borders[1:])]
 
 
 def _batches(texts: list[str]):
@@ -243,7 +250,7 @@ def aligned(docs: DataFrame, ranks: str, model_path: str, key: str = "doc_id") -
 
     def run(batches):
         a_sizes, b_sizes = token_bytes(ranks)[1], pieces(model_path)[2]
-        numbers = _decimal(max(len(a_sizes), len(b_sizes)))
+        vocabulary = max(len(a_sizes), len(b_sizes))
         for batch in slices(batches, 128):
             at = 0
             for texts in _batches(batch.column(1).to_pylist()):
@@ -252,13 +259,10 @@ def aligned(docs: DataFrame, ranks: str, model_path: str, key: str = "doc_id") -
                 doc, pair, times = link_counts(found)
                 n = len(ids)
                 borders = np.searchsorted(doc, np.arange(n + 1))
-                a_at, b_at = (np.concatenate([[0], np.cumsum(c)]) for c in (found.a_doc, found.b_doc))
-                a, b, ga, gb = (x.tolist() for x in (found.a, found.b, found.a_group, found.b_group))
-                shas, groups = [], []
-                for i in range(n):
-                    x, y = slice(a_at[i], a_at[i + 1]), slice(b_at[i], b_at[i + 1])
-                    groups.append(ga[x][-1] - ga[x][0] + 1 if ga[x] else 0)
-                    shas.append(hashlib.sha256(group_text(a[x], b[y], ga[x], gb[y], numbers).encode("ascii")).hexdigest() if ga[x] else "")
+                shas = [hashlib.sha256(text.encode("ascii")).hexdigest() if text else "" for text in group_texts(found, vocabulary)]
+                # no group reaches over the end of its document
+                ends = np.cumsum(found.a_doc)
+                groups = np.diff(np.concatenate([[0], np.append(found.a_group, -1)[ends - 1] + 1])) if len(found.a) else np.zeros(n, np.int64)
                 links = np.bincount(doc, weights=times, minlength=n).astype(np.int64)
                 offsets = pa.array(borders, pa.int32())
                 yield pa.RecordBatch.from_arrays([
