@@ -1,6 +1,7 @@
 """Rules, classifier, URL filter and main text, and the pipeline as a whole."""
 
 import collections
+import html
 import random
 import re
 
@@ -170,13 +171,34 @@ def test_marks_only_weigh():
     assert main_text.main_text("<nav>menu</nav><article><h1>One</h1></article><div>two</div>") == "One"
 
 
+def test_unknown_and_misleading_names():
+    story = "".join(STORY)
+    # names nobody knows, a name that sounds like a box around the story, a headline in a "header"
+    for page in (f"<div class=zq7>Buy now, only today.</div><article>{story}</article>", f"<article class='related-story'>{story}</article><div class=ad>Buy</div>",
+                 f"<div class=ad>Buy this very thing now.</div><div class=promo-wrapper>{story}</div>", f"<article><div class='comment-style-2'>{story}</div></article>"):
+        assert main_text.main_text(f"<body><nav><a href=/>Home</a></nav>{page}<footer>(c) all of us, for ever and a day</footer></body>") == plain(story)
+    head = "<div class='post-header'><h1>What it is about</h1></div>"
+    assert main_text.main_text(f"<body>{head}{story}</body>") == plain(head, story)
+    # long comments beside a story that no element marks, and a short box in the midst of it
+    comments = "".join(f"<p>Comment {i}: I liked this, and I have to say a few things about it too.</p>" for i in range(6))
+    assert main_text.main_text(f"<body><div>{story * 2}</div><div id=comments>{comments}</div></body>") == plain(story * 2)
+    box = "<div class='newsletter'><p>Get our letter every week by mail.</p></div>"
+    assert main_text.main_text(f"<body><div>{story}{box}{story}</div></body>") == plain(story, story)
+
+
+def test_main_text_of_a_deep_and_long_page():
+    story = "".join(STORY) * 500
+    assert main_text.main_text("<div>" * 3000 + story + "</div>" * 3000) == plain(story)
+
+
 def test_main_text_query(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet").collect()
     got = {r["page_id"]: r for r in QUERIES["op9_main_text"](spark, small).collect()}
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     for p in pages:
         number = int(re.search(r"/(\d+)", p["url"].split("://")[1])[1])
-        assert got[p["page_id"]]["text"].endswith(" ".join(texts[number].split()))
+        head = html.unescape(re.search(r"<h1>(.*?)</h1>", p["html"], re.S)[1])
+        assert got[p["page_id"]]["text"] == " ".join(f"{head} {texts[number]}".split())
         assert got[p["page_id"]]["n_chars"] == len(got[p["page_id"]]["text"])
     odd = spark.createDataFrame([(1, None, None, "t"), (1, "u", "<p>x", "t"), (1, "u", "<p>x", "t")], "page_id long, url string, html string, text string")
     assert sorted(r["text"] for r in main_text.extracted(odd).collect()) == ["", "x", "x"]
