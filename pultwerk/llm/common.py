@@ -20,11 +20,24 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table once and reads it back, so that lost executors never recompute it."""
+def written(df: DataFrame, name: str) -> tuple[str, DataFrame]:
+    """``stored``, with the folder for a table that is to be removed after use."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path, df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table once and reads it back, so that lost executors never recompute it."""
+    return written(df, name)[1]
+
+
+def spare(columns: list[str], name: str) -> str:
+    """A column name that the table does not have yet; names differ by more than case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def whole_text(name: str = "text") -> Column:

@@ -3,7 +3,8 @@
 Alternates the two star steps (large star, small star): every node hands its neighbours on
 to the smallest one, until each node hangs directly on the smallest node of its component.
 The number of rounds grows with the logarithm of the longest chain. Every round is written,
-so a lost executor repeats one round at most; only a count and a checksum reach the driver.
+so a lost executor repeats one round at most, and removed once the next one is there; only
+a count and a checksum reach the driver.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pultwerk.llm.common import stored
+from pultwerk.llm.common import written
+from pultwerk.sources import folders
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -39,10 +41,11 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges`` has two columns of one ordered type; direction, repeats and loops don't matter.
     """
     a, b = (F.col(c) for c in edges.columns)
-    now = stored(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    path, now = written(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     state = _state(now)
     while state[0]:
-        now = stored(_small_star(_large_star(now)), "edges")
+        old, (path, now) = path, written(_small_star(_large_star(now)), "edges")
+        folders.remove(now.sparkSession, old)
         before, state = state, _state(now)
         if state == before:
             break

@@ -1,8 +1,8 @@
 """From band keys to components: star edges, exact confirmation, exact completion.
 
 Nodes are 64-bit keys of distinct contents. ``payloads`` holds (node, payload, n), n being
-the size of the set; ``as_set`` turns a payload into its sorted distinct 64-bit elements
-inside a task.
+the size of the set; ``as_sets`` turns a list of payloads into their sorted distinct 64-bit
+elements inside a task.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pultwerk.llm.components import components
 # centers of a bucket; more of them leave less to the exact completion
 CENTERS = 4
 
-AsSet = Callable[[memoryview], np.ndarray]
+AsSets = Callable[[list[memoryview]], list[np.ndarray]]
 
 
 def live_buckets(keys: DataFrame) -> DataFrame:
@@ -58,7 +58,15 @@ def live_buckets(keys: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "band long, node long")
 
 
-def confirmed(pairs: DataFrame, payloads: DataFrame, as_set: AsSet, percent: int) -> DataFrame:
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(small) or 100 * len(small) < percent * len(large):
+        return False
+    both = np.count_nonzero(large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small)
+    return bool(100 * both >= percent * (len(a) + len(b) - both))
+
+
+def confirmed(pairs: DataFrame, payloads: DataFrame, as_sets: AsSets, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
     left = payloads.select(F.col("node").alias("a"), F.col("payload").alias("left"))
     right = payloads.select(F.col("node").alias("b"), F.col("payload").alias("right"))
@@ -66,31 +74,29 @@ def confirmed(pairs: DataFrame, payloads: DataFrame, as_set: AsSet, percent: int
 
     def run(batches):
         for batch in slices(batches, 1024):
-            linked, held, held_set = [], None, None
-            for node, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
-                if node != held:
-                    held, held_set = node, as_set(x.as_buffer())
-                other = as_set(y.as_buffer())
-                small, large = sorted((len(held_set), len(other)))
-                both = len(np.intersect1d(held_set, other, assume_unique=True)) if 100 * small >= percent * large else 0
-                linked.append(small > 0 and 100 * both >= percent * (small + large - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            # a node stands in several pairs: its set is made once a batch
+            payload_of = dict(zip(a, batch.column(2)))
+            payload_of.update(zip(b, batch.column(3)))
+            set_of = dict(zip(payload_of, as_sets([p.as_buffer() for p in payload_of.values()])))
+            alike = [_alike(set_of[x], set_of[y], percent) for x, y in zip(a, b)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def prefix_pairs(payloads: DataFrame, groups: DataFrame, as_set: AsSet, percent: int) -> DataFrame:
-    """Pairs of different groups that share an element among the rarest of both.
+def prefix_pairs(payloads: DataFrame, members: DataFrame, as_sets: AsSets, percent: int) -> DataFrame:
+    """Pairs of one bucket but different components that share an element among the rarest of both.
 
     Of two sets with the wanted similarity, each holds at most n - ceil(percent * n / 100)
     elements that the other lacks, so in any common order of elements their prefixes one
     longer meet. Rarest first, most sets have a prefix that nobody else knows.
     """
-    rows = groups.join(payloads.select("node", "payload"), "node").dropDuplicates(["node"]).select("node", "component", "payload")
+    rows = members.select("node", "component").distinct().join(payloads.select("node", "payload"), "node").dropDuplicates(["node"]).select("node", "component", "payload")
 
     def run(batches):
         for batch in slices(batches, 256):
-            values = [as_set(s.as_buffer()).view(np.int64) for s in batch.column(2)]
+            values = [v.view(np.int64) for v in as_sets([s.as_buffer() for s in batch.column(2)])]
             counts = np.array([len(v) for v in values], np.int64)
             at = pa.array(np.repeat(np.arange(batch.num_rows), counts))
             yield pa.RecordBatch.from_arrays(
@@ -107,10 +113,11 @@ def prefix_pairs(payloads: DataFrame, groups: DataFrame, as_set: AsSet, percent:
     length = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
     ranked = tokens.join(known, "element").withColumn("place", place)
     prefix = stored(ranked.where(F.col("place") <= length).select("element", "node", "component", "n", "place"), "prefixes")
-    left, right = (prefix.select("element", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "n", "place")]) for side in "ab")
+    prefix = prefix.join(members.select("band", "node"), "node")
+    left, right = (prefix.select("band", "element", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "n", "place")]) for side in "ab")
     # what can still follow this common element must be enough for the threshold
     enough_left = f"{100 + percent} * (1 + least(n_a - place_a, n_b - place_b)) >= {percent} * (n_a + n_b)"
-    met = left.join(right, "element").where(f"node_a < node_b AND component_a <> component_b AND {_similar_size('n_a', 'n_b', percent)} AND {enough_left}")
+    met = left.join(right, ["band", "element"]).where(f"node_a < node_b AND component_a <> component_b AND {_similar_size('n_a', 'n_b', percent)} AND {enough_left}")
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
@@ -132,7 +139,7 @@ def _still_open(members: DataFrame, parents: DataFrame, percent: int) -> DataFra
     return stored(grouped.join(mixed, "band"), "open-buckets")
 
 
-def linked(members: DataFrame, payloads: DataFrame, as_set: AsSet, percent: int, centers: int = CENTERS) -> DataFrame:
+def linked(members: DataFrame, payloads: DataFrame, as_sets: AsSets, percent: int, centers: int = CENTERS) -> DataFrame:
     """(node, component) of every node linked with a smaller one.
 
     ``members`` are the live buckets. Every bucket gets a few centers and gives star edges
@@ -152,11 +159,11 @@ def linked(members: DataFrame, payloads: DataFrame, as_set: AsSet, percent: int,
     around = now.join(chosen.select("band", picked.alias("picked")), "band")
     stars = around.select("node", "n", F.inline("picked")).where(f"node <> center AND {_similar_size('n', 'its_n', percent)}")
     pairs = stars.select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct()
-    parents = components(stored(confirmed(pairs, payloads, as_set, percent), "links"))
+    parents = components(stored(confirmed(pairs, payloads, as_sets, percent), "links"))
     leaves = around.where(~F.array_contains(F.col("picked.center"), F.col("node"))).select("band", "node", "n")
     now = _still_open(leaves, parents, percent)
     if now.isEmpty():
         return parents
-    more = confirmed(prefix_pairs(payloads, now.select("node", "component").distinct(), as_set, percent), payloads, as_set, percent)
+    more = confirmed(prefix_pairs(payloads, now, as_sets, percent), payloads, as_sets, percent)
     # what was joined before counts as an edge from each node to its component
     return components(parents.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))

@@ -8,8 +8,8 @@
 3. Candidate pairs are confirmed on the full sets, and a distributed union-find joins them.
 4. Stars can miss a link between two leaves. Buckets that still hold several components
    are completed exactly: two sets that are similar enough share one of their few rarest
-   shingles (prefix filter with sizes and positions), so classes of different components
-   that do are confirmed too. Members of one component are never compared again.
+   shingles (prefix filter with sizes and positions), so classes of one bucket but different
+   components that do are confirmed too. Members of one component are never compared again.
 
 Nothing is sampled or capped; with bands of six over 240 bins a link at the threshold of
 0.85 is missed by all 40 bands with a probability of about 6e-9.
@@ -74,7 +74,7 @@ def classes(docs: DataFrame, percent: int = 85, key: str = "doc_id") -> DataFram
     bands = whole.join(named, "doc").where("node = set_key").select("node", F.explode("bands").alias("band"))
     members = stored(live_buckets(bands), "buckets")
     wanted = members.select("node").distinct().join(named, "node").select("doc").distinct()
-    joined = linked(members, full_sets(docs, key, stored(wanted, "wanted")), lambda payload: np.frombuffer(payload, U64), percent)
+    joined = linked(members, full_sets(docs, key, stored(wanted, "wanted")), lambda payloads: [np.frombuffer(p, U64) for p in payloads], percent)
     placed = named.join(joined, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("doc").alias("smallest"))
     final = placed.join(smallest, "component").select(F.col("node").alias("set_key"), "smallest")
