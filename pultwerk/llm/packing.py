@@ -32,7 +32,7 @@ from pultwerk.llm.common import queue_key, slices, small_or_shuffled, stored, wh
 WINDOW = 2048
 # windows whose borders a task holds at a time
 BLOCK = 4096
-# bits that weights are rounded to at most; products with queue positions must fit in 62
+# bits that weights are rounded to at most; products with token counts must fit in 62
 WEIGHT_BITS = 18
 
 # the vocabulary's own split and the same without look-ahead, which is right (and twice as
@@ -101,7 +101,8 @@ class Mixture:
     """Where each queue stands after any number of tokens handed out."""
 
     def __init__(self, weights: list[float], totals: list[int]):
-        bits = min(WEIGHT_BITS, 62 - max([1, *(int(t).bit_length() for t in totals)]))
+        # a weight is multiplied with up to all tokens of all queues
+        bits = max(0, min(WEIGHT_BITS, 62 - max(1, sum(int(t) for t in totals).bit_length())))
         top = max(weights, default=1.0)
         self.weights = np.maximum(1, np.rint(np.array(weights, dtype=float) / top * (1 << bits))).astype(np.int64)
         self.totals = np.array(totals, dtype=np.int64)
@@ -175,7 +176,9 @@ def pack(
     ``targets`` gives the token proportions of the sources (a source it leaves out gets the
     smallest of them); without it every window gets the proportions of the whole corpus.
     Strings of ``special`` tokens in a text become their ids, without it they are ordinary text.
-    The number of sources is that of the mixture's own list, so totals go to the driver.
+    The number of sources is that of the mixture's own list, so totals go to the driver and a
+    task holds ``BLOCK`` borders of every source: a mixture has hundreds of sources, not one per
+    document (group rare ones under one name before packing).
 
     Columns: the key, source queue, start, length, doc_tokens, sequence_id, offset and the
     piece's ids as little-endian unsigned 32-bit numbers.

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pultwerk.llm.common import slices, small_or_shuffled, stored, whole_text
+from pultwerk.llm.common import slices, small_or_shuffled, spare, stored, whole_text
 from pultwerk.llm.quality_rules import Text
 
 FEATURES, RIDGE, SEED = 256, 1e-3, 20
@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
 def scored(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """All columns with ``score`` and ``predicted`` (1 from the threshold on)."""
     kept = [c for c in docs.columns if c not in {"score", "predicted"}]
-    rows = docs.select(*kept, whole_text(text).alias("_whole"))
+    rows = docs.select(*kept, whole_text(text).alias(spare(kept, "whole")))
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept) + ", score double, predicted int"
 
     def run(batches):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pultwerk.llm.common import slices, whole_text
+from pultwerk.llm.common import slices, spare, whole_text
 
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -115,7 +115,7 @@ def measure(docs: DataFrame, rules: dict[str, Rule] = RULES, sample_rows: int =
     total = docs.count()
     # the sample is a feature of the method: it decides the order of rules, not a verdict
     share = min(1.0, sample_rows / max(total, 1))
-    chosen = docs.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) < int(1_000_000 * share))
+    chosen = docs.where(F.pmod(F.xxhash64(F.col(key), "text"), F.lit(1_000_000)) < int(1_000_000 * share))
 
     def run(batches):
         spent, rejected = dict.fromkeys(rules, 0.0), dict.fromkeys(rules, 0)
@@ -142,10 +142,16 @@ def first_rejection(text: Text, order: list[str], rules: dict[str, Rule]) -> str
 
 
 def judged(docs: DataFrame, order: list[str], rules: dict[str, Rule] = RULES, counts: bool = False) -> DataFrame:
-    """All columns and ``rejected_by``; with ``counts`` also the base counts of every text."""
+    """All columns and ``rejected_by``; with ``counts`` also the base counts of every text.
+
+    A text leaves the cascade with the first rule that rejects it; ``counts`` asks for all base
+    counts of every text, so then only the other rules are saved. Null texts are empty,
+    repeated rows are judged alike, whatever their order, and a text of any length is judged
+    as a whole; an empty table gives an empty one.
+    """
     extra = [("n_words", "n_words"), ("word_chars", "word_chars"), ("n_symbols", "n_symbols"), ("n_dup_lines", "n_dup_lines"), ("n_repeat_words", "n_repeat_words")] if counts else []
     kept = [c for c in docs.columns if c not in {"rejected_by", *(name for name, _ in extra)}]
-    rows = docs.select(*kept, whole_text().alias("_whole"))
+    rows = docs.select(*kept, whole_text().alias(spare(kept, "whole")))
     types = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
     schema = ", ".join([types, "rejected_by string", *(f"{name} long" for name, _ in extra)])
 

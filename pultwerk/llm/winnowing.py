@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from pultwerk.llm.common import U64, mix, whole_text
 
@@ -160,8 +161,11 @@ def next_compared(docs: DataFrame, key: str = "doc_id", k: int = K, w: int = W)
 
     Texts move once, into key ranges; the first document of every range also goes to the
     range before it, that of the first range to the last one, as the last document is
-    followed by the first. Rows of equal keys go by the hash of their text.
+    followed by the first. Rows of equal keys go by the hash of their text. Keys are numbers
+    (another type is a TypeError), told apart up to 2^53.
     """
+    if not isinstance(docs.schema[key].dataType, NumericType):
+        raise TypeError(f"{key} must be a number to have a next document")
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = key_ranges(docs.select(F.col(key), whole_text().alias("text")), key, 4 * tasks)
