@@ -96,6 +96,52 @@ def align(readings: pd.Series) -> pd.Series:
     return readings.map(row)
 
 
+# white space as the JVM's Unicode class has it
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_UNIFIED = str.maketrans(fv.DASHES + fv.QUOTES, "-" * len(fv.DASHES) + "'" * len(fv.QUOTES))
+
+
+def _normal(text: str) -> list[str]:
+    """Tokens in the form they are aligned in; ``reading.normal_form`` of the folded tokens."""
+    folded = unicodedata.normalize("NFKC", text).casefold().translate(_UNIFIED)
+    return [t.strip(fv.EDGE_PUNCTUATION) for t in _BLANKS.sub(" ", folded).split(SEPARATOR)] if text else []
+
+
+@_once
+@F.pandas_udf(CODES)
+def fold_and_align(readings: pd.Series) -> pd.Series:
+    """``align`` over readings as they were written: folding and alignment in one step."""
+    def row(texts):
+        if texts is None:
+            return None
+        first, *rest = [_normal(t) for t in texts]
+        return [_codes(first, other) for other in rest]
+
+    return readings.map(row)
+
+
+def _merged(starts: np.ndarray, ends: np.ndarray) -> list[dict]:
+    order = np.lexsort((ends, starts))
+    starts, reach = starts[order], np.maximum.accumulate(ends[order])
+    new = np.flatnonzero(np.append(True, starts[1:] > reach[:-1] + fv.RANGE_MERGE_GAP))
+    last = np.append(new[1:], len(starts)) - 1
+    return [{"s": int(a), "e": int(b)} for a, b in zip(starts[new], reach[last])]
+
+
+@_once
+@F.pandas_udf(T.ArrayType(_struct(s=_INT, e=_INT)))
+def merged_ranges(starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """Ranges joined where they overlap or lie at most one token apart; one pass after sorting."""
+    return pd.Series([None if a is None else [] if not len(a) else _merged(np.asarray(a), np.asarray(b)) for a, b in zip(starts, ends)])
+
+
+@_once
+@F.pandas_udf(T.ArrayType(_INT))
+def running_sums(numbers: pd.Series) -> pd.Series:
+    """1, 3, 6 … of 1, 2, 3 …"""
+    return numbers.map(lambda n: None if n is None else np.cumsum(n, dtype=np.int32))
+
+
 _TAG = re.compile(r"<(?P<open>uncertain|deleted|unclear)(?P<slash>\s*/)?>|</(?P<close>uncertain|deleted|unclear)>")
 
 
@@ -156,6 +202,40 @@ def parse_markup(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_markup(r or "") for r in raw], columns=columns)
 
 
+def _is_word(char: str) -> bool:
+    return char.isalnum() or char == "_"
+
+
+def _replaced(text: str, name: str, alias: str) -> str:
+    """The name replaced wherever no word goes on at either edge; found by plain search."""
+    at, done, out = text.find(name), 0, []
+    while at >= 0:
+        end = at + len(name)
+        glued = at > 0 and _is_word(name[0]) and _is_word(text[at - 1]) or end < len(text) and _is_word(name[-1]) and _is_word(text[end])
+        if not glued:
+            out += (text[done:at], alias)
+            done = end
+        at = text.find(name, at + 1 if glued else end)
+    return "".join((*out, text[done:])) if out else text
+
+
+@_once
+@F.pandas_udf(_TEXT)
+def replace_names(texts: pd.Series, names: pd.Series, aliases: pd.Series) -> pd.Series:
+    """Names, in the order given, replaced by their aliases at word edges.
+
+    No pattern is built: a text is searched for each of its own few names.
+    """
+    def row(text, own, instead):
+        if text is None or own is None:
+            return text
+        for name, alias in zip(own, instead):
+            text = _replaced(text, name, alias)
+        return text
+
+    return pd.Series([row(*r) for r in zip(texts, names, aliases)], dtype=object)
+
+
 def squared_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     cross = left @ right.T
     return np.maximum((left**2).sum(1)[:, None] + (right**2).sum(1)[None, :] - 2 * cross, 0.0)

@@ -47,12 +47,8 @@ def map_position(ops: Column, at: Column, source: str) -> Column:
 
 
 def merge_ranges(ranges: Column) -> Column:
-    """Sorted ranges joined where they overlap or lie at most one token apart."""
-    last = lambda acc: F.element_at(acc, -1)
-    joined = lambda acc, r: F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(
-        last(acc)["s"].alias("s"), F.greatest(last(acc)["e"], r["e"]).alias("e"))))
-    return F.aggregate(F.array_sort(ranges), F.array().cast("array<struct<s:int,e:int>>"), lambda acc, r: F.when(
-        (F.size(acc) > 0) & (r["s"] <= F.try_element_at(acc, F.lit(-1))["e"] + fv.RANGE_MERGE_GAP), joined(acc, r)).otherwise(F.concat(acc, F.array(r))))
+    """Ranges joined where they overlap or lie at most one token apart."""
+    return arrow.merged_ranges(F.transform(ranges, lambda r: r["s"]), F.transform(ranges, lambda r: r["e"]))
 
 
 def _joined(tokens: Column, start: Column, end: Column) -> Column:
@@ -84,16 +80,14 @@ def align_regions(candidates: DataFrame) -> DataFrame:
         lambda x: x["r"]))
     rows = rows.withColumn("ref", F.get("readers", F.lit(0))).withColumn("others", F.array_sort(
         F.slice("readers", 2, F.size("readers")), lambda a, b: a["pos"] - b["pos"]))
-    # all readers of a region fold in one string: readings apart by a line feed, tokens by the separator
-    per_reader = F.transform(F.concat(F.array("ref"), F.col("others")), lambda r: reading.joined(r["tokens"]))
     # readings that are equal word for word need neither folding nor alignment
     same = F.forall("others", lambda o: o["tokens"] == F.col("ref.tokens"))
-    rows = rows.withColumn("folded", arrow.fold(F.when(~same, F.array_join(per_reader, f"{arrow.SEPARATOR}\n{arrow.SEPARATOR}"))))
-    norm = F.transform(F.split("folded", f"{arrow.SEPARATOR}\n{arrow.SEPARATOR}"), reading.normal_form)
+    per_reader = F.transform(F.concat(F.array("ref"), F.col("others")), lambda r: reading.joined(r["tokens"]))
+    rows = rows.withColumn("codes", arrow.fold_and_align(F.when(~same, per_reader)))
     size = F.size("ref.tokens")
     alike = F.transform("others", lambda o: F.array(F.struct(
         F.lit(True).alias("equal"), F.lit(0).alias("r0"), size.alias("r1"), F.lit(0).alias("o0"), size.alias("o1"))))
-    rows = rows.withColumn("codes", arrow.align(norm)).withColumn("ops", F.when(F.col("codes").isNull(), alike).otherwise(F.transform("codes", _operations))).drop("folded", "codes")
+    rows = rows.withColumn("ops", F.when(F.col("codes").isNull(), alike).otherwise(F.transform("codes", _operations))).drop("codes")
     # every reader with its own operations; the reference stands for itself
     marked = F.flatten(F.concat(
         F.array(F.transform("ref.alternatives", lambda a: F.struct(a["token"].alias("at"), F.col("ref.engine").alias("engine"), a["options"].alias("options"), (a["token"] < F.size("ref.tokens")).alias("ok")))),
@@ -102,7 +96,9 @@ def align_regions(candidates: DataFrame) -> DataFrame:
     rows = rows.withColumn("marked", F.filter(marked, lambda m: m["ok"] & m["at"].isNotNull()))
     changed = F.transform(F.filter(F.flatten("ops"), lambda o: ~o["equal"]), lambda o: F.struct(o["r0"].alias("s"), o["r1"].alias("e")))
     uncertain = F.transform("marked", lambda m: F.struct(m["at"].alias("s"), (m["at"] + 1).alias("e")))
-    return rows.withColumn("ranges", merge_ranges(F.concat(changed, uncertain)))
+    spots = F.concat(changed, uncertain)
+    merged = merge_ranges(F.when(F.size(spots) > 0, spots))
+    return rows.withColumn("ranges", F.coalesce(merged, F.array().cast("array<struct<s:int,e:int>>")))
 
 
 def _variants(start: Column, end: Column) -> Column:
@@ -139,21 +135,27 @@ def classify_spans(spans: DataFrame, vocabulary: Vocabulary = Vocabulary()) -> D
 def _judged(aligned: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """One row per range with its verdict, and one bare row for a region without ranges.
 
-    A summary of the region rides along instead of its readings, so rows stay narrow and
-    nothing has to be joined back later.
+    A summary of the region rides along with its first range instead of its readings, so
+    rows stay narrow and nothing has to be joined back later.
     """
     summary = F.struct(
         F.col("ref.engine").alias("reference_engine"), F.col("ref.text").alias("selected_text"), F.size("readers").alias("n_readers"),
         F.array_sort(F.transform("readers", lambda r: r["engine"])).alias("engines"),
         (F.aggregate("readers", F.lit(0.0), lambda acc, r: acc + r["confidence"]) / F.size("readers")).alias("mean_confidence"))
+    # what a range needs is cut out inside the region, so that a row carries its own variants
+    # and not all readings; the region itself rides along with its first range only
+    tokens = F.col("ref.tokens")
+    spans = F.transform("ranges", lambda r: F.struct(
+        r["s"].alias("start"), r["e"].alias("end"), _variants(r["s"], r["e"]).alias("pairs"),
+        F.coalesce(F.get(tokens, r["s"] - 1), F.lit("")).alias("left"), F.coalesce(F.get(tokens, r["e"]), F.lit("")).alias("right")))
     # a step of its own: next to a generator the struct would lose its field names
-    summed = aligned.withColumn("region", summary)
-    rows = summed.select(*KEYS, "region", "ref", "others", "ops", "marked", F.explode_outer("ranges").alias("range"))
-    start, end = F.col("range.s"), F.col("range.e")
+    summed = aligned.select(*KEYS, summary.alias("region"), tokens.alias("ref_tokens"), spans.alias("spans"))
+    rows = summed.select(*KEYS, "region", "ref_tokens", F.posexplode_outer("spans").alias("pos", "span"))
+    head = F.coalesce(F.col("pos"), F.lit(0)) == 0
     rows = rows.select(
-        *KEYS, "region", F.col("ref.tokens").alias("ref_tokens"), start.alias("start"), end.alias("end"),
-        F.when(F.col("range").isNotNull(), _variants(start, end)).alias("pairs"),
-        F.coalesce(F.get("ref.tokens", start - 1), F.lit("")).alias("left"), F.coalesce(F.get("ref.tokens", end), F.lit("")).alias("right"))
+        *KEYS, F.when(head, F.col("region")).alias("region"), F.when(head, F.col("ref_tokens")).alias("ref_tokens"),
+        F.col("span.start").alias("start"), F.col("span.end").alias("end"), F.col("span.pairs").alias("pairs"),
+        F.coalesce("span.left", F.lit("")).alias("left"), F.coalesce("span.right", F.lit("")).alias("right"))
     none = F.array().cast("array<string>")
     rows = classify_spans(rows.withColumn("texts", F.coalesce(F.array_distinct(F.transform("pairs", lambda p: p["text"])), none)), vocabulary)
     variants = F.transform("texts", lambda t: F.struct(t.alias("text"), F.array_sort(F.array_distinct(F.transform(
@@ -174,12 +176,10 @@ def pieces_of(tokens: Column, found: Column) -> Column:
     """
     outside = lambda a, b: F.transform(
         F.slice(tokens, a + 1, F.greatest(b - a, F.lit(0))), lambda t: F.struct(t.alias("text"), F.lit(-1).alias("d")))
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<text:string,d:int>>").alias("pieces"))
-    walked = F.aggregate(found, start, lambda acc, d: F.struct(
-        d["end"].alias("at"), (acc["i"] + 1).alias("i"), F.concat(
-            acc["pieces"], outside(acc["at"], d["start"]),
-            F.array(F.struct(reading.bracket(F.transform(d["variants"], lambda v: v["text"])).alias("text"), acc["i"].alias("d")))).alias("pieces")))
-    return F.concat(walked["pieces"], outside(walked["at"], F.size(tokens)))
+    behind = lambda k: F.when(k > 0, F.get(found, k - 1)["end"]).otherwise(0)
+    parts = F.transform(found, lambda d, k: F.concat(outside(behind(k), d["start"]), F.array(
+        F.struct(reading.bracket(F.transform(d["variants"], lambda v: v["text"])).alias("text"), k.alias("d")))))
+    return F.concat(F.flatten(parts), outside(behind(F.size(found)), F.size(tokens)))
 
 
 def with_text(regions: DataFrame) -> DataFrame:
@@ -192,12 +192,14 @@ def with_text(regions: DataFrame) -> DataFrame:
     rows = rows.withColumn("spaced", F.transform("pieces", lambda p, i: F.when(
         (i == 0) | p["text"].isin(fv.SENTENCE_FINAL), p["text"]).otherwise(F.concat(F.lit(" "), p["text"]))))
     rows = rows.withColumn("consensus_text", F.array_join("spaced", ""))
+    # where every piece ends, for the regions that have a bracket at all
+    rows = rows.withColumn("stops", arrow.running_sums(F.when(F.size("found") > 0, F.transform("spaced", F.char_length))))
     marks = F.filter(F.transform("pieces", lambda p, i: F.struct(p["d"].alias("d"), i.alias("i"), F.char_length(p["text"]).alias("w"))), lambda x: x["d"] >= 0)
-    ends = F.transform(marks, lambda x: F.struct(F.char_length(F.array_join(F.slice("spaced", F.lit(1), x["i"] + 1), "")).alias("e"), x["w"].alias("w")))
+    ends = F.transform(marks, lambda x: F.struct(F.get("stops", x["i"]).alias("e"), x["w"].alias("w")))
     ranged = F.transform(F.arrays_zip(F.col("found").alias("d"), ends.alias("x")), lambda z: F.struct(
         z["d"]["start"].alias("start"), z["d"]["end"].alias("end"), z["d"]["variants"].alias("variants"), z["d"]["critical"].alias("critical"),
         z["d"]["reason"].alias("reason"), (z["x"]["e"] - z["x"]["w"]).alias("char_start"), z["x"]["e"].alias("char_end")))
-    return rows.withColumn("disagreements", ranged).drop("pieces", "spaced", "found")
+    return rows.withColumn("disagreements", ranged).drop("pieces", "spaced", "stops", "found")
 
 
 def agreement(found: Column, n_tokens: Column, n_readers: Column) -> Column:
@@ -214,7 +216,7 @@ def build_regions(candidates: DataFrame, vocabulary: Vocabulary = Vocabulary())
     """
     judged = _judged(align_regions(candidates), vocabulary)
     rows = judged.groupBy(*KEYS).agg(
-        F.first("region").alias("region"), F.first("ref_tokens").alias("ref_tokens"),
+        F.first("region", ignorenulls=True).alias("region"), F.first("ref_tokens", ignorenulls=True).alias("ref_tokens"),
         F.array_sort(F.collect_list(F.when(F.col("differs"), F.col("d")))).alias("found"))
     rows = rows.withColumn("agreement", agreement(F.col("found"), F.size("ref_tokens"), F.col("region.n_readers")))
     return with_text(rows).select(

@@ -9,6 +9,9 @@ whatever the data size.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,29 +20,60 @@ from pyspark.sql import types as T
 PART = "_part"
 
 
-# rows looked at per partition for the borders; the sample places borders and nothing else
-BORDER_ROWS = 64
+# rows that each task hands over for the borders; they place borders and nothing else
+BORDER_ROWS = 128
+_WEIGHT = "_stands_for"
+
+
+def _sampled(keys: DataFrame) -> DataFrame:
+    """Up to ``BORDER_ROWS`` random rows of each task, with the number of rows each stands for.
+
+    One pass: a task keeps the rows with the smallest of its random numbers.
+    """
+    def run(batches):
+        rng, kept, best, total = np.random.default_rng([11, TaskContext.get().partitionId()]), None, np.zeros(0), 0
+        for batch in batches:
+            drawn = rng.random(batch.num_rows)
+            low = np.argsort(drawn, kind="stable")[:BORDER_ROWS]
+            part = pa.Table.from_batches([batch]).take(pa.array(low))
+            kept = part if kept is None else pa.concat_tables([kept, part])
+            best, total = np.concatenate([best, drawn[low]]), total + batch.num_rows
+            if len(best) > BORDER_ROWS:
+                low = np.argsort(best, kind="stable")[:BORDER_ROWS]
+                kept, best = kept.take(pa.array(low)), best[low]
+        if total:
+            yield from kept.append_column(_WEIGHT, pa.array(np.full(len(best), total / len(best)))).combine_chunks().to_batches()
+
+    return keys.mapInArrow(run, T.StructType([*keys.schema.fields, T.StructField(_WEIGHT, T.DoubleType())]))
 
 
 def _borders(keys: DataFrame, n: int) -> list[tuple]:
     """Up to n - 1 key tuples that cut the rows into parts of about equal size."""
-    total = keys.count()
-    share = min(1.0, BORDER_ROWS * n / max(total, 1))
-    sample = sorted((tuple((v is not None, v) for v in r) for r in keys.sample(share, seed=11).collect()), key=lambda r: tuple(x if x[0] else (False,) for x in r))
-    cuts = [sample[len(sample) * i // n] for i in range(1, n)] if sample else []
+    rows = [(tuple((v is not None, v) for v in r[:-1]), r[-1]) for r in _sampled(keys).collect()]
+    rows.sort(key=lambda r: tuple(x if x[0] else (False,) for x in r[0]))
+    reached, total, cuts = 0.0, sum(w for _, w in rows), []
+    for key, weight in rows:
+        if reached >= total * (len(cuts) + 1) / n and len(cuts) < n - 1:
+            cuts.append(key)
+            while len(cuts) < n - 1 and reached >= total * (len(cuts) + 1) / n:
+                cuts.append(key)
+        reached += weight
     return [tuple(v for _, v in c) for c in dict.fromkeys(cuts)]
 
 
-def range_split(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+def range_split(df: DataFrame, group: list[str], order: list[str], like: DataFrame | None = None) -> DataFrame:
     """Rows with the number of their range of (group, order) as data.
 
+    The rows are read once for the borders, or those of ``like``: a cheaper table with the
+    same key columns and about the same keys, so that a costly ``df`` runs only once.
+
     The borders are constants of the plan, found once, so a row's number depends on the row
     alone: a lost executor computes the same one again, and nothing has to be written.
     ``order`` should end in a unique column so that ties can be split.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = df.select(*group, *order)
-    borders = _borders(keys, n)
+    borders = _borders(keys if like is None else like.select(*keys.columns), n)
     if not borders:
         return df.withColumn(PART, F.lit(0))
     kinds = [f.dataType for f in keys.schema]

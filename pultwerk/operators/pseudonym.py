@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pultwerk import fixed_values as fv
+from pultwerk.functions import arrow
 from pultwerk.functions.privacy import DETECTORS
 from pultwerk.functions.text import strip
 from pultwerk.operators import ordered
+from pultwerk.session import cut_lineage
 
 # two digits or more, so that the hundredth alias is still found
 ALIAS = r"SuS-\d{2,}"
@@ -36,12 +38,10 @@ def assign_aliases(names: DataFrame, known: DataFrame | None = None, by_count: b
     if known is None:
         known = spark.createDataFrame([], "real string, alias string, first_seen long, idx long")
     known = known.select("real", "alias", "first_seen", "idx")
-    fresh = (names.select(strip(F.col("name")).alias("real"), "seen").filter("real <> ''")
-             .groupBy("real").agg(F.min("seen").cast("long").alias("first_seen"))
-             .join(known.select("real"), "real", "left_anti"))
+    # written: numbering reads it several times, and the grouping should run once
+    fresh = cut_lineage(first_seen(names).join(known.select("real"), "real", "left_anti"))
     last = known.agg((F.count("*") if by_count else F.coalesce(F.max("idx"), F.lit(0))).alias("n")).first()["n"]
-    order = ["first_seen", "real"]
-    numbered = ordered.position(ordered.range_split(fresh, [], order), [], order, "place").drop(ordered.PART)
+    numbered = in_order(fresh)
     taken = known.select(taken_number(F.col("alias")).alias("t")).filter(F.col("t") > last).distinct()
     if taken.isEmpty():
         numbered = numbered.withColumn("idx", F.col("place") + last)
@@ -57,37 +57,38 @@ def assign_aliases(names: DataFrame, known: DataFrame | None = None, by_count: b
     return known.unionByName(numbered.select("real", alias_text(F.col("idx")).alias("alias"), "first_seen", "idx"))
 
 
-def alias_text(idx: Column) -> Column:
-    return F.concat(F.lit("SuS-"), F.when(idx < 10, F.concat(F.lit("0"), idx.cast("string"))).otherwise(idx.cast("string")))
+def first_seen(names: DataFrame) -> DataFrame:
+    """(name, seen) rows → (real, first_seen), a row per trimmed name."""
+    return names.select(strip(F.col("name")).alias("real"), "seen").filter("real <> ''").groupBy("real").agg(F.min("seen").cast("long").alias("first_seen"))
 
 
-def taken_number(alias: Column) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(alias, r"^SuS-(\d{2,18})$", 1), F.lit("")).cast("long"), F.lit(0))
+def in_order(fresh: DataFrame) -> DataFrame:
+    """Adds ``place``: 1, 2, 3 … by first appearance."""
+    order = ["first_seen", "real"]
+    return ordered.position(ordered.range_split(fresh, [], order), [], order, "place").drop(ordered.PART)
 
 
-def _edge(char: Column) -> Column:
-    return F.when(char.rlike(r"(?U)\w"), F.lit(r"\b")).otherwise(F.lit(""))
+def alias_text(idx: Column) -> Column:
+    return F.concat(F.lit("SuS-"), F.when(idx < 10, F.concat(F.lit("0"), idx.cast("string"))).otherwise(idx.cast("string")))
 
 
-def name_pattern(name: Column) -> Column:
-    """Literal name with a word edge on each side whose own character is a word character."""
-    literal = F.concat(F.lit("\\Q"), F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    return F.concat(F.lit("(?U)"), _edge(F.substring(name, 1, 1)), literal, _edge(F.substring(name, -1, 1)))
+def taken_number(alias: Column) -> Column:
+    return F.coalesce(F.nullif(F.regexp_extract(alias, r"^SuS-(\d{2,18})$", 1), F.lit("")).cast("long"), F.lit(0))
 
 
 def pseudonymize(texts: DataFrame, aliases: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, text, names) + alias map → text with exactly the given names replaced.
 
-    Names are replaced longest first. Only a text's own confirmed names are gathered, so
-    the array per text is as long as the list the teacher confirmed for it.
+    Names are replaced longest first, where the name's own edge is a word character only at
+    a word edge. Only a text's own confirmed names are gathered, so the array per text is as
+    long as the list the teacher confirmed for it.
     """
-    wanted = texts.select(key, F.explode("names").alias("name")).select(key, strip(F.col("name")).alias("real")).filter("real <> ''").distinct()
+    own = F.array_distinct(F.filter(F.transform("names", strip), lambda n: n != ""))
+    wanted = texts.select(key, F.explode(own).alias("real"))
     found = wanted.join(aliases.select("real", "alias"), "real").groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct((-F.char_length("real")).alias("l"), "real", "alias"))).alias("_names"))
+        F.array_sort(F.collect_set(F.struct((-F.char_length("real")).alias("l"), "real", "alias"))).alias("_names"))
     joined = texts.join(found, key, "left")
-    replaced = F.aggregate(F.coalesce("_names", F.array().cast("array<struct<l:int,real:string,alias:string>>")), F.col("text"),
-                           lambda acc, n: F.regexp_replace(acc, name_pattern(n["real"]), n["alias"]))
-    return joined.withColumn("pseudonymized", replaced).drop("_names")
+    return joined.withColumn("pseudonymized", arrow.replace_names("text", F.col("_names.real"), F.col("_names.alias"))).drop("_names")
 
 
 def restore(texts: DataFrame, aliases: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pultwerk import fixed_values as fv
 from pultwerk.functions import arrow
 from pultwerk.functions.text import strip, words
+from pultwerk.session import cut_lineage
 
 # cells grow with the root of the table, between these numbers
 LEAST_CELLS, MOST_CELLS = 16, 1024
@@ -66,56 +68,94 @@ def _pivots(chunks: DataFrame) -> np.ndarray:
     return arrow.matrix(pd.Series([r[0] for r in rows]))
 
 
-def _placed(chunks: DataFrame, pivots: np.ndarray) -> DataFrame:
+@dataclass(frozen=True)
+class Cells:
+    """A chunk table placed for search: ``placed`` (chunk_id, embedding, cell) is written;
+    a pivot, a radius and a number of chunks per cell, at most ``MOST_CELLS`` of them."""
+
+    placed: DataFrame
+    pivots: np.ndarray
+    radii: np.ndarray
+    sizes: np.ndarray
+
+
+def cells_of(chunks: DataFrame) -> Cells:
+    """Places every chunk in the cell of its nearest pivot, once, for any number of searches."""
+    pivots = _pivots(chunks)
+
     @F.pandas_udf("struct<cell:int,away:double>")
     def nearest_pivot(vectors: pd.Series) -> pd.DataFrame:
         d = np.sqrt(arrow.squared_distances(arrow.matrix(vectors), pivots))
         return pd.DataFrame({"cell": d.argmin(1).astype("int32"), "away": d.min(1)})
 
-    return chunks.select("chunk_id", "embedding").withColumn("_p", nearest_pivot("embedding")).select("chunk_id", "embedding", "_p.*")
+    if not len(pivots):
+        return Cells(chunks.select("chunk_id", "embedding", F.lit(0).alias("cell")), pivots, np.zeros(0), np.zeros(0, int))
+    placed = cut_lineage(chunks.select("chunk_id", "embedding").withColumn("_p", nearest_pivot("embedding")).select("chunk_id", "embedding", "_p.*"))
+    radii, sizes = np.zeros(len(pivots)), np.zeros(len(pivots), int)
+    for r in placed.groupBy("cell").agg(F.max("away").alias("radius"), F.count("*").alias("n")).collect():
+        radii[r["cell"]], sizes[r["cell"]] = r["radius"], r["n"]
+    return Cells(placed.drop("away"), pivots, radii, sizes)
 
 
-def search(queries: DataFrame, chunks: DataFrame, k: int = fv.SEARCH_DEFAULT_K, cutoff: float | None = fv.SEARCH_CUTOFF,
-           skip_equal_ids: bool = False) -> DataFrame:
-    """Exact k nearest chunks per query by squared distance, below the cutoff.
+def own_cells(queries: DataFrame, cells: Cells) -> DataFrame:
+    """(query_id, embedding, bound, cells): the one cell whose pivot is nearest; no bound yet."""
+    pivots, filled = cells.pivots, np.flatnonzero(cells.sizes)
 
-    Chunks lie in cells around pivots. A query visits a cell only if the triangle
-    inequality lets it hold a hit, so nothing within the cutoff is ever missed. Cells, and
-    the queries that visit a cell, are cut into blocks of bounded size; a block of chunks
-    goes only to the query blocks of its own cell, and a block pair hands on at most k rows
-    per query, never its pairs. Only counts and the cell radii come back to the driver.
+    @F.pandas_udf("array<int>")
+    def own(vectors: pd.Series) -> pd.Series:
+        d = arrow.squared_distances(arrow.matrix(vectors), pivots[filled])
+        return pd.Series([[int(filled[i])] for i in d.argmin(1)])
 
-    Ids may have any type. Distances are compared to nine decimals, so equal vectors tie
-    and go by id.
+    return queries.select("query_id", "embedding", F.lit(None).cast("double").alias("bound"), own("embedding").alias("cells"))
+
+
+def other_cells(asked: DataFrame, near: DataFrame, cells: Cells, k: int, cutoff: float | None) -> DataFrame:
+    """The same for the other cells that may hold a chunk within reach.
+
+    Reach is the distance of the k-th chunk of the query's own cell, or the cutoff if that
+    is nearer. By the triangle inequality a cell holds nothing nearer than the distance of
+    its pivot less its radius.
     """
-    k = clamp_k(k)
-    query_kind, chunk_kind = (frame.schema[name].dataType.simpleString() for frame, name in ((queries, "query_id"), (chunks, "chunk_id")))
-    pivots = _pivots(chunks)
-    if len(pivots) == 0:
-        return queries.sparkSession.createDataFrame([], f"query_id {query_kind}, chunk_id {chunk_kind}, distance double, rank int")
-    placed = _placed(chunks, pivots)
-    cells = {r["cell"]: r for r in placed.groupBy("cell").agg(F.max("away").alias("radius"), F.count("*").alias("n")).collect()}
-    blocks = {c: -(-r["n"] // BLOCK_ROWS) for c, r in cells.items()}
-    ids = np.array(sorted(cells))
-    radii = np.array([cells[c]["radius"] for c in ids])
+    pivots, radii, filled = cells.pivots, cells.radii, np.flatnonzero(cells.sizes)
+    bounds = near.groupBy("query_id").agg(F.max("distance").alias("far"), F.count("*").alias("n")).filter(F.col("n") >= k)
 
     @F.pandas_udf("array<int>")
-    def reachable(vectors: pd.Series) -> pd.Series:
-        gap = np.sqrt(arrow.squared_distances(arrow.matrix(vectors), pivots[ids])) - radii
-        near = np.ones_like(gap, bool) if cutoff is None else np.maximum(gap - 1e-6, 0.0) ** 2 < cutoff
-        return pd.Series([ids[row].tolist() for row in near])
+    def reached(vectors: pd.Series, bound: pd.Series, own: pd.Series) -> pd.Series:
+        gap = np.sqrt(arrow.squared_distances(arrow.matrix(vectors), pivots[filled])) - radii[filled]
+        least = np.maximum(gap - 1e-6, 0.0) ** 2
+        keep = least <= bound.fillna(np.inf).to_numpy()[:, None]
+        if cutoff is not None:
+            keep &= least < cutoff
+        keep[filled[None, :] == np.array([o[0] for o in own])[:, None]] = False
+        return pd.Series([filled[row].tolist() for row in keep])
+
+    bound = asked.drop("bound").join(bounds.select("query_id", F.col("far").alias("bound")), "query_id", "left")
+    return bound.select("query_id", "embedding", "bound", reached("embedding", "bound", "cells").alias("cells"))
+
 
+def pairs_compared(asked: DataFrame, cells: Cells) -> int:
+    """How many distances a round over ``asked`` takes."""
+    reached = asked.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()
+    return sum(int(r["count"] * cells.sizes[r["cell"]]) for r in reached)
+
+
+def _visited(asked: DataFrame, cells: Cells, k: int, cutoff: float | None, skip_equal_ids: bool) -> DataFrame:
+    """(query_id, chunk_id, distance): the best k chunks of each block pair, within the bound.
+
+    Cells, and the queries that visit a cell, are cut into blocks of bounded size; a block of
+    chunks goes only to the query blocks of its own cell, and never hands on its pairs.
+    """
+    schema = ", ".join(f"{name} {frame.schema[name].dataType.simpleString()}" for frame, name in ((asked, "query_id"), (cells.placed, "chunk_id"))) + ", distance double"
+    visits = asked.select("query_id", "embedding", "bound", F.explode("cells").alias("cell"))
+    counted = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
+    if not counted:
+        return asked.sparkSession.createDataFrame([], schema)
     table = lambda numbers: F.create_map(*[F.lit(int(x)) for pair in numbers.items() for x in pair])
-    count = table(blocks)
-    visits = queries.select("query_id", "embedding", F.explode(reachable("embedding")).alias("cell"))
-    reached = {r["cell"]: -(-r["count"] // BLOCK_ROWS) for r in visits.groupBy("cell").count().collect()}
-    if not reached:
-        return queries.sparkSession.createDataFrame([], f"query_id {query_kind}, chunk_id {chunk_kind}, distance double, rank int")
-    parts = table(reached)
-    left = (visits.withColumn("block", F.explode(F.sequence(F.lit(0), count[F.col("cell")] - 1)))
+    blocks, parts = table({c: -(-cells.sizes[c] // BLOCK_ROWS) for c in counted}), table({c: -(-n // BLOCK_ROWS) for c, n in counted.items()})
+    left = (visits.withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("cell")] - 1)))
             .withColumn("part", F.pmod(F.xxhash64("query_id"), parts[F.col("cell")].cast("long")).cast("int")))
-    right = (placed.filter(F.col("cell").isin(*reached)).withColumn("block", F.pmod(F.xxhash64("chunk_id"), count[F.col("cell")].cast("long")).cast("int"))
-             .withColumn("part", F.explode(F.sequence(F.lit(0), parts[F.col("cell")] - 1))).drop("away"))
+    right = (cells.placed.filter(F.col("cell").isin(*counted)).withColumn("block", F.pmod(F.xxhash64("chunk_id"), blocks[F.col("cell")].cast("long")).cast("int"))
+             .withColumn("part", F.explode(F.sequence(F.lit(0), parts[F.col("cell")] - 1))))
 
     def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
@@ -124,14 +164,42 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = fv.SEARCH_DEFAULT_K,
         if skip_equal_ids:
             d[q["query_id"].to_numpy()[:, None] == c["chunk_id"].to_numpy()[None, :]] = np.inf
         kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-        rows, cols = np.nonzero((d <= kth[:, None]) & (d < (np.inf if cutoff is None else cutoff)))
+        reach = np.minimum(kth, q["bound"].fillna(np.inf).to_numpy())
+        rows, cols = np.nonzero((d <= reach[:, None]) & (d < (np.inf if cutoff is None else cutoff)))
         hits = pd.DataFrame({"query_id": q["query_id"].to_numpy()[rows], "chunk_id": c["chunk_id"].to_numpy()[cols], "distance": d[rows, cols]})
         return hits.sort_values(["query_id", "distance", "chunk_id"]).groupby("query_id").head(k)
 
     keys = ["cell", "block", "part"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, f"query_id {query_kind}, chunk_id {chunk_kind}, distance double")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, schema)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "chunk_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("distance", F.round("distance", 3))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def search(queries: DataFrame, chunks: DataFrame, k: int = fv.SEARCH_DEFAULT_K, cutoff: float | None = fv.SEARCH_CUTOFF,
+           skip_equal_ids: bool = False, cells: Cells | None = None) -> DataFrame:
+    """Exact k nearest chunks per query by squared distance, below the cutoff.
+
+    Chunks lie in cells around pivots (``cells``, or placed here). A query looks into its
+    own cell first; what it finds there bounds its reach, and of the other cells it visits
+    only those that the bound lets hold a nearer chunk. Without a cutoff this is what keeps
+    a query from visiting everything. Only counts and the cell radii come to the driver.
+
+    Ids may have any type. Distances are compared to nine decimals, so equal vectors tie
+    and go by id.
+    """
+    k = clamp_k(k)
+    cells = cells or cells_of(chunks)
+    if not len(cells.pivots):
+        query_kind, chunk_kind = (frame.schema[name].dataType.simpleString() for frame, name in ((queries, "query_id"), (chunks, "chunk_id")))
+        return queries.sparkSession.createDataFrame([], f"query_id {query_kind}, chunk_id {chunk_kind}, distance double, rank int")
+    asked = cut_lineage(own_cells(queries, cells))
+    near = cut_lineage(_ranked(_visited(asked, cells, k, cutoff, skip_equal_ids), k).drop("rank"))
+    more = cut_lineage(other_cells(asked, near, cells, k, cutoff))
+    found = near.unionByName(_visited(more, cells, k, cutoff, skip_equal_ids))
+    return _ranked(found, k).withColumn("distance", F.round("distance", 3)).select("query_id", "chunk_id", "distance", "rank")
 
 
 def context(hits: DataFrame, chunks: DataFrame) -> DataFrame:

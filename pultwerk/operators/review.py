@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pultwerk.operators import ordered
+from pultwerk.session import cut_lineage
+
 # name of a job folder; anything else is left alone
 JOB_FOLDER = r"\A[A-Za-z0-9_-]{1,64}\z"
 
@@ -122,26 +123,112 @@ def prior_versions(versions: DataFrame, keep: int = 3) -> DataFrame:
     return ranked.filter("rn > 1").withColumn("version", F.col("rn") - 1).drop("rn")
 
 
+def _part_steps(rows: DataFrame) -> DataFrame:
+    """(part, state_id, r, s): what a part makes of the revision r that it is entered with.
+
+    A row is the step "r becomes r + 1 if the row expects r". A part is the composition of
+    its steps, worked out from its last row to its first; revisions that none of its rows
+    expects pass through and are not listed. A task holds the table of one part.
+    """
+    def run(batches):
+        held, steps = None, {}
+
+        def out():
+            part, state = held
+            yield pa.RecordBatch.from_arrays([
+                pa.array([part] * len(steps), pa.int32()), pa.array([state] * len(steps), pa.int64()), pa.array(list(steps), pa.int64()), pa.array(list(steps.values()), pa.int64()),
+            ], names=["part", "state_id", "r", "s"])
+
+        for batch in batches:
+            for part, state, expected in zip(*[batch.column(c).to_pylist() for c in (ordered.PART, "state_id", "expected")]):
+                if (part, state) != held:
+                    if steps:
+                        yield from out()
+                    held, steps = (part, state), {}
+                if expected is not None:
+                    steps[expected] = steps.get(expected + 1, expected + 1)
+        if steps:
+            yield from out()
+
+    latest = [F.desc_nulls_last("ts"), F.desc_nulls_last("event_id")]
+    dealt = rows.repartition(ordered.PART).sortWithinPartitions(ordered.PART, "state_id", *latest)
+    return dealt.select(ordered.PART, "state_id", "expected").mapInArrow(run, "part int, state_id long, r long, s long")
+
+
+def _composed(steps: DataFrame) -> DataFrame:
+    """Two neighbouring parts become one: the left table, continued by the right one."""
+    left, right = (steps.filter(F.col("part") % 2 == side).withColumn("part", F.floor(F.col("part") / 2).cast("int")) for side in (0, 1))
+    keys = ["part", "state_id"]
+    onward = right.select(*keys, F.col("r").alias("s"), F.col("s").alias("_on"))
+    through = left.join(onward, [*keys, "s"], "left").select(*keys, "r", F.coalesce("_on", "s").alias("s"))
+    return through.unionByName(right.join(left.select(*keys, "r"), [*keys, "r"], "left_anti"))
+
+
+def _entered(spans: DataFrame, steps: DataFrame, parts: int) -> DataFrame:
+    """(part, state_id, revision): the revision at the start of every listed part.
+
+    Tables are composed two by two up to one for all parts, then the starting revision is
+    handed down: to a left half as it is, to a right half through the left one's table.
+    """
+    levels = [steps]
+    for _ in range((parts - 1).bit_length()):
+        levels.append(cut_lineage(_composed(levels[-1])))
+    at = spans.select("state_id").distinct().select(F.lit(0).alias("part"), "state_id", F.lit(0).cast("long").alias("revision"))
+    for width, below in reversed(list(enumerate(levels[:-1]))):
+        lefts = at.select((F.col("part") * 2).alias("part"), "state_id", "revision")
+        known = below.select("part", "state_id", F.col("r").alias("revision"), F.col("s").alias("_on"))
+        rights = lefts.join(known, ["part", "state_id", "revision"], "left").select(
+            (F.col("part") + 1).alias("part"), "state_id", F.coalesce("_on", "revision").alias("revision"))
+        # only what leads to a listed part: at most as many rows as there are
+        needed = spans.select(F.shiftright("part", width).alias("part"), "state_id").distinct()
+        at = cut_lineage(lefts.unionByName(rights).join(F.broadcast(needed), ["part", "state_id"], "left_semi"))
+    return at
+
+
 def check_revisions(attempts: DataFrame) -> DataFrame:
     """attempts(state_id, ts, event_id, expected) → accepted flag and the revision after it.
 
     A write counts only if it expects the current revision, so each answer depends on the
-    ones before. Sorted rows stream through; a task keeps one number per state in work.
+    ones before. Rows are cut into ranges of (state, time). A state inside one range is
+    walked there; for one that spans ranges, each range is first summed up as a table of
+    steps, the tables are composed in pairs, and every range then starts from the revision
+    that the ones before it lead to. So a state with most of the rows is spread over all
+    tasks. An attempt without an expectation, or on no state, is refused.
     """
+    order = ["ts", "event_id"]
+    rows = attempts.select(F.col("state_id").cast("long").alias("state_id"), *order, F.col("expected").cast("long").alias("expected"))
+    split = ordered.range_split(rows.filter("state_id is not null"), ["state_id"], order)
+    lost = rows.filter("state_id is null").select("state_id", F.col("event_id").cast("long").alias("event_id"), "expected", F.lit(False).alias("accepted"), F.lit(0).cast("long").alias("revision"))
+    # a part shares at most its first and its last state with other parts
+    seen = split.groupBy(F.col(ordered.PART).alias("part"), "state_id").agg(F.lit(1).alias("_one"))
+    several = seen.groupBy("state_id").agg(F.count("*").alias("n"), F.max("part").alias("last")).filter("n > 1").select("state_id", "last")
+    spans = cut_lineage(seen.join(several, "state_id").select("part", "state_id"))
+    last = spans.agg(F.max("part")).first()[0]
+    if last is None:
+        return _walked(split.withColumn("_start", F.lit(0).cast("long"))).unionByName(lost)
+    # at most two rows per part
+    some = F.broadcast(spans.withColumnsRenamed({"part": ordered.PART}))
+    steps = cut_lineage(_part_steps(split.join(some, [ordered.PART, "state_id"], "left_semi")))
+    starts = F.broadcast(_entered(spans, steps, last + 1).select(F.col("part").alias(ordered.PART), "state_id", F.col("revision").alias("_start")))
+    return _walked(split.join(starts, [ordered.PART, "state_id"], "left").withColumn("_start", F.coalesce("_start", F.lit(0).cast("long")))).unionByName(lost)
+
+
+def _walked(rows: DataFrame) -> DataFrame:
+    """Sorted rows stream through; a task keeps one number of the state in work."""
     schema = "state_id long, event_id long, expected long, accepted boolean, revision long"
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, revision = None, 0
+    def walk(batches):
+        held, revision = None, 0
         for batch in batches:
             accepted, after = [], []
-            for key, expected in zip(batch["state_id"], batch["expected"]):
-                if key != state:
-                    state, revision = key, 0
-                hit = bool(expected == revision)
+            for part, state, expected, start in zip(*[batch.column(c).to_pylist() for c in (ordered.PART, "state_id", "expected", "_start")]):
+                if (part, state) != held:
+                    held, revision = (part, state), start
+                hit = expected == revision
                 revision += hit
                 accepted.append(hit)
                 after.append(revision)
-            yield batch[["state_id", "event_id", "expected"]].assign(accepted=accepted, revision=after)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("state_id", "event_id", "expected")], pa.array(accepted, pa.bool_()), pa.array(after, pa.int64())], names=["state_id", "event_id", "expected", "accepted", "revision"])
 
-    rows = attempts.select("state_id", "ts", "event_id", F.col("expected").cast("long").alias("expected"))
-    return rows.repartition("state_id").sortWithinPartitions("state_id", "ts", "event_id").mapInPandas(walk, schema)
+    keyed = rows.select("state_id", "ts", F.col("event_id").cast("long").alias("event_id"), "expected", "_start", ordered.PART)
+    return keyed.repartition(ordered.PART).sortWithinPartitions(ordered.PART, "state_id", "ts", "event_id").mapInArrow(walk, schema)

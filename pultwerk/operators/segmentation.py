@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pultwerk import fixed_values as fv
@@ -39,8 +38,8 @@ def _grow_lines(boxes: DataFrame) -> DataFrame:
             yield batch.assign(local=numbers)
 
     keys = ["page_id", "segment"]
-    schema = "page_id long, box_id long, x0 long, y0 long, x1 long, y1 long, segment long, local long"
-    return boxes.select(*BOX, "segment").repartition(*keys).sortWithinPartitions(*keys, *BOX_ORDER).mapInPandas(walk, schema)
+    schema = f"page_id long, box_id long, x0 long, y0 long, x1 long, y1 long, segment long, {ordered.PART} int, local long"
+    return boxes.select(*BOX, "segment", ordered.PART).repartition(*keys).sortWithinPartitions(*keys, *BOX_ORDER).mapInPandas(walk, schema)
 
 
 def word_lines(boxes: DataFrame) -> DataFrame:
@@ -55,11 +54,13 @@ def word_lines(boxes: DataFrame) -> DataFrame:
     reach = ordered.running(split, ["page_id"], BOX_ORDER, F.col("y1"), "_reach", how="max", include_current=False)
     cut = reach.withColumn("_cut", F.coalesce((F.col("y0") >= F.col("_reach")).cast("long"), F.lit(0).cast("long")))
     grown = _grow_lines(ordered.running(cut, ["page_id"], BOX_ORDER, F.col("_cut"), "segment"))
-    # every line's first box counts one; the running count over the page is the line number
-    first = F.row_number().over(W.partitionBy("page_id", "segment", "local").orderBy(*BOX_ORDER)) == 1
-    marked = ordered.range_split(grown.withColumn("_first", first.cast("long")), ["page_id"], ["segment", "local", *BOX_ORDER])
-    numbered = ordered.running(marked, ["page_id"], ["segment", "local", *BOX_ORDER], F.col("_first"), "_n")
-    return numbered.select(*BOX, (F.col("_n") - 1).cast("int").alias("line"))
+    # lines come in the order of boxes, so segments lie in the ranges of the split as well:
+    # only a row per segment is numbered, and joined back where its boxes already are
+    keys = ["page_id", "segment"]
+    per_segment = grown.groupBy(*keys).agg(F.min(ordered.PART).alias(ordered.PART), (F.max("local") + 1).alias("_lines"))
+    before = ordered.running(per_segment, ["page_id"], ["segment"], F.col("_lines"), "_before", include_current=False)
+    numbered = grown.drop(ordered.PART).join(before.select(*keys, "_before"), keys)
+    return numbered.select(*BOX, (F.coalesce("_before", F.lit(0)) + F.col("local")).cast("int").alias("line"))
 
 
 def line_boxes(lines: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pultwerk import fixed_values as fv
@@ -65,9 +65,11 @@ def _cost(tokens: str, price: str) -> Column:
 def with_cost(events: DataFrame, prices=fv.PRICES) -> DataFrame:
     """Exact cost per event, so that sums do not depend on the order of rows.
 
-    An empty skill name means that no skill ran.
+    An empty skill name means that no skill ran; events need not name skills at all.
     """
-    return (resolve_prices(events.withColumn("skill_name", F.nullif("skill_name", F.lit(""))), prices)
+    if "skill_name" in events.columns:
+        events = events.withColumn("skill_name", F.nullif("skill_name", F.lit("")))
+    return (resolve_prices(events, prices)
             .withColumn("input_cost", _cost("input_tokens", "input_price"))
             .withColumn("output_cost", _cost("output_tokens", "output_price"))
             .withColumn("cost", (F.col("input_cost") + F.col("output_cost")).cast(MONEY))
@@ -165,11 +167,26 @@ def usage_by_model(priced: DataFrame) -> DataFrame:
 
 
 def session_tokens(priced: DataFrame, gap_minutes: int = 30) -> DataFrame:
-    """Tokens per user session; a session is a chain of requests within the gap."""
-    stamped = priced.withColumn("ts", F.col("ts").cast("timestamp"))
-    return stamped.groupBy("user_id", F.session_window("ts", f"{gap_minutes} minutes").alias("s")).agg(
-        F.sum("total_tokens").alias("session_tokens"), F.count("*").alias("requests")).select(
-        "user_id", F.col("s.start").alias("session_start"), "session_tokens", "requests")
+    """Tokens per user session; a session is a chain of requests less than the gap apart.
+
+    Requests are cut into ranges of (user, time), so a user with very many of them is spread
+    over many tasks. Each range sums up its own partial sessions; a partial session that
+    starts within the gap of the one before, in this range or an earlier one, goes on with it.
+    """
+    order = ["ts", "request_id"]
+    stamped = priced.filter("ts is not null").withColumn("ts", F.col("ts").cast("timestamp")).select("user_id", *order, "total_tokens")
+    split = ordered.range_split(stamped, ["user_id"], order)
+    gap = F.expr(f"INTERVAL {int(gap_minutes)} MINUTES")
+    rows = Window.partitionBy(ordered.PART, "user_id").orderBy(*order)
+    marked = split.withColumn("_before", F.lag("ts").over(rows)).withColumn(
+        "_n", F.sum(F.when(F.col("ts") >= F.col("_before") + gap, 1).otherwise(0)).over(rows))
+    partial = marked.groupBy(ordered.PART, "user_id", "_n").agg(
+        F.min("ts").alias("start"), F.max("ts").alias("end"), F.sum("total_tokens").alias("tokens"), F.count("*").alias("requests"))
+    joined = ordered.previous(partial, ["user_id"], ["start"], "end", "_before")
+    opened = F.when(F.col("_before").isNull() | (F.col("start") >= F.col("_before") + gap), 1).otherwise(0)
+    numbered = ordered.running(joined, ["user_id"], ["start"], opened, "_session")
+    return numbered.groupBy("user_id", "_session").agg(
+        F.min("start").alias("session_start"), F.sum("tokens").alias("session_tokens"), F.sum("requests").alias("requests")).drop("_session")
 
 
 def summary(rolled: DataFrame, period: str, key: str | None = None) -> DataFrame:

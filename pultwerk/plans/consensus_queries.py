@@ -278,6 +278,13 @@ def _(spark, sf):
     return found.select("id", F.round(consensus.agreement(F.col("found"), F.lit(40), F.when(F.col("id") % 5 == 0, 1).otherwise(2)), 6).alias("agreement"))
 
 
+@query("cn_04_region_agreement", _DISTINCT + """, width AS (SELECT job_id, region_id, sum(greatest(e - s, 1)) AS w FROM spot GROUP BY job_id, region_id)
+ SELECT c.job_id, c.page, c.region_id, CASE WHEN two OR three THEN round(1 - coalesce(w, 0) / CAST(greatest(len(t), 1) AS DOUBLE), 6) ELSE 0 END AS agreement FROM cut c LEFT JOIN width USING (job_id, region_id)""")
+def _(spark, sf):
+    """Agreement of the regions that the consensus makes of the readings."""
+    return consensus.build_regions(readings.distinct(spark, sf)).select(*consensus.KEYS, F.round("agreement", 6).alias("agreement"))
+
+
 # --- segmentation ------------------------------------------------------------------------
 
 @query("wn_04_merged_ranges", f"""WITH {_FOUND}, m AS (SELECT id, s, e, max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT * FROM f)),
@@ -299,15 +306,24 @@ def _(spark, sf):
     return segmentation.paragraphs(rows).drop("n")
 
 
-@query("wn_06_word_lines", _BOX + """, o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y0, x0, box_id) AS k FROM word_boxes),
+_LINES = _BOX + """, o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y0, x0, box_id) AS k FROM word_boxes),
  walk AS (SELECT page_id, k, box_id, 0 AS line, y0 AS top, y1 AS bottom FROM o WHERE k = 1
   UNION ALL SELECT o.page_id, o.k, o.box_id, CASE WHEN hit THEN line ELSE line + 1 END, CASE WHEN hit THEN least(top, o.y0) ELSE o.y0 END, CASE WHEN hit THEN greatest(bottom, o.y1) ELSE o.y1 END
    FROM (SELECT w.page_id, w.line, w.top, w.bottom, w.k + 1 AS nk, n.k, n.box_id, n.y0, n.y1, least(bottom - top, n.y1 - n.y0) > 0 AND least(bottom, n.y1) - greatest(top, n.y0) >= 0.4 * least(bottom - top, n.y1 - n.y0) AS hit FROM walk w JOIN o n ON n.page_id = w.page_id AND n.k = w.k + 1) o)
- SELECT page_id, box_id, CAST(line AS INTEGER) AS line FROM walk""")
+ """
+
+
+@query("wn_06_word_lines", _LINES + "SELECT page_id, box_id, CAST(line AS INTEGER) AS line FROM walk")
 def _(spark, sf):
     return segmentation.word_lines(view(spark, sf, "word_boxes")).select("page_id", "box_id", "line")
 
 
+@query("wn_06_line_boxes", _LINES + "SELECT page_id, CAST(line AS INTEGER) AS line, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS words FROM walk JOIN word_boxes USING (page_id, box_id) GROUP BY page_id, line")
+def _(spark, sf):
+    """Lines as boxes, from which paragraphs are made."""
+    return segmentation.line_boxes(segmentation.word_lines(view(spark, sf, "word_boxes")))
+
+
 # --- regions, pages and documents as rows ---------------------------------------------------
 
 _RR = f"WITH {view_sql('region_rows', 'page_rows')}"

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pultwerk import fixed_values as fv
@@ -9,7 +13,8 @@ from pultwerk.functions import text as tx
 from pultwerk.operators import normalise, pseudonym, records
 from pultwerk.plans.privacy_queries import _REQ
 from pultwerk.plans.registry import query, quote, sql_list, values
-from pultwerk.sources import roster
+from pultwerk.session import shared_dir
+from pultwerk.sources import record_store, roster
 from pultwerk.sources.tables import table, view, view_sql
 
 _STU = f"WITH {view_sql('students')} "
@@ -140,6 +145,43 @@ def _(spark, sf):
     return records.erase(view(spark, sf, "observations"), _erasures(spark, sf)).select("student_id", "obs_id", "competency")
 
 
+def _learner_tables(spark, sf):
+    """All tables that hold something on a learner, written to a folder of their own."""
+    root = f"{shared_dir(spark)}/learners/{uuid.uuid4().hex}"
+    s, o = view(spark, sf, "students"), view(spark, sf, "observations")
+    name = F.concat_ws(" ", "given_name", "family_name")
+    record_store.create(
+        root, s, o, s.select(name.alias("real"), pseudonym.alias_text(F.col("student_id") + 1).alias("alias")),
+        o.select(F.col("obs_id").alias("document_id"), F.concat_ws(": ", "subject", "competency").alias("chunk")))
+    return root
+
+
+@query("jn_10_erasure_everywhere", _OBS + """, left_over AS (SELECT * FROM students WHERE student_id % 17 <> 0), notes AS (SELECT o.* FROM observations o WHERE student_id NOT IN (SELECT student_id FROM students WHERE student_id % 17 = 0))
+ SELECT 'records' AS held_in, CAST(student_id AS VARCHAR) AS key, count(*) AS n FROM left_over GROUP BY ALL UNION ALL SELECT 'index', CAST(student_id AS VARCHAR), count(*) FROM left_over GROUP BY ALL
+ UNION ALL SELECT 'versions', CAST(student_id AS VARCHAR), count(*) FROM left_over WHERE student_id % 5 = 0 GROUP BY ALL UNION ALL SELECT 'aliases', given_name || ' ' || family_name, count(*) FROM left_over GROUP BY ALL
+ UNION ALL SELECT 'observations', CAST(student_id AS VARCHAR), count(*) FROM notes GROUP BY ALL UNION ALL SELECT 'chunks', CAST(obs_id AS VARCHAR), count(*) FROM notes GROUP BY ALL""")
+def _(spark, sf):
+    """Learners are patched, then some are erased; what is left in the files of every table."""
+    root = _learner_tables(spark, sf)
+    patches = view(spark, sf, "students").filter("student_id % 5 = 0").selectExpr("student_id", "CAST(NULL AS STRING) AS given_name", "CAST(NULL AS STRING) AS family_name", "class_id + 1 AS class_id", "CAST(NULL AS STRING) AS pronoun")
+    record_store.upsert(spark, root, patches, ["given_name", "family_name", "class_id", "pronoun"])
+    record_store.erase(spark, root, _erasures(spark, sf))
+    parts = [record_store.raw(spark, root, t).groupBy(F.lit(t.name).alias("held_in"), F.col(t.key).cast("string").alias("key")).agg(F.count("*").alias("n")) for t in record_store.LEARNER_TABLES]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("rc_01_index_in_step", _STU + """, p AS (SELECT CASE WHEN student_id % 5 = 0 THEN student_id ELSE student_id + 1000000 END AS student_id, CASE WHEN student_id % 2 = 0 THEN 'neu' END AS given_name, student_id % 3 AS class_id FROM students WHERE student_id % 5 < 2)
+ SELECT COALESCE(p.student_id, s.student_id) AS student_id, COALESCE(p.class_id, s.class_id) AS class_id, concat_ws(' ', COALESCE(p.given_name, s.given_name), family_name) AS name FROM students s FULL JOIN p ON p.student_id = s.student_id""")
+def _(spark, sf):
+    """The list view after records were patched and added."""
+    root = _learner_tables(spark, sf)
+    patches = view(spark, sf, "students").filter("student_id % 5 < 2").selectExpr(
+        "CASE WHEN student_id % 5 = 0 THEN student_id ELSE student_id + 1000000 END AS student_id",
+        "CASE WHEN student_id % 2 = 0 THEN 'neu' END AS given_name", "cast(NULL AS string) AS family_name", "student_id % 3 AS class_id", "cast(NULL AS string) AS pronoun")
+    record_store.upsert(spark, root, patches, ["given_name", "family_name", "class_id", "pronoun"])
+    return record_store.read(spark, root, record_store.Kept("index"))
+
+
 @query("jn_14_access_rows", _OBS + """SELECT student_id, 'student' AS kind, '{"family_name":"' || family_name || '","class_id":' || class_id || '}' AS payload FROM students WHERE student_id % 17 = 0
  UNION ALL SELECT student_id, 'observation', '{"obs_id":' || obs_id || ',"rating":"' || rating || '"}' FROM observations WHERE student_id IN (SELECT student_id FROM students WHERE student_id % 17 = 0)""")
 def _(spark, sf):

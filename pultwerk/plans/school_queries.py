@@ -178,6 +178,13 @@ def _(spark, sf):
     return lessons.curriculum_lookup(view(spark, sf, "curriculum_asks"), view(spark, sf, "curriculum"))
 
 
+@query("jn_05_answered_asks", f"WITH {view_sql('curriculum', 'curriculum_asks')}, found AS (SELECT ask_id, count(*) AS n, string_agg(topic_id, ',' ORDER BY topic_id) AS topics FROM curriculum_asks a JOIN curriculum c ON a.subject = c.subject AND a.class_level BETWEEN c.class_from AND c.class_to AND (c.state_id = a.state_id OR c.state_id = 0) GROUP BY ask_id) SELECT ask_id, CAST(COALESCE(n, 0) AS INTEGER) AS n, COALESCE(topics, '') AS topics FROM curriculum_asks LEFT JOIN found USING (ask_id)")
+def _(spark, sf):
+    """One row per ask, those without an entry included."""
+    found = lessons.answered_asks(view(spark, sf, "curriculum_asks"), view(spark, sf, "curriculum"))
+    return found.select("ask_id", F.size("entries").alias("n"), F.array_join(F.col("entries.topic_id").cast("array<string>"), ",").alias("topics"))
+
+
 _TOPIC = "CASE lesson_id % 3 WHEN 0 THEN p_name WHEN 1 THEN concat('Einstieg: ', split_part(p_name, ' ', 1)) ELSE 'Wiederholung' END"
 
 
@@ -191,6 +198,14 @@ def _(spark, sf):
     return lessons.topic_coverage(view(spark, sf, "curriculum"), held)
 
 
+@query("jn_15_already_present", f"WITH {view_sql('curriculum')}, new AS (SELECT topic_id, state_id, subject, class_from + topic_id % 2 * 20 AS class_from, class_to FROM curriculum WHERE topic_id % 3 = 0) SELECT topic_id FROM new n WHERE EXISTS (SELECT 1 FROM curriculum c WHERE c.state_id = n.state_id AND c.subject = n.subject AND c.class_from = n.class_from AND c.class_to = n.class_to)")
+def _(spark, sf):
+    """Of the entries a school hands in again, those that are there already."""
+    plan = view(spark, sf, "curriculum")
+    new = plan.filter("topic_id % 3 = 0").withColumn("class_from", F.col("class_from") + F.col("topic_id") % 2 * 20)
+    return lessons.already_present(new, plan, ["state_id", "subject", "class_from", "class_to"]).select("topic_id")
+
+
 @query("jn_15_duplicate_entries", f"WITH {view_sql('curriculum')} SELECT state_id, subject, class_from, class_to, count(*) AS entries FROM curriculum GROUP BY ALL HAVING count(*) > 1")
 def _(spark, sf):
     return lessons.duplicate_entries(view(spark, sf, "curriculum"), ["state_id", "subject", "class_from", "class_to"])

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from pultwerk.operators import usage
 from pultwerk.plans.registry import query
-from pultwerk.session import shared_dir
+from pultwerk.plans.written_files import new_folder, write_named
 from pultwerk.sources import logs, manifest, results, roster, sse, usage_files
 from pultwerk.sources.tables import table, view, view_sql
 
 
-def _folder(spark):
-    """A new folder that all executors share; the queries below write files there and read them."""
-    return f"{shared_dir(spark)}/files/{uuid.uuid4().hex}"
+_folder = new_folder
 
 
 @query("src_01_usage_files", f"WITH {view_sql('usage_events')} SELECT request_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, model, input_tokens, output_tokens, skill_name FROM usage_events WHERE request_id % 13 <> 5")
@@ -163,3 +159,112 @@ def _(spark, sf):
     touched = F.when(F.col("doc_id") % 9 == 2, F.concat("content", F.lit(b"!"))).when(
         F.col("doc_id") % 9 == 5, F.concat(F.lit(b"\x00"), F.substr("content", F.lit(2)))).otherwise(F.col("content"))
     return manifest.verify(listed, manifest.manifest(files.filter("doc_id % 9 <> 1").withColumn("content", touched)))
+
+
+# --- files by name, with what was not taken from them ------------------------------------
+
+def _name():
+    return F.regexp_extract("path", r"([^/]+)\z", 1)
+
+
+def _suppliers(spark, sf):
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("n"), F.col("s_suppkey").cast("string").alias("k"), "s_name")
+
+
+@query("src_01_usage_rejects", f"WITH {view_sql('usage_events')} SELECT request_id, CASE request_id % 13 WHEN 5 THEN 'not_json' WHEN 7 THEN 'unreadable_time' ELSE 'no_time' END AS reason FROM usage_events WHERE request_id % 13 IN (5, 7, 9)")
+def _(spark, sf):
+    """Lines that were cut off, have a time nobody can read, or none."""
+    time = F.when(F.col("request_id") % 13 == 7, "gestern").when(F.col("request_id") % 13 != 9, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    line = F.to_json(F.struct(F.col("request_id").cast("string").alias("request_id"), time.alias("ts"), "user_id", "model", "input_tokens", "output_tokens"))
+    folder = _folder(spark)
+    view(spark, sf, "usage_events").select(F.when(F.col("request_id") % 13 == 5, F.rtrim(F.regexp_replace(line, r"\}\z", ""))).otherwise(line)).write.text(folder)
+    return usage_files.event_rejects(spark, folder).select(F.regexp_extract("value", r'"request_id":"(\d+)"', 1).cast("long").alias("request_id"), "reason")
+
+
+@query("src_02_roster_rejects", "SELECT CASE WHEN c_nationkey % 3 = 2 THEN 'header' ELSE 'name' END AS reason, count(*) AS n FROM customer WHERE c_nationkey % 3 = 2 OR c_custkey % 20 = 3 GROUP BY reason")
+def _(spark, sf):
+    """Lists without a column for the first name, and lines without one."""
+    c = table(spark, sf, "customer").withColumn("first", F.when(F.col("c_custkey") % 20 == 3, F.lit("  ")).otherwise("Kind"))
+    folder = _folder(spark)
+    for kind, columns in ((0, {"Vorname": "first", "Nachname": "c_name"}), (1, {"nachname": "c_name", "Pronomen": "'er'", "vorname": "first"}), (2, {"Name": "c_name", "Nachname": "c_name"})):
+        rows = c.filter(F.col("c_nationkey") % 3 == kind).selectExpr(*[f"{e} AS `{n}`" for n, e in columns.items()])
+        rows.write.mode("append").option("header", True).option("sep", ";").csv(folder)
+    return roster.rejects(spark, folder).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("src_04_result_files", """SELECT s_suppkey || '.json' AS file, CASE s_suppkey % 7 WHEN 3 THEN 'not_json' WHEN 4 THEN 'no_pages' WHEN 5 THEN 'wrong_type' ELSE 'read' END AS outcome,
+ CAST(CASE WHEN s_suppkey % 7 IN (3, 4, 5) THEN 0 ELSE 2 END AS BIGINT) AS regions FROM supplier""")
+def _(spark, sf):
+    """A result file per supplier; some are cut off, badly typed or lack their pages."""
+    region = lambda i: F.struct(F.lit(f"r{i}").alias("id"), F.lit("Text").alias("selectedText"), F.lit(0.5).alias("agreement"))
+    whole = F.to_json(F.struct(F.concat(F.lit("job-"), "k").alias("jobId"), F.array(F.struct(F.lit(0).alias("index"), F.array(region(0), region(1)).alias("regions"))).alias("pages")))
+    kind = F.col("n") % 7
+    value = (F.when(kind == 3, F.substring(whole, 1, 40)).when(kind == 4, F.regexp_replace(whole, '"pages"', '"seiten"'))
+             .when(kind == 5, F.regexp_replace(whole, "0\\.5", '"halb"')).otherwise(whole))
+    folder = write_named(_suppliers(spark, sf).select("n", F.concat("k", F.lit(".json")).alias("path"), value.alias("value")))
+    read = results.region_rows(results.read_documents(spark, folder)).groupBy(F.concat(F.regexp_extract("jobId", r"job-(.*)", 1), F.lit(".json")).alias("file")).agg(
+        F.lit("read").alias("outcome"), F.count("*").alias("regions"))
+    return read.unionByName(results.document_rejects(spark, folder).select(_name().alias("file"), F.col("reason").alias("outcome"), F.lit(0).cast("long").alias("regions")))
+
+
+def _read_and_rejected(read, rejected, label):
+    """Entries by file and place: what was read, and why something was not."""
+    return read.select(_name().alias("file"), "pos", label.alias("entry"), F.lit("read").alias("outcome")).unionByName(
+        rejected.select(_name().alias("file"), "pos", F.col("line").alias("entry"), F.col("reason").alias("outcome")))
+
+
+@query("src_05_lesson_files", """SELECT 'stunden_' || s_suppkey || '.md' AS file, CAST(p AS INTEGER) AS pos, CASE WHEN p = 0 THEN 'Thema ' || s_suppkey ELSE 'Ausflug ohne Datum' END AS entry, CASE WHEN p = 0 THEN 'read' ELSE 'heading' END AS outcome FROM supplier, range(0, 2) t(p) WHERE s_suppkey % 9 <> 4 AND (p = 0 OR s_suppkey % 4 = 1)
+ UNION ALL SELECT 'stunden_' || s_suppkey || '.md', -1, 'leer', 'no_entry' FROM supplier WHERE s_suppkey % 9 = 4""")
+def _(spark, sf):
+    odd = F.when(F.col("n") % 4 == 1, "\n## Ausflug ohne Datum\n- Lernziel: keins\n").otherwise("")
+    value = F.when(F.col("n") % 9 == 4, "leer").otherwise(_text("# Stunden\n\n## 3.5.2026 – Mathematik Klasse 7b: Thema ", F.col("k"), "\n- Lernziel: Ziel\n- Methoden: Stationen\n", odd))
+    files = logs.read_files(spark, write_named(_suppliers(spark, sf).select("n", F.concat(F.lit("stunden_"), "k", F.lit(".md")).alias("path"), value.alias("value"))))
+    return _read_and_rejected(logs.lesson_log(files), logs.lesson_log_rejects(files), F.col("topic"))
+
+
+@query("src_06_curriculum_files", """SELECT 'plan_' || s_suppkey || '.md' AS file, CAST(p AS INTEGER) AS pos, CASE WHEN p = 0 THEN s_name ELSE 'Bayern | Gymnasium | ohne Klasse' END AS entry, CASE WHEN p = 0 THEN 'read' ELSE 'heading' END AS outcome FROM supplier, range(0, 2) t(p) WHERE p = 0 OR s_suppkey % 3 = 1""")
+def _(spark, sf):
+    odd = F.when(F.col("n") % 3 == 1, "### Bayern | Gymnasium | ohne Klasse\n").otherwise("")
+    value = _text("# Index\n### Bayern | Gymnasium | Mathe | Klasse 5–7\n**Quelle:** ", F.col("s_name"), "\n\n", odd)
+    files = logs.read_files(spark, write_named(_suppliers(spark, sf).select("n", F.concat(F.lit("plan_"), "k", F.lit(".md")).alias("path"), value.alias("value"))))
+    return _read_and_rejected(logs.curriculum_index(files), logs.curriculum_index_rejects(files), F.col("source"))
+
+
+@query("src_07_correction_files", """SELECT 'korrektur_' || s_suppkey || '.md' AS file, CAST(p AS INTEGER) AS pos, CASE p WHEN 0 THEN 'Aufsatz ' || s_suppkey WHEN 1 THEN 'Diktat' ELSE 'ohne Strich' END AS entry, CASE p WHEN 2 THEN 'heading' ELSE 'read' END AS outcome FROM supplier, range(0, 3) t(p) WHERE p < 2 OR s_suppkey % 5 = 2
+ UNION ALL SELECT 'korrektur_' || s_suppkey || '.md', 1, '2.5.2026 – Deutsch 7a: Diktat', 'points' FROM supplier WHERE s_suppkey % 2 = 0""")
+def _(spark, sf):
+    """Points that cannot be read leave the entry in and are reported."""
+    points = F.when(F.col("n") % 2 == 0, "viele/60").otherwise("12,5/60")
+    odd = F.when(F.col("n") % 5 == 2, "## ohne Strich\n").otherwise("")
+    value = _text("# Protokoll\n\n## 1.5.2026 – Deutsch 7a: Aufsatz ", F.col("k"), "\n- Punkte: 30/60 (50%)\n\n## 2.5.2026 – Deutsch 7a: Diktat\n- Punkte: ", points, "\n\n", odd)
+    files = logs.read_files(spark, write_named(_suppliers(spark, sf).select("n", F.concat(F.lit("korrektur_"), "k", F.lit(".md")).alias("path"), value.alias("value"))))
+    return _read_and_rejected(logs.correction_log(files), logs.correction_log_rejects(files), F.col("task"))
+
+
+@query("src_08_rubric_files", """SELECT 'deutsch_7_thema_' || s_suppkey || '.md' AS file, CASE WHEN s_suppkey % 6 = 5 THEN -1 ELSE 0 END AS pos, CASE WHEN s_suppkey % 6 = 5 THEN '# Raster ohne Tabelle' ELSE 'thema ' || s_suppkey || ': ' || s_name || ' 12' END AS entry, CASE WHEN s_suppkey % 6 = 5 THEN 'no_table' ELSE 'read' END AS outcome FROM supplier""")
+def _(spark, sf):
+    value = F.when(F.col("n") % 6 == 5, "# Raster ohne Tabelle\n").otherwise(_text("# Raster\n\n| Kriterium | Punkte |\n|---|---|\n| ", F.col("s_name"), " | 12 P |\n"))
+    files = logs.read_files(spark, write_named(_suppliers(spark, sf).select("n", F.concat(F.lit("raster/deutsch_7_thema_"), "k", F.lit(".md")).alias("path"), value.alias("value"))))
+    label = F.concat("topic", F.lit(": "), "criterion", F.lit(" "), F.col("points").cast("string"))
+    return _read_and_rejected(logs.rubric_tables(files), logs.rubric_rejects(files), label)
+
+
+@query("src_13_inventory_files", """SELECT CASE s_suppkey % 5 WHEN 1 THEN 'notizen_' || s_suppkey || '.md.bak1' ELSE 'notizen_' || s_suppkey || '.md' END AS file, CAST(strlen(s_name) + 1 AS BIGINT) AS size, sha256(s_name || chr(10)) AS sha256, CASE WHEN s_suppkey % 3 = 0 THEN 'size_mismatch' ELSE 'ok' END AS status FROM supplier WHERE s_suppkey % 5 NOT IN (2, 3)""")
+def _(spark, sf):
+    """Notes and backups on disk, other files and the student area left out, checked against a second folder."""
+    s, kind = _suppliers(spark, sf), F.col("n") % 5
+    path = F.when(kind == 2, F.concat(F.lit("students/kind_"), "k", F.lit(".md"))).when(kind == 3, F.concat(F.lit("bild_"), "k", F.lit(".png"))).when(
+        kind == 1, F.concat(F.lit("notizen_"), "k", F.lit(".md.bak1"))).otherwise(F.concat(F.lit("notizen_"), "k", F.lit(".md")))
+    listed = lambda value: manifest.manifest(manifest.read_inventory(spark, write_named(s.select("n", path.alias("path"), value.alias("value"))))).withColumn("path", _name())
+    first = listed(F.col("s_name"))
+    later = listed(F.when(F.col("n") % 3 == 0, F.concat("s_name", F.lit("!"))).otherwise(F.col("s_name")))
+    return first.join(manifest.verify(first, later), "path").withColumnRenamed("path", "file")
+
+
+@query("tk_05_rubric_files", "SELECT 'raster_' || s_suppkey || '.md' AS filename, 'Raster ' || s_suppkey AS label, CAST(1700000000 + (s_suppkey * 7919) % 1000003 AS BIGINT) AS modified FROM supplier WHERE s_suppkey % 8 <> 1 ORDER BY modified DESC, filename")
+def _(spark, sf):
+    """Rubric files by the time of their last change on disk."""
+    name = F.when(F.col("n") % 8 == 1, F.concat("k", F.lit("/README.md"))).otherwise(F.concat(F.lit("raster_"), "k", F.lit(".md")))
+    modified = F.lit(1700000000) + (F.col("n") * 7919) % 1000003
+    files = logs.read_files(spark, write_named(_suppliers(spark, sf).select("n", name.alias("path"), F.lit("# Raster").alias("value"), modified.cast("long").alias("modified"))))
+    return logs.rubric_list(files).select("filename", "label", F.unix_timestamp("modified").alias("modified"))

@@ -15,8 +15,9 @@ from pultwerk.plans.registry import query
 from pultwerk.plans.retrieval_queries import _INGEST
 from pultwerk.plans.review_queries import _STATES, _candidates, _critical
 from pultwerk.plans.usage_queries import _EV, r6
-from pultwerk.session import ROCKSDB, shared_dir
-from pultwerk.sources.tables import VIEWS, table, view_sql
+from pultwerk.session import shared_dir
+from pultwerk.sources import usage_files
+from pultwerk.sources.tables import VIEWS, table, view, view_sql
 from pultwerk.streaming import jobs
 
 
@@ -73,6 +74,17 @@ def _(spark, sf):
     return out.groupBy("day", "model").agg(last).select("day", "model", "v.total_tokens", F.round("v.cost", 6).cast("double").alias("cost_usd"), "v.requests")
 
 
+@query("st_01_usage_files", _EV + _DAYMODEL)
+def _(spark, sf):
+    """Usage files as the tracker writes them, read as a stream in three arrivals."""
+    folder, events = _folder(spark), view(spark, sf, "usage_events")
+    for i in range(3):
+        mine = events.filter(F.pmod("request_id", F.lit(3)) == i)
+        mine.select(F.col("request_id").cast("string").alias("request_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"),
+                    "user_id", "model", "provider", "input_tokens", "output_tokens", "skill_name").write.json(f"{folder}/arrivals/{i}")
+    return jobs.from_partials(spark, by_batch(usage_files.stream_events(spark, f"{folder}/arrivals", 1), jobs.write_partials))
+
+
 @query("st_02_late_events", _EV + _DAYMODEL)
 def _(spark, sf):
     return jobs.from_partials(spark, by_batch(in_batches(spark, sf, "usage_events", "ts", late="event_id % 50 = 7"), jobs.write_partials))
@@ -83,10 +95,9 @@ def _(spark, sf):
     """Status after each job's last event."""
     texts = _candidates(spark, sf).select("job_id", "region_id", "engine", F.lit(True).alias("known"))
     critical = _critical(spark, sf).groupBy("job_id").agg(F.array_join(F.sort_array(F.collect_set("region_id")), ",").alias("critical_regions"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     events = in_batches(spark, sf, "review_events", "ts").join(texts, ["job_id", "region_id", "engine"], "left").join(critical, "job_id", "left")
     problem = F.when(F.col("kind") == "edit", review.edit_problem(F.coalesce("known", F.lit(False))))
-    done = to_table(jobs.review_outcomes(jobs.as_event_time(events).withColumn("problem", problem)))
+    done = jobs.review_outcomes(spark, by_batch(events.withColumn("problem", problem), jobs.write_review_outcomes))
     return done.groupBy("job_id").agg(F.max_by("status", "event_id").alias("status")).filter("status is not null")
 
 
@@ -100,14 +111,14 @@ def _(spark, sf):
 @query("st_05_sticky_privacy", f"""WITH {view_sql('requests')}, f AS (SELECT conv_id, turn, len({findings_sql('text')}) > 0 AS is_local FROM requests)
  SELECT conv_id, turn, CASE WHEN bool_or(is_local) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) THEN 'local_required' ELSE 'auto' END AS sticky_mode FROM f""")
 def _(spark, sf):
-    turns = stream(spark, sf, "requests").withColumn("is_local", F.size(px.findings(F.col("text"))) > 0)
-    return to_table(jobs.sticky_privacy(turns))
+    turns = in_batches(spark, sf, "requests", "turn").withColumn("is_local", F.size(px.findings(F.col("text"))) > 0)
+    return spark.read.parquet(f"{by_batch(turns, jobs.write_sticky_privacy)}/modes").drop("batch")
 
 
 @query("st_06_alias_map", _STU + f", {_MAP} SELECT real, {_ALIAS.format(i='idx')} AS alias FROM amap")
 def _(spark, sf):
     names = in_batches(spark, sf, "students", "c_custkey").select(F.col("family_name").alias("name"), F.col("student_id").alias("seen"))
-    return spark.read.parquet(by_batch(names, jobs.grow_alias_map)).select("real", "alias")
+    return jobs.alias_store(by_batch(names, jobs.grow_alias_map)).read(spark).select("real", "alias")
 
 
 @query("st_07_chunk_stream", _INGEST + "SELECT chunk_id, document_id, chunk_no, chunk, source, classification FROM ingested")

@@ -12,7 +12,9 @@ from pultwerk.functions.text import strip, title_case
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    """(path, value, modified): whole files with the time of their last change."""
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), "value", F.col("_metadata.file_modification_time").alias("modified"))
 
 
 def _field(entry: Column, pattern: str, group: int = 1) -> Column:
@@ -28,10 +30,53 @@ def _entries(files: DataFrame, heading: str) -> DataFrame:
     return files.select(*keep, F.posexplode(body).alias("pos", "entry"))
 
 
+def _rejected(files: DataFrame, heading: str, problem: Column) -> DataFrame:
+    """(path, pos, line, reason) of the entries that have a problem; a file without a single
+    entry is one too."""
+    entries = _entries(files.select("path", "value"), heading)
+    line = strip(F.regexp_extract("entry", r"\A([^\n]*)", 1))
+    bad = entries.select("path", "pos", line.alias("line"), problem.alias("reason")).filter("reason is not null")
+    bare = files.filter(~F.col("value").rlike(rf"(?m)^{heading} ")).select(
+        "path", F.lit(-1).alias("pos"), strip(F.regexp_extract("value", r"\A\s*([^\n]*)", 1)).alias("line"), F.lit("no_entry").alias("reason"))
+    return bad.unionByName(bare)
+
+
+_LESSON = r"(?U)\A([^–\n]*?)\s*–\s*(.*?)\s+Klasse\s+([^:\n]*):\s*([^\n]*)"
+_CURRICULUM = r"\A([^|\n]*)\|([^|\n]*)\|([^|\n]*)\|\s*Klasse\s*(\d+)\s*(?:[–-]\s*(\d+))?"
+_CORRECTION = r"(?U)\A([^–\n]*?)\s*–\s*(\S+)\s+([^:\n]*):\s*([^\n]*)"
+_POINTS = r"(?m)^- Punkte:[ \t]*([\d.,]+)\s*/\s*([\d.,]+)(?:\s*\(([\d.,]+)\s*%\))?"
+
+
+def _number(entry: Column, group: int) -> Column:
+    return F.replace(_field(entry, _POINTS, group), F.lit(","), F.lit(".")).try_cast("double")
+
+
+def lesson_log_rejects(files: DataFrame) -> DataFrame:
+    """Entries whose heading does not say when, what and for whom."""
+    return _rejected(files, "##", F.when(_field(F.col("entry"), _LESSON, 1).isNull(), "heading"))
+
+
+def curriculum_index_rejects(files: DataFrame) -> DataFrame:
+    e = F.col("entry")
+    return _rejected(files, "###", F.when(_field(e, _CURRICULUM, 1).isNull() | _field(e, _CURRICULUM, 4).isNull(), "heading"))
+
+
+def correction_log_rejects(files: DataFrame) -> DataFrame:
+    """Entries left out for their heading, and those kept without points they seem to have."""
+    e = F.col("entry")
+    unread = e.rlike(r"(?m)^- Punkte:[ \t]*\S") & (_number(e, 1).isNull() | _number(e, 2).isNull())
+    return _rejected(files, "##", F.when(_field(e, _CORRECTION, 1).isNull(), "heading").when(unread, "points"))
+
+
+def rubric_rejects(files: DataFrame) -> DataFrame:
+    """Rubric files without a table of criteria."""
+    readable = rubric_tables(files).select("path").distinct()
+    return files.join(readable, "path", "left_anti").select("path", F.lit(-1).alias("pos"), F.regexp_extract("value", r"\A([^\n]*)", 1).alias("line"), F.lit("no_table").alias("reason"))
+
+
 def lesson_log(files: DataFrame) -> DataFrame:
     """``## date – subject Klasse class: topic`` with goal, methods and feedback lines."""
-    e = F.col("entry")
-    head = r"(?U)\A([^–\n]*?)\s*–\s*(.*?)\s+Klasse\s+([^:\n]*):\s*([^\n]*)"
+    e, head = F.col("entry"), _LESSON
     rows = _entries(files, "##").withColumns({
         "held_on": _field(e, head, 1), "subject": _field(e, head, 2), "class_name": _field(e, head, 3), "topic": _field(e, head, 4),
         "goal": _field(e, r"(?m)^- Lernziel:[ \t]*(.*)$"), "methods": _field(e, r"(?m)^- Methoden:[ \t]*(.*)$"),
@@ -47,8 +92,7 @@ def _bullets(entry: Column, title: str) -> Column:
 
 def curriculum_index(files: DataFrame) -> DataFrame:
     """``### state | school type | subject | Klasse a–b`` with contents, goals and source."""
-    e = F.col("entry")
-    head = r"\A([^|\n]*)\|([^|\n]*)\|([^|\n]*)\|\s*Klasse\s*(\d+)\s*(?:[–-]\s*(\d+))?"
+    e, head = F.col("entry"), _CURRICULUM
     rows = _entries(files, "###").withColumns({
         "state": _field(e, head, 1), "school_type": _field(e, head, 2), "subject": _field(e, head, 3),
         "class_from": _field(e, head, 4).cast("int"), "class_to": F.coalesce(_field(e, head, 5), _field(e, head, 4)).cast("int"),
@@ -60,10 +104,8 @@ def curriculum_index(files: DataFrame) -> DataFrame:
 
 def correction_log(files: DataFrame) -> DataFrame:
     """``## date – subject class: task`` with points, grade and rubric."""
-    e = F.col("entry")
-    head = r"(?U)\A([^–\n]*?)\s*–\s*(\S+)\s+([^:\n]*):\s*([^\n]*)"
-    points = r"(?m)^- Punkte:[ \t]*([\d.,]+)\s*/\s*([\d.,]+)(?:\s*\(([\d.,]+)\s*%\))?"
-    number = lambda i: F.replace(_field(e, points, i), F.lit(","), F.lit(".")).try_cast("double")
+    e, head = F.col("entry"), _CORRECTION
+    number = lambda i: _number(e, i)
     rows = _entries(files, "##").withColumns({
         "corrected_on": _field(e, head, 1), "subject": _field(e, head, 2), "class_name": _field(e, head, 3), "task": _field(e, head, 4),
         "points": number(1), "max_points": number(2), "percent": number(3),

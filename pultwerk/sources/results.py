@@ -18,6 +18,16 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return parse_documents(spark.read.text(path, wholetext=True))
 
 
+def document_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(path, reason) of the files below a path that ``read_documents`` leaves out."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    parsed = F.from_json("value", DOCUMENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    known = files.select("path", parsed.alias("d"), F.try_parse_json("value").isNull().alias("_broken"))
+    reason = (F.when(F.col("_broken"), "not_json").when(F.col("d._corrupt").isNotNull(), "wrong_type")
+              .when(F.col("d.jobId").isNull(), "no_job_id").when(F.col("d.pages").isNull(), "no_pages"))
+    return known.select("path", reason.alias("reason")).filter("reason is not null")
+
+
 def parse_documents(json_rows: DataFrame) -> DataFrame:
     """Documents that do not parse as a whole or lack a required field are left out.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EVENT_SCHEMA = (
@@ -11,10 +11,25 @@ EVENT_SCHEMA = (
 )
 
 
-def _typed(raw: DataFrame) -> DataFrame:
+def _local_time(text: Column) -> Column:
     """Timestamps keep their own wall clock: the offset is dropped, never applied."""
-    local = F.regexp_replace("ts", r"(Z|[+-]\d{2}:?\d{2})$", "")
-    return raw.filter("_corrupt is null").drop("_corrupt").withColumn("ts", F.try_to_timestamp(local).cast("timestamp_ntz"))
+    return F.try_to_timestamp(F.regexp_replace(text, r"(Z|[+-]\d{2}:?\d{2})$", "")).cast("timestamp_ntz")
+
+
+def _typed(raw: DataFrame) -> DataFrame:
+    return raw.filter("_corrupt is null").drop("_corrupt").withColumn("ts", _local_time(F.col("ts")))
+
+
+def event_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value, reason) of lines that are no event, or have no time that can be read.
+
+    Lines of the first kind are left out by ``read_events``; the others come without a time.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value").filter("trim(value) <> ''")
+    event = F.from_json("value", EVENT_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"})
+    read = lines.withColumn("_e", event)
+    reason = F.when(F.col("_e._corrupt").isNotNull(), "not_json").when(F.col("_e.ts").isNull(), "no_time").when(_local_time(F.col("_e.ts")).isNull(), "unreadable_time")
+    return read.select("path", "value", reason.alias("reason")).filter("reason is not null")
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -22,8 +37,11 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return _typed(reader.json(path))
 
 
-def stream_events(spark: SparkSession, path: str) -> DataFrame:
-    reader = spark.readStream.schema(EVENT_SCHEMA).option("columnNameOfCorruptRecord", "_corrupt")
+def stream_events(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Files as they arrive; all that are there in one batch unless a number is named."""
+    reader = spark.readStream.schema(EVENT_SCHEMA).option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return _typed(reader.json(path))
 
 

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from pultwerk.operators import pseudonym, retrieval, usage
+from pultwerk.session import cut_lineage
+from pultwerk.streaming.keyed_state import KeyedState
 
 
 def as_event_time(stream: DataFrame, column: str = "ts") -> DataFrame:
@@ -70,106 +70,149 @@ def write_budget_alerts(path: str):
 
 # --- chats -------------------------------------------------------------------------------
 
-def sticky_privacy(stream: DataFrame) -> DataFrame:
-    """turns(conv_id, turn, is_local) → mode per turn; state is the first local turn."""
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first = state.get[0] if state.exists else None
-        # a chat has a bounded number of messages
-        rows = pd.concat(list(batches))
-        local = rows.loc[rows["is_local"], "turn"]
-        if len(local):
-            first = int(local.min()) if first is None else min(first, int(local.min()))
-            state.update((first,))
-        sticky = rows["turn"] >= first if first is not None else pd.Series(False, index=rows.index)
-        yield pd.DataFrame({"conv_id": key[0], "turn": rows["turn"], "sticky_mode": sticky.map({True: "local_required", False: "auto"})})
+def write_sticky_privacy(path: str):
+    """foreachBatch writer: turns(conv_id, turn, is_local) → mode per turn below ``path``/modes.
 
-    return stream.select("conv_id", "turn", "is_local").groupBy("conv_id").applyInPandasWithState(
-        step, "conv_id long, turn long, sticky_mode string", "first long", "append", GroupStateTimeout.NoTimeout)
+    State is the first local turn of a chat. A batch is a minimum per chat and a join, so a
+    chat with most of the turns is combined before the shuffle and no task holds it; only the
+    buckets of the batch's own chats are read and written.
+    """
+    state = KeyedState(f"{path}/chats", "conv_id", "conv_id long, first long")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        local = batch.filter("is_local").groupBy("conv_id").agg(F.min("turn").alias("first"))
+        touched = state.touched(batch)
+        before = state.read(spark, touched, batch_id)
+        first = before.unionByName(local).groupBy("conv_id").agg(F.min("first").alias("first"))
+        sticky = F.coalesce(F.col("turn") >= F.col("first"), F.lit(False))
+        modes = batch.select("conv_id", "turn").join(first, "conv_id", "left").select("conv_id", "turn", F.when(sticky, "local_required").otherwise("auto").alias("sticky_mode"))
+        modes.write.mode("overwrite").parquet(f"{path}/modes/batch={batch_id}")
+        changed = state.touched(local)
+        state.write(first.filter(state.bucket().isin(changed)), changed, batch_id)
+
+    return write
 
 
 # --- review ------------------------------------------------------------------------------
 
-class ReviewMachine(StatefulProcessor):
-    """Job state across events: created, read, edited, approved, reopened, deleted.
+def review_step(status: str | None, edited: set[int], row) -> tuple[str | None, str]:
+    """One event of a job: created, read, edited, approved, reopened, deleted.
 
-    State per job is its status and the regions edited so far. Input rows carry the job's
-    critical regions and, for edits, the reason a refused edit was refused for.
+    ``edited`` holds the regions edited so far and grows. Rows carry the job's critical
+    regions and, for edits, the reason a refused edit was refused for.
     """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._job = handle.getValueState("job", "status string, edited string")
-
-    def _apply(self, status: str | None, edited: set[int], row) -> tuple[str | None, str]:
-        kind = row.kind
-        if status is None:
-            return ("processing", "created") if kind == "create" else (None, "not_found")
-        if status == "deleted":
-            return status, "not_found"
-        if kind == "delete":
-            return "deleted", "deleted"
-        if kind in ("complete", "fail"):
-            if status != "processing":
-                return status, "ignored"
-            came_out = (row.completed_as or "needs_review") if kind == "complete" else "failed"
-            return came_out, "failed" if came_out == "failed" else "completed"
-        if kind == "edit":
-            if status not in ("needs_review", "approved"):
-                return status, "not_ready"
-            if row.problem:
-                return status, row.problem
-            edited.add(int(row.region_id))
-            return "needs_review", "edited"
-        if kind == "approve":
-            if status == "approved":
-                return status, "unchanged"
-            if status != "needs_review":
-                return status, "not_ready"
-            open_regions = {int(r) for r in str(row.critical_regions or "").split(",") if r} - edited
-            return (status, "critical_uncertainty") if open_regions else ("approved", "approved")
-        return status, "ignored"
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self._job.get() if self._job.exists() else None
-        status, edited = (held[0], {int(r) for r in held[1].split(",") if r}) if held else (None, set())
+    kind = row.kind
+    if status is None:
+        return ("processing", "created") if kind == "create" else (None, "not_found")
+    if status == "deleted":
+        return status, "not_found"
+    if kind == "delete":
+        return "deleted", "deleted"
+    if kind in ("complete", "fail"):
+        if status != "processing":
+            return status, "ignored"
+        came_out = (row.completed_as or "needs_review") if kind == "complete" else "failed"
+        return came_out, "failed" if came_out == "failed" else "completed"
+    if kind == "edit":
+        if status not in ("needs_review", "approved"):
+            return status, "not_ready"
+        if row.problem:
+            return status, row.problem
+        edited.add(int(row.region_id))
+        return "needs_review", "edited"
+    if kind == "approve":
+        if status == "approved":
+            return status, "unchanged"
+        if status != "needs_review":
+            return status, "not_ready"
+        open_regions = {int(r) for r in str(row.critical_regions or "").split(",") if r} - edited
+        return (status, "critical_uncertainty") if open_regions else ("approved", "approved")
+    return status, "ignored"
+
+
+_REVIEW = ["job_id", "ts", "event_id", "kind", "region_id", "problem", "critical_regions", "completed_as"]
+_WALKED = "job_id long, event_id long, kind string, outcome string, status string, edited array<long>, row string"
+
+
+def _review_walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted events and, behind each job's last one, a row with its new state.
+
+    A task holds one batch and the state of one job, however many events the job has.
+    """
+    columns = ["job_id", "event_id", "kind", "outcome", "status", "edited", "row"]
+    job, status, edited = None, None, set()
+    end = lambda: (job, None, None, None, status, sorted(edited), "state")
+    for batch in batches:
         out = []
-        for row in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
-            status, outcome = self._apply(status, edited, row)
-            out.append((key[0], row.event_id, row.kind, outcome, status))
-        if status is not None:
-            self._job.update((status, ",".join(map(str, sorted(edited)))))
-        yield pd.DataFrame(out, columns=["job_id", "event_id", "kind", "outcome", "status"])
+        for row in batch.astype(object).where(batch.notna(), None).itertuples():
+            if row.job_id != job:
+                if status is not None:
+                    out.append(end())
+                job, status, edited = row.job_id, row.status, {int(r) for r in (() if row.edited is None else row.edited)}
+            status, outcome = review_step(status, edited, row)
+            out.append((job, row.event_id, row.kind, outcome, status, None, "outcome"))
+        yield pd.DataFrame(out, columns=columns)
+    if status is not None:
+        yield pd.DataFrame([end()], columns=columns)
+
+
+def write_review_outcomes(path: str):
+    """foreachBatch writer: events → outcome per event below ``path``/walked.
+
+    Spark sorts a batch by job and time, so events are taken in order, batch by batch of
+    rows, and a job with very many events is streamed, never gathered. State per job is its
+    status and the regions edited so far, in the buckets of the batch's own jobs.
+    """
+    state = KeyedState(f"{path}/jobs", "job_id", "job_id long, status string, edited array<long>")
 
-    def close(self) -> None:
-        pass
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, events = batch.sparkSession, batch.select(*_REVIEW).filter("job_id is not null")
+        touched = state.touched(events)
+        before = state.read(spark, touched, batch_id)
+        ready = events.join(before, "job_id", "left").repartition("job_id").sortWithinPartitions("job_id", "ts", "event_id")
+        folder = f"{path}/walked/batch={batch_id}"
+        ready.mapInPandas(_review_walk, _WALKED).write.mode("overwrite").partitionBy("row").parquet(folder)
+        walked = spark.read.schema(_WALKED).parquet(folder)
+        new = walked.filter("row = 'state'").select("job_id", "status", "edited")
+        state.write(before.join(new, "job_id", "left_anti").unionByName(new), touched, batch_id)
 
+    return write
 
-def review_outcomes(stream: DataFrame) -> DataFrame:
-    """events(job_id, ts, event_id, kind, region_id, problem, critical_regions, completed_as) → outcome per event.
 
-    The session needs the RocksDB state store (``get_session`` sets it).
-    """
-    columns = stream.select("job_id", "ts", "event_id", "kind", "region_id", "problem", "critical_regions", "completed_as")
-    return columns.groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=ReviewMachine(), outputStructType="job_id long, event_id long, kind string, outcome string, status string", outputMode="Append", timeMode="None")
+def review_outcomes(spark: SparkSession, path: str) -> DataFrame:
+    """(job_id, event_id, kind, outcome, status) of all batches so far."""
+    walked = spark.read.schema(f"{_WALKED}, batch int").parquet(f"{path}/walked")
+    return walked.filter("row = 'outcome'").select("job_id", "event_id", "kind", "outcome", "status")
 
 
 # --- pseudonyms and documents ----------------------------------------------------------------
 
+def alias_store(path: str) -> KeyedState:
+    return KeyedState(path, "real", "real string, alias string, first_seen long, idx long")
+
+
 def grow_alias_map(path: str):
     """foreachBatch writer: names not seen before get the next free aliases.
 
-    The map is read without the batch's own folder, so a repeated batch assigns the same
-    aliases again.
+    The map lies in buckets by name; a batch reads those of its own names, and the next free
+    index is handed on from batch to batch, so its time does not grow with their number. A
+    repeated batch starts from what lay there before it and assigns the same aliases again.
     """
-    schema = "real string, alias string, first_seen long, idx long, batch int"
+    store = alias_store(path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        # batch numbers start at 0, so a later batch has a folder before it
-        stored = spark.read.schema(schema).option("basePath", path).parquet(path) if batch_id else spark.createDataFrame([], schema)
-        known = stored.filter(F.col("batch") < batch_id).drop("batch")
-        new = pseudonym.assign_aliases(batch, known).join(known.select("real"), "real", "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark, counter = batch.sparkSession, "next long"
+        # batch numbers start at 0, so a later batch has one before it
+        last = spark.read.schema(counter).parquet(f"{path}/_next/{batch_id - 1}").first()["next"] if batch_id else 0
+        seen = pseudonym.first_seen(batch).withColumn("bucket", store.bucket())
+        touched = store.touched(seen)
+        known = store.read(spark, touched, batch_id)
+        fresh = cut_lineage(seen.drop("bucket").join(known.select("real"), "real", "left_anti"))
+        idx = F.col("place") + last
+        numbered = pseudonym.in_order(fresh).select("real", pseudonym.alias_text(idx).alias("alias"), "first_seen", idx.cast("long").alias("idx"))
+        store.write(known.unionByName(numbered), touched, batch_id)
+        spark.createDataFrame([(last + fresh.count(),)], counter).coalesce(1).write.mode("overwrite").parquet(f"{path}/_next/{batch_id}")
 
     return write
 

@@ -109,16 +109,15 @@ def feed(spark, folder, rows, schema, parts):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{folder}/*")
 
 
-def run(stream, folder, **options):
-    writer = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True)
-    jobs.run_to_end(writer.start())
-    return stream.sparkSession.read.parquet(f"{folder}/out")
+def run_batches(stream, writer, checkpoint):
+    jobs.run_to_end(stream.writeStream.foreachBatch(writer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def test_sticky_mode_over_batches(spark, tmp_path):
     rows = [(1, 0, False), (1, 1, True), (1, 2, False), (2, 0, False), (1, 3, False)]
     src = feed(spark, str(tmp_path / "in"), rows, "conv_id long, turn long, is_local boolean", [[0, 3], [1], [2, 4]])
-    got = {(r["conv_id"], r["turn"]): r["sticky_mode"] for r in run(jobs.sticky_privacy(src), str(tmp_path)).collect()}
+    run_batches(src, jobs.write_sticky_privacy(str(tmp_path / "sticky")), str(tmp_path / "cp"))
+    got = {(r["conv_id"], r["turn"]): r["sticky_mode"] for r in spark.read.parquet(str(tmp_path / "sticky/modes")).collect()}
     assert got == {(1, 0): "auto", (1, 1): "local_required", (1, 2): "local_required", (1, 3): "local_required", (2, 0): "auto"}
 
 
@@ -127,7 +126,8 @@ def test_review_machine_over_batches(spark, tmp_path):
     rows = [(1, dt.datetime(2026, 1, 1, 0, i), i, k, 2, "empty_patch" if i == 5 else None, "2", None) for i, k in enumerate(kinds)]
     src = feed(spark, str(tmp_path / "in"), rows, "job_id long, ts timestamp, event_id long, kind string, region_id long, problem string, critical_regions string, completed_as string",
                [[0, 1, 2], [3, 4], [5, 6, 7], [8, 9, 10, 11]])
-    got = [r["outcome"] for r in run(jobs.review_outcomes(src), str(tmp_path)).orderBy("event_id").collect()]
+    run_batches(src, jobs.write_review_outcomes(str(tmp_path / "review")), str(tmp_path / "cp"))
+    got = [r["outcome"] for r in jobs.review_outcomes(spark, str(tmp_path / "review")).orderBy("event_id").collect()]
     assert got == ["not_found", "created", "not_ready", "completed", "critical_uncertainty", "empty_patch", "edited", "approved", "edited", "approved", "deleted", "not_found"]
 
 
@@ -140,8 +140,8 @@ def test_late_events_and_aliases_over_batches(spark, tmp_path):
     assert got == {"2026-01-01": 2, "2026-01-02": 1, "2026-01-09": 1}
     names = feed(spark, str(tmp_path / "n"), [("Max", 1), ("Erika", 2), ("Max", 3), ("Udo", 4)], "name string, seen long", [[0, 1], [2], [3]])
     write = jobs.grow_alias_map(str(tmp_path / "map"))
-    jobs.run_to_end(names.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start())
-    assert {r["real"]: r["alias"] for r in spark.read.parquet(str(tmp_path / "map")).collect()} == {"Max": "SuS-01", "Erika": "SuS-02", "Udo": "SuS-03"}
+    run_batches(names, write, str(tmp_path / "cp2"))
+    assert {r["real"]: r["alias"] for r in jobs.alias_store(str(tmp_path / "map")).read(spark).collect()} == {"Max": "SuS-01", "Erika": "SuS-02", "Udo": "SuS-03"}
 
 
 def test_budget_alerts_over_batches(spark, tmp_path):
