@@ -230,7 +230,9 @@ def budget_alerts(priced: DataFrame, budget: float = fv.MONTHLY_BUDGET_USD,
     run = ordered.running(split, ["month"], ["ts", "request_id"], F.col("cost"), "month_to_date")
     if spent is not None:
         named = F.broadcast(spent.withColumnRenamed("month", "_month"))
-        run = run.join(named, F.col("month").eqNullSafe(F.col("_month")), "left").withColumn("month_to_date", F.col("month_to_date") + F.coalesce("spent", F.lit(0).cast(MONEY)))
+        # 37 digits and 37 digits keep all eight places behind the point
+        both = F.col("month_to_date").cast("decimal(37,8)") + F.coalesce(F.col("spent").cast("decimal(37,8)"), F.lit(0).cast("decimal(37,8)"))
+        run = run.join(named, F.col("month").eqNullSafe(F.col("_month")), "left").withColumn("month_to_date", both)
     level = (F.when(F.col("month_to_date") >= budget * 0.9, "budget_90")
              .when(F.col("month_to_date") >= budget * 0.75, "budget_75"))
     return run.select(
