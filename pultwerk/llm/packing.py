@@ -169,12 +169,14 @@ def cut(mixture: Mixture, queue: int, starts: np.ndarray, ends: np.ndarray, wind
 
 def pack(
     docs: DataFrame, vocabulary: str, targets: dict[str | None, float] | None = None, window: int = WINDOW,
-    end_id: int = 1, key: str = "doc_id", source: str = "source", special: tuple[tuple[str, int], ...] = (),
+    end_id: int = 1, key: str = "doc_id", source: str = "source", special: tuple[tuple[str, int], ...] = (), temper: float = 1.0,
 ) -> DataFrame:
     """Packs all documents into sequences of at most ``window`` tokens.
 
     ``targets`` gives the token proportions of the sources (a source it leaves out gets the
-    smallest of them); without it every window gets the proportions of the whole corpus.
+    smallest of them); without it the proportions are the sources' token counts to the power
+    ``temper``: 1 mixes as the corpus is, 0.5 gives small sources more than their share for as
+    long as they last, 0 treats all alike.
     Strings of ``special`` tokens in a text become their ids, without it they are ordinary text.
     The number of sources is that of the mixture's own list, so totals go to the driver and a
     task holds ``BLOCK`` borders of every source: a mixture has hundreds of sources, not one per
@@ -191,7 +193,7 @@ def pack(
     totals = {r["queue"]: r["n"] for r in tokens.groupBy("queue").agg(F.sum("n_tokens").alias("n")).collect()}
     queues = sorted(totals)
     if targets is None:
-        weights = [totals[q] for q in queues]
+        weights = [float(totals[q]) ** temper for q in queues]
     else:
         named = {"null" if s is None else f"={s}": w for s, w in targets.items()}
         least = min((w for w in named.values() if w > 0), default=1.0)
