@@ -193,6 +193,25 @@ def _(spark, sf):
     return _flat(consensus.disagreements(consensus.align_regions(readings.distinct(spark, sf))))
 
 
+_MARKED = _DISTINCT + """, marked AS (SELECT * FROM spot UNION ALL SELECT job_id, page, region_id, j, j + 1, [tok, CASE j WHEN 15 THEN 'w' ELSE 'v' END || tok], '' FROM tok WHERE j = 15 OR two AND j = 34) """
+
+
+@query("cn_02_marked_readings", _MARKED + "SELECT job_id, page, region_id, CAST(s AS INTEGER) AS start_token, CAST(e AS INTEGER) AS end_token, reason <> '' AS critical, reason, array_to_string(variants, '|') AS variants FROM marked")
+def _(spark, sf):
+    """Readings with markup: what a reader itself is unsure of is a disagreement too."""
+    return _flat(consensus.disagreements(consensus.align_regions(consensus.read_markup(readings.marked(spark, sf)))))
+
+
+@query("cn_03_marked_text", _MARKED + """, piece AS (SELECT t.job_id, t.region_id, j * 2 + 1 AS o, CASE WHEN variants IS NULL THEN t.tok WHEN j = 9 THEN '[3,5|35?]' WHEN j IN (15, 22, 34) THEN '[' || array_to_string(variants, '|') || '?]' ELSE '[' || t.tok || '?]' END AS text
+   FROM tok t LEFT JOIN marked m ON m.job_id = t.job_id AND m.region_id = t.region_id AND s = j AND e = j + 1
+   UNION ALL SELECT job_id, region_id, 56, '[+einschub?]' FROM marked WHERE s = 28 AND e = 28),
+ body AS (SELECT job_id, region_id, string_agg(text, ' ' ORDER BY o) AS consensus_text FROM piece GROUP BY job_id, region_id),
+ number AS (SELECT job_id, region_id, count(*) AS k FROM marked GROUP BY job_id, region_id)
+ SELECT job_id, page, region_id, coalesce(consensus_text, '') AS consensus_text, CAST(coalesce(k, 0) AS INTEGER) AS n_disagreements FROM cut LEFT JOIN body USING (job_id, region_id) LEFT JOIN number USING (job_id, region_id)""")
+def _(spark, sf):
+    return consensus.build_regions(consensus.read_markup(readings.marked(spark, sf))).select(*consensus.KEYS, "consensus_text", "n_disagreements")
+
+
 _PUT_IN = "CASE WHEN s = 28 THEN 'critical_word:einschub' ELSE reason END"
 
 

@@ -81,3 +81,17 @@ def distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((F.col("job_id") + F.col("page")) % 7 != 0, reader(1, "tesseract", second_reader)),
         F.when((F.col("job_id") + F.col("region_id")) % 3 == 0, reader(2, "ollama_vlm", third_reader))))
     return rows.select("job_id", "page", "region_id", F.explode(all_readers).alias("r")).select("job_id", "page", "region_id", "r.*")
+
+
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings of ``distinct`` as raw output with markup.
+
+    The first reader struck a word out before the text and is unsure at place 15, the second
+    one at place 34; both give a second reading there.
+    """
+    unsure = lambda t, letter: F.concat(F.lit("<uncertain>"), t, F.lit(f"|{letter}"), t, F.lit("</uncertain>"))
+    place = lambda j: "x" + chr(97 + j // 6) + chr(97 + j % 6)
+    tokens = F.transform(F.split("text", " "), lambda t: F.when((F.col("engine") == "htr") & t.endswith(place(15)), unsure(t, "w")).when(
+        (F.col("engine") == "tesseract") & t.endswith(place(34)), unsure(t, "v")).otherwise(t))
+    struck = F.when(F.col("engine") == "htr", "<deleted>weg</deleted> ").otherwise("")
+    return distinct(spark, sf_dir).withColumn("raw_text", F.concat(struck, F.array_join(tokens, " "))).drop("text")
