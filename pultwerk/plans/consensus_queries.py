@@ -278,6 +278,34 @@ def _(spark, sf):
     return decided_pages(spark, sf)
 
 
+# the whole run over the readings of ``distinct``: the third reader is the second reading
+_RUN = _DISTINCT + """, every AS (SELECT job_id, CAST(region_id // 10 AS INTEGER) AS page, CAST(region_id AS INTEGER) AS region_id FROM reg),
+ paged AS (SELECT job_id, page, CASE job_id % 4 WHEN 0 THEN 'public_curriculum' WHEN 1 THEN 'personal' WHEN 2 THEN 'unknown' ELSE 'student_submission' END AS classification, job_id % 2 = 0 AS auto_approve, (job_id + page) % 13 = 0 AS blocked, (job_id + page) % 7 = 0 AS broken FROM every WHERE region_id % 10 = 0),
+ first_spot AS (SELECT s.* FROM spot s JOIN cut c USING (job_id, region_id) WHERE c.two),
+ sums AS (SELECT job_id, region_id, count(*) AS k, sum(greatest(e - s, 1)) AS w, bool_or(reason <> '') AS critical FROM first_spot GROUP BY ALL), sums2 AS (SELECT job_id, region_id, count(*) AS k, sum(greatest(e - s, 1)) AS w, bool_or(reason <> '') AS critical FROM spot GROUP BY ALL),
+ built AS (SELECT e.job_id, e.page, e.region_id, c.job_id IS NOT NULL AS is_read, coalesce(c.three, false) AS three, CASE WHEN c.job_id IS NULL THEN 0 WHEN c.two THEN 2 ELSE 1 END AS n_readers, coalesce(a.k, 0) AS k, coalesce(a.critical, false) AS critical,
+   CASE WHEN c.two THEN greatest(0, least(1, 1 - coalesce(a.w, 0) / CAST(greatest(len(c.t), 1) AS DOUBLE))) ELSE 0 END AS agreement, coalesce(b.critical, false) AS critical2, CASE WHEN c.job_id IS NOT NULL THEN greatest(0, least(1, 1 - coalesce(b.w, 0) / CAST(greatest(len(c.t), 1) AS DOUBLE))) ELSE 0 END AS agreement2
+   FROM every e JOIN paged p ON p.job_id = e.job_id AND p.page = e.page AND NOT p.blocked LEFT JOIN cut c ON c.job_id = e.job_id AND c.region_id = e.region_id LEFT JOIN sums a ON a.job_id = e.job_id AND a.region_id = e.region_id LEFT JOIN sums2 b ON b.job_id = e.job_id AND b.region_id = e.region_id),
+ flagged AS (SELECT *, n_readers < 2 OR k > 0 OR agreement < 0.98 OR (job_id + page) % 7 = 0 AS suspicious FROM built),
+ ranked AS (SELECT *, CASE WHEN suspicious THEN row_number() OVER (PARTITION BY job_id, page, suspicious ORDER BY critical DESC, agreement, region_id) END AS place FROM flagged),
+ final AS (SELECT *, coalesce(place <= 6, false) AND three AS redone FROM ranked),
+ facts AS (SELECT job_id, page, bool_or(is_read) AS any_reading, bool_or(CASE WHEN redone THEN critical2 ELSE critical END) AS critical, min(CASE WHEN redone THEN agreement2 ELSE agreement END) AS agreement, max(CASE WHEN is_read THEN 1 ELSE 0 END) + max(CASE WHEN n_readers = 2 THEN 1 ELSE 0 END) + max(CASE WHEN redone THEN 1 ELSE 0 END) AS engines, count(*) FILTER (suspicious) > 6 AS exhausted FROM final GROUP BY ALL),
+ why AS (SELECT p.*, coalesce(any_reading, false) AS any_reading, CASE WHEN blocked THEN ['image_quality'] ELSE list_filter([CASE WHEN broken THEN 'engine_unavailable:tesseract' END, CASE WHEN NOT any_reading THEN 'no_candidates' END, CASE WHEN any_reading AND critical THEN 'critical_uncertainty' END,
+   CASE WHEN any_reading AND agreement < 0.98 THEN 'low_agreement' END, CASE WHEN any_reading AND engines < 2 THEN 'single_engine' END, CASE WHEN exhausted THEN 'verify_budget_exhausted' END], lambda r: r IS NOT NULL) END AS reasons FROM paged p LEFT JOIN facts f USING (job_id, page)) """
+
+
+@query("cn_09_distinct_run", _RUN + """SELECT job_id, page, classification, CASE WHEN blocked THEN 'needs_review' WHEN NOT any_reading THEN 'failed' WHEN len(reasons) = 0 AND auto_approve AND classification <> 'student_submission' THEN 'approved' ELSE 'needs_review' END AS status, len(reasons) = 0 AS auto_clean, array_to_string(reasons, ',') AS reasons FROM why""")
+def _(spark, sf):
+    """The whole run where every alignment is known: consensus, budget, second reading, decision."""
+    blocked = readings.pages(spark, sf).filter("quality_blocking").select("job_id", "page")
+    seen = lambda df: df.join(blocked, ["job_id", "page"], "left_anti")
+    every = readings.distinct(spark, sf)
+    out = transcription.review_pages(
+        readings.pages(spark, sf), seen(readings.regions(spark, sf)), seen(every.filter("pos < 2")), seen(every.filter("pos = 2")),
+        readings.failures(spark, sf), required=["tesseract"], budget=6)
+    return out.withColumn("reasons", F.array_join("reasons", ","))
+
+
 def decided_pages(spark, sf):
     blocked = readings.pages(spark, sf).filter("quality_blocking").select("job_id", "page")
     seen = lambda df: df.join(blocked, ["job_id", "page"], "left_anti")
