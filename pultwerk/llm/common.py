@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -60,13 +62,36 @@ def small_or_shuffled(narrow: DataFrame) -> DataFrame:
     return F.broadcast(narrow) if narrow.count() <= BROADCAST_ROWS else narrow
 
 
+@functools.cache
+def _trim():
+    """glibc's call that hands freed memory back to the system, where there is one."""
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+# rows of an Arrow batch while rows carry whole texts
+TEXT_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session, so that a task never holds thousands of texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "0")) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Short parts of the batches, so that what a task makes of one stays small."""
     for whole in batches:
         for at in range(0, whole.num_rows, rows):
             yield whole.slice(at, rows)
         del whole
+        # a worker lives on with the next stage's task, beside other workers
         pa.default_memory_pool().release_unused()
+        if _trim():
+            _trim()(0)
 
 
 def utf8_slices(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
