@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -34,6 +35,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return written(df, name)[1]
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of plans that nobody holds any more.
+
+    They are kept until the driver's garbage collector finds the plan gone; where each step's
+    result is written, that may be long after the last use.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def spare(columns: list[str], name: str) -> str:
     """A column name that the table does not have yet; names differ by more than case."""
     taken = {c.lower() for c in columns}

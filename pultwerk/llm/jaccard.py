@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pultwerk.llm.common import slices, stored
+from pultwerk.llm.common import drop_shuffles, slices, stored
 from pultwerk.llm.components import components
 
 # centers of a bucket; more of them leave less to the exact completion
@@ -160,10 +160,12 @@ def linked(members: DataFrame, payloads: DataFrame, as_sets: AsSets, percent: in
     stars = around.select("node", "n", F.inline("picked")).where(f"node <> center AND {_similar_size('n', 'its_n', percent)}")
     pairs = stars.select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct()
     parents = components(stored(confirmed(pairs, payloads, as_sets, percent), "links"))
+    drop_shuffles(members.sparkSession)
     leaves = around.where(~F.array_contains(F.col("picked.center"), F.col("node"))).select("band", "node", "n")
     now = _still_open(leaves, parents, percent)
     if now.isEmpty():
         return parents
-    more = confirmed(prefix_pairs(payloads, now, as_sets, percent), payloads, as_sets, percent)
+    more = stored(confirmed(prefix_pairs(payloads, now, as_sets, percent), payloads, as_sets, percent), "more-links")
+    drop_shuffles(members.sparkSession)
     # what was joined before counts as an edge from each node to its component
     return components(parents.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
