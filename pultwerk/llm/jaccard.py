@@ -85,8 +85,9 @@ def confirmed(pairs: DataFrame, payloads: DataFrame, as_sets: AsSets, percent: i
     return rows.mapInArrow(run, "a long, b long")
 
 
-def prefix_pairs(payloads: DataFrame, members: DataFrame, as_sets: AsSets, percent: int) -> DataFrame:
-    """Pairs of one bucket but different components that share an element among the rarest of both.
+def prefix_pairs(payloads: DataFrame, members: DataFrame, as_sets: AsSets, percent: int, by_bucket: bool) -> DataFrame:
+    """Pairs of different components that share an element among the rarest of both, and with
+    ``by_bucket`` a bucket.
 
     Of two sets with the wanted similarity, each holds at most n - ceil(percent * n / 100)
     elements that the other lacks, so in any common order of elements their prefixes one
@@ -113,11 +114,13 @@ def prefix_pairs(payloads: DataFrame, members: DataFrame, as_sets: AsSets, perce
     length = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
     ranked = tokens.join(known, "element").withColumn("place", place)
     prefix = stored(ranked.where(F.col("place") <= length).select("element", "node", "component", "n", "place"), "prefixes")
-    prefix = prefix.join(members.select("band", "node"), "node")
-    left, right = (prefix.select("band", "element", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "n", "place")]) for side in "ab")
+    keys = ["band", "element"] if by_bucket else ["element"]
+    if by_bucket:
+        prefix = prefix.join(members.select("band", "node"), "node")
+    left, right = (prefix.select(*keys, *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "n", "place")]) for side in "ab")
     # what can still follow this common element must be enough for the threshold
     enough_left = f"{100 + percent} * (1 + least(n_a - place_a, n_b - place_b)) >= {percent} * (n_a + n_b)"
-    met = left.join(right, ["band", "element"]).where(f"node_a < node_b AND component_a <> component_b AND {_similar_size('n_a', 'n_b', percent)} AND {enough_left}")
+    met = left.join(right, keys).where(f"node_a < node_b AND component_a <> component_b AND {_similar_size('n_a', 'n_b', percent)} AND {enough_left}")
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
@@ -139,7 +142,7 @@ def _still_open(members: DataFrame, parents: DataFrame, percent: int) -> DataFra
     return stored(grouped.join(mixed, "band"), "open-buckets")
 
 
-def linked(members: DataFrame, payloads: DataFrame, as_sets: AsSets, percent: int, centers: int = CENTERS) -> DataFrame:
+def linked(members: DataFrame, payloads: DataFrame, as_sets: AsSets, percent: int, centers: int = CENTERS, by_bucket: bool = False) -> DataFrame:
     """(node, component) of every node linked with a smaller one.
 
     ``members`` are the live buckets. Every bucket gets a few centers and gives star edges
@@ -147,7 +150,9 @@ def linked(members: DataFrame, payloads: DataFrame, as_sets: AsSets, percent: in
     members; all links of the centers in their bucket are known then, and small buckets are
     done. A star can miss a link between two leaves: buckets whose other members still lie
     in several components are completed exactly through ``prefix_pairs``. Members of one
-    component, and sets of too different sizes, are never compared.
+    component, and sets of too different sizes, are never compared. ``by_bucket`` compares
+    members of one bucket only: right for many small sets, whose rare elements are not rare
+    enough; large sets with many common buckets would meet once in each.
     """
     nothing = members.sparkSession.createDataFrame([], "node long, component long")
     sizes = payloads.groupBy("node").agg(F.max("n").alias("n"))
@@ -165,7 +170,7 @@ def linked(members: DataFrame, payloads: DataFrame, as_sets: AsSets, percent: in
     now = _still_open(leaves, parents, percent)
     if now.isEmpty():
         return parents
-    more = stored(confirmed(prefix_pairs(payloads, now, as_sets, percent), payloads, as_sets, percent), "more-links")
+    more = stored(confirmed(prefix_pairs(payloads, now, as_sets, percent, by_bucket), payloads, as_sets, percent), "more-links")
     drop_shuffles(members.sparkSession)
     # what was joined before counts as an edge from each node to its component
     return components(parents.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
