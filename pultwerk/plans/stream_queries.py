@@ -22,9 +22,10 @@ from pultwerk.streaming import jobs
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view as a stream over the table's files."""
+    """A derived view as a stream over the table's files: one file or a folder of them."""
     base, columns = VIEWS[name]
-    source = spark.readStream.schema(table(spark, sf_dir, base).schema).option("pathGlobFilter", f"{base}.parquet").parquet(sf_dir)
+    # a pattern, because a stream takes a plain path for a folder
+    source = spark.readStream.schema(table(spark, sf_dir, base).schema).parquet(f"{sf_dir.rstrip('/')}/{base}.parque[t]")
     return source.selectExpr(*[f"{expr} AS {col}" for col, expr in columns.items()])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pultwerk.functions import arrow, reading
 from pultwerk.operators import consensus, retrieval, usage
+from pultwerk.plans import stream_queries
 from pultwerk.sources import logs, manifest, results, sse, usage_files
 from pultwerk.sources.tables import view
 from pultwerk.streaming import jobs
@@ -169,3 +170,15 @@ def test_documents_with_a_badly_typed_field_are_left_out(spark):
     bad = [good.replace("0.5", '"bad"'), good.replace('"a"', "null"), '{"jobId": "c"}', "{", good.replace('"index": 0', '"index": "x"')]
     docs = spark.createDataFrame([(v,) for v in (good, *bad)], "value string")
     assert [r["jobId"] for r in results.parse_documents(docs).collect()] == ["a"]
+
+
+def test_a_table_is_streamed_from_one_file_or_a_folder(spark, tmp_path):
+    """Large tables are folders of files; they were taken for a name that no file has."""
+    docs = spark.createDataFrame([(i, f"Text {i}", "de", "wiki") for i in range(6)], "doc_id long, text string, lang string, source string")
+    docs.repartition(3).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "made"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "made").glob("part-*.parquet")).rename(tmp_path / "file" / "documents.parquet")
+    for kind in ("folder", "file"):
+        rows = stream_queries.to_table(stream_queries.stream(spark, str(tmp_path / kind), "docs"))
+        assert sorted(r["doc_id"] for r in rows.collect()) == list(range(6))
