@@ -30,11 +30,12 @@ def edit_problem(known_reader: Column) -> Column:
 def classify_edits(events: DataFrame, candidates: DataFrame) -> DataFrame:
     """Edit events with the text they set and, for refused ones, the reason.
 
-    A chosen reader's text is taken over unless the edit brings its own text.
+    A chosen reader's text is taken over unless the edit brings its own text. Both sides are
+    large, but what a table of keys is exploded into looks small to the planner.
     """
     edits = events.filter("kind = 'edit'")
     texts = candidates.select("job_id", "region_id", "engine", F.col("text").alias("reader_text"))
-    joined = edits.join(texts, ["job_id", "region_id", "engine"], "left")
+    joined = edits.join(texts.hint("merge"), ["job_id", "region_id", "engine"], "left")
     return joined.withColumn("problem", edit_problem(F.col("reader_text").isNotNull())).withColumn("new_text", F.coalesce("text", "reader_text"))
 
 
@@ -68,15 +69,17 @@ def job_states(events: DataFrame, critical_regions: DataFrame, accepted_edits: D
     came_out = F.coalesce("completed_as", F.lit("needs_review"))
     outcome = F.when((F.col("kind") == "complete") & (came_out == "failed"), "fail").otherwise(F.col("kind"))
     born = events.groupBy("job_id").agg(F.min(F.when(F.col("kind") == "create", at)).alias("born")).filter("born is not null")
-    alive = events.join(born, "job_id").filter(at > F.col("born"))
+    # a row per job: too many to be broadcast, however small the planner takes them to be
+    alive = events.join(born.hint("merge"), "job_id").filter(at > F.col("born"))
     ends = alive.groupBy("job_id").agg(
         F.min(F.when(F.col("kind") == "delete", at)).alias("died"),
         F.min(F.when(F.col("kind").isin("complete", "fail"), F.struct(at.alias("at"), outcome.alias("kind"), came_out.alias("came_out"), F.when(F.col("kind") == "fail", F.col("error_code")).alias("code")))).alias("read"))
-    jobs = born.join(ends, "job_id", "left").withColumn("read", F.when(F.col("died").isNull() | (F.col("read.at") < F.col("died")), F.col("read")))
+    # read by every step below: written once, so that the plan stays small and events are not read for each
+    jobs = cut_lineage(born.join(ends.hint("merge"), "job_id", "left").withColumn("read", F.when(F.col("died").isNull() | (F.col("read.at") < F.col("died")), F.col("read"))))
     open_jobs = jobs.filter("read.kind = 'complete'").select("job_id", F.col("read.at").alias("read_at"), "died")
-    during = lambda df: df.join(open_jobs, "job_id").filter((at > F.col("read_at")) & (F.col("died").isNull() | (at < F.col("died"))))
-    per_region = during(accepted_edits.select("job_id", "region_id", "ts", "event_id")).groupBy("job_id", "region_id").agg(
-        F.min(at).alias("first"), F.max(at).alias("last"))
+    during = lambda df: df.join(open_jobs.hint("merge"), "job_id").filter((at > F.col("read_at")) & (F.col("died").isNull() | (at < F.col("died"))))
+    per_region = cut_lineage(during(accepted_edits.select("job_id", "region_id", "ts", "event_id")).groupBy("job_id", "region_id").agg(
+        F.min(at).alias("first"), F.max(at).alias("last")))
     edited = per_region.groupBy("job_id").agg(F.max("last").alias("last_edit"), F.count("*").alias("edited_regions"))
     critical = critical_regions.select("job_id", "region_id").distinct().join(per_region, ["job_id", "region_id"], "left").groupBy("job_id").agg(
         F.count_if(F.col("first").isNull()).alias("unresolved"), F.max("first").alias("resolved_at"))

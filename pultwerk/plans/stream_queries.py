@@ -96,7 +96,8 @@ def _(spark, sf):
     """Status after each job's last event."""
     texts = _candidates(spark, sf).select("job_id", "region_id", "engine", F.lit(True).alias("known"))
     critical = _critical(spark, sf).groupBy("job_id").agg(F.array_join(F.sort_array(F.collect_set("region_id")), ",").alias("critical_regions"))
-    events = in_batches(spark, sf, "review_events", "ts").join(texts, ["job_id", "region_id", "engine"], "left").join(critical, "job_id", "left")
+    # both grow with the jobs but look small to the planner
+    events = in_batches(spark, sf, "review_events", "ts").join(texts.hint("merge"), ["job_id", "region_id", "engine"], "left").join(critical.hint("merge"), "job_id", "left")
     problem = F.when(F.col("kind") == "edit", review.edit_problem(F.coalesce("known", F.lit(False))))
     done = jobs.review_outcomes(spark, by_batch(events.withColumn("problem", problem), jobs.write_review_outcomes))
     return done.groupBy("job_id").agg(F.max_by("status", "event_id").alias("status")).filter("status is not null")

@@ -168,3 +168,12 @@ def test_an_empty_text_clears_a_region(spark):
     classified = review.classify_edits(events, readers)
     assert {r["region_id"]: r["selected_text"] for r in review.latest_edits(classified).collect()} == {1: "", 2: "", 3: "read 3"}
     assert {r["region_id"]: r["problem"] for r in review.rejected_edits(classified).collect()} == {4: "empty_patch", 5: "unknown_reader", 6: "unknown_reader"}
+
+
+def test_what_a_table_explodes_into_is_not_broadcast(spark):
+    """A table of keys that becomes many rows each looks small and was broadcast."""
+    events = spark.range(10).selectExpr("id AS event_id", "id AS job_id", "id % 5 AS region_id", "'edit' AS kind", "'htr' AS engine", "cast(null AS string) AS text", "timestamp_ntz'2026-01-01' AS ts")
+    candidates = spark.range(10).selectExpr("id AS job_id", "explode(sequence(0L, 4L)) AS region_id", "'htr' AS engine", "'liest' AS text")
+    classified = review.classify_edits(events, candidates)
+    assert "Broadcast" not in classified._jdf.queryExecution().executedPlan().toString()
+    assert classified.count() == 10
