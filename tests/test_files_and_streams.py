@@ -3,13 +3,15 @@
 import datetime as dt
 import difflib
 import json
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pultwerk.functions import arrow, reading
 from pultwerk.operators import consensus, retrieval, usage
-from pultwerk.plans import stream_queries
+from pultwerk.plans import stream_queries, written_files
 from pultwerk.sources import logs, manifest, results, sse, usage_files
 from pultwerk.sources.tables import view
 from pultwerk.streaming import jobs
@@ -182,3 +184,22 @@ def test_a_table_is_streamed_from_one_file_or_a_folder(spark, tmp_path):
     for kind in ("folder", "file"):
         rows = stream_queries.to_table(stream_queries.stream(spark, str(tmp_path / kind), "docs"))
         assert sorted(r["doc_id"] for r in rows.collect()) == list(range(6))
+
+
+def test_named_files_are_written_by_tasks(spark, monkeypatch):
+    """The driver looked into a folder per file and moved each one; now it moves none."""
+    moved = []
+    monkeypatch.setattr(written_files.folders, "move", lambda *a: moved.append(a))
+    df = spark.createDataFrame([(i, f"a{i % 3}/f_{i}.md", None if i == 4 else f"Zeile ä{i}\nzwei", 1_700_000_000 + i) for i in range(40)], "n long, path string, value string, modified long")
+    got = {r["path"].split("/", 3)[-1]: r for r in logs.read_files(spark, written_files.write_named(df)).withColumn("t", F.unix_timestamp("modified")).collect()}
+    assert not moved and len(got) == 40
+    for name, r in got.items():
+        i = int(os.path.basename(name)[2:-3])
+        assert (r["value"], r["t"]) == ("\n" if i == 4 else f"Zeile ä{i}\nzwei\n", 1_700_000_000 + i)
+
+
+@pytest.mark.parametrize("paths", [("a.md", "a.md"), ("a.md", None)])
+def test_two_files_of_one_name_are_refused(spark, paths):
+    df = spark.createDataFrame([(i, p, "x") for i, p in enumerate(paths)], "n long, path string, value string")
+    with pytest.raises(Exception, match="no name of its own"):
+        written_files.write_named(df)
