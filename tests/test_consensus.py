@@ -167,3 +167,38 @@ def test_normal_form(spark):
 def test_a_nul_in_a_text_hides_no_negation(spark):
     for r in regions(spark, both_orders("a b\0c nicht d", "a b\0c d")):
         assert [d["reason"] for d in r["disagreements"]] == ["critical_word:nicht"] and r["critical"]
+
+
+def written(spark, frame, column):
+    return frame.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_expressions_are_worked_out_once(spark):
+    """A value that is read at several places is written into the plan once."""
+    df = spark.createDataFrame([([(True, 0, 1, 0, 1)], "a", "b", "c")], "ops array<struct<equal:boolean,r0:int,r1:int,o0:int,o1:int>>, t string, l string, r string")
+    assert written(spark, df, consensus.map_position(F.col("ops"), F.lit(1) + F.size("ops"), "r")).count("filter(") == 1
+    words = written(spark, df, reading.critical_sequence(F.col("t"), F.col("l"), F.col("r")))
+    assert words.count("regexp_extract_all(") == 4
+    number = written(spark, df, reading.canonical_number(F.col("t")))
+    assert number.count("regexp_extract(") <= 12 and number.count("RLIKE") == 1
+    judged = consensus.classify_spans(df.select(F.array("t", "l").alias("texts"), F.col("l").alias("left"), F.col("r").alias("right")))
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") <= 6
+
+
+def test_normal_forms_beside_folded_tokens(spark):
+    cases = ["(„Straße“)", "ﬁn—al", "a  b", "...", "", "*_~", "3,5", "ΑΣ", "x\u0085y", "“Co”", "(a) (b)", "\tq\n"]
+    df = spark.createDataFrame([(cases,), (["", ""],)], "t array<string>").withColumn("f", arrow.fold_and_normal(reading.joined(F.col("t"))))
+    df = df.withColumn("want", F.transform(F.split(arrow.fold(reading.joined(F.col("t"))), arrow.SEPARATOR), reading.normal_form))
+    for r in df.withColumn("got", F.split("f.normal", arrow.SEPARATOR)).collect():
+        assert r["got"] == r["want"]
+
+
+def test_symbols_of_texts(spark):
+    df = spark.createDataFrame([(["a+b – c", "x→y+"],), (["", "abc"],), ([],)], "t array<string>").withColumn("s", reading.symbols_in(F.col("t")))
+    assert [r["s"] for r in df.collect()] == [["+", "–", "→"], [], []]
+
+
+def test_number_without_text(spark):
+    got = spark.createDataFrame([(None,), ("1,0",), (",5",), ("0,00",)], "t string").withColumn("n", reading.canonical_number(F.col("t"))).collect()
+    assert [r["n"] for r in got] == ["", "1", "0", "0"]
