@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,11 @@ from pultwerk.session import cut_lineage
 
 # cells grow with the root of the table, between these numbers
 LEAST_CELLS, MOST_CELLS = 16, 1024
-BLOCK_ROWS = 2048
+# a row travels once per block that it meets, so blocks are large; a task compares a slice of
+# queries with a block at a time, and works out exact distances a piece of pairs at a time
+BLOCK_ROWS = 8192
+SLICE_ROWS = 128
+PIECE_PAIRS = 1 << 15
 
 
 def chunk_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -57,6 +62,16 @@ def needs_reading(pages: Column) -> Column:
     return F.char_length(F.array_join(parts, "\n\n")) < fv.MIN_TEXT_LAYER_CHARS
 
 
+def _sliced(vectors: pd.Series) -> Iterator[np.ndarray]:
+    """Matrices of a few rows, so that a table of distances beside them stays small."""
+    for at in range(0, len(vectors), SLICE_ROWS):
+        yield arrow.matrix(vectors.iloc[at: at + SLICE_ROWS])
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def clamp_k(k: int) -> int:
     return min(max(k, 1), fv.SEARCH_MAX_K)
 
@@ -85,8 +100,8 @@ def cells_of(chunks: DataFrame) -> Cells:
 
     @F.pandas_udf("struct<cell:int,away:double>")
     def nearest_pivot(vectors: pd.Series) -> pd.DataFrame:
-        d = np.sqrt(arrow.squared_distances(arrow.matrix(vectors), pivots))
-        return pd.DataFrame({"cell": d.argmin(1).astype("int32"), "away": d.min(1)})
+        parts = [np.sqrt(arrow.squared_distances(part, pivots)) for part in _sliced(vectors)]
+        return pd.DataFrame({"cell": _joined([d.argmin(1) for d in parts]).astype("int32"), "away": _joined([d.min(1) for d in parts])})
 
     if not len(pivots):
         return Cells(chunks.select("chunk_id", "embedding", F.lit(0).alias("cell")), pivots, np.zeros(0), np.zeros(0, int))
@@ -103,8 +118,8 @@ def own_cells(queries: DataFrame, cells: Cells) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def own(vectors: pd.Series) -> pd.Series:
-        d = arrow.squared_distances(arrow.matrix(vectors), pivots[filled])
-        return pd.Series([[int(filled[i])] for i in d.argmin(1)])
+        nearest = [arrow.squared_distances(part, pivots[filled]).argmin(1) for part in _sliced(vectors)]
+        return pd.Series([[int(filled[i])] for part in nearest for i in part])
 
     return queries.select("query_id", "embedding", F.lit(None).cast("double").alias("bound"), own("embedding").alias("cells"))
 
@@ -121,13 +136,18 @@ def other_cells(asked: DataFrame, near: DataFrame, cells: Cells, k: int, cutoff:
 
     @F.pandas_udf("array<int>")
     def reached(vectors: pd.Series, bound: pd.Series, own: pd.Series) -> pd.Series:
-        gap = np.sqrt(arrow.squared_distances(arrow.matrix(vectors), pivots[filled])) - radii[filled]
-        least = np.maximum(gap - 1e-6, 0.0) ** 2
-        keep = least <= bound.fillna(np.inf).to_numpy()[:, None]
-        if cutoff is not None:
-            keep &= least < cutoff
-        keep[filled[None, :] == np.array([o[0] for o in own])[:, None]] = False
-        return pd.Series([filled[row].tolist() for row in keep])
+        found, numbers = [], filled.astype("int32")
+        reach, home = bound.fillna(np.inf).to_numpy(), np.array([o[0] for o in own])
+        for part in _sliced(vectors):
+            rows = slice(len(found), len(found) + len(part))
+            gap = np.sqrt(arrow.squared_distances(part, pivots[filled])) - radii[filled]
+            least = np.maximum(gap - 1e-6, 0.0) ** 2
+            keep = least <= reach[rows, None]
+            if cutoff is not None:
+                keep &= least < cutoff
+            keep[filled[None, :] == home[rows, None]] = False
+            found += [numbers[row] for row in keep]
+        return pd.Series(found, dtype=object)
 
     bound = asked.drop("bound").join(bounds.select("query_id", F.col("far").alias("bound")), "query_id", "left")
     return bound.select("query_id", "embedding", "bound", reached("embedding", "bound", "cells").alias("cells"))
@@ -139,6 +159,58 @@ def pairs_compared(asked: DataFrame, cells: Cells) -> int:
     return sum(int(r["count"] * cells.sizes[r["cell"]]) for r in reached)
 
 
+def _equal_ids(left: pd.Series, right: pd.Series) -> np.ndarray:
+    """Places (row, column) of equal ids, by row."""
+    pairs = left.rename("id").rename_axis("row").reset_index().merge(right.rename("id").rename_axis("col").reset_index(), on="id")
+    # a missing number equals nothing
+    pairs = pairs[pairs["id"] == pairs["id"]]
+    return pairs[["row", "col"]].sort_values("row").to_numpy(dtype=np.int64)
+
+
+def _nearest_pairs(left: np.ndarray, right: np.ndarray, bound: np.ndarray, k: int, cutoff: float | None,
+                   own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, distance) of the best k columns of each row, within its bound.
+
+    One matrix product and one comparison sort out most pairs, with room for the product's
+    rounding; only the few that are left get their exact distance. ``own`` names pairs that
+    don't count.
+    """
+    size, width = (right**2).sum(1), left.shape[1]
+    wide = np.hstack([-right, size[:, None] / 2]).T
+    reach = bound if cutoff is None else np.minimum(bound, cutoff)
+    out, table = [], np.empty((min(len(left), SLICE_ROWS), len(right)))
+    for at in range(0, len(left), SLICE_ROWS):
+        part = left[at: at + SLICE_ROWS]
+        # half the squared distance without the query's own half
+        t = np.matmul(np.hstack([part, np.ones((len(part), 1))]), wide, out=table[:len(part)])
+        if own is not None:
+            pairs = own[np.searchsorted(own[:, 0], at): np.searchsorted(own[:, 0], at + len(part))]
+            t[pairs[:, 0] - at, pairs[:, 1]] = np.inf
+        norm = (part**2).sum(1)
+        slack = 1e-9 + 4e-16 * (width + 8) * (norm + size.max())
+        limit = (reach[at: at + len(part)] - norm) / 2 + slack
+        hit = t <= limit[:, None]
+        many = np.flatnonzero(np.count_nonzero(hit, axis=1) > 4 * k)
+        if len(many) and t.shape[1] > k:
+            limit[many] = np.minimum(limit[many], np.partition(t[many], k - 1, axis=1)[:, k - 1] + slack[many])
+            hit[many] = t[many] <= limit[many, None]
+        rows, cols = np.divmod(np.flatnonzero(hit), t.shape[1])
+        # a pair that doesn't count is infinitely far, and so within no bound only
+        counts = t[rows, cols] < np.inf
+        rows, cols = rows[counts], cols[counts]
+        pieces = [slice(i, i + PIECE_PAIRS) for i in range(0, len(rows), PIECE_PAIRS)]
+        d = np.round(_joined([((part[rows[p]] - right[cols[p]]) ** 2).sum(1) for p in pieces]), 9)
+        near = d <= bound[at + rows]
+        if cutoff is not None:
+            near &= d < cutoff
+        rows, cols, d = rows[near], cols[near], d[near]
+        order = np.lexsort((d, rows))
+        rows, cols, d = rows[order], cols[order], d[order]
+        best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        out.append((at + rows[best], cols[best], d[best]))
+    return tuple(_joined(list(x)) for x in zip(*out))
+
+
 def _visited(asked: DataFrame, cells: Cells, k: int, cutoff: float | None, skip_equal_ids: bool) -> DataFrame:
     """(query_id, chunk_id, distance): the best k chunks of each block pair, within the bound.
 
@@ -160,13 +232,11 @@ def _visited(asked: DataFrame, cells: Cells, k: int, cutoff: float | None, skip_
     def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
             return pd.DataFrame({"query_id": q["query_id"][:0], "chunk_id": c["chunk_id"][:0], "distance": pd.Series(dtype="float64")})
-        d = np.round(arrow.squared_distances(arrow.matrix(q["embedding"]), arrow.matrix(c["embedding"])), 9)
-        if skip_equal_ids:
-            d[q["query_id"].to_numpy()[:, None] == c["chunk_id"].to_numpy()[None, :]] = np.inf
-        kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-        reach = np.minimum(kth, q["bound"].fillna(np.inf).to_numpy())
-        rows, cols = np.nonzero((d <= reach[:, None]) & (d < (np.inf if cutoff is None else cutoff)))
-        hits = pd.DataFrame({"query_id": q["query_id"].to_numpy()[rows], "chunk_id": c["chunk_id"].to_numpy()[cols], "distance": d[rows, cols]})
+        # ties go by id, so by place once chunks are in order
+        q, c = q.reset_index(drop=True), c.sort_values("chunk_id", ignore_index=True)
+        own = _equal_ids(q["query_id"], c["chunk_id"]) if skip_equal_ids else None
+        rows, cols, d = _nearest_pairs(arrow.matrix(q["embedding"]), arrow.matrix(c["embedding"]), q["bound"].fillna(np.inf).to_numpy(), k, cutoff, own)
+        hits = pd.DataFrame({"query_id": q["query_id"].to_numpy()[rows], "chunk_id": c["chunk_id"].to_numpy()[cols], "distance": d})
         return hits.sort_values(["query_id", "distance", "chunk_id"]).groupby("query_id").head(k)
 
     keys = ["cell", "block", "part"]

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -46,6 +47,38 @@ def test_search_is_exact(spark, monkeypatch, cutoff, k):
         assert [c for _, c in sorted(got.get(q, []))] == want
 
 
+@pytest.mark.parametrize("cutoff", [None, 1.5])
+def test_a_block_is_compared_in_slices(cutoff):
+    rng = np.random.default_rng(8)
+    left, right = rng.normal(size=(900, 6)).round(1), rng.normal(size=(3000, 6)).round(1)
+    right[1000:1600] = right[7]
+    own = np.array([(i, 2 * i) for i in range(900)])
+    bound = np.where(np.arange(900) % 3 == 0, np.inf, 2.0)
+    tracemalloc.start()
+    rows, cols, d = retrieval._nearest_pairs(left, right, bound, 5, cutoff, own)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the table of all distances would take 21.6 MB, and several times that while it is made
+    assert peak < 16e6
+    want = []
+    for i in range(900):
+        away = np.round(((left[i] - right) ** 2).sum(1), 9)
+        best = [j for j in np.lexsort((np.arange(3000), away)) if j != 2 * i and away[j] <= bound[i] and (cutoff is None or away[j] < cutoff)][:5]
+        want += [(i, int(j), float(away[j])) for j in best]
+    assert list(zip(rows.tolist(), cols.tolist(), d.tolist())) == want
+
+
+def test_reached_cells_are_found_in_slices(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(rng.normal(size=(3 * retrieval.SLICE_ROWS + 5, 4)))]
+    cells = retrieval.cells_of(spark.createDataFrame(rows, "chunk_id long, embedding array<double>").coalesce(1))
+    asked = retrieval.own_cells(spark.createDataFrame(rows, "query_id long, embedding array<double>").coalesce(1), cells)
+    own = {r["query_id"]: r["cells"] for r in asked.collect()}
+    others = {r["query_id"]: r["cells"] for r in retrieval.other_cells(asked, spark.createDataFrame([], "query_id long, distance double"), cells, 3, None).collect()}
+    every = {int(c) for c in np.flatnonzero(cells.sizes)}
+    assert len(own) == len(rows) and all(set(others[q]) == every - set(own[q]) for q in own)
+
+
 def test_chunks_cover_the_text(spark):
     text = "Ein Satz mit Inhalt. " * 200 + "\n\n" + "x" * 2000 + " Schluss äöü."
     rows = spark.createDataFrame([(1, text, "s", "personal"), (2, "kurz", "s", "personal"), (3, "  ", "s", "personal")], "doc_id long, text string, source string, classification string")
