@@ -79,10 +79,10 @@ def range_split(df: DataFrame, group: list[str], order: list[str], like: DataFra
     kinds = [f.dataType for f in keys.schema]
     table = F.array(*[F.struct(*[F.lit(v).cast(kind).alias(f"k{i}") for i, (v, kind) in enumerate(zip(row, kinds))]) for row in borders])
     key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys.columns)])
-    # binary search for the number of borders below the key
+    # binary search for the number of borders below the key, which is put together once a row
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(borders).bit_length()))])
-    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
-        (at + step <= len(borders)) & (F.get(table, at + step - 1) < key), at + step).otherwise(at))
+    below = F.get(F.transform(F.array(key), lambda own: F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        (at + step <= len(borders)) & (F.get(table, at + step - 1) < own), at + step).otherwise(at))), F.lit(0))
     return df.withColumn(PART, below)
 
 

@@ -47,6 +47,16 @@ def test_search_is_exact(spark, monkeypatch, cutoff, k):
         assert [c for _, c in sorted(got.get(q, []))] == want
 
 
+def test_range_numbers_follow_the_key(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, "", "a", "ä", "z"]), rng.choice([None, *range(40)]), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, v int, i long")
+    out = ordered.range_split(df, ["g"], ["v", "i"])
+    ordered_rows = sorted(out.collect(), key=lambda r: (r["g"] is not None, (r["g"] or "").encode(), r["v"] is not None, r["v"] or 0, r["i"]))
+    parts = [r[ordered.PART] for r in ordered_rows]
+    assert parts == sorted(parts) and len(set(parts)) > 3
+
+
 @pytest.mark.parametrize("cutoff", [None, 1.5])
 def test_a_block_is_compared_in_slices(cutoff):
     rng = np.random.default_rng(8)
