@@ -229,6 +229,18 @@ def test_answers_are_kept_once_per_distinct_ask(spark):
     assert lessons.curriculum_lookup(asks, plan).count() == 500 * 20
 
 
+def test_lookup_makes_no_lists_and_equals_a_loop(spark):
+    asks = [(i, s, level, state) for i, (s, level, state) in enumerate([("Mathe", 7, 1), ("Mathe", 7, 0), ("Mathe", 5, None), ("Mathe", None, 1), (None, 7, 1), ("Bio", 9, 2)] * 2)] + [(0, "Mathe", 7, 1)]
+    plan = [(t, s, f"T{t}", 5, 5 + t % 5, state) for t, s in ((t, "Mathe" if t % 3 else "Bio") for t in range(30)) for state in (t % 3,)] + [(3, "Mathe", None, 7, 7, 1)] * 2
+    want = sorted((a, t, title, cs == 0) for a, s, level, state in asks for t, cu, title, low, high, cs in plan
+                  if s == cu and level is not None and low <= level <= high and cs in (state, 0))
+    out = lessons.curriculum_lookup(
+        spark.createDataFrame(asks, "ask_id long, subject string, class_level long, state_id long"),
+        spark.createDataFrame(plan, "topic_id long, subject string, title string, class_from long, class_to long, state_id long"))
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == sorted(want, key=repr) and want
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
 def test_names_are_replaced_longest_first_at_word_edges(spark):
     rows = [
         (1, "Anna Meier und Anna, Annabell; Meier.", ["Anna", "Anna Meier", "Meier"]),
