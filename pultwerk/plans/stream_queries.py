@@ -16,7 +16,7 @@ from pultwerk.plans.retrieval_queries import _INGEST
 from pultwerk.plans.review_queries import _STATES, _candidates, _critical
 from pultwerk.plans.usage_queries import _EV, r6
 from pultwerk.session import shared_dir
-from pultwerk.sources import usage_files
+from pultwerk.sources import folders, usage_files
 from pultwerk.sources.tables import VIEWS, table, view, view_sql
 from pultwerk.streaming import jobs
 
@@ -32,15 +32,21 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def in_batches(spark: SparkSession, sf_dir: str, name: str, order: str, late: str = "false", batches: int = 3) -> DataFrame:
     """The same, its rows written as one arrival after the other and read one a batch.
 
-    Arrivals follow ``order``; rows for which ``late`` holds come with the last one.
+    Arrivals follow ``order``; rows for which ``late`` holds come with the last one. All have
+    as many files, so that a batch is a whole arrival however many files the table has.
     """
     rows = table(spark, sf_dir, VIEWS[name][0]).withColumn("_o", F.col(order).cast("timestamp").cast("double") if order == "ts" else F.col(order).cast("double"))
     borders = rows.approxQuantile("_o", [i / batches for i in range(1, batches)], 0.001)
     arrival = F.when(F.expr(late), batches - 1).otherwise(sum((F.col("_o") > b).cast("int") for b in borders))
     dealt, folder = rows.withColumn("_a", arrival), _folder(spark)
+    files = max(dealt.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
     for i in range(batches):
-        dealt.filter(F.col("_a") == i).drop("_o", "_a").write.parquet(f"{folder}/arrivals/{i}")
-    source = spark.readStream.schema(rows.drop("_o").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{folder}/arrivals")
+        arrived, here = dealt.filter(F.col("_a") == i).drop("_o", "_a").repartition(files), f"{folder}/arrivals/{i}"
+        arrived.write.parquet(here)
+        # a part without rows has no file
+        for _ in range(files - sum(n.endswith(".parquet") for n in folders.names(spark, here))):
+            spark.createDataFrame([], arrived.schema).coalesce(1).write.mode("append").parquet(here)
+    source = spark.readStream.schema(rows.drop("_o").schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).parquet(f"{folder}/arrivals")
     return source.selectExpr(*[f"{expr} AS {col}" for col, expr in VIEWS[name][1].items()])
 
 

@@ -81,6 +81,8 @@ def write_sticky_privacy(path: str):
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        # several steps read the turns; what makes them local is worked out once
+        batch = batch.select("conv_id", "turn", "is_local").persist()
         local = batch.filter("is_local").groupBy("conv_id").agg(F.min("turn").alias("first"))
         touched = state.touched(batch)
         before = state.read(spark, touched, batch_id)
@@ -90,6 +92,7 @@ def write_sticky_privacy(path: str):
         modes.write.mode("overwrite").parquet(f"{path}/modes/batch={batch_id}")
         changed = state.touched(local)
         state.write(first.filter(state.bucket().isin(changed)), changed, batch_id)
+        batch.unpersist()
 
     return write
 

@@ -124,6 +124,29 @@ def test_sticky_mode_over_batches(spark, tmp_path):
     assert got == {(1, 0): "auto", (1, 1): "local_required", (1, 2): "local_required", (1, 3): "local_required", (2, 0): "auto"}
 
 
+def test_an_arrival_of_many_files_is_one_batch(spark, tmp_path):
+    # an earlier turn may lie in a later file of the same arrival
+    rows = [(c, t, "user", f"Mail an a{c}@b.de" if t == c % 9 + 1 else "Wie geht das?") for c in range(40) for t in range(12)]
+    random.Random(8).shuffle(rows)
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(5).write.parquet(str(tmp_path / "conversations.parquet"))
+    folder = stream_queries.by_batch(stream_queries.in_batches(spark, str(tmp_path), "requests", "turn").withColumn("is_local", F.col("text").startswith("Mail")), jobs.write_sticky_privacy)
+    got = spark.read.parquet(f"{folder}/modes")
+    assert got.select("batch").distinct().count() == 3
+    assert {(r["conv_id"], r["turn"]): r["sticky_mode"] for r in got.collect()} == {(c, t): "local_required" if t > c % 9 else "auto" for c, t, *_ in rows}
+
+
+def test_turns_of_a_batch_are_worked_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def marked(turn):
+        seen.add(1)
+        return turn == 1
+
+    src = feed(spark, str(tmp_path / "in"), [(1, 0), (1, 1), (2, 0)], "conv_id long, turn long", [[0, 1, 2]])
+    run_batches(src.withColumn("is_local", F.udf(marked, "boolean").asNondeterministic()("turn")), jobs.write_sticky_privacy(str(tmp_path / "sticky")), str(tmp_path / "cp"))
+    assert spark.read.parquet(str(tmp_path / "sticky/modes")).count() == 3 and seen.value == 3
+
+
 def test_review_machine_over_batches(spark, tmp_path):
     kinds = ["approve", "create", "edit", "complete", "approve", "edit", "edit", "approve", "edit", "approve", "delete", "approve"]
     rows = [(1, dt.datetime(2026, 1, 1, 0, i), i, k, 2, "empty_patch" if i == 5 else None, "2", None) for i, k in enumerate(kinds)]
