@@ -1,13 +1,17 @@
 """Distributed steps against brute force on small fixtures."""
 
+import difflib
 import itertools
 import random
+import time
 import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pultwerk import fixed_values as fv
+from pultwerk.functions import arrow
 from pultwerk.operators import ordered, pages, retrieval, review, segmentation
 from pultwerk.session import shared_dir
 
@@ -189,3 +193,26 @@ def test_retention_and_orphans(spark):
 
 def test_checkpoint_folder_is_read_from_the_session(spark):
     assert shared_dir(spark)
+
+
+def test_long_readings_are_aligned_in_one_pass():
+    ref = [f"w{i}" for i in range(20000)]
+    other = ["x" if i % 10 == 4 else t for i, t in enumerate(ref)]
+    start = time.perf_counter()
+    codes = arrow._codes(ref, other)
+    assert time.perf_counter() - start < 2
+    assert codes[:10] == [1, 0, 4, 0, 4, 0, 4, 5, 4, 5] and len(codes) == 5 * 4001
+
+
+def test_alignment_with_and_without_repeated_tokens():
+    rng = random.Random(11)
+    for size in (1, 2, 4, 60, 1000) * 60:
+        ref = [f"t{rng.randrange(size)}" for _ in range(rng.randrange(30))]
+        other = [t for t in ref if rng.random() > 0.1] + ref[:rng.randrange(3)]
+        want = [x for tag, *b in difflib.SequenceMatcher(None, ref, other, autojunk=False).get_opcodes() for x in (int(tag == "equal"), *b)]
+        assert arrow._codes(ref, other) == (want or [1, 0, 0, 0, 0])
+
+
+def test_dashes_and_quotes_are_unified():
+    text = "\x00".join(["a\u2011b", "c\u2013\u2212d", "\u201ee\u201dx", "f\u2019s", 'g"h', "i-j", "\u00abk\u00bb"])
+    assert arrow._normal(text) == [t.strip(fv.EDGE_PUNCTUATION) for t in ("a-b", "c--d", "'e'x", "f's", "g'h", "i-j", "'k'")]
