@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from pultwerk.llm import line_dedup, near_dedup, shingles
+from pultwerk.llm import jaccard, line_dedup, near_dedup, shingles
 from pultwerk.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, band string, node string"
@@ -196,3 +196,56 @@ def test_one_changed_character_is_found(spark):
             texts += [(len(texts), line), (len(texts) + 1, line[:cut] + "#" + line[cut + 1:])]
     left = {r["doc_id"] for r in corpus_pipeline.without_repeated_lines(spark, table(spark, texts), "").collect()}
     assert left == set(range(0, len(texts), 2))
+
+
+def one_bucket_lines():
+    """Sets of numbers as payloads: one bucket of two groups and a set between none, seen twice."""
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(3):
+        base = rng.choice(1 << 40, 60, replace=False)
+        # each copy lacks other elements, so that some are alike only by way of a third
+        sets += [np.delete(base, np.arange(i * 5, i * 5 + 5)) for i in range(6)]
+    return [np.sort(s).astype(np.uint64) for s in sets]
+
+
+def linked_by_bucket(spark, sets, bands):
+    members = spark.createDataFrame([(b, i) for b in bands for i in range(len(sets))], "band long, node long")
+    payloads = spark.createDataFrame([(i, s.tobytes(), len(s)) for i, s in enumerate(sets)], "node long, payload binary, n long")
+    found = jaccard.linked(members, payloads, lambda payloads: [np.frombuffer(p, np.uint64) for p in payloads], 80, by_bucket=True)
+    return {i: i for i in range(len(sets))} | {r["node"]: r["component"] for r in found.collect()}
+
+
+def test_bounded_buckets_are_compared_inside_a_task(spark, monkeypatch):
+    sets = one_bucket_lines()
+    want = groups(range(len(sets)), [set(s.tolist()) for s in sets], 80)
+    with monkeypatch.context() as patched:
+        # no table of elements is dealt out for them, however many components remain
+        patched.setattr(jaccard, "prefix_pairs", None)
+        patched.setattr(jaccard, "confirmed", None)
+        assert linked_by_bucket(spark, sets, [7, 8, 9]) == want
+    # larger ones take the way over the executors and give the same
+    monkeypatch.setattr(jaccard, "BUCKET_ROWS", 4)
+    assert linked_by_bucket(spark, sets, [7, 8]) == want
+
+
+def test_forest_of_a_bucket_equals_brute_force():
+    rng = np.random.default_rng(1)
+    for size in (1, 2, 3, 4, 5, 9, 30):
+        bases = [rng.integers(0, 1 << 62, 40).astype(np.uint64) for _ in range(3)]
+        sets = [np.unique(np.append(b[rng.random(40) > rng.random() / 5], rng.integers(0, 1 << 62, 2).astype(np.uint64))) for b in (bases[rng.integers(3)] for _ in range(size))]
+        edges = list(jaccard._joined(sets, 80))
+        want = groups(range(size), [set(s.tolist()) for s in sets], 80)
+        assert len(edges) == size - len(set(want.values()))
+        root = list(range(size))
+        for a, b in edges:
+            root = [root[a] if r == root[b] else r for r in root]
+        assert [root.index(r) for r in root] == [want[i] for i in range(size)]
+
+
+def test_buckets_with_the_same_nodes_are_taken_once(spark):
+    rows = [(band, node, 10) for band in (1, 2, 3) for node in (1, 2)] + [(4, 1, 10), (4, 3, 10)]
+    members = spark.createDataFrame(rows, "band long, node long, n long")
+    nothing = spark.createDataFrame([], "node long, component long")
+    found = jaccard._still_open(members, nothing, 80, True).collect()
+    assert sorted((r["band"], r["node"], r["its_rows"], r["its_elements"]) for r in found) == [(1, 1, 2, 20), (1, 2, 2, 20), (4, 1, 2, 20), (4, 3, 2, 20)]
